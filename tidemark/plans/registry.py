@@ -13,7 +13,7 @@ from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+_CTES: dict[str, tuple[tuple[str, ...], str, str]] = {}
 
 
 def naive(df: DataFrame) -> DataFrame:
@@ -56,11 +56,12 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
     return register
 
 
-def cte(name: str, sql: str, deps: tuple[str, ...] = ()) -> None:
-    _CTES[name] = (deps, sql.strip())
+def cte(name: str, sql: str, deps: tuple[str, ...] = (), materialized: bool = False) -> None:
+    _CTES[name] = (deps, sql.strip(), "MATERIALIZED " if materialized else "")
 
 
 def compose(body: str, ctes: tuple[str, ...]) -> str:
+    """One statement from a body and the shared views it reads, dependencies first."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -75,9 +76,7 @@ def compose(body: str, ctes: tuple[str, ...]) -> str:
     body = body.strip()
     if not order:
         return body
-    parts = ",\n".join(f"{n} AS (\n{_CTES[n][1]}\n)" for n in order)
-    if body.upper().startswith("WITH RECURSIVE"):
-        return f"WITH RECURSIVE {parts},\n{body[14:].lstrip()}"
+    parts = ",\n".join(f"{n} AS {_CTES[n][2]}(\n{_CTES[n][1]}\n)" for n in order)
     if body.upper().startswith("WITH "):
-        return f"WITH {parts},\n{body[5:].lstrip()}"
-    return f"WITH {parts}\n{body}"
+        return f"WITH RECURSIVE {parts},\n{body[5:].lstrip()}"
+    return f"WITH RECURSIVE {parts}\n{body}"

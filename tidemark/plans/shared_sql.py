@@ -64,3 +64,33 @@ SELECT n_name AS symbol, CAST(date_trunc('month', o_orderdate) AS DATE) AS month
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY 1, 2
 """)
+
+
+def ewm_sql(rows: str, value: str, alpha: str) -> str:
+    """Recursive smoothing over `rows` (symbol, rn, ...)."""
+    return f"""
+SELECT symbol, rn, {value} AS y FROM {rows} WHERE rn = 1
+UNION ALL
+SELECT r.symbol, r.rn, (1 - {alpha}) * e.y + {alpha} * r.{value} FROM {{self}} e
+JOIN {rows} r ON r.symbol = e.symbol AND r.rn = e.rn + 1
+"""
+
+
+def ewm_cte(name: str, rows: str, value: str, alpha: str) -> None:
+    cte(name, ewm_sql(rows, value, alpha).format(self=name), (rows,))
+
+
+for _f in ("h1", "h4", "d1"):
+    cte(f"rows_{_f}", f"""
+SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn,
+       greatest(high - low, abs(high - lag(close) OVER (PARTITION BY symbol ORDER BY ts)),
+                abs(low - lag(close) OVER (PARTITION BY symbol ORDER BY ts))) AS tr
+FROM bars_{_f}
+""", (f"bars_{_f}",), materialized=True)
+    ewm_cte(f"atr_{_f}_r", f"rows_{_f}", "tr", "(1.0::DOUBLE / 14)")
+    cte(f"atr_{_f}", f"""
+SELECT b.*, CASE WHEN b.rn >= 14 THEN a.y END AS atr
+FROM rows_{_f} b JOIN atr_{_f}_r a ON a.symbol = b.symbol AND a.rn = b.rn
+""", (f"rows_{_f}", f"atr_{_f}_r"), materialized=True)
+    for _n in (20, 50):
+        ewm_cte(f"ema{_n}_{_f}", f"rows_{_f}", "close", f"(2.0::DOUBLE / {_n + 1})")
