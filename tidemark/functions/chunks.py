@@ -74,6 +74,15 @@ def running_sum(chunked: DataFrame, keys, order, value: Column | str, out: str)
             .drop("_carry"))
 
 
+def running_max(chunked: DataFrame, keys, order, value: Column | str, out: str) -> DataFrame:
+    v = F.col(value) if isinstance(value, str) else value
+    tops = chunked.groupBy(*keys, CHUNK).agg(F.max(v).alias("_max"))
+    carry = tops.select(*keys, CHUNK, F.max("_max").over(_earlier(keys)).alias("_carry"))
+    w = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    return (_with_carry(chunked, carry, keys)
+            .withColumn(out, F.greatest(F.max(v).over(w), F.col("_carry"))).drop("_carry"))
+
+
 def running_row_number(chunked: DataFrame, keys, order, out: str, total: str | None = None) -> DataFrame:
     """1-based position within the key, and optionally the key's row count."""
     counts = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))

@@ -94,3 +94,15 @@ FROM rows_{_f} b JOIN atr_{_f}_r a ON a.symbol = b.symbol AND a.rn = b.rn
 """, (f"rows_{_f}", f"atr_{_f}_r"), materialized=True)
     for _n in (20, 50):
         ewm_cte(f"ema{_n}_{_f}", f"rows_{_f}", "close", f"(2.0::DOUBLE / {_n + 1})")
+
+
+def t_two_sided_sql(t: str, df: str) -> str:
+    """P(|T| > t) by Simpson's rule."""
+    return (f"(1 - 2 * (abs({t}) / 6000.0) * (SELECT sum((CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+            f" * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0) - 0.5 * ln({df} * pi())"
+            f" - ({df} + 1) / 2.0 * ln(1 + pow({t} * i / 2000.0, 2) / {df}))) FROM range(2001) g(i)))")
+
+
+def norm_cdf_sql(z: str) -> str:
+    return (f"(0.5 + sign({z}) * (abs({z}) / 6000.0) * (SELECT sum((CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+            f" * exp(-pow({z} * i / 2000.0, 2) / 2.0)) FROM range(2001) g(i)) / sqrt(2 * pi()))")
