@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from tidemark.plans import q_bars, q_features, q_screen  # noqa: F401
+from tidemark.plans import q_bars, q_features, q_screen, q_trades  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401

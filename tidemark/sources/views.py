@@ -60,3 +60,38 @@ def panel(spark, sf_dir) -> DataFrame:
                .agg(F.sum("o_totalprice").alias("level")))
     return (per_key.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(F.col("n_name").alias("symbol"), "month", "level"))
+
+
+def specs(spark, sf_dir) -> DataFrame:
+    """Contract constants and costs per traded symbol (brand), taken from the part table."""
+    code = F.substring("symbol", -1, 1).cast("int")
+    return (table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("symbol"))
+            .agg(F.avg("p_size").alias("_size"), F.avg("p_retailprice").alias("_px"))
+            .select("symbol", F.lit(2).alias("digits"), F.lit(0.01).alias("point"), F.lit(0.01).alias("tick_size"),
+                    (F.floor("_size") / 100.0).alias("tick_value"), F.lit(1.0).alias("volume_min"),
+                    F.lit(40.0).alias("volume_max"), F.lit(1.0).alias("volume_step"), F.lit(100.0).alias("contract_size"),
+                    F.lit(5).alias("stops_level_points"), (code * -0.5).alias("swap_long"), (code * 0.25).alias("swap_short"),
+                    code.alias("swap_mode"), F.when(code % 2 == 0, 2).otherwise(4).alias("swap_triple_weekday"),
+                    (F.floor("_px") / 1000.0).alias("spread"), (F.floor("_px") / 2000.0).alias("slippage"),
+                    F.lit(0.75).alias("commission"), F.lit(2.0).alias("spread_multiple_at_open")))
+
+
+def daily_prices(spark, sf_dir) -> DataFrame:
+    """Daily high and low unit price per brand."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    px = F.col("l_extendedprice") / F.col("l_quantity")
+    return (li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("day"))
+            .agg(F.max(px).alias("high"), F.min(px).alias("low")))
+
+
+def snapshots(spark, sf_dir, start: float = 100_000.0) -> DataFrame:
+    """Account equity snapshots: every event moves its account's equity."""
+    from tidemark.functions import chunks
+    order = ["ts", "seq"]
+    p = prints(spark, sf_dir).withColumn("pnl", (F.col("price") - 45.0) * F.col("size"))
+    c = chunks.ordered_chunks(p, ["symbol"], order)
+    c = chunks.running_sum(c, ["symbol"], order, "pnl", "_run")
+    return c.select(F.col("symbol").alias("account"), "ts", "seq", "pnl",
+                    F.round(F.col("_run") + start, 6).alias("equity"))
