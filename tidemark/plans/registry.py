@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_BODIES: dict[str, tuple[str, tuple[str, ...]]] = {}
 _CTES: dict[str, tuple[tuple[str, ...], str, str]] = {}
 
 
@@ -51,11 +51,15 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = compose(sql, ctes)
+            _BODIES[name] = (sql, ctes)
         return run
     return register
 
 
+def oracles() -> dict[str, str]:
+    return {name: compose(sql, ctes) for name, (sql, ctes) in _BODIES.items()}
+
+
 def cte(name: str, sql: str, deps: tuple[str, ...] = (), materialized: bool = False) -> None:
     _CTES[name] = (deps, sql.strip(), "MATERIALIZED " if materialized else "")
 
