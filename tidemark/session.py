@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings every job relies on. Timestamps are instants in UTC.
 RUNTIME = {
@@ -43,3 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Store a reduced intermediate in the checkpoint folder, so that plans reading it several
+    times neither recompute it nor depend on the executors that made it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
