@@ -1,0 +1,95 @@
+"""Stateful streams: what must be remembered per key between micro-batches is a few numbers or a
+bounded list. A micro-batch of one key reaches its function in Arrow batches; how much one trigger
+reads is set at the source (maxFilesPerTrigger, maxOffsetsPerTrigger)."""
+
+from __future__ import annotations
+
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+# Workers get these functions by value, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _batch(pdfs, order):
+    frames = [p for p in pdfs if len(p)]
+    return pd.concat(frames, ignore_index=True).sort_values(order, kind="stable") if frames else None
+
+
+def feed_staleness(ticks: DataFrame, max_silence_seconds: float, key: str = "symbol") -> DataFrame:
+    """Silences of a feed longer than the limit, once each, when the feed speaks again.
+
+    ticks are reduced to one row per key and minute by the caller when the feed is dense."""
+    limit = float(max_silence_seconds)
+
+    def step(k, pdfs, state: GroupState):
+        d = _batch(pdfs, ["ts"])
+        if d is None:
+            return
+        times = d["ts"].to_list()
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = []
+        for t in times:
+            if last is not None and (t - last).total_seconds() > limit:
+                rows.append((k[0], last, t, (t - last).total_seconds()))
+            last = t if last is None else max(last, t)
+        state.update((int(last.value // 1000),))
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, "silent_from", "silent_to", "seconds"])
+
+    return ticks.select(key, "ts").groupBy(key).applyInPandasWithState(
+        step, f"{key} string, silent_from timestamp_ntz, silent_to timestamp_ntz, seconds double", "last long", "append",
+        GroupStateTimeout.NoTimeout)
+
+
+def session_book(snapshots: DataFrame, start: float, key: str = "account") -> DataFrame:
+    """Per account: day-start equity, running high-water mark and losing streak after each snapshot."""
+    def step(k, pdfs, state: GroupState):
+        d = _batch(pdfs, ["ts", "seq"])
+        if d is None:
+            return
+        day, opened, high, streak = state.get if state.exists else (-1, start, start, 0)
+        out = []
+        for seq, ts, equity, pnl in zip(d["seq"], d["ts"], d["equity"], d["pnl"]):
+            today = ts.normalize().value // 86_400_000_000_000
+            if today != day:
+                day, opened = today, equity
+            high = max(high, equity)
+            streak = streak + 1 if pnl < 0 else 0
+            out.append((k[0], seq, equity, opened, high, streak))
+        state.update((int(day), float(opened), float(high), int(streak)))
+        yield pd.DataFrame(out, columns=[key, "seq", "equity", "day_start_equity", "high_water_equity", "streak"])
+
+    return snapshots.select(key, "seq", "ts", "equity", "pnl").groupBy(key).applyInPandasWithState(
+        step, f"{key} string, seq long, equity double, day_start_equity double, high_water_equity double, streak long",
+        "day long, opened double, high double, streak long", "append", GroupStateTimeout.NoTimeout)
+
+
+def allocator_feed(bars: DataFrame, window: int, key: str = "symbol") -> DataFrame:
+    """One cash change per completed bar, and the deviation of the trailing window kept in state.
+
+    bars: key, ts, close, value_per_unit."""
+    def step(k, pdfs, state: GroupState):
+        d = _batch(pdfs, ["ts"])
+        if d is None:
+            return
+        prev, hist = (state.get[0], list(state.get[1])) if state.exists else (None, [])
+        out = []
+        for ts, close, vpu in zip(d["ts"], d["close"], d["value_per_unit"]):
+            if prev is not None:
+                change = (close - prev) * vpu
+                hist = (hist + [float(change)])[-window:]
+                sd = float(pd.Series(hist).std()) if len(hist) > 1 else None
+                out.append((k[0], ts, float(change), len(hist), sd))
+            prev = float(close)
+        state.update((prev, hist))
+        if out:
+            yield pd.DataFrame(out, columns=[key, "ts", "cash", "history", "sigma"])
+
+    return bars.select(key, "ts", "close", "value_per_unit").groupBy(key).applyInPandasWithState(
+        step, f"{key} string, ts timestamp, cash double, history long, sigma double", "prev double, hist array<double>", "append",
+        GroupStateTimeout.NoTimeout)
