@@ -39,10 +39,11 @@ def ewm(df: DataFrame, value: Column | str, alpha: float, min_periods: int, out:
         "_s", F.sum(F.lit(alpha) * F.col("_x") * F.exp(-F.col("_k") * log_decay)).over(in_block))
 
     first = (F.col("_pos") == 0) & F.col("_x").isNotNull()
-    states = (rows.filter(first | (F.col("_k") == length))
+    ends = (F.col("_k") == length) & (F.col("_pos") >= 0)
+    states = (rows.filter(first | ends)
               .select(*keys, F.explode(F.filter(F.array(
                   F.struct(first.alias("ok"), F.lit(0).cast("long").alias("_blk"), F.col("_x").alias("_end")),
-                  F.struct((F.col("_k") == length).alias("ok"), (F.col("_blk") + 1).alias("_blk"),
+                  F.struct(ends.alias("ok"), (F.col("_blk") + 1).alias("_blk"),
                            (F.col("_s") * math.exp(length * log_decay)).alias("_end"))),
                   lambda s: s["ok"])).alias("s"))
               .select(*keys, "s._blk", "s._end"))

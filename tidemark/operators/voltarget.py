@@ -105,7 +105,8 @@ def allocate(legs: DataFrame, cash: DataFrame, target: float = 0.12, window: int
 def shrunk_correlation(recent: DataFrame, names: list[str], shrink: float = 0.5) -> DataFrame:
     """The shrunk correlation of every pair of the declared markets per decision day; days a
     market did not trade count as no change. One row per day holds the markets side by side."""
-    wide = recent.groupBy("decision_day", "day").pivot("symbol", names).agg(F.sum("cash"))
+    traded = recent.filter(F.col("cash").isNotNull())
+    wide = traded.groupBy("decision_day", "day").pivot("symbol", names).agg(F.sum("cash"))
     wide = wide.fillna(0.0, names)
     pairs = [(x, y) for i, x in enumerate(names) for y in names[i + 1:]]
     g = wide.groupBy("decision_day").agg(*[F.corr(F.col(f"`{x}`"), F.col(f"`{y}`")).alias(f"c{k}") for k, (x, y) in enumerate(pairs)])
