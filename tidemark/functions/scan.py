@@ -1,10 +1,10 @@
 """Recursive smoothing as windows.
 
-y[t] = (1-a) y[t-1] + a x[t] is split into blocks of L rows. Inside a block the zero-state
-answer is (1-a)^k * sum(a x[j] (1-a)^-j), a plain running sum: L is chosen so that the
-weights stay far from overflow. The state entering a block is a fold over the ends of the
-blocks before it; blocks so far back that their weight is below 1e-30 are not visited.
-"""
+y[t] = (1-a) y[t-1] + a x[t] is split into blocks of rows. Inside a block the zero-state answer
+is (1-a)^k * sum(a x[j] (1-a)^-j), a plain running sum. A block is long enough that the state
+entering it has decayed by 1e-40 when it ends, so the state entering the next block is that
+running sum's last value, to double precision. The first block starts from the first value.
+No row is joined to another: one shuffle by key, then sorts inside it."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BLOCK = 256
+DECADES = 40
 
 
 def ewm(df: DataFrame, value: Column | str, alpha: float, min_periods: int, out: str,
@@ -25,36 +25,23 @@ def ewm(df: DataFrame, value: Column | str, alpha: float, min_periods: int, out:
     keys, decay = list(keys), 1.0 - alpha
     if decay <= 0:
         return df.withColumn(out, x)
-    log_decay = math.log(decay)
-    length = max(1, min(MAX_BLOCK, int(200 * math.log(10) / -log_decay)))
-    reach = max(1, math.ceil(30 * math.log(10) / (-log_decay * length)))
+    rate = -math.log(decay)
+    length = max(1, math.ceil(DECADES * math.log(10) / rate))
 
     by_key = Window.partitionBy(*keys).orderBy(*order)
-    pos = F.count("_x").over(by_key.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    rows = (df.withColumn("_x", x).withColumn("_pos", pos)
+    so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
+    rows = (df.withColumn("_x", x).withColumn("_pos", F.count("_x").over(so_far) - 1)
+            .withColumn("_seed", F.first("_x", True).over(so_far))
             .withColumn("_blk", F.floor(F.col("_pos") / length))
             .withColumn("_k", F.pmod(F.col("_pos"), F.lit(length)) + 1))
     in_block = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn(
-        "_s", F.sum(F.lit(alpha) * F.col("_x") * F.exp(-F.col("_k") * log_decay)).over(in_block))
-
-    first = (F.col("_pos") == 0) & F.col("_x").isNotNull()
-    ends = (F.col("_k") == length) & (F.col("_pos") >= 0)
-    states = (rows.filter(first | ends)
-              .select(*keys, F.explode(F.filter(F.array(
-                  F.struct(first.alias("ok"), F.lit(0).cast("long").alias("_blk"), F.col("_x").alias("_end")),
-                  F.struct(ends.alias("ok"), (F.col("_blk") + 1).alias("_blk"),
-                           (F.col("_s") * math.exp(length * log_decay)).alias("_end"))),
-                  lambda s: s["ok"])).alias("s"))
-              .select(*keys, "s._blk", "s._end"))
-    back = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(-reach, 0)
-    block_decay = math.exp(length * log_decay)
-    states = states.select(*keys, "_blk", F.aggregate(
-        F.collect_list("_end").over(back), F.lit(0.0), lambda acc, v: acc * block_decay + v).alias("_in"))
-    y = F.exp(F.col("_k") * log_decay) * (F.col("_in") + F.col("_s"))
-    return (rows.join(states, [*keys, "_blk"], "left")
-            .withColumn(out, F.when(F.col("_pos") + 1 >= min_periods, y))
-            .drop("_x", "_pos", "_blk", "_k", "_s", "_in"))
+    rows = rows.withColumn("_s", F.sum(F.lit(alpha) * F.col("_x") * F.exp(F.col("_k") * rate)).over(in_block))
+    end = F.when((F.col("_k") == length) & (F.col("_pos") >= 0), F.col("_s") * math.exp(-length * rate))
+    rows = rows.withColumn("_in", F.last(end, True).over(by_key.rowsBetween(Window.unboundedPreceding, -1)))
+    state = F.when(F.col("_blk") <= 0, F.col("_seed")).otherwise(F.col("_in"))
+    y = F.exp(-F.col("_k") * rate) * (state + F.col("_s"))
+    return (rows.withColumn(out, F.when(F.col("_pos") + 1 >= min_periods, y))
+            .drop("_x", "_pos", "_seed", "_blk", "_k", "_s", "_in"))
 
 
 def ema(df, value, span: int, out: str, keys=("symbol",), order=("ts",)) -> DataFrame:

@@ -48,10 +48,8 @@ def purged_kfold(obs: DataFrame, keys: list[str], order: list[str], k: int = 5,
 
 
 def _attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
-    """Join a frame of one row per key; without keys that is a single row."""
-    if keys:
-        return df.join(per_key, keys)
-    return df.withColumn("_k", F.lit(1)).join(per_key.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """Add the one column of a frame with one row per key; without keys it is a single value."""
+    return df.join(per_key, keys) if keys else df.withColumn(per_key.columns[0], per_key.scalar())
 
 
 def leakage_report(folds: DataFrame, keys: list[str]) -> DataFrame:

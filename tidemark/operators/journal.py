@@ -14,11 +14,9 @@ ORDER = ["ts", "seq"]
 def within(journal: DataFrame, hours: float, now: Column | None = None) -> DataFrame:
     """Records of the last hours; `now` defaults to the newest record."""
     if now is None:
-        top = journal.agg(F.max("ts").alias("_now"))
-        journal = journal.withColumn("_k", F.lit(1)).join(top.withColumn("_k", F.lit(1)), "_k").drop("_k")
-        now = F.col("_now")
+        now = journal.agg(F.max("ts")).scalar()
     edge = now - F.make_dt_interval(secs=F.lit(hours * 3600).cast("decimal(18,6)"))
-    return journal.filter(F.col("ts") >= edge).drop("_now")
+    return journal.filter(F.col("ts") >= edge)
 
 
 def counts(journal: DataFrame, keys=()) -> DataFrame:
@@ -27,8 +25,7 @@ def counts(journal: DataFrame, keys=()) -> DataFrame:
 
 def refused_by(row_breaches: str = "breaches", note: str = "note") -> Column:
     """Limits that refused a decision; without any, the note up to its colon."""
-    limits = F.transform(F.coalesce(F.col(row_breaches), F.array().cast("array<struct<limit:string>>")),
-                         lambda b: b["limit"])
+    limits = F.coalesce(F.transform(F.col(row_breaches), lambda b: b["limit"]), F.array().cast("array<string>"))
     reason = F.split_part(F.coalesce(F.col(note), F.lit("unknown")), F.lit(":"), F.lit(1))
     return F.when(F.size(limits) > 0, limits).otherwise(F.array(reason))
 
@@ -72,8 +69,7 @@ def digest(journal: DataFrame, keys=()) -> DataFrame:
     slip = quantiles.exact_median(journal.filter(filled), keys, F.abs("slippage"), "slippage_median")
     if keys:
         return g.join(age, keys, "left").join(slip, keys, "left")
-    one = lambda d: d.withColumn("_k", F.lit(1))
-    return one(g).join(one(age), "_k", "left").join(one(slip), "_k", "left").drop("_k")
+    return g.withColumn("feed_age_median", age.scalar()).withColumn("slippage_median", slip.scalar())
 
 
 def approved_by(journal: DataFrame, n: int = 8) -> DataFrame:
@@ -115,3 +111,36 @@ def state_changes(watchdog: DataFrame, keys=("runner",)) -> DataFrame:
     """Problem checks by state, with when each was first and last seen."""
     return (watchdog.groupBy(*keys, "state").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"),
                                                  F.max("ts").alias("last_seen")))
+
+
+def forward_report(journal: DataFrame, keys: list[str]) -> DataFrame:
+    """What a running record shows: counts, rolls, calendar span and equity from first to last."""
+    ev, at = F.col("event"), F.when(F.col("equity").isNotNull(), F.struct(*ORDER))
+    beat = F.when(ev == "heartbeat", F.col("ts"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return journal.groupBy(*keys).agg(
+        n(ev == "heartbeat").alias("heartbeats"), n(ev == "decision").alias("decisions"), n(F.col("status") == "filled").alias("filled"),
+        n(F.col("approved")).alias("approved"), n(ev.isin("roll", "shadow_roll")).alias("rolls"),
+        F.floor((F.unix_micros(F.max(beat)) - F.unix_micros(F.min(beat))) / 86_400_000_000).cast("long").alias("span_days"),
+        F.min_by("equity", at).alias("equity_start"), F.max_by("equity", at).alias("equity_end"))
+
+
+def status(journal: DataFrame, now: Column, max_age_seconds: int, recent: int, keys: list[str]) -> DataFrame:
+    """Running and halted flags and the make-up of the newest records.
+
+    The newest records of a key are found from per-day counts, newest day first, so that only the
+    days that can hold them are sorted."""
+    day = F.to_date("ts")
+    per = journal.groupBy(*keys, day.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    newer = Window.partitionBy(*keys).orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
+    days = per.select(*keys, "_d", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_newer")).filter(F.col("_newer") < recent)
+    w = Window.partitionBy(*keys, "_d").orderBy(*[F.desc(c) for c in ORDER])
+    d = journal.withColumn("_d", day).join(days, [*keys, "_d"])
+    d = d.withColumn("_k", F.row_number().over(w) + F.col("_newer")).filter(F.col("_k") <= recent)
+    ev = F.col("event")
+    beat = F.when(ev == "heartbeat", F.col("ts"))
+    age = F.unix_timestamp(now) - F.unix_timestamp(F.max(beat))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return d.groupBy(*keys).agg(
+        F.max(beat).alias("last_beat"), (age < max_age_seconds).alias("running"), F.max_by("halted", F.when(ev == "heartbeat", F.struct(*ORDER))).alias("halted"),
+        n(ev == "decision").alias("recent_decisions"), n(ev == "fill").alias("recent_fills"))

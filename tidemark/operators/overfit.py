@@ -53,10 +53,8 @@ def deflated_sharpe(moments: DataFrame, trials: DataFrame, n_trials: int) -> Dat
     """PSR against the expected maximum, with the variance measured over the trials' Sharpes
     (column sharpe). The count is the larger of the declared and the measured."""
     t = trials.agg(F.var_samp("sharpe").alias("_var"), F.count("sharpe").alias("_nt")).select(
-        F.coalesce("_var", F.lit(0.0)).alias("_var"), F.greatest("_nt", F.lit(n_trials)).alias("_nt"), F.lit(1).alias("_j"))
-    d = moments.withColumn("_j", F.lit(1)).join(t, "_j").drop("_j")
-    d = d.withColumn("sr0", expected_max_sharpe(F.col("_nt"), F.col("_var")))
-    return probabilistic_sharpe(d, F.col("sr0"), "dsr").drop("_var", "_nt")
+        expected_max_sharpe(F.greatest("_nt", F.lit(n_trials)), F.coalesce("_var", F.lit(0.0))).alias("sr0"))
+    return probabilistic_sharpe(moments.withColumn("sr0", t.scalar()), F.col("sr0"), "dsr")
 
 
 def min_track_record(moments: DataFrame, benchmark: float = 0.0, confidence: float = 0.95) -> DataFrame:

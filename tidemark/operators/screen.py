@@ -107,6 +107,11 @@ def asian_range_break():
     return F.when(at & (F.col("close") > hi), 1.0).when(at & (F.col("close") < lo), -1.0).otherwise(0.0)
 
 
+def follows(column: str) -> Column:
+    """Direction of another asset's known move; no view without one."""
+    return F.coalesce(F.signum(column), F.lit(0.0))
+
+
 def spec_extreme_fade():
     x = F.col("cot_spec_net_index")
     return F.when(x > 0.9, -1.0).when(x < 0.1, 1.0).otherwise(0.0)
@@ -169,61 +174,69 @@ def prepare(bars: DataFrame) -> DataFrame:
             .withColumn("idx", F.row_number().over(I.by()) - 1))
 
 
-def stack(bars: DataFrame, registry: list[Hypothesis], warmup: int = 300) -> DataFrame:
-    """Long observations (hypothesis, symbol, horizon, idx, ts, sig, fwd) from one pass; a
-    constant signal per horizon carries the whole sample's drift."""
-    d = prepare(bars)
-    horizons = sorted({h.horizon for h in registry})
+def _observe(prepared: DataFrame, items: list[tuple[str, int, Column]], warmup: int) -> DataFrame:
+    horizons = sorted({h for _, h, _ in items})
     fwd = {h: F.try_divide(F.lead("close", h).over(I.by()) - F.col("close"), F.col("atr")) for h in horizons}
-    items = [(h.name, h.horizon, h.signal()) for h in registry] + [(DRIFT, h, F.lit(1.0)) for h in horizons]
-    d = d.select(*KEYS, "ts", "idx", *[fwd[h].alias(f"_f{h}") for h in horizons],
-                 *[c.cast("double").alias(f"_s{i}") for i, (_, _, c) in enumerate(items)])
+    d = prepared.select(*KEYS, "ts", "idx", *[fwd[h].alias(f"_f{h}") for h in horizons],
+                        *[c.cast("double").alias(f"_s{i}") for i, (_, _, c) in enumerate(items)])
     long = F.explode(F.array(*[
         F.struct(F.lit(n).alias("hypothesis"), F.lit(h).alias("horizon"),
                  F.col(f"_s{i}").alias("sig"), F.col(f"_f{h}").alias("fwd")) for i, (n, h, _) in enumerate(items)]))
-    return (d.select(*KEYS, "ts", "idx", long.alias("o")).select(*KEYS, "ts", "idx", "o.*")
-            .filter((F.col("idx") >= warmup) & F.col("fwd").isNotNull() & F.col("sig").isNotNull() & (F.col("sig") != 0)))
+    return (d.filter(F.col("idx") >= warmup).select(*KEYS, "ts", "idx", long.alias("o")).select(*KEYS, "ts", "idx", "o.*")
+            .filter(F.col("fwd").isNotNull() & F.col("sig").isNotNull() & (F.col("sig") != 0)))
+
+
+def stack(bars: DataFrame, registry: list[Hypothesis], warmup: int = 300) -> DataFrame:
+    """Long observations (hypothesis, symbol, horizon, idx, ts, sig, fwd) from one pass."""
+    return _observe(prepare(bars), [(h.name, h.horizon, h.signal()) for h in registry], warmup)
+
+
+def whole_sample(bars: DataFrame, registry: list[Hypothesis], warmup: int = 300) -> DataFrame:
+    """A constant signal per horizon: what the forward return is when nothing is asked."""
+    return _observe(prepare(bars), [(DRIFT, h, F.lit(1.0)) for h in sorted({x.horizon for x in registry})], warmup)
 
 
 BLOCK = 256
 
 
 def nonoverlap(obs: DataFrame, keys: list[str], horizon: str = "horizon", idx: str = "idx") -> DataFrame:
-    """Greedy thinning: keep an index only if it is at least `horizon` past the last kept one.
+    """Greedy thinning: keep a row only if its index is at least `horizon` past the last kept one.
 
     Indices are cut into blocks. For each block the next allowed index is worked out for every
     state it can be entered in (there are at most `horizon`); those tables are chained over the
-    key's blocks, and then each block is thinned on its own."""
-    base = F.col("_blk") * BLOCK
-    h = F.col(horizon)
-    thin = obs.filter(h > 1)
-    blocks = (thin.groupBy(*keys, horizon, F.floor(F.col(idx) / BLOCK).alias("_blk"))
-              .agg(F.array_sort(F.collect_set(F.col(idx).cast("long"))).alias("_ids")))
-    entered = F.transform(F.sequence(F.lit(0).cast("long"), h.cast("long") - 1), lambda s: F.aggregate(
-        F.col("_ids"), base + s, lambda nxt, i: F.when(i >= nxt, i + h).otherwise(nxt)))
-    blocks = blocks.withColumn("_t", F.struct(base.alias("base"), entered.alias("out")))
+    key's blocks, and then each block is thinned on its own. Rows travel inside their block."""
+    base, h = F.col("_blk") * BLOCK, F.col(horizon)
+    rest = [c for c in obs.columns if c not in keys and c != horizon]
+    row = F.struct(F.col(idx).cast("long").alias("_i"), *rest)
+    blocks = (obs.filter(h > 1).groupBy(*keys, horizon, F.floor(F.col(idx) / BLOCK).alias("_blk"))
+              .agg(F.array_sort(F.collect_list(row)).alias("_rows")))
+    leave = F.transform(F.sequence(F.lit(0).cast("long"), h.cast("long") - 1), lambda s: F.aggregate(
+        F.col("_rows"), base + s, lambda nxt, r: F.when(r["_i"] >= nxt, r["_i"] + h).otherwise(nxt)))
+    blocks = blocks.withColumn("_t", F.struct(base.alias("base"), leave.alias("out")))
     w = Window.partitionBy(*keys, horizon).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_prev", F.collect_list("_t").over(w))
     start = F.aggregate(
         F.col("_prev"), F.lit(0).cast("long"),
         lambda nxt, e: F.when(nxt - e["base"] >= F.size(e["out"]), nxt).otherwise(
             F.element_at(e["out"], (F.greatest(nxt - e["base"], F.lit(0)) + 1).cast("int"))))
+    blocks = blocks.withColumn("_start", start)
     kept = F.aggregate(
-        F.col("_ids"), F.struct(start.alias("nxt"), F.array().cast("array<bigint>").alias("ids")),
-        lambda a, i: F.when(i >= a["nxt"], F.struct((i + h).cast("long").alias("nxt"),
-                                                    F.array_append(a["ids"], i).alias("ids"))).otherwise(a),
+        F.col("_rows"), F.struct(F.col("_start").alias("nxt"), F.array().cast("array<bigint>").alias("ids")),
+        lambda a, r: F.when(r["_i"] >= a["nxt"], F.struct((r["_i"] + h).cast("long").alias("nxt"),
+                                                          F.array_append(a["ids"], r["_i"]).alias("ids"))).otherwise(a),
         lambda a: a["ids"])
-    ids = blocks.select(*keys, horizon, F.explode(kept).alias(idx))
-    return obs.filter(h <= 1).unionByName(
-        thin.join(ids.withColumn(idx, F.col(idx).cast(dict(obs.dtypes)[idx])), [*keys, horizon, idx], "left_semi"))
+    blocks = blocks.withColumn("_kept", kept)
+    thin = blocks.select(*keys, horizon, F.explode(F.filter("_rows", lambda r: F.array_contains("_kept", r["_i"]))).alias("r"))
+    thin = thin.select(*keys, horizon, *[F.col("r").getField(c).alias(c) for c in rest])
+    return obs.filter(h <= 1).unionByName(thin.select(*obs.columns))
 
 
-def moments(obs: DataFrame, period: Column) -> DataFrame:
+def moments(obs: DataFrame, whole: DataFrame, period: Column) -> DataFrame:
     """Drift-removed signed returns per (hypothesis, symbol): first per period, then overall."""
     keep = nonoverlap(obs, ["hypothesis", *KEYS])
-    drift = (keep.filter(F.col("hypothesis") == DRIFT).groupBy(*KEYS, "horizon").agg(F.avg("fwd").alias("drift")))
+    drift = nonoverlap(whole, ["hypothesis", *KEYS]).groupBy(*KEYS, "horizon").agg(F.avg("fwd").alias("drift"))
     signed = (F.col("fwd") - F.col("drift")) * F.col("sig")
-    per = (keep.filter(F.col("hypothesis") != DRIFT).join(drift, [*KEYS, "horizon"])
+    per = (keep.join(drift, [*KEYS, "horizon"])
            .groupBy("hypothesis", "horizon", *KEYS, period.alias("period"))
            .agg(F.count(F.lit(1)).alias("n"), F.sum(signed).alias("s1"), F.sum(signed * signed).alias("s2"),
                 F.sum(_is(signed > 0)).alias("hits")))
@@ -240,9 +253,10 @@ def student(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
     return mean, F.try_divide(mean, F.sqrt(F.try_divide(F.greatest(var, F.lit(0.0)), n)))
 
 
-def score(obs: DataFrame, trials: int, period: Column | None = None, min_n: int = 10) -> DataFrame:
+def score(bars: DataFrame, registry: list[Hypothesis], trials: int, warmup: int = 300, period: Column | None = None,
+          min_n: int = 10) -> DataFrame:
     """One scored row per (hypothesis, symbol)."""
-    m = moments(obs, F.year("ts") if period is None else period)
+    m = moments(stack(bars, registry, warmup), whole_sample(bars, registry, warmup), F.year("ts") if period is None else period)
     mean, t = student(F.col("n"), F.col("s1"), F.col("s2"))
     enough = F.col("n") >= min_n
     return (m.select("hypothesis", *KEYS, "horizon", "n",
@@ -255,6 +269,14 @@ def score(obs: DataFrame, trials: int, period: Column | None = None, min_n: int
             .withColumn("trials", F.lit(trials)).withColumn("verdict", verdict()))
 
 
+def one_sample(grouped: DataFrame, trials: int) -> DataFrame:
+    """Student's t against zero from n, s1, s2 per group, and the Bonferroni verdict."""
+    mean, t = student(F.col("n"), F.col("s1"), F.col("s2"))
+    d = grouped.withColumn("mean", mean).withColumn("t", t)
+    d = d.withColumn("p", t_two_sided("t", (F.col("n") - 1).cast("double")))
+    return d.withColumn("significant", F.col("p") < 0.05 / trials)
+
+
 def verdict(min_periods: int = 6, share: float = 0.70) -> Column:
     strong = F.col("p") < 0.05 / F.col("trials")
     steady = (F.col("periods") >= min_periods) & (F.try_divide(F.col("periods_pos"), F.col("periods")) >= share)
@@ -268,7 +290,7 @@ def run_screen(bars: DataFrame, registry: list[Hypothesis], warmup: int = 300, t
                n_symbols: int = 1, period: Column | None = None) -> DataFrame:
     """All hypotheses on all symbols, ranked by |t| with ties broken by name."""
     trials = trials or len(registry) * n_symbols
-    s = score(stack(bars, registry, warmup), trials, period)
+    s = score(bars, registry, trials, warmup, period)
     rank = F.row_number().over(Window.orderBy(F.desc(F.abs("t")), "hypothesis", "horizon", *KEYS))
     return s.withColumn("rank", rank)  # one row per trial, so the global rank is over a short list
 
@@ -334,9 +356,8 @@ def decompose(prepared: DataFrame, fired: Column, horizon: int, cost_price: floa
     d = (prepared.withColumn("_i", F.row_number().over(w) - 1)
          .withColumn("_fwd", F.try_divide(F.lead("close", horizon).over(w) - F.col("close"), F.col("atr")))
          .withColumn("_fired", fired))
-    cost = d.groupBy(*KEYS).agg((F.lit(float(cost_price)) / F.median("atr")).alias("_cost"))
-    d = (d.filter((F.col("_i") >= warmup) & (F.pmod(F.col("_i") - warmup, F.lit(horizon)) == 0)
-                  & F.col("_fwd").isNotNull()).join(cost, KEYS))
+    d = d.withColumn("_cost", F.lit(float(cost_price)) / F.median("atr").over(Window.partitionBy(*KEYS)))
+    d = d.filter((F.col("_i") >= warmup) & (F.pmod(F.col("_i") - warmup, F.lit(horizon)) == 0) & F.col("_fwd").isNotNull())
     b = F.col("bias")
     directional = b != 0
     sess = directional & F.col("in_session")

@@ -108,7 +108,7 @@ def _(spark, sf):
 @query("positioning_screen")
 def _(spark, sf):
     """Four constructions at two horizons per nation; rows only, its scoring is that of the screen."""
-    d = S.score(S.stack(positioned_bars(spark, sf), S.POSITIONING, 300), 8 * 25)
+    d = S.score(materialize(positioned_bars(spark, sf)), S.POSITIONING, 8 * 25)
     return rounded(d)
 
 
@@ -234,8 +234,8 @@ def brand_days(spark, sf):
             .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity") / 0.97).alias("close")))
 
 
-def cash(spark, sf):
-    d = brand_days(spark, sf).withColumnRenamed("day", "ts")
+def cash(spark, sf, days=None):
+    d = (brand_days(spark, sf) if days is None else days).withColumnRenamed("day", "ts")
     return X.cash_changes(d, V.specs(spark, sf)).withColumnRenamed("ts", "day")
 
 
@@ -249,9 +249,9 @@ SELECT min(day) AS decision_day FROM brand_days WHERE month(day) IN (1, 7) GROUP
 """, ("brand_days",), materialized=True)
 
 
-def decisions(spark, sf):
+def decisions(days):
     """First traded day of January and July."""
-    d = brand_days(spark, sf).select("day").filter(F.month("day").isin(1, 7))
+    d = days.select("day").filter(F.month("day").isin(1, 7))
     return d.groupBy(F.trunc("day", "MM").alias("m")).agg(F.min("day").alias("decision_day")).select("decision_day")
 
 
@@ -270,25 +270,24 @@ SELECT CAST(a.decision_day AS VARCHAR) AS decision_day, a.symbol AS a, b.symbol
 WHERE a.symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') AND b.symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') AND EXISTS (SELECT 1 FROM cash c WHERE c.day = a.day AND c.cash IS NOT NULL) GROUP BY ALL
 """, ("filled", "cash"))
 def _(spark, sf):
-    c = materialize(cash(spark, sf))
-    return rounded(VT.shrunk_correlation(VT.recent_changes(c, decisions(spark, sf), 126), NAMES))
+    days = materialize(brand_days(spark, sf))
+    return rounded(VT.shrunk_correlation(VT.recent_changes(cash(spark, sf, days), decisions(days), 126), NAMES))
 
 
 cte("legs", """
 SELECT d.decision_day, s.symbol || '-' || d.decision_day AS leg, s.symbol, CASE WHEN code % 3 = 0 THEN -1 ELSE 1 END AS side, 40.0 + code AS stop_distance, tick_value / tick_size AS vpu,
- CASE WHEN code % 4 = 0 THEN 2.0 END AS held, 1e7::DOUBLE AS equity FROM decisions d CROSS JOIN (SELECT *, swap_mode AS code FROM specs) s
-""", ("decisions", "specs"))
+ CASE WHEN code % 4 = 0 THEN 2.0 END AS held, 1e7::DOUBLE AS equity FROM decisions d JOIN (SELECT DISTINCT symbol, date_trunc('month', day) AS m FROM brand_days) t ON t.m = date_trunc('month', d.decision_day) JOIN (SELECT *, swap_mode AS code FROM specs) s ON s.symbol = t.symbol
+""", ("decisions", "specs", "brand_days"))
 
 
-def legs(spark, sf):
-    """Every market wanted on every decision day, some already held."""
-    code = F.col("swap_mode")
-    grid = brand_days(spark, sf).select("symbol").distinct().join(V.specs(spark, sf), "symbol")
-    d = decisions(spark, sf).groupBy().agg(F.collect_list("decision_day").alias("_d")).withColumn("_k", F.lit(1))  # two days a year
-    return (grid.withColumn("_k", F.lit(1)).join(d, "_k").withColumn("decision_day", F.explode("_d"))
-            .select("decision_day", F.concat("symbol", F.lit("-"), F.col("decision_day").cast("string")).alias("leg"), "symbol",
-                    F.when(code % 3 == 0, -1).otherwise(1).alias("side"), (code + 40.0).alias("stop_distance"),
-                    X.value_per_unit().alias("value_per_unit"), F.when(code % 4 == 0, 2.0).alias("held_contracts"), F.lit(1e7).alias("equity")))
+def legs(spark, sf, days):
+    """Every market that trades in a decision month is wanted then, some already held."""
+    code, month = F.col("swap_mode"), F.trunc("decision_day", "MM").alias("m")
+    active = days.filter(F.month("day").isin(1, 7)).select("symbol", F.trunc("day", "MM").alias("m")).distinct()
+    grid = active.join(decisions(days).select("decision_day", month), "m").join(V.specs(spark, sf), "symbol")
+    return grid.select("decision_day", F.concat("symbol", F.lit("-"), F.col("decision_day").cast("string")).alias("leg"), "symbol",
+                       F.when(code % 3 == 0, -1).otherwise(1).alias("side"), (code + 40.0).alias("stop_distance"),
+                       X.value_per_unit().alias("value_per_unit"), F.when(code % 4 == 0, 2.0).alias("held_contracts"), F.lit(1e7).alias("equity"))
 
 
 @query("vol_target", """
@@ -304,7 +303,8 @@ SELECT CAST(decision_day AS VARCHAR) AS decision_day, symbol, side, round(sigma,
  round(CASE WHEN ready THEN least(n * stop_distance * vpu / equity, 0.01) END, 6) AS risk_fraction, CASE WHEN NOT ready THEN 'default' WHEN n = 0 THEN 'at target' WHEN n * stop_distance * vpu / equity > 0.01 THEN 'capped' ELSE 'sized' END AS note FROM n
 """, ("filled", "legs"))
 def _(spark, sf):
-    return rounded(VT.allocate(legs(spark, sf), materialize(cash(spark, sf))).drop("leg"), c=4)
+    days = materialize(brand_days(spark, sf))
+    return rounded(VT.allocate(legs(spark, sf, days), materialize(cash(spark, sf, days))).drop("leg"), c=4)
 
 
 @query("realised_vol", """
@@ -352,15 +352,15 @@ def _(spark, sf):
 
 def meta_dataset(spark, sf, lookback: int = 60):
     """Events of the trend rule with features, labels, weights, pooled over markets in time order."""
-    bars = V.bars(spark, sf)
+    bars = V.stored_bars(spark, sf)
     rule = R.trend(bars, lookback, 50, rank=100)
     feats = I.meta_features(bars, rank=100).select("symbol", "ts", *I.META_COLUMNS)
-    ev = R.signal_events(rule, warmup=130).select("symbol", "i", "ts", "side", "stop_distance", "forecast")
-    lab = LB.sample_weights(LB.triple_barrier(ev, LB.index_bars(bars), 2.0, 20))
+    ev = R.signal_events(rule, warmup=130).select("symbol", "i", "ts", "side", "stop_distance", F.col("forecast").alias("base_forecast"))
+    lab = materialize(LB.triple_barrier(ev, LB.index_bars(bars), 2.0, 20, event_keys=("ts", "base_forecast")))
     t = F.unix_timestamp("ts") / 3600
-    d = (lab.join(ev.select("symbol", "i", "ts", "forecast"), ["symbol", "i"]).join(feats, ["symbol", "ts"])
+    d = (LB.sample_weights(lab).join(feats, ["symbol", "ts"])
          .withColumn("t0", t.cast("long")).withColumn("t1", (t + F.col("t1") - F.col("entry_i") + 1).cast("long"))
-         .withColumn("lookback", F.lit(float(lookback))).withColumnRenamed("forecast", "base_forecast"))
+         .withColumn("lookback", F.lit(float(lookback))))
     return d.dropna(subset=[*I.META_COLUMNS, "base_forecast"])
 
 

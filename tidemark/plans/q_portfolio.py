@@ -75,9 +75,11 @@ e AS (SELECT *, exp(sum(ln(CASE WHEN ret > -1 THEN 1 + ret ELSE 1e-300 END)) OVE
 d AS (SELECT variant, max(1 - eq / pk) AS max_dd FROM (SELECT *, max(eq) OVER (PARTITION BY variant ORDER BY month) AS pk FROM e) GROUP BY variant),
 y AS (SELECT variant, CAST(count(*) FILTER (r > 0) AS BIGINT) AS years_pos, count(*) AS years FROM (SELECT variant, year(month) AS y, sum(ret) AS r FROM p GROUP BY ALL) GROUP BY variant),
 g AS (SELECT variant, count(*) AS months, avg(ret) AS m, stddev_samp(ret) AS sd, avg(turnover) AS tu FROM p GROUP BY variant)
-SELECT variant, months, round(m * 12, 6) AS ann_return, round(sd * sqrt(12), 6) AS ann_vol, round(m * 12 / (sd * sqrt(12)), 6) AS sharpe, round(m / (sd / sqrt(months)), 6) AS t,
-  round(max_dd, 6) AS max_dd, years_pos, years, round(CASE WHEN m > 0 THEN tu * 0.001 / m END, 6) AS cost_drag,
-  CASE WHEN m / (sd / sqrt(months)) >= {BAR} AND years >= 6 AND years_pos >= 0.65 * years AND m * 12 / (sd * sqrt(12)) > 0.4 THEN 'SURVIVES'
+SELECT variant, months, CASE WHEN months >= 24 THEN round(m * 12, 6) ELSE 0 END AS ann_return, CASE WHEN months >= 24 THEN round(sd * sqrt(12), 6) ELSE 0 END AS ann_vol,
+  CASE WHEN months >= 24 THEN round(m * 12 / (sd * sqrt(12)), 6) ELSE 0 END AS sharpe, CASE WHEN months >= 24 THEN round(m / (sd / sqrt(months)), 6) ELSE 0 END AS t,
+  CASE WHEN months >= 24 THEN round(max_dd, 6) ELSE 0 END AS max_dd, CASE WHEN months >= 24 THEN years_pos ELSE 0 END AS years_pos, CASE WHEN months >= 24 THEN years ELSE 0 END AS years,
+  CASE WHEN months >= 24 THEN round(CASE WHEN m > 0 THEN tu * 0.001 / m END, 6) END AS cost_drag,
+  CASE WHEN months < 24 THEN 'too few months' WHEN m / (sd / sqrt(months)) >= {BAR} AND years >= 6 AND years_pos >= 0.65 * years AND m * 12 / (sd * sqrt(12)) > 0.4 THEN 'SURVIVES'
        WHEN m / (sd / sqrt(months)) >= {BAR} THEN 'significant, inconsistent'
        WHEN abs(m / (sd / sqrt(months))) >= 2 AND years >= 6 AND years_pos >= 0.65 * years THEN 'consistent, below bar' ELSE '-' END AS verdict
 FROM g JOIN d USING (variant) JOIN y USING (variant)

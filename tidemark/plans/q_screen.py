@@ -80,7 +80,9 @@ cte("sig_kept", "SELECT v.* FROM sig_valid v JOIN sig_walk USING (hypothesis, sy
 
 @query("nonoverlap_kept", "SELECT hypothesis, symbol, horizon, idx, sig, round(fwd, 6) AS fwd FROM sig_kept", ("sig_kept",))
 def _(spark, sf):
-    kept = S.nonoverlap(S.stack(V.bars(spark, sf), REGISTRY, WARMUP), ["hypothesis", "symbol"])
+    b = V.stored_bars(spark, sf)
+    both = S.stack(b, REGISTRY, WARMUP).unionByName(S.whole_sample(b, REGISTRY, WARMUP))
+    kept = S.nonoverlap(both, ["hypothesis", "symbol"])
     return rounded(kept.select("hypothesis", "symbol", "horizon", "idx", "sig", "fwd"))
 
 
@@ -109,7 +111,7 @@ SELECT hypothesis, symbol, horizon, n, round(excess_atr, 6) AS excess_atr, round
 FROM (SELECT *, periods >= 6 AND periods_pos / nullif(periods, 0) >= 0.7 AS steady FROM s)
 """, ("screen_scores",))
 def _(spark, sf):
-    d = S.run_screen(V.bars(spark, sf), REGISTRY, WARMUP, n_symbols=5, period=F.date_trunc("week", "ts"))
+    d = S.run_screen(V.stored_bars(spark, sf), REGISTRY, WARMUP, n_symbols=5, period=F.date_trunc("week", "ts"))
     return rounded(d)
 
 
@@ -122,14 +124,14 @@ SELECT 'hour_' || lpad(CAST(hr AS VARCHAR), 2, '0') || '_long' AS hypothesis, sy
 FROM x WHERE hr NOT IN (20, 21, 22, 23, 0, 1) GROUP BY hr, symbol HAVING count(*) >= 10
 """, ("sig_rows",))
 def _(spark, sf):
-    d = S.score(S.stack(V.bars(spark, sf), S.HOURS, WARMUP), len(S.HOURS) * 5, F.date_trunc("week", "ts"))
+    d = S.score(V.stored_bars(spark, sf), S.HOURS, len(S.HOURS) * 5, WARMUP, F.date_trunc("week", "ts"))
     return rounded(d.filter(F.col("n") >= 10).select("hypothesis", "symbol", "n", "excess_atr", "t"))
 
 
 @query("screen_us_open_15m")
 def _(spark, sf):
     """Quarter-hour opening signals; rows only, its parts are covered by the hourly screen."""
-    return rounded(S.score(S.stack(V.bars(spark, sf, "15 minutes"), S.US_OPEN, WARMUP), 10, F.date_trunc("week", "ts")))
+    return rounded(S.score(V.stored_bars(spark, sf, "15 minutes"), S.US_OPEN, 10, WARMUP, F.date_trunc("week", "ts")))
 
 
 @query("forward_return_atr", f"""
@@ -185,7 +187,8 @@ SELECT *, coalesce(CASE WHEN bias > 0 THEN close > open AND close > ph WHEN bias
 
 
 def mtf(spark, sf):
-    h1, h4 = V.bars(spark, sf), V.bars(spark, sf, "4 hours")
+    h1 = V.stored_bars(spark, sf)
+    h4 = B.resample(h1, "4 hours")
     return R.mtf_prepare(h1, {"H4": h4, "H1": h1}, ("H4", "H1"), "H4", bias_span=20)
 
 
@@ -264,8 +267,8 @@ WHERE side IS NOT NULL AND atr > 0 AND coalesce(pct <= 0.95, true) AND rn - 1 >=
 """, ("trend_rows", "atr_rank100"))
 
 
-def trend_rule(spark, sf):
-    return R.trend(V.bars(spark, sf), 60, 50, rank=100)
+def trend_rule(spark, sf, bars=None):
+    return R.trend(V.bars(spark, sf) if bars is None else bars, 60, 50, rank=100)
 
 
 @query("trend_events", """

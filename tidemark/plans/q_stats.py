@@ -14,6 +14,7 @@ from tidemark.operators import trades as T
 from tidemark.plans.q_screen import trend_rule
 from tidemark.plans.registry import cte, query, rounded
 from tidemark.plans.shared_sql import norm_cdf_sql
+from tidemark.session import materialize
 from tidemark.sources import views as V
 
 # --------------------------------------------------------------------- labels
@@ -31,10 +32,9 @@ SELECT symbol, i, ts, side, sd AS stop_distance, entry, entry_i, coalesce(hit, l
 
 
 def labelled(spark, sf):
-    rule = trend_rule(spark, sf)
-    ev = R.signal_events(rule, warmup=65).select("symbol", "i", "ts", "side", "stop_distance")
-    lab = LB.triple_barrier(ev, LB.index_bars(V.bars(spark, sf)), 2.0, 20)
-    return lab.join(ev.select("symbol", "i", "ts"), ["symbol", "i"])
+    bars = V.stored_bars(spark, sf)
+    ev = R.signal_events(trend_rule(spark, sf, bars), warmup=65).select("symbol", "ts", "i", "side", "stop_distance")
+    return LB.triple_barrier(ev, LB.index_bars(bars), 2.0, 20, event_keys=("ts",))
 
 
 @query("triple_barrier", """
@@ -54,7 +54,7 @@ SELECT *, w * count(*) OVER (PARTITION BY symbol) / sum(w) OVER (PARTITION BY sy
 
 @query("sample_weights", "SELECT symbol, ts, round(weight, 6) AS weight FROM weighted", ("weighted",))
 def _(spark, sf):
-    return rounded(LB.sample_weights(labelled(spark, sf)).select("symbol", "ts", "weight"))
+    return rounded(LB.sample_weights(materialize(labelled(spark, sf))).select("symbol", "ts", "weight"))
 
 
 @query("label_summary", """
@@ -63,7 +63,7 @@ SELECT symbol, count(*) AS labels, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0
  avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) < 0.15 OR avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) > 0.85 AS imbalanced FROM labelled GROUP BY symbol
 """, ("labelled",))
 def _(spark, sf):
-    return rounded(LB.label_summary(labelled(spark, sf)))
+    return rounded(LB.label_summary(materialize(labelled(spark, sf))))
 
 
 # ---------------------------------------------------------------------- folds

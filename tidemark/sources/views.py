@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
+from tidemark.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,11 @@ def bars(spark, sf_dir, freq: str = "1 hour") -> DataFrame:
     return B.ohlcv(prints(spark, sf_dir), freq)
 
 
+def stored_bars(spark, sf_dir, freq: str = "1 hour") -> DataFrame:
+    """The bar table as a job that reads it several times finds it: already built."""
+    return materialize(bars(spark, sf_dir, freq))
+
+
 def trades(spark, sf_dir) -> DataFrame:
     """One trade per line item that ships after its order date."""
     li = table(spark, sf_dir, "lineitem")
