@@ -16,7 +16,7 @@ KEYS = ["symbol"]
 def crossings(prints: DataFrame, max_seconds: float = 1.0, keys=KEYS) -> DataFrame:
     """Price change between consecutive prints on opposite sides, close in time."""
     order = B.PRINT_ORDER
-    c = chunks.ordered_chunks(prints.withColumn("_row", F.struct("ts", "price", "side")), keys, order)
+    c = B.in_chunks(prints, keys).withColumn("_row", F.struct("ts", "price", "side"))
     c = chunks.running_lag(c, keys, order, "_row", "_prev")
     secs = (F.unix_micros("ts") - F.unix_micros("_prev.ts")) / 1e6
     move = F.abs(F.col("price") - F.col("_prev.price"))

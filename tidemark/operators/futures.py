@@ -139,8 +139,10 @@ def parse_contract_symbols(raw: DataFrame, root: str, calendar: DataFrame, slack
     d = d.join(cal, ["_near", "month"], "left")
     dead = (F.length(digits) == 1) & F.coalesce(F.date_add("last_trade", slack_days) < day, F.lit(False))
     d = d.withColumn("year", F.col("_near") + F.when(dead, 10).otherwise(0)).drop("_near", "last_trade")
-    w = Window.partitionBy("year", "month", "ts").orderBy("seq")
-    return d.withColumn("root", F.lit(root)).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
+    rest = [c for c in d.columns if c not in ("year", "month", "ts")]
+    # one row per stamp, the first to arrive: a partial aggregate, however many copies there are
+    g = d.groupBy("year", "month", "ts").agg(F.min_by(F.struct(*rest), "seq").alias("_r"))
+    return g.select("year", "month", "ts", *[F.col("_r").getField(c).alias(c) for c in rest], F.lit(root).alias("root"))
 
 
 def missing_contracts(calendar: DataFrame, stored: DataFrame, start: str, end: str) -> DataFrame:

@@ -128,15 +128,9 @@ def forward_report(journal: DataFrame, keys: list[str]) -> DataFrame:
 def status(journal: DataFrame, now: Column, max_age_seconds: int, recent: int, keys: list[str]) -> DataFrame:
     """Running and halted flags and the make-up of the newest records.
 
-    The newest records of a key are found from per-day counts, newest day first, so that only the
-    days that can hold them are sorted."""
-    day = F.to_date("ts")
-    per = journal.groupBy(*keys, day.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
-    newer = Window.partitionBy(*keys).orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
-    days = per.select(*keys, "_d", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_newer")).filter(F.col("_newer") < recent)
-    w = Window.partitionBy(*keys, "_d").orderBy(*[F.desc(c) for c in ORDER])
-    d = journal.withColumn("_d", day).join(days, [*keys, "_d"])
-    d = d.withColumn("_k", F.row_number().over(w) + F.col("_newer")).filter(F.col("_k") <= recent)
+    Spark keeps only `recent` rows per key in each map task before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in ORDER])
+    d = journal.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= recent)
     ev = F.col("event")
     beat = F.when(ev == "heartbeat", F.col("ts"))
     age = F.unix_timestamp(now) - F.unix_timestamp(F.max(beat))

@@ -17,31 +17,30 @@ def triple_barrier(events: DataFrame, bars: DataFrame, profit_multiple: float =
                    min_return: float = 0.0, keys=("symbol",), event_keys=()) -> DataFrame:
     """Entry at the next open; the stop wins inside a bar; else the close at the time limit.
 
-    events: keys, event_keys, i, side, stop_distance. bars: keys, idx, n_bars, OHLC. Each event
-    is expanded to the bars it may hold and equi-joined on (key, bar), so a key with many
-    events spreads over its bars."""
+    events: keys, event_keys, i, side, stop_distance. bars: keys, idx, OHLC. Each bar carries the
+    bars a trade entered there may hold, as one bounded array, so an event meets its whole path in
+    one equi-join on (key, bar) and is never expanded to rows."""
     keys, ids = list(keys), [*keys, *event_keys, "i", "side", "stop_distance"]
-    b = bars.select(*keys, "idx", "n_bars", "open", "high", "low", "close")
-    entry = b.select(*keys, (F.col("idx") - 1).alias("i"), F.col("idx").alias("entry_i"),
-                     F.col("open").alias("entry"), "n_bars")
-    e = (events.filter(F.col("stop_distance") > 0).select(*ids).join(entry, [*keys, "i"])
-         .withColumn("last", F.least(F.col("entry_i") + max_bars, F.col("n_bars") - 1)))
-    e = (e.withColumn("stop", F.col("entry") - F.col("stop_distance") * F.col("side"))
-          .withColumn("target", F.col("entry") + F.col("stop_distance") * profit_multiple * F.col("side")))
-    held = e.withColumn("idx", F.explode(F.sequence("entry_i", "last"))).join(
-        b.select(*keys, "idx", "high", "low", "close"), [*keys, "idx"])
+    ahead = Window.partitionBy(*keys).orderBy("idx").rowsBetween(0, max_bars)
+    b = bars.select(*keys, (F.col("idx") - 1).alias("i"), F.col("idx").alias("entry_i"), F.col("open").alias("entry"),
+                    F.collect_list(F.struct("idx", "high", "low", "close")).over(ahead).alias("_path"))
+    e = events.filter(F.col("stop_distance") > 0).select(*ids).join(b, [*keys, "i"])
+    e = (e.withColumn("_stop", F.col("entry") - F.col("stop_distance") * F.col("side"))
+          .withColumn("_target", F.col("entry") + F.col("stop_distance") * profit_multiple * F.col("side")))
     long = F.col("side") > 0
-    stop_hit = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
-    target_hit = F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
-    touched = F.when(stop_hit, "stop").when(target_hit, "target")
-    out = F.struct(touched.alias("touched"), F.col("idx").alias("t1"),
-                   F.when(stop_hit, F.col("stop")).otherwise(F.col("target")).alias("exit"))
-    g = held.groupBy(*ids, "entry_i", "entry").agg(
-        F.min_by(out, F.when(touched.isNotNull(), F.col("idx"))).alias("_hit"),
-        F.max("idx").alias("_last"), F.max_by("close", "idx").alias("_close"))
-    d = g.select(*ids, "entry_i", "entry", F.coalesce(F.col("_hit.t1"), F.col("_last")).alias("t1"),
-                 F.coalesce(F.col("_hit.touched"), F.lit("time")).alias("touched"),
-                 F.coalesce(F.col("_hit.exit"), F.col("_close")).alias("exit"))
+
+    def stopped(p):
+        return F.when(long, p["low"] <= F.col("_stop")).otherwise(p["high"] >= F.col("_stop"))
+
+    def reached(p):
+        return F.when(long, p["high"] >= F.col("_target")).otherwise(p["low"] <= F.col("_target"))
+
+    e = e.withColumn("_hit", F.get(F.filter("_path", lambda p: stopped(p) | reached(p)), F.lit(0)))
+    e = e.withColumn("_last", F.element_at("_path", -1))
+    hit, stop_first = F.col("_hit").isNotNull(), stopped(F.col("_hit"))
+    d = e.select(*ids, "entry_i", "entry", F.coalesce(F.col("_hit.idx"), F.col("_last.idx")).alias("t1"),
+                 F.when(~hit, "time").when(stop_first, "stop").otherwise("target").alias("touched"),
+                 F.when(~hit, F.col("_last.close")).when(stop_first, F.col("_stop")).otherwise(F.col("_target")).alias("exit"))
     d = d.withColumn("ret", (F.col("exit") - F.col("entry")) * F.col("side") / F.col("stop_distance"))
     return d.withColumn("label", F.when(F.col("ret") > min_return, 1).otherwise(0))
 
