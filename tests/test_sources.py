@@ -76,8 +76,8 @@ def test_spread_samples_skip_bad_lines(spark, tmp_path):
 
 
 def test_verdicts(spark, tmp_path):
-    (tmp_path / "gauntlet_010.json").write_text(json.dumps({"passed": False, "book": {"net_sharpe": 0.28, "max_drawdown": 0.3}, "verdict": [{"test": "1", "pass": True, "detail": "x"}, {"test": "2", "pass": False, "detail": "y"}]}, indent=1))
-    (tmp_path / "gauntlet_015a.json").write_text(json.dumps({"passed": False, "net_sharpe": -0.35, "max_drawdown": 0.5}))
+    (tmp_path / "010.json").write_text(json.dumps({"passed": False, "book": {"net_sharpe": 0.28, "max_drawdown": 0.3}, "verdict": [{"test": "1", "pass": True, "detail": "x"}, {"test": "2", "pass": False, "detail": "y"}]}, indent=1))
+    (tmp_path / "015a.json").write_text(json.dumps({"passed": False, "net_sharpe": -0.35, "max_drawdown": 0.5}))
     r = SF.read_verdicts(spark, str(tmp_path)).orderBy("run", "test").collect()
     assert [(x["run"], x["net_sharpe"], x["test"], x["pass"]) for x in r] == [("010", 0.28, "1", True), ("010", 0.28, "2", False), ("015a", -0.35, None, None)]
 

@@ -166,7 +166,7 @@ def _(spark, sf):
     from datetime import datetime
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
-    SB.upsert_bars(spark, path, V.bars(spark, sf, "4 hours"), "H4")
+    SB.upsert_bars(spark, path, V.bars(spark, sf, "4 hours"), "H4", allow_nonpositive=True)
     d = SB.read_bars(spark, path, None, "H4", datetime(2024, 1, 10), datetime(2024, 1, 20, 12))
     return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
@@ -193,9 +193,9 @@ def _(spark, sf):
     return SF.month_windows(s).select("id", "from_day", "to_day")
 
 
-@query("month_end_panel", "SELECT symbol, CAST(date_trunc('month', ts) AS DATE)::VARCHAR AS month, arg_max(close, ts) AS level FROM nation_bars GROUP BY ALL", ("nation_bars",))
+@query("month_end_panel", "SELECT symbol, CAST(date_trunc('month', ts) AS DATE)::VARCHAR AS month, round(arg_max(close, ts), 6) AS level FROM nation_bars GROUP BY ALL", ("nation_bars",))
 def _(spark, sf):
-    return P.month_end_panel(nation_bars(spark, sf))
+    return rounded(P.month_end_panel(nation_bars(spark, sf)))
 
 
 @query("members", """
@@ -239,9 +239,9 @@ def cash(spark, sf, days=None):
     return X.cash_changes(d, V.specs(spark, sf)).withColumnRenamed("ts", "day")
 
 
-@query("cash_changes", "SELECT symbol, CAST(day AS VARCHAR) AS day, round(cash, 6) AS cash FROM cash", ("cash",))
+@query("cash_changes", "SELECT symbol, CAST(day AS VARCHAR) AS day, round(cash, 4) AS cash FROM cash", ("cash",))
 def _(spark, sf):
-    return rounded(cash(spark, sf))
+    return rounded(cash(spark, sf), 4)
 
 
 cte("decisions", """
@@ -262,12 +262,12 @@ SELECT k.decision_day, c.day, count(*) OVER (PARTITION BY k.decision_day) AS n_d
 cte("filled", """
 SELECT r.decision_day, r.day, s.symbol, coalesce(c.cash, 0) AS x, c.cash IS NOT NULL AS seen FROM recent r CROSS JOIN (SELECT DISTINCT symbol FROM cash) s LEFT JOIN cash c ON c.day = r.day AND c.symbol = s.symbol
 """, ("recent", "cash"), materialized=True)
-NAMES = ["Brand#1", "Brand#2", "Brand#3", "Brand#4"]
+NAMES = [f"Brand#{i}" for i in range(1, 26)]
 
 
 @query("shrunk_correlation", """
-SELECT CAST(a.decision_day AS VARCHAR) AS decision_day, a.symbol AS a, b.symbol AS b, round(0.5 * coalesce(corr(a.x, b.x), 0), 6) AS rho FROM filled a JOIN filled b ON b.decision_day = a.decision_day AND b.day = a.day AND b.symbol > a.symbol
-WHERE a.symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') AND b.symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') AND EXISTS (SELECT 1 FROM cash c WHERE c.day = a.day AND c.cash IS NOT NULL) GROUP BY ALL
+SELECT CAST(a.decision_day AS VARCHAR) AS decision_day, a.symbol AS a, b.symbol AS b, round(0.5 * coalesce(corr(a.x, b.x), 0), 6) AS rho FROM filled a JOIN filled b ON b.decision_day = a.decision_day AND b.day = a.day AND CAST(substr(b.symbol, 7) AS INTEGER) > CAST(substr(a.symbol, 7) AS INTEGER)
+WHERE EXISTS (SELECT 1 FROM cash c WHERE c.day = a.day AND c.cash IS NOT NULL) GROUP BY ALL
 """, ("filled", "cash"))
 def _(spark, sf):
     days = materialize(brand_days(spark, sf))

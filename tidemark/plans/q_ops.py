@@ -292,13 +292,13 @@ _CHECKS = [
 
 
 @query("limit_audit", "\nUNION ALL\n".join(
-    f"SELECT id, account, '{n}' AS \"limit\", {sev} AS severity, round(CAST({obs} AS DOUBLE), 6) AS observed, CAST({th} AS DOUBLE) AS threshold FROM audit_rows WHERE {cond}"
+    f"SELECT id, account, '{n}' AS \"limit\", {sev} AS severity, round(CAST({obs} AS DOUBLE), 11) AS observed, CAST({th} AS DOUBLE) AS threshold FROM audit_rows WHERE {cond}"
     for n, cond, obs, th, sev in _CHECKS), ("audit_rows",))
 def _(spark, sf):
     checks = [L.daily_loss(0.02, 0.04), L.max_drawdown(0.10, 0.15, True), L.margin_level(3.0), L.feed_heartbeat(10.0),
               L.risk_per_trade(0.005), L.correlated_bucket(0.012), L.max_positions(8), L.spread_guard(2.0),
               L.consecutive_losses(4, 24.0), L.sleeve_budget(0.04), L.unstopped_position()]
-    return rounded(L.audit(audit_rows(spark, sf), checks, ["id", "account"]))
+    return rounded(L.audit(audit_rows(spark, sf), checks, ["id", "account"]), 11)
 
 
 @query("sharpe_moments", """

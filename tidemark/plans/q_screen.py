@@ -420,11 +420,11 @@ def _(spark, sf):
 
 
 @query("spread_by_minute", """
-SELECT symbol, CAST(hour(ts) * 60 + minute(ts) - 1260 AS INTEGER) AS minute_offset, round(median(spread), 6) AS median_spread FROM quotes
+SELECT symbol, CAST(hour(ts) * 60 + minute(ts) - 1260 AS INTEGER) AS minute_offset, round(median(spread), 9) AS median_spread FROM quotes
 WHERE hour(ts) * 60 + minute(ts) - 1260 BETWEEN -10 AND 69 GROUP BY ALL
 """, ("quotes",))
 def _(spark, sf):
-    return rounded(flow.spread_by_minute(quotes(spark, sf), 21))
+    return rounded(flow.spread_by_minute(quotes(spark, sf), 21), 9)
 
 
 @query("signal_rate", """

@@ -189,9 +189,9 @@ SELECT strategy, day, ret FROM day_returns WHERE day IN (SELECT day FROM day_ret
 """, ("day_returns",), materialized=True)
 
 
-@query("variant_matrix", "SELECT strategy, CAST(day AS VARCHAR) AS day, round(ret, 9) AS ret FROM aligned", ("aligned",))
+@query("variant_matrix", "SELECT strategy, CAST(day AS VARCHAR) AS day, round(ret, 12) AS ret FROM aligned", ("aligned",))
 def _(spark, sf):
-    return rounded(O.aligned(day_returns(spark, sf), "strategy", "day", "ret", 5).select("strategy", "day", "ret"), 9)
+    return rounded(O.aligned(day_returns(spark, sf), "strategy", "day", "ret", 5).select("strategy", "day", "ret"), 12)
 
 
 _COMBOS = list(combinations(range(8), 4))

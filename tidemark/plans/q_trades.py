@@ -209,14 +209,15 @@ def _(spark, sf):
 
 @query("reconcile", """
 SELECT symbol, coalesce(e.v, 0) AS expected, coalesce(a.v, 0) AS actual FROM
-(SELECT symbol, sum(side * volume) AS v FROM trades WHERE sleeve <> 'A' GROUP BY symbol) e FULL JOIN
-(SELECT symbol, sum(side * volume) AS v FROM trades WHERE sleeve <> 'R' AND symbol <> 'Brand#11' GROUP BY symbol) a USING (symbol)
+(SELECT symbol, sum(side * volume) AS v FROM trades GROUP BY symbol) e FULL JOIN
+(SELECT CASE symbol WHEN 'Brand#11' THEN 'Brand#99' ELSE symbol END AS symbol, sum(side * CASE WHEN sleeve = 'R' AND symbol > 'Brand#2' THEN 0 ELSE volume END) AS v FROM trades GROUP BY 1) a USING (symbol)
 WHERE abs(coalesce(e.v, 0) - coalesce(a.v, 0)) > 1e-9
 """, ("trades",))
 def _(spark, sf):
     t = V.trades(spark, sf)
-    return rounded(T.reconcile(t.filter(F.col("sleeve") != "A"),
-                               t.filter((F.col("sleeve") != "R") & (F.col("symbol") != "Brand#11"))))
+    held = t.withColumn("volume", F.when((F.col("sleeve") == "R") & (F.col("symbol") > "Brand#2"), 0.0).otherwise(F.col("volume")))
+    held = held.withColumn("symbol", F.when(F.col("symbol") == "Brand#11", "Brand#99").otherwise(F.col("symbol")))
+    return rounded(T.reconcile(t, held))
 
 
 @query("orphans_anti", """
@@ -300,18 +301,20 @@ def _(spark, sf):
 
 
 cte("fills", """
-SELECT event_type AS symbol, value * 0.002 AS spread, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_type = 'view' THEN 0.0 WHEN event_type = 'click' THEN value * 0.00005
-  ELSE value * 0.0005 - 0.01 END AS slippage FROM events WHERE user_id % 3 = 0 AND event_type <> 'purchase'
+SELECT CASE event_type WHEN 'purchase' THEN 'other' ELSE event_type END AS symbol, value * 0.002 AS spread, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_type = 'view' THEN 0.0 WHEN event_type = 'click' THEN value * 0.00005
+  ELSE value * 0.0005 - 0.01 END AS slippage FROM events
+""")
+cte("quote_samples", """
+SELECT CASE event_type WHEN 'error' THEN 'quoted_only' ELSE event_type END AS symbol, CASE WHEN event_type = 'signup' THEN 0.0 ELSE value * 0.0015 END AS spread FROM events
 """)
-cte("quote_samples", "SELECT event_type AS symbol, CASE WHEN event_type = 'signup' THEN 0.0 ELSE value * 0.0015 END AS spread FROM events WHERE user_id % 3 = 1 AND event_type <> 'error'")
 
 
 @query("cost_calibration", """
 WITH f AS (SELECT symbol, count(*) AS fills, count(slippage) AS slips, median(spread) AS fs, median(abs(slippage)) AS ss FROM fills GROUP BY symbol),
 q AS (SELECT symbol, count(*) AS quotes, median(spread) AS qs FROM quote_samples GROUP BY symbol),
-b AS (SELECT event_type AS symbol, avg(value) * 0.002 AS bs, avg(value) * 0.0004 AS bl FROM events GROUP BY 1),
+b AS (SELECT CASE event_type WHEN 'view' THEN 'unmeasured' ELSE event_type END AS symbol, avg(value) * 0.002 AS bs, avg(value) * 0.0004 AS bl FROM events GROUP BY 1),
 j AS (SELECT symbol, coalesce(fills, 0) AS fills, coalesce(quotes, 0) AS quotes, coalesce(slips, 0) AS slips, ss, bs, bl, CASE WHEN coalesce(quotes, 0) >= 30 THEN qs ELSE fs END AS s
-  FROM b LEFT JOIN f USING (symbol) LEFT JOIN q USING (symbol))
+  FROM b FULL JOIN f USING (symbol) FULL JOIN q USING (symbol))
 SELECT symbol, fills, quotes, round(CASE WHEN s > 0 THEN s ELSE bs END, 6) AS spread,
   round(CASE WHEN s > 0 AND slips > 0 AND ss > 0 AND ss / s >= 0.05 THEN ss ELSE bl END, 6) AS slippage, coalesce(s > 0, false) AS spread_calibrated,
   coalesce(s > 0 AND slips > 0 AND ss > 0 AND ss / s >= 0.05, false) AS slippage_calibrated,
@@ -323,11 +326,10 @@ def _(spark, sf):
     kind, val = F.col("event_type"), F.col("value")
     slip = (F.when(F.col("event_id") % 11 == 0, None).when(kind == "view", 0.0).when(kind == "click", val * 0.00005)
             .otherwise(val * 0.0005 - 0.01))
-    fills = (e.filter((F.col("user_id") % 3 == 0) & (kind != "purchase"))
-             .select(kind.alias("symbol"), (val * 0.002).alias("spread"), slip.alias("slippage")))
-    quotes = (e.filter((F.col("user_id") % 3 == 1) & (kind != "error"))
-              .select(kind.alias("symbol"), F.when(kind == "signup", 0.0).otherwise(val * 0.0015).alias("spread")))
-    base = e.groupBy(kind.alias("symbol")).agg((F.avg("value") * 0.002).alias("spread"), (F.avg("value") * 0.0004).alias("slippage"))
+    name = lambda was, now: F.when(kind == was, now).otherwise(kind).alias("symbol")
+    fills = e.select(name("purchase", "other"), (val * 0.002).alias("spread"), slip.alias("slippage"))
+    quotes = e.select(name("error", "quoted_only"), F.when(kind == "signup", 0.0).otherwise(val * 0.0015).alias("spread"))
+    base = e.groupBy(name("view", "unmeasured")).agg((F.avg("value") * 0.002).alias("spread"), (F.avg("value") * 0.0004).alias("slippage"))
     return rounded(C.calibrate(fills, quotes, base))
 
 

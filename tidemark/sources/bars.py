@@ -50,11 +50,14 @@ def merge(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFram
                      keys, "_p").select(*cols)
 
 
-def upsert_bars(spark: SparkSession, path: str, incoming: DataFrame, timeframe: str) -> int:
-    """Merge bars into the table and return how many are new. Only the years touched are rewritten."""
+def upsert_bars(spark: SparkSession, path: str, incoming: DataFrame, timeframe: str,
+                allow_nonpositive: bool = False) -> int:
+    """Merge bars into the table and return how many are new. Only the years touched are rewritten.
+
+    Prices at or below zero are refused unless allowed: futures and differences can print there."""
     if timeframe not in TIMEFRAMES:
         raise DataError(f"unknown timeframe {timeframe!r}")
-    require_valid(incoming)
+    require_valid(incoming, allow_nonpositive=allow_nonpositive)
     new = (incoming.select("symbol", "ts", *VALUES).withColumn("timeframe", F.lit(timeframe))
            .withColumn("year", F.year("ts")))
     years = [r[0] for r in new.select("year").distinct().collect()]  # calendar years: a handful

@@ -108,7 +108,7 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     d = spark.read.schema(f"passed boolean, net_sharpe double, max_drawdown double, book {book}, carry {book}, "
                           f"filtered {book}, verdict {test}").json(path, multiLine=True)
     best = F.coalesce("book", "carry", "filtered")
-    run = F.regexp_extract(F.col("_metadata.file_name"), r"^gauntlet_(.*)\.json$", 1)
+    run = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     return d.select(run.alias("run"), "passed", F.coalesce(best["net_sharpe"], F.col("net_sharpe")).alias("net_sharpe"),
                     F.coalesce(best["max_drawdown"], F.col("max_drawdown")).alias("max_drawdown"),
                     best["diversification_ratio"].alias("diversification_ratio"),

@@ -51,12 +51,12 @@ def once(stream: DataFrame, keys: list[str], lateness: str, ts: str = "ts") -> D
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_into(spark: SparkSession, path: str, timeframe: str):
+def upsert_into(spark: SparkSession, path: str, timeframe: str, allow_nonpositive: bool = False):
     """A micro-batch function that merges bars into the bar table; replays change nothing."""
     from tidemark.sources.bars import upsert_bars
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_bars(spark, path, batch, timeframe)
+        upsert_bars(spark, path, batch, timeframe, allow_nonpositive)
     return write
 
 
