@@ -73,3 +73,23 @@ def test_asof_matches_search(spark, bounded):
     for k, i, t in left:
         past = [(rt, v) for kk, rt, v in right if kk == k and rt <= t]
         assert got[i] == (max(past) if past else (None, None))
+
+
+def test_time_order_is_cut_at_the_clock_and_bursts_by_range(spark, monkeypatch):
+    from datetime import datetime, timedelta
+    rows = [("a", datetime(2024, 1, 1) + timedelta(minutes=7 * i), i, float(i % 13)) for i in range(800)] + [("a", None, -1, 5.0)]
+    d = spark.createDataFrame(rows, "k string, ts timestamp, seq int, v double")
+    want = {}
+    top = None
+    for k, ts, seq, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or datetime.min, r[2])):
+        top = v if top is None else max(top, v)
+        want[seq] = top
+    for limit, n_chunks in ((4_000_000, 5), (100, 95), (0, None)):
+        monkeypatch.setattr(chunks, "CELL_ROWS", limit)
+        c, fixed = chunks.cut(d, ["k"], ["ts", "seq"])
+        assert fixed == (n_chunks is not None)
+        c = chunks.ordered_chunks(d, ["k"], ["ts", "seq"])
+        if fixed:
+            assert c.select("_chunk").distinct().count() == n_chunks
+        got = {r["seq"]: r["m"] for r in chunks.running_max(c, ["k"], ["ts", "seq"], "v", "m").collect()}
+        assert got == want

@@ -130,6 +130,30 @@ def test_spread_is_recovered_and_thin_data_refused(spark):
     assert flow.measured_spread(d, 0.5, 0).first()["crossings"] == 0
 
 
+@pytest.mark.parametrize("limit", [4_000_000, 400, 0])
+def test_tick_rule_over_many_chunks(spark, monkeypatch, limit):
+    import random
+
+    from tidemark.functions import chunks
+    monkeypatch.setattr(chunks, "CELL_ROWS", limit)
+    rnd = random.Random(11)
+    px, rows = 100.0, []
+    for i in range(2000):
+        px += rnd.choice([0, 0, 0, 0, 0.25, -0.25]) if i > 300 else 0.0
+        rows.append(("A" if i % 5 else "B", datetime(2026, 1, 5) + timedelta(seconds=i // 2), i, px, 1.0))
+    d = spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, price double, size double")
+    got = {r["seq"]: (r["side"], r["prev_price"], r["prev_side"]) for r in B.infer_side(d, with_previous=True).collect()}
+    for s in "AB":
+        side, prev = 0, None
+        for sym, _, i, p, _ in rows:
+            if sym != s:
+                continue
+            was = side
+            side = side if prev is None or p == prev else (1 if p > prev else -1)
+            assert got[i] == (side, prev, None if prev is None else was)
+            prev = p
+
+
 # ------------------------------------------------------------------- quality
 
 def test_gaps(spark):

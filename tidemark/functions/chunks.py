@@ -1,12 +1,14 @@
 """Running computations over keys of any size.
 
-A window partitioned by a key alone puts that key's whole history into one task. Here the
-rows are range-partitioned by (keys, order) instead, so a key that holds a third of the
-table is spread over a third of the partitions. The partition number becomes the chunk id;
-the ranged table is checkpointed so that the id is stable for everything read from it.
-Each running function is then computed inside (keys, chunk), and what flows from earlier
-chunks comes from a summary with one row per (keys, chunk).
-"""
+A window partitioned by a key alone puts that key's whole history into one task. Here a key's
+rows are cut into chunks that follow the order, so a key that holds a third of the table is
+spread over many tasks. Each running function is computed inside (keys, chunk), and what flows
+from earlier chunks comes from a summary with one row per (keys, chunk).
+
+Rows ordered by time are cut at clock boundaries, at the widest of a few widths whose fullest
+cell is counted to fit a task. If no width fits (a burst, or another kind of order), the rows are
+range-partitioned by (keys, order) instead, which balances any distribution; the partition number
+is then the chunk id, and the table is checkpointed so that the id stays fixed."""
 
 from __future__ import annotations
 
@@ -14,18 +16,60 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import materialize
 
 CHUNK = "_chunk"
 
 
+#: A chunk summary is broadcast up to this many rows, and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
+
+
+#: Rows of one key and cell that a task may hold; and the cell widths tried, in seconds.
+CELL_ROWS = 4_000_000
+CELL_SECONDS = (86_400, 3_600, 60, 1)
+BEFORE_TIME = -(1 << 50)
+
+
+def _cell(ts: str, seconds: int) -> Column:
+    """Number of the clock cell; rows without a time come before all others, as they sort."""
+    return F.coalesce(F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)), F.lit(BEFORE_TIME)).cast("long")
+
+
+def _fitting_width(df: DataFrame, keys: Sequence[str], ts: str) -> int | None:
+    for seconds in CELL_SECONDS:
+        fullest = (df.groupBy(*keys, _cell(ts, seconds).alias(CHUNK)).agg(F.count(F.lit(1)).alias("_n"))
+                   .agg(F.max("_n")).first()[0])
+        if (fullest or 0) <= CELL_ROWS:
+            return seconds
+    return None
+
+
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> tuple[DataFrame, bool]:
+    """df with a chunk id, and whether the id is a function of the row (a clock cell). If it is
+    not, it holds within one job only: store what is computed from it before reading it twice."""
+    if parts is None and isinstance(df.schema[order[0]].dataType, T.TimestampType):
+        seconds = _fitting_width(df, keys, order[0])
+        if seconds:
+            return df.withColumn(CHUNK, _cell(order[0], seconds)), True
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id().cast("long")), False
+
+
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    parts: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id()).checkpoint()
+    d, fixed = cut(df, keys, order, parts)
+    return d if fixed else materialize(d)
+
+
+def attach(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join a chunk summary where no shuffle by (keys, chunk) is due anyway: the summary is stored
+    and counted, and spares the rows a shuffle while it is small."""
+    summary = materialize(summary)
+    small = summary.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(summary) if small else summary, [*keys, CHUNK], "left")
 
 
 def _local(keys, order):

@@ -14,14 +14,18 @@ KEYS = ["symbol"]
 
 
 def crossings(prints: DataFrame, max_seconds: float = 1.0, keys=KEYS) -> DataFrame:
-    """Price change between consecutive prints on opposite sides, close in time."""
-    order = B.PRINT_ORDER
-    c = B.in_chunks(prints, keys).withColumn("_row", F.struct("ts", "price", "side"))
-    c = chunks.running_lag(c, keys, order, "_row", "_prev")
-    secs = (F.unix_micros("ts") - F.unix_micros("_prev.ts")) / 1e6
-    move = F.abs(F.col("price") - F.col("_prev.price"))
-    flip = (F.abs(F.col("side") - F.col("_prev.side")) == 2) & (secs <= max_seconds) & (move > 0)
-    return c.filter(flip).select(*keys, move.alias("spread"))
+    """Price change between consecutive prints on opposite sides, close in time.
+
+    Prints signed with their predecessor at hand are only filtered; others are put in order first."""
+    if "prev_ts" not in prints.columns:
+        order = B.PRINT_ORDER
+        c = chunks.ordered_chunks(prints.withColumn("_row", F.struct("ts", "price", "side")), list(keys), order)
+        c = chunks.running_lag(c, list(keys), order, "_row", "_prev")
+        prints = c.select(*prints.columns, *[F.col(f"_prev.{x}").alias(f"prev_{x}") for x in ("ts", "price", "side")])
+    secs = (F.unix_micros("ts") - F.unix_micros("prev_ts")) / 1e6
+    move = F.abs(F.col("price") - F.col("prev_price"))
+    flip = (F.abs(F.col("side") - F.col("prev_side")) == 2) & (secs <= max_seconds) & (move > 0)
+    return prints.filter(flip).select(*keys, move.alias("spread"))
 
 
 def measured_spread(prints: DataFrame, max_seconds: float = 1.0, min_crossings: int = 1000, keys=KEYS) -> DataFrame:

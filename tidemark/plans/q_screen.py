@@ -351,7 +351,7 @@ LEFT JOIN (SELECT symbol, count(*) AS n, median(spread) AS m FROM crossings GROU
 
 @query("measured_spread", "SELECT symbol, prints, crossings, round(spread, 6) AS spread FROM spreads", ("spreads",))
 def _(spark, sf):
-    return rounded(flow.measured_spread(V.signed_prints(spark, sf), 600, 30))
+    return rounded(flow.measured_spread(V.signed_prints(spark, sf, True), 600, 30))
 
 
 @query("weighted_spread", """
@@ -359,7 +359,7 @@ SELECT round(sum(spread * prints) / sum(CASE WHEN spread IS NOT NULL THEN prints
        round(sum(spread * prints) / sum(CASE WHEN spread IS NOT NULL THEN prints END) + 0.5, 6) AS round_trip FROM spreads
 """, ("spreads",))
 def _(spark, sf):
-    return rounded(flow.weighted_spread(flow.measured_spread(V.signed_prints(spark, sf), 600, 30), 0.25))
+    return rounded(flow.weighted_spread(flow.measured_spread(V.signed_prints(spark, sf, True), 600, 30), 0.25))
 
 
 cte("flow_obs", f"""

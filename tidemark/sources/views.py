@@ -21,8 +21,8 @@ def prints(spark, sf_dir) -> DataFrame:
         F.get_json_object("props", "$.k").cast("double").alias("size"))
 
 
-def signed_prints(spark, sf_dir) -> DataFrame:
-    return B.infer_side(prints(spark, sf_dir))
+def signed_prints(spark, sf_dir, with_previous: bool = False) -> DataFrame:
+    return B.infer_side(prints(spark, sf_dir), with_previous=with_previous)
 
 
 def bars(spark, sf_dir, freq: str = "1 hour") -> DataFrame:
