@@ -9,14 +9,16 @@ from tidemark.functions import chunks
 from tidemark.functions import indicators as I
 from tidemark.operators import bars as B
 from tidemark.operators import quantiles
+from tidemark.session import materialize
 
 KEYS = ["symbol"]
 
 
-def crossings(prints: DataFrame, max_seconds: float = 1.0, keys=KEYS) -> DataFrame:
-    """Price change between consecutive prints on opposite sides, close in time.
+def with_crossing(prints: DataFrame, max_seconds: float = 1.0, keys=KEYS) -> DataFrame:
+    """Per print, the price change from its predecessor where the two sit on opposite sides, close
+    in time; else null.
 
-    Prints signed with their predecessor at hand are only filtered; others are put in order first."""
+    Prints signed with their predecessor at hand are only read; others are put in order first."""
     if "prev_ts" not in prints.columns:
         order = B.PRINT_ORDER
         c = chunks.ordered_chunks(prints.withColumn("_row", F.struct("ts", "price", "side")), list(keys), order)
@@ -25,18 +27,20 @@ def crossings(prints: DataFrame, max_seconds: float = 1.0, keys=KEYS) -> DataFra
     secs = (F.unix_micros("ts") - F.unix_micros("prev_ts")) / 1e6
     move = F.abs(F.col("price") - F.col("prev_price"))
     flip = (F.abs(F.col("side") - F.col("prev_side")) == 2) & (secs <= max_seconds) & (move > 0)
-    return prints.filter(flip).select(*keys, move.alias("spread"))
+    return prints.select(*keys, F.when(flip, move).alias("crossing"))
 
 
 def measured_spread(prints: DataFrame, max_seconds: float = 1.0, min_crossings: int = 1000, keys=KEYS) -> DataFrame:
-    """Median crossing per key; null unless more than min_crossings were seen."""
-    x = crossings(prints, max_seconds, keys)
-    n = prints.groupBy(*keys).agg(F.count(F.lit(1)).alias("prints"))
-    k = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("crossings"))
-    med = quantiles.exact_median(x, list(keys), "spread", "_med")
-    return (n.join(k, keys, "left").join(med, keys, "left")
-            .select(*keys, "prints", F.coalesce("crossings", F.lit(0)).alias("crossings"),
-                    F.when(F.col("crossings") > min_crossings, F.col("_med")).alias("spread")))
+    """Median crossing per key; null unless more than min_crossings were seen.
+
+    Prints are reduced once to how often each crossing occurs; counts and median read that."""
+    keys = list(keys)
+    seen = materialize(with_crossing(prints, max_seconds, keys).groupBy(*keys, "crossing").agg(F.count(F.lit(1)).alias("n")))
+    g = seen.groupBy(*keys).agg(F.sum("n").alias("prints"),
+                                F.sum(F.when(F.col("crossing").isNotNull(), F.col("n")).otherwise(0)).alias("crossings"))
+    med = quantiles.exact_quantile(seen, keys, "crossing", 0.5, "_med", times="n")
+    return (g.join(med, keys, "left")
+            .select(*keys, "prints", "crossings", F.when(F.col("crossings") > min_crossings, F.col("_med")).alias("spread")))
 
 
 def weighted_spread(per_key: DataFrame, commission_points: float) -> DataFrame:

@@ -21,13 +21,16 @@ def _magnitude(v: Column) -> Column:
     return F.when(v == 0, 0).otherwise(F.signum(v).cast("long") * g).cast("long")
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: Column | str, q: float, out: str) -> DataFrame:
-    """Linearly interpolated quantile per key, one row per key that has a value."""
+def exact_quantile(df: DataFrame, keys: list[str], value: Column | str, q: float, out: str,
+                   times: str | None = None) -> DataFrame:
+    """Linearly interpolated quantile per key, one row per key that has a value. `times` names a
+    column that says how often each row counts."""
     v = F.col(value) if isinstance(value, str) else value
     if not keys:
-        return exact_quantile(df.withColumn("_all", F.lit(0)), ["_all"], v, q, out).drop("_all")
+        return exact_quantile(df.withColumn("_all", F.lit(0)), ["_all"], v, q, out, times).drop("_all")
+    n = F.sum(times) if times else F.count(F.lit(1))
     counts = (df.filter(v.isNotNull()).groupBy(*keys, v.cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")).withColumn("_g", _magnitude(F.col("_v"))))
+              .agg(n.alias("_c")).withColumn("_g", _magnitude(F.col("_v"))))
     lo, hi = F.floor((F.col("_n") - 1) * q), F.ceil((F.col("_n") - 1) * q)
 
     def holds(rank):

@@ -19,7 +19,7 @@ from tidemark.operators import signals as R
 from tidemark.operators import trades as T
 from tidemark.operators import voltarget as VT
 from tidemark.plans.registry import cte, query, rounded
-from tidemark.plans.shared_sql import norm_cdf_sql
+from tidemark.plans.shared_sql import ewm_cte, norm_cdf_sql
 from tidemark.session import ensure_checkpoint_dir, materialize
 from tidemark.sources import bars as SB
 from tidemark.sources import files as SF
@@ -417,11 +417,25 @@ def _(spark, sf):
     return rounded(R.carry_forecast(d, smooth=5, norm=12).select("symbol", F.col("ts").alias("month"), "forecast"))
 
 
-@query("seasonality_rule")
+cte("nation_rows", """
+SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) IS NULL AS is_last,
+ coalesce(date_trunc('month', lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) <> date_trunc('month', ts), true) AS month_start,
+ greatest(high - low, abs(high - lag(close) OVER (PARTITION BY symbol ORDER BY ts)), abs(low - lag(close) OVER (PARTITION BY symbol ORDER BY ts))) AS tr FROM nation_bars
+""", ("nation_bars",), materialized=True)
+ewm_cte("nation_atr", "nation_rows", "tr", "(1.0::DOUBLE / 14)")
+
+
+@query("seasonality_rule", """
+WITH m AS (SELECT symbol, year(ts) AS y, month(ts) AS mo, (arg_max(close, ts) - arg_min(close, ts)) / nullif(abs(arg_min(close, ts)), 0) AS ret FROM nation_bars GROUP BY ALL),
+p AS (SELECT symbol, y, mo, CASE WHEN count(ret) OVER w >= 2 THEN avg(ret) OVER w END AS prior_mean FROM m WINDOW w AS (PARTITION BY symbol, mo ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT r.symbol, r.ts, CAST(sign(prior_mean) AS INTEGER) AS side, round(prior_mean, 6) AS prior_mean, round(a.y * 4, 4) AS stop_distance
+FROM nation_rows r JOIN nation_atr a ON a.symbol = r.symbol AND a.rn = r.rn JOIN p ON p.symbol = r.symbol AND p.y = year(r.ts) AND p.mo = month(r.ts)
+WHERE r.rn >= 14 AND a.y > 0 AND month_start AND prior_mean <> 0 AND r.rn - 1 >= 100 AND NOT is_last
+""", ("nation_rows", "nation_atr", "nation_bars"))
 def _(spark, sf):
-    """Month-start entries by the sign of earlier years' month; rows only, its mean is checked elsewhere."""
+    """Month-start entries by the sign of the same month in earlier years."""
     ev = R.signal_events(R.seasonality(nation_bars(spark, sf), min_years=2), warmup=100)
-    return rounded(ev.select("symbol", "ts", "side", "prior_mean", "stop_distance"))
+    return rounded(ev.select("symbol", "ts", "side", "prior_mean", "stop_distance"), stop_distance=4)
 
 
 @query("buy_and_hold", """

@@ -79,12 +79,12 @@ def spans(spark, sf):
     li, p = V.table(spark, sf, "lineitem"), V.table(spark, sf, "part").select("p_partkey", "p_brand")
     t0 = F.unix_date(F.to_date("l_shipdate")).cast("long")
     return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("p_brand").alias("symbol"), t0.alias("t0"), (t0 + F.col("l_quantity").cast("long")).alias("t1"),
+        F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"), t0.alias("t0"), (t0 + F.col("l_quantity").cast("long")).alias("t1"),
         F.col("l_extendedprice").alias("px"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
         F.col("l_orderkey").alias("ok"))
 
 
-SPAN_ORDER = ["t0", "t1", "px", "pk", "sk", "ok"]
+SPAN_ORDER = ["ts", "t1", "px", "pk", "sk", "ok"]
 
 
 def _blocks(k: int) -> str:
