@@ -266,7 +266,7 @@ NAMES = [f"Brand#{i}" for i in range(1, 26)]
 
 
 @query("shrunk_correlation", """
-SELECT CAST(a.decision_day AS VARCHAR) AS decision_day, a.symbol AS a, b.symbol AS b, round(0.5 * coalesce(corr(a.x, b.x), 0), 6) AS rho FROM filled a JOIN filled b ON b.decision_day = a.decision_day AND b.day = a.day AND CAST(substr(b.symbol, 7) AS INTEGER) > CAST(substr(a.symbol, 7) AS INTEGER)
+SELECT CAST(a.decision_day AS VARCHAR) AS decision_day, a.symbol AS a, b.symbol AS b, round(0.5 * coalesce(corr(a.x, b.x), 0), 6) + 0.0 AS rho FROM filled a JOIN filled b ON b.decision_day = a.decision_day AND b.day = a.day AND CAST(substr(b.symbol, 7) AS INTEGER) > CAST(substr(a.symbol, 7) AS INTEGER)
 WHERE EXISTS (SELECT 1 FROM cash c WHERE c.day = a.day AND c.cash IS NOT NULL) GROUP BY ALL
 """, ("filled", "cash"))
 def _(spark, sf):
@@ -325,7 +325,7 @@ SELECT sleeve, n, sr, 1 - m3 / pow(sd, 3) * sr + (m4 / pow(sd, 4) - 1) / 4 * sr
 WITH y AS (SELECT sleeve, year(ts) AS y, arg_max(equity, ts) - arg_min(equity, ts) AS p FROM equity GROUP BY ALL HAVING count(*) >= 200),
 g AS (SELECT sleeve, count(*) FILTER (p > 0) AS positive_years, count(*) AS n_years FROM y GROUP BY sleeve),
 f AS (SELECT sleeve, sum(costs) / abs(sum(gross_pnl)) AS friction_share, count(*) AS trades FROM trades GROUP BY sleeve)
-SELECT sleeve, round(sr * sqrt(252), 6) AS net_sharpe, round({norm_cdf_sql('(sr * sqrt(n - 1) / sqrt(v))')}, 6) AS psr, round(max_drawdown, 9) AS max_drawdown, round(friction_share, 6) AS friction_share, trades, positive_years, n_years
+SELECT sleeve, round(sr * sqrt(252), 6) AS net_sharpe, round({norm_cdf_sql('(sr * sqrt(n - 1) / sqrt(v))')}, 6) + 0.0 AS psr, round(max_drawdown, 9) AS max_drawdown, round(friction_share, 6) AS friction_share, trades, positive_years, n_years
 FROM sleeve_mom JOIN dd USING (sleeve) JOIN f USING (sleeve) JOIN g USING (sleeve)
 """, ("sleeve_mom", "dd", "trades", "equity"))
 def _(spark, sf):

@@ -81,7 +81,7 @@ def _(spark, sf):
 
 
 @query("spec_arithmetic", """
-SELECT symbol, round(tick_value / tick_size, 6) AS value_per_unit, round(stops_level_points * point, 6) AS min_stop, round(7.654321, 2) AS px,
+SELECT symbol, round(tick_value / tick_size, 6) AS value_per_unit, round(stops_level_points * point, 6) AS min_stop, round(7.654321::DOUBLE, 2) AS px,
   round(3 * 1.25 * tick_value / tick_size, 6) AS risk3, round(CASE WHEN swap_long = 0 OR swap_mode = 0 THEN 0 WHEN swap_mode = 1 THEN swap_long * point * tick_value / tick_size
    WHEN swap_mode BETWEEN 5 AND 8 THEN swap_long / 100 * 50.0 * contract_size / 360 ELSE swap_long END, 6) AS swap_long_night FROM specs
 """, ("specs",))

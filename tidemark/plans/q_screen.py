@@ -104,7 +104,7 @@ FROM (SELECT hypothesis, symbol, horizon, CAST(sum(n) AS BIGINT) AS n, sum(s1) A
 @query("screen_scores", f"""
 WITH s AS (SELECT *, CASE WHEN n >= 10 THEN {t_two_sided_sql('t', '(n - 1)')} ELSE 1 END AS p FROM screen_scores)
 SELECT hypothesis, symbol, horizon, n, round(excess_atr, 6) AS excess_atr, round(t, 6) AS t, round(hit, 6) AS hit,
-  periods_pos, periods, round(p, 6) AS p, CAST(70 AS INTEGER) AS trials,
+  periods_pos, periods, round(p, 6) + 0.0 AS p, CAST(70 AS INTEGER) AS trials,
   CASE WHEN n < 60 THEN 'too few' WHEN p < 0.05 / 70 AND steady THEN 'SURVIVES' WHEN p < 0.05 / 70 THEN 'significant, inconsistent'
        WHEN steady AND abs(t) > 2 THEN 'consistent, weak' ELSE '-' END AS verdict,
   row_number() OVER (ORDER BY abs(t) DESC, hypothesis, horizon, symbol) AS rank
@@ -375,7 +375,7 @@ g AS (SELECT name, count(*) AS n, avg(x) AS edge, avg(x) / (stddev_samp(x) / sqr
   avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS hit, max(drift) AS drift FROM x WHERE sig <> 0 GROUP BY name),
 p AS (SELECT g.*, {t_two_sided_sql('t', '(n - 1)')} AS p FROM g)
 SELECT name, n, round(edge, 6) AS edge_atr, round(t, 6) AS t, round(hit, 6) AS hit, round(drift, 6) AS drift_atr,
-  CAST(CASE WHEN edge > 0 THEN 1 ELSE 0 END AS BIGINT) AS months_pos, CAST(1 AS BIGINT) AS months, round(p, 6) AS p, 0.05::DOUBLE AS cost_atr,
+  CAST(CASE WHEN edge > 0 THEN 1 ELSE 0 END AS BIGINT) AS months_pos, CAST(1 AS BIGINT) AS months, round(p, 6) + 0.0 AS p, 0.05::DOUBLE AS cost_atr,
   CASE WHEN n < 30 THEN 'too few' WHEN p < 0.05 / 9 THEN 'significant, inconsistent' ELSE 'no signal' END AS verdict FROM p
 """, ("flow_obs",))
 def _(spark, sf):

@@ -38,7 +38,7 @@ def labelled(spark, sf):
 
 
 @query("triple_barrier", """
-SELECT symbol, ts, side, round(entry, 6) AS entry, t1 - entry_i AS held, touched, round(ret, 6) AS ret, CASE WHEN ret > 0 THEN 1 ELSE 0 END AS label FROM labelled
+SELECT symbol, ts, side, round(entry, 6) AS entry, t1 - entry_i AS held, touched, round(ret, 6) + 0.0 AS ret, CASE WHEN ret > 0 THEN 1 ELSE 0 END AS label FROM labelled
 """, ("labelled",))
 def _(spark, sf):
     d = labelled(spark, sf).withColumn("held", (F.col("t1") - F.col("entry_i")).cast("long"))
@@ -163,7 +163,7 @@ SELECT strategy, n, sr, m3 / pow(sd, 3) AS sk, m4 / pow(sd, 4) AS ku, 1 - m3 / p
 
 
 @query("psr", f"""
-SELECT strategy, n, round(sr, 6) AS sharpe, round(sk, 6) AS skew, round(ku, 6) AS kurt, round({norm_cdf_sql('(sr * sqrt(n - 1) / sqrt(v))')}, 6) AS psr,
+SELECT strategy, n, round(sr, 6) AS sharpe, round(sk, 6) AS skew, round(ku, 6) AS kurt, round({norm_cdf_sql('(sr * sqrt(n - 1) / sqrt(v))')}, 6) + 0.0 AS psr,
  CASE WHEN sr <= 0 THEN 'inf'::DOUBLE ELSE round(1 + v / (sr * sr) * {NormalDist().inv_cdf(0.95) ** 2}, 2) END AS min_track_record FROM moments
 """, ("moments",))
 def _(spark, sf):
@@ -176,7 +176,7 @@ _EMS = (1 - O.EULER) * NormalDist().inv_cdf(1 - 1 / _N) + O.EULER * NormalDist()
 
 
 @query("deflated_sharpe", f"""
-SELECT m.strategy, round(sr, 6) AS sharpe, round(s0, 6) AS sr0, round({norm_cdf_sql('((sr - s0) * sqrt(n - 1) / sqrt(v))')}, 6) AS dsr
+SELECT m.strategy, round(sr, 6) AS sharpe, round(s0, 6) AS sr0, round({norm_cdf_sql('((sr - s0) * sqrt(n - 1) / sqrt(v))')}, 6) + 0.0 AS dsr
 FROM moments m, (SELECT sqrt(var_samp(sr)) * {_EMS} AS s0 FROM moments) x
 """, ("moments",))
 def _(spark, sf):

@@ -83,7 +83,7 @@ WITH w AS (SELECT * FROM (VALUES ('A', 0.5), ('N', 0.3), ('R', 0.2), ('Z', 1.0))
 t AS (SELECT sleeve, count(*) AS trades, sum(net_pnl) AS net_pnl, avg(r_multiple) AS expectancy_r, avg(CASE WHEN r_multiple > 0 THEN 1.0 ELSE 0.0 END) AS win_rate
       FROM trades GROUP BY sleeve)
 SELECT w.sleeve, round(w.w / 2.0, 6) AS weight, coalesce(trades, 0) AS trades, round(coalesce(net_pnl, 0), 2) AS net_pnl,
-  round(coalesce(expectancy_r, 0), 6) AS expectancy_r, round(coalesce(win_rate, 0), 6) AS win_rate, round(coalesce(net_pnl, 0) / (SELECT sum(net_pnl) FROM t), 6) AS share
+  round(coalesce(expectancy_r, 0), 6) AS expectancy_r, round(coalesce(win_rate, 0), 6) AS win_rate, round(coalesce(net_pnl, 0) / (SELECT sum(net_pnl) FROM t), 6) + 0.0 AS share
 FROM w LEFT JOIN t USING (sleeve)
 """, ("trades",))
 def _(spark, sf):
