@@ -108,8 +108,19 @@ def shrunk_correlation(recent: DataFrame, names: list[str], shrink: float = 0.5)
     traded = recent.filter(F.col("cash").isNotNull())
     wide = traded.groupBy("decision_day", "day").pivot("symbol", names).agg(F.sum("cash"))
     wide = wide.fillna(0.0, names)
-    pairs = [(x, y) for i, x in enumerate(names) for y in names[i + 1:]]
-    g = wide.groupBy("decision_day").agg(*[F.corr(F.col(f"`{x}`"), F.col(f"`{y}`")).alias(f"c{k}") for k, (x, y) in enumerate(pairs)])
-    out = F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"),
-                                       ((1 - shrink) * F.coalesce(F.col(f"c{k}"), F.lit(0.0))).alias("rho")) for k, (x, y) in enumerate(pairs)]))
-    return g.select("decision_day", out.alias("p")).select("decision_day", "p.*")
+    x = [F.col(f"`{name}`") for name in names]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    n = F.count(F.lit(1)).alias("_n")
+    g = wide.groupBy("decision_day").agg(n, F.array(*[F.sum(c) for c in x]).alias("_s"), F.array(*[F.sum(c * c) for c in x]).alias("_q"),
+                                         F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("_p"))
+    d = g.select("decision_day", "_n", "_s", "_q", F.posexplode("_p").alias("_k", "_xy"))
+    at = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    d = d.withColumn("_e", F.get(at, F.col("_k")))
+
+    def spread(k):
+        return F.get("_q", k) - F.get("_s", k) * F.get("_s", k) / F.col("_n")
+
+    i, j = F.col("_e.i"), F.col("_e.j")
+    cov = F.col("_xy") - F.get("_s", i) * F.get("_s", j) / F.col("_n")
+    rho = F.try_divide(cov, F.sqrt(F.greatest(spread(i), F.lit(0.0)) * F.greatest(spread(j), F.lit(0.0))))
+    return d.select("decision_day", "_e.a", "_e.b", ((1 - shrink) * F.coalesce(rho, F.lit(0.0))).alias("rho"))
