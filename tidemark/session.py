@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings every job relies on. Timestamps are instants in UTC.
@@ -36,13 +34,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a temporary one only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all machines share: `spark.checkpoint.dir`, or where that is unset a folder
+    beside the tables of the warehouse. Never a machine's own temporary folder."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    found = (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+             or sc.getConf().get("spark.checkpoint.dir"))
+    if found:
+        return found
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/_checkpoints"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def materialize(df: DataFrame) -> DataFrame:
