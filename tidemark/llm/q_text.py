@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import urls
+from tidemark.llm import fingerprints, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT col1 AS rule, col2 AS verdict FROM {URL_RULES}")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
     return urls.judge(pages, rules).withColumnRenamed("id", "page_id")
+
+
+@query("op3_fingerprint")
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
