@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, urls
+from tidemark.llm import counts, fingerprints, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +52,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_fingerprint")
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
