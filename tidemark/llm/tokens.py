@@ -105,14 +105,12 @@ def shingle_sets(h: np.ndarray, row: np.ndarray, n: int, width: int = 5) -> tupl
     for k in range(width):
         key = mix(key * one + h[at + k]) if len(at) else key
     owner = np.repeat(np.arange(n), many)
-    few = np.flatnonzero((count > 0) & (count < width))
-    extra = np.empty(len(few), np.uint64)
-    for i, r in enumerate(few):
-        k = two ^ np.uint64(count[r])
-        for x in h[begin[r]: begin[r + 1]]:
-            k = mix(np.array([k * one + x], np.uint64))[0]
-        extra[i] = k
-    key, owner = np.concatenate([key, extra]), np.concatenate([owner, few])
+    for short in range(1, width):
+        rows = np.flatnonzero(count == short)
+        k = np.full(len(rows), two ^ np.uint64(short), np.uint64)
+        for j in range(short):
+            k = mix(k * one + h[begin[rows] + j])
+        key, owner = np.concatenate([key, k]), np.concatenate([owner, rows])
     order = np.lexsort((key, owner))
     key, owner = key[order], owner[order]
     keep = np.ones(len(key), bool)
