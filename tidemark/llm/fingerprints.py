@@ -1,12 +1,13 @@
 """Document fingerprints: a homomorphic hash of the multiset of a text's paragraphs.
 
-A text is cut into paragraphs at line ends, and long paragraphs into runs of at most eight words.
+A text is cut into paragraphs at line ends, and long paragraphs into runs of at most four words.
 Each piece is hashed to a wide vector of 120 bits, one bit in each of 120 lanes; the fingerprint is
-the sum of the vectors, every lane modulo 2^14, next to the number of pieces. Sums do not depend on
+the sum of the vectors, every lane modulo 2^20, next to the number of pieces. Sums do not depend on
 order, so a piece is inserted by adding its vector and deleted by subtracting it, and two texts of
 the same pieces agree. The lanes also tell how alike two texts are: the squared differences of
-centred lanes estimate how many pieces the two multisets do not share. Four lanes lie in one 64-bit
-number, each with a free bit above it that takes the carry. Only DataFrame functions are used.
+centred lanes estimate how many pieces the two multisets do not share. Three lanes lie in one
+64-bit number; four bits above them are free, enough for the pieces of the longest text a column
+can hold. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -16,13 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LANES = 120
-WORDS = LANES // 4
-#: A run of up to eight words with the blanks and line ends behind them, or leading blanks.
-PIECE = r"(?:\S++[^\S\n]*+){1,8}+\n*+|\s++"
-#: A lane takes 15 bits: 14 of the sum and a free one.
-SLOT = 15
-_MOD = 1 << (SLOT - 1)
-_ONES = sum(1 << SLOT * k for k in range(4))
+WORDS = LANES // 3
+#: A run of up to four words with the blanks and line ends behind them, or leading blanks.
+PIECE = r"(?:\S++[^\S\n]*+){1,4}+\n*+|\s++"
+SLOT = 20
+_MOD = 1 << SLOT
+_ONES = sum(1 << SLOT * k for k in range(3))
 _FIELD = (_MOD - 1) * _ONES
 
 
@@ -31,23 +31,15 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
 
 
-def _hashes(parts: Column) -> Column:
-    return F.transform(parts, lambda p: F.array(F.xxhash64(F.lit(1), p), F.xxhash64(F.lit(2), p)))
-
-
-def _plus(a: Column, b: Column) -> Column:
-    return (a + b).bitwiseAND(F.lit(_FIELD))
-
-
-def vector(text: Column) -> Column:
-    """`array<bigint>`: the number of pieces, then the packed lanes."""
-    h = _hashes(pieces(text))
-    lanes = F.transform(
-        F.sequence(F.lit(0), F.lit(WORDS - 1)),
-        lambda j: F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: _plus(
-            acc, F.call_function("shiftrightunsigned", F.element_at(x, (j / SLOT).cast("int") + 1), (j % SLOT).cast("int"))
-            .bitwiseAND(F.lit(_ONES)))))
-    return F.concat(F.array(F.size(h).cast("long")), lanes)
+def vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """`texts` (keys, text) -> keys, v: the number of pieces, then the packed lanes. Rows of one
+    key are one multiset, so paragraphs may come in any order and in any number of rows."""
+    each = texts.select(*keys, F.explode_outer(pieces(F.col("text"))).alias("piece"))
+    each = each.select(*keys, *(F.when(F.col("piece").isNotNull(), F.xxhash64(F.lit(k), "piece")).alias(f"h{k}") for k in (1, 2)))
+    lanes = [F.sum(F.shiftrightunsigned(f"h{k}", j).bitwiseAND(F.lit(_ONES))).alias(f"s{k}_{j}") for k in (1, 2) for j in range(SLOT)]
+    sums = each.groupBy(*keys).agg(F.count("h1").alias("n"), *lanes)
+    packed = [F.coalesce(F.col(f"s{k}_{j}"), F.lit(0)).bitwiseAND(F.lit(_FIELD)) for k in (1, 2) for j in range(SLOT)]
+    return sums.select(*keys, F.array("n", *packed).alias("v"))
 
 
 def combine(a: Column, b: Column) -> Column:
@@ -58,29 +50,39 @@ def combine(a: Column, b: Column) -> Column:
 
 def remove(a: Column, b: Column) -> Column:
     """The vector of `a` without the pieces of `b`."""
-    # complement within the fields plus one is the negative of each lane
-    minus = F.transform(F.slice(b, 2, WORDS), lambda x: _plus(F.lit(_FIELD) - x, F.lit(_ONES)))
-    return F.concat(F.array(F.element_at(a, 1) - F.element_at(b, 1)), F.zip_with(F.slice(a, 2, WORDS), minus, _plus))
+    def minus(x: Column, y: Column) -> Column:
+        lanes = [F.pmod(_lane(x, k) - _lane(y, k), F.lit(_MOD)) * F.lit(1 << SLOT * k) for k in range(3)]
+        return lanes[0] + lanes[1] + lanes[2]
+
+    return F.concat(F.array(F.element_at(a, 1) - F.element_at(b, 1)),
+                    F.zip_with(F.slice(a, 2, WORDS), F.slice(b, 2, WORDS), minus))
+
+
+def _lane(x: Column, k: int) -> Column:
+    return F.shiftrightunsigned(x, SLOT * k).bitwiseAND(F.lit(_MOD - 1))
+
+
+def _plus(x: Column, y: Column) -> Column:
+    lanes = [F.pmod(_lane(x, k) + _lane(y, k), F.lit(_MOD)) * F.lit(1 << SLOT * k) for k in range(3)]
+    return lanes[0] + lanes[1] + lanes[2]
 
 
 def text_of(v: Column) -> Column:
-    """A vector as hex text: eight digits of the count, then sixteen for each packed number."""
+    """A vector as hex text: eight digits of the count, then fifteen for each packed number."""
     return F.concat(F.lpad(F.hex(F.element_at(v, 1)), 8, "0"),
-                    F.array_join(F.transform(F.slice(v, 2, WORDS), lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+                    F.array_join(F.transform(F.slice(v, 2, WORDS), lambda x: F.lpad(F.hex(x), 15, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common pieces, 0 to 1 (Jaccard of multisets); 1 for equal vectors."""
     gap = F.element_at(a, 1) - F.element_at(b, 1)
 
-    def lane(x: Column, y: Column, at: int) -> Column:
-        d = (F.call_function("shiftrightunsigned", x, F.lit(at)).bitwiseAND(F.lit(_MOD - 1))
-             - F.call_function("shiftrightunsigned", y, F.lit(at)).bitwiseAND(F.lit(_MOD - 1)))
-        d = F.when(d >= _MOD // 2, d - _MOD).when(d < -(_MOD // 2), d + _MOD).otherwise(d)
-        return F.pow((2 * d - gap).cast("double"), F.lit(2.0))
+    def square(x: Column, y: Column, k: int) -> Column:
+        d = F.pmod(_lane(x, k) - _lane(y, k) + F.lit(_MOD // 2), F.lit(_MOD)) - F.lit(_MOD // 2)
+        d = (2 * d - gap).cast("double")
+        return d * d
 
-    squares = F.zip_with(F.slice(a, 2, WORDS), F.slice(b, 2, WORDS),
-                         lambda x, y: lane(x, y, 0) + lane(x, y, SLOT) + lane(x, y, 2 * SLOT) + lane(x, y, 3 * SLOT))
+    squares = F.zip_with(F.slice(a, 2, WORDS), F.slice(b, 2, WORDS), lambda x, y: square(x, y, 0) + square(x, y, 1) + square(x, y, 2))
     differ = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.lit(float(LANES))
     both = (F.element_at(a, 1) + F.element_at(b, 1)).cast("double")
     return (F.when(a == b, F.lit(1.0)).when(both == 0, F.lit(1.0))
@@ -114,7 +116,7 @@ def with_next(docs: DataFrame, chunks: int | None = None) -> DataFrame:
     keyed = keyed.withColumn("chunk", chunk.cast("int"))
     heads = sorted((r.chunk, r.key) for r in keyed.groupBy("chunk").agg(F.min("key").alias("key")).collect())
     if not heads:
-        return docs.select("doc_id", "text", F.lit("").alias("next_text"))
+        return docs.select("doc_id", "text", F.lit("").alias("next_text"), F.lit(0).alias("chunk"))
     # one row for each chunk: at most as many as there are cuts
     guests = spark.createDataFrame([(heads[(i + 1) % len(heads)][1], c) for i, (c, _) in enumerate(heads)], "key long, chunk int")
     first = (keyed.where(F.col("key").isin([k for _, k in heads])).groupBy("key").agg(F.min("text").alias("text"))
@@ -122,7 +124,7 @@ def with_next(docs: DataFrame, chunks: int | None = None) -> DataFrame:
     rows = keyed.withColumn("guest", F.lit(False)).unionByName(first)
     w = W.partitionBy("chunk").orderBy("guest", "key", "text")
     return (rows.withColumn("next_text", F.lead("text").over(w)).where(~F.col("guest"))
-            .select("doc_id", "text", "next_text"))
+            .select("doc_id", "text", "next_text", "chunk"))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -137,11 +139,14 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     counts as empty: no pieces, fingerprint of zeros, likeness 1 to another empty text and 0 to
     any other. A table of one row is its own successor; an empty table gives no rows."""
     d = with_next(docs.select("doc_id", "text"))
-    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text",
-                 edited(F.col("text"), F.col("next_text")).alias("edited"))
-    d = d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                 vector(F.col("text")).alias("v"), vector(F.col("edited")).alias("e"), vector(F.col("next_text")).alias("n"))
-    return d.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("v")).alias("fingerprint"),
+    d = d.select("chunk", F.monotonically_increasing_id().alias("row"), "doc_id", F.length("text").cast("long").alias("n_chars"),
+                 "text", "next_text", edited(F.col("text"), F.col("next_text")).alias("edited"))
+    d = d.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    # rows of a chunk are together already, so neither aggregate shuffles
+    keys = ["chunk", "row", "doc_id", "n_chars", "edited_sha256"]
+    three = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in enumerate(("text", "edited", "next_text"))))
+    v = vectors(d.select(*keys, F.inline(three)), [*keys, "kind"])
+    v = v.groupBy(*keys).agg(*(F.first(F.when(F.col("kind") == k, F.col("v")), ignorenulls=True).alias(c) for k, c in enumerate("ven")))
+    return v.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("v")).alias("fingerprint"),
                     text_of(F.col("e")).alias("edited_fingerprint"),
                     likeness(F.col("v"), F.col("e")).alias("near_edited"), likeness(F.col("v"), F.col("n")).alias("near_next"))
-
