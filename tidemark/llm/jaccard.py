@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
@@ -138,10 +139,10 @@ def signatures(e: np.ndarray, off: np.ndarray):
 
 
 def single_shingles(e: np.ndarray, off: np.ndarray):
-    """As `signatures`, with every shingle a segment of its own."""
+    """As `signatures`, with every shingle a segment of its own: a linked set shares three quarters
+    of a set's shingles, so it shares one of any quarter and one more."""
     size = np.diff(off)
-    total = size + size * DEN // NUM
-    need = total - 2 * -(-NUM * total // (NUM + DEN)) + 1
+    need = size + (-NUM * size // DEN) + 1
     n = len(size)
     spare = np.full((n, 2), 1 << 20, np.int64)
     spare[:, 0] = size - need
@@ -327,9 +328,17 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Links between sets made of common shingles. Groups are tied to up to four leaders each;
-    then members of different clusters within a group are compared."""
-    members = stored(found.where(F.col("kind") == _CROWD).select("g", F.explode("members").alias("set")).join(sets, "set", "left_semi"))
+    """Links between sets made of common shingles. A set is listed under its least common shingles
+    only, a quarter of all and one more, less the rare ones that are settled: a linked set shares
+    one of them. The groups are tied to up to four leaders each; then members of different
+    clusters within a group are compared."""
+    listed = stored(found.where(F.col("kind") == _CROWD).select("g", F.explode("members").alias("set")).join(sets, "set", "left_semi"))
+    common = listed.groupBy("set").agg(F.count("*").alias("common"))
+    room = (common.join(classes.select("set", "n"), "set")
+            .select("set", (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - (F.col("n") - F.col("common"))).alias("room")))
+    held = listed.groupBy("g").agg(F.count("*").alias("held"))
+    least = W.partitionBy("set").orderBy("held", "g")
+    members = stored(listed.join(held, "g").withColumn("k", F.row_number().over(least)).join(room, "set").where("k <= room").select("g", "set"))
     rank = F.xxhash64("set", F.pmod("g", F.lit(4)))
     lead = members.groupBy("g").agg(F.min_by("set", rank).alias("lead"))
     star = (members.join(lead, "g").where("set <> lead")
