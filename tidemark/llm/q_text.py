@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, counts, fingerprints, jaccard, toxicity, urls
+from tidemark.llm import bpe, counts, fingerprints, jaccard, substrings, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cut = substrings.removals(docs).withColumnRenamed("doc_id", "cut_id")
+    return (docs.select("doc_id").join(cut, F.col("doc_id") == F.col("cut_id"), "left")
+            .select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"),
+                    F.coalesce("removed_words", F.lit(0)).alias("removed_words"), "sources"))
