@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, counts, fingerprints, jaccard, substrings, toxicity, urls
+from tidemark.llm import bpe, counts, fingerprints, jaccard, mixing, substrings, toxicity, urls, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (docs.select("doc_id").join(cut, F.col("doc_id") == F.col("cut_id"), "left")
             .select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"),
                     F.coalesce("removed_words", F.lit(0)).alias("removed_words"), "sources"))
+
+
+@query("op8_embedding_near_dedup")
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mixing.even_targets(docs))
+    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+                        F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))

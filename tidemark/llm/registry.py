@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import q_text
@@ -14,7 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(fn):
         return lambda spark, sf_dir: fn(configure(spark), sf_dir)
 
-    return {n: ready(f) for n, f in q_text.QUERIES.items()}
+    return {n: ready(f) for n, f in {**q_text.QUERIES, "pipeline": corpus_pipeline.run}.items()}
 
 
 def oracles() -> dict[str, str]:

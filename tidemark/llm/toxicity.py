@@ -353,3 +353,15 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
             .mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int"))
+
+
+def clean(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of `docs` that the network does not reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(score_batch(shared.value, b.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
