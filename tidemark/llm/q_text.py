@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, counts, fingerprints, jaccard, mixing, substrings, toxicity, urls, vectors
+from tidemark.llm import bpe, counts, fingerprints, jaccard, lm, mixing, substrings, toxicity, urls, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs, mixing.even_targets(docs))
     return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
                         F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+
+
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
