@@ -170,7 +170,8 @@ def _sets(text: pa.Array):
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), set (digest) and sketch (bucket counts) of each document."""
+    """doc_id, n (set size), set (digest), sketch (bucket counts) and parities of the counts (two
+    times 64 bits) of each document."""
     def run(batches):
         for b in batches:
             for i, j, e, off in _sets(b.column(1)):
@@ -179,11 +180,13 @@ def describe(docs: DataFrame) -> DataFrame:
                 own = np.repeat(np.arange(n), size)
                 counts = np.bincount(own * BUCKETS + (tokens.mix(e) % U(BUCKETS)).astype(np.int64), minlength=n * BUCKETS)
                 blob = np.minimum(counts, 255).astype(np.uint8).reshape(n, BUCKETS)
+                odd = np.packbits((counts.reshape(n, BUCKETS) & 1).astype(np.uint8), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, n).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(digest(e, off)),
-                     pa.array([r.tobytes() for r in blob], pa.binary())], ["doc_id", "n", "set", "sketch"])
+                     pa.array([r.tobytes() for r in blob], pa.binary()), *(pa.array(odd[:, k].copy()) for k in (0, 1))],
+                    ["doc_id", "n", "set", "sketch", "odd_0", "odd_1"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set long, sketch binary, odd_0 long, odd_1 long")
 
 
 LISTS = "shard int, sets binary, sigs binary, flags binary, owners binary, spare binary"
@@ -267,6 +270,25 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind") == _PAIRS).select(F.explode(each).alias("p")).select("p.a", "p.b").distinct()
 
 
+def _rare(found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the sets under rare signatures. Each set is first compared with the least of
+    all its groups' members; then sets of one group that are not yet in one cluster."""
+    groups = found.where(F.col("kind") == _PAIRS).select("g", "members")
+    each = groups.select("g", F.array_min("members").alias("lead"), F.explode("members").alias("set"))
+    first = each.where("lead <> set").groupBy("set").agg(F.min("lead").alias("lead"))
+    tied = stored(verified(_possible(first.select(F.col("lead").alias("a"), F.col("set").alias("b")), classes), docs))
+    label = components(tied).join(classes.select("set", "rep"), F.col("node") == F.col("rep")).select("set", "component")
+    open_ = (each.join(label, "set", "left").groupBy("g")
+             .agg(F.collect_list(F.struct(F.coalesce("component", "set").alias("cluster"), "set")).alias("m"))
+             .select(F.array_sort("m").alias("m")).where("m[0].cluster <> m[size(m) - 1].cluster"))
+    m = F.col("m")
+    across = F.flatten(F.transform(m, lambda x, i: F.transform(
+        F.filter(F.slice(m, i + 2, COMMON), lambda y: y["cluster"] != x["cluster"]),
+        lambda y: F.struct(F.least(x["set"], y["set"]).alias("a"), F.greatest(x["set"], y["set"]).alias("b")))))
+    rest = open_.select(F.explode(across).alias("p")).select("p.a", "p.b").distinct()
+    return tied.union(verified(_possible(rest, classes), docs))
+
+
 def _crowded(found: DataFrame) -> DataFrame:
     """Sets for which the rare signatures are not enough."""
     units = found.where(F.col("kind").isin(_LOST, _SPARE)).select(
@@ -345,11 +367,14 @@ def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFra
             .select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct())
     tied = stored(verified(_possible(star, classes), docs))
     cluster = components(edges.union(tied))
-    part = (members.join(classes.select("set", "rep"), "set").join(cluster, F.col("rep") == F.col("node"), "left")
-            .select("g", "set", F.coalesce("component", "rep").alias("cluster")))
+    part = (members.join(classes.select("set", "rep", "n", "odd_0", "odd_1"), "set").join(cluster, F.col("rep") == F.col("node"), "left")
+            .select("g", "set", F.coalesce("component", "rep").alias("cluster"), "n", "odd_0", "odd_1"))
     mixed = part.groupBy("g").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("g")
     part = stored(part.join(mixed, "g", "left_semi"))
-    across = (part.toDF("g", "a", "ca").join(part.toDF("g", "b", "cb"), "g").where("ca < cb")
+    # the parities of the buckets differ in no more places than the sets in shingles
+    near = f"bit_count(p_a ^ p_b) + bit_count(q_a ^ q_b) <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})"
+    across = (part.toDF("g", "a", "c_a", "n_a", "p_a", "q_a").join(part.toDF("g", "b", "c_b", "n_b", "p_b", "q_b"), "g")
+              .where(f"c_a < c_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {near}")
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return tied.union(verified(_possible(across, classes), docs))
 
@@ -357,15 +382,16 @@ def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFra
 def links(docs: DataFrame, described: DataFrame, shards: int) -> DataFrame:
     """Links (u, v) between the documents that stand for the distinct sets."""
     classes = stored(described.where("n > 0 and doc_id is not null").groupBy("set").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+        F.first("odd_0").alias("odd_0"), F.first("odd_1").alias("odd_1")))
     found = stored(_groups(_listing(docs, signatures, shards), False))
-    edges = stored(verified(_possible(_pairs(found), classes), docs))
+    edges = stored(_rare(found, classes, docs))
     crowded = stored(_crowded(found).join(classes.select("set", "rep"), "set").select(F.col("rep").alias("doc_id"), "set"))
     if crowded.isEmpty():
         return edges
     few = matching(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), crowded.select("doc_id"), "doc_id")
     again = stored(_groups(_listing(few, single_shingles, shards), True))
-    edges = stored(edges.union(verified(_possible(_pairs(again), classes), docs)))
+    edges = stored(edges.union(_rare(again, classes, docs)))
     left = stored(_crowded(again))
     if left.isEmpty():
         return edges
