@@ -42,8 +42,10 @@ COMMON = 16
 BUCKETS = 128
 #: Expected cost of a signature of one shingle, against 1 for a longer one: its list is longer.
 SINGLE = 4.0
+#: The parities of the bucket counts differ in no more places than the sets in shingles.
+PARITIES = f"bit_count(p_a ^ p_b) + bit_count(q_a ^ q_b) <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})"
 #: Bytes of text whose signatures are made together.
-BATCH = 8 << 20
+BATCH = 4 << 20
 U = np.uint64
 
 
@@ -258,7 +260,7 @@ def _groups(lists: DataFrame, crowds: bool) -> DataFrame:
         ids, one = np.unique(ids, return_index=True)
         for slot in (0, 1):
             parts.append(pd.DataFrame({"kind": _SPARE, "g": 0, "members": [[x] for x in ids.tolist()], "slot": slot, "units": spare[one, slot]}))
-        return pd.concat(parts, ignore_index=True)
+        return pd.concat(parts, ignore_index=True).astype({"members": object})
 
     return lists.groupBy("shard").applyInPandas(run, FOUND)
 
@@ -371,10 +373,8 @@ def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFra
             .select("g", "set", F.coalesce("component", "rep").alias("cluster"), "n", "odd_0", "odd_1"))
     mixed = part.groupBy("g").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("g")
     part = stored(part.join(mixed, "g", "left_semi"))
-    # the parities of the buckets differ in no more places than the sets in shingles
-    near = f"bit_count(p_a ^ p_b) + bit_count(q_a ^ q_b) <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})"
     across = (part.toDF("g", "a", "c_a", "n_a", "p_a", "q_a").join(part.toDF("g", "b", "c_b", "n_b", "p_b", "q_b"), "g")
-              .where(f"c_a < c_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {near}")
+              .where(f"c_a < c_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {PARITIES}")
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return tied.union(verified(_possible(across, classes), docs))
 

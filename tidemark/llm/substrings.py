@@ -34,6 +34,7 @@ ROWS = 2
 RUN_WORDS = 40
 #: Rounds of leaders in a crowded band before its remaining members are all compared.
 ROUNDS = 3
+BUCKETS = jaccard.BUCKETS
 BATCH = 8 << 20
 U = np.uint64
 
@@ -71,7 +72,7 @@ def _cut(raw: np.ndarray, off: np.ndarray):
 def _paragraphs(text: pa.Array):
     """(first row, paragraph arrays, shingles, offsets, digests), some texts at a time."""
     raw, off = tokens.parts(text)
-    for a, b in tokens.slices(off, 2 << 20):
+    for a, b in tokens.slices(off):
         r, number, first, last, size, h, at = _cut(raw[off[a]: off[b]], off[a: b + 1] - off[a])
         own = np.repeat(np.arange(len(size)), size)
         e, o = tokens.shingle_sets(h, own, len(size), jaccard.WIDTH)
@@ -103,7 +104,7 @@ def _gathered(text: pa.Array):
     for a, p, e, o, c in _paragraphs(text):
         held.append((a + p[0], *p[1:], e, o, c))
         size += len(e)
-        if size > BATCH // 6:
+        if size > BATCH // 12:
             yield _together(held)
             held, size = [], 0
     if held:
@@ -183,14 +184,21 @@ def _shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 asked = [set(want[a + i]) for i in range(int(r.max()) + 1)] if len(r) else []
                 hit = [k for k, (i, n) in enumerate(zip(r.tolist(), number.tolist())) if n in asked[i]]
                 if hit:
-                    yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array([e[off[k]: off[k + 1]].tobytes() for k in hit], pa.binary())],
-                                                     ["class", "shingles"])
+                    size = np.diff(off)[hit]
+                    own = np.repeat(np.arange(len(hit)), size)
+                    flat = np.concatenate([e[off[k]: off[k + 1]] for k in hit])
+                    counts = np.bincount(own * BUCKETS + (tokens.mix(flat) % U(BUCKETS)).astype(np.int64), minlength=len(hit) * BUCKETS)
+                    odd = np.packbits((counts.reshape(len(hit), BUCKETS) & 1).astype(np.uint8), axis=1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c[hit]), pa.array([e[off[k]: off[k + 1]].tobytes() for k in hit], pa.binary()), pa.array(size.astype(np.int32)),
+                         pa.array(odd[:, 0].copy()), pa.array(odd[:, 1].copy())], ["class", "shingles", "n", "odd_0", "odd_1"])
 
-    return some.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+    return some.mapInArrow(run, "class long, shingles binary, n int, odd_0 long, odd_1 long").dropDuplicates(["class"])
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    both = (pairs.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b").select("a", "b", "x", "y"))
+    side = shingles.select("class", "shingles")
+    both = (pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b").select("a", "b", "x", "y"))
 
     def run(batches):
         for b in batches:
@@ -228,8 +236,10 @@ def _near(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
             tied = stored(_verified(met.select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), shingles))
             crowd = stored(met.join(tied, (met.lead == tied.u) & (met["class"] == tied.v), "left_anti").select("g", "class"))
         else:
-            all_pairs = (crowd.toDF("g", "a").join(crowd.toDF("g", "b"), "g").where("a < b").select("a", "b").distinct())
-            tied = _verified(all_pairs, shingles)
+            rest = stored(crowd.join(shingles.select("class", "n", "odd_0", "odd_1"), "class").select("g", "class", "n", "odd_0", "odd_1"))
+            met = (rest.toDF("g", "a", "n_a", "p_a", "q_a").join(rest.toDF("g", "b", "n_b", "p_b", "q_b"), "g")
+                   .where(f"a < b and {jaccard.PARITIES}").select("a", "b").distinct())
+            tied = _verified(met, shingles)
         edges = stored(edges.union(tied))
     return components(edges).toDF("class", "cluster"), first
 

@@ -85,7 +85,7 @@ class Network:
         self.p["att"] = r.normal(0, 0.3, 2 * HIDDEN).astype(f32)
         self.p["out"] = r.normal(0, 0.3, 2 * HIDDEN).astype(f32)
         self.p["bias"] = np.zeros(1, f32)
-        self.scale, self.shift = 1.0, 0.0
+        self.scale, self.shift, self.empty = 1.0, 0.0, 0.0
 
     def vectors(self, word, gram, off):
         n = np.maximum(np.diff(off), 1)
@@ -266,6 +266,7 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
     check = apart if apart.any() else ~apart
     share = y[check].mean()
     weight = np.where(y[check] > 0, (share if prior is None else prior) / share, (1 - (share if prior is None else prior)) / (1 - share))
+    net.empty = float(share if prior is None else prior)
     net.scale, net.shift = _calibrate(_worst(net, [t for t, a in zip(texts, check) if a]), y[check], weight)
     return net
 
@@ -315,8 +316,8 @@ def score_batch(net: Network, texts: pa.Array) -> np.ndarray:
         text, ids, count = _layout(number, np.bincount(row, minlength=j - i))
         best = np.full(j - i, -np.inf)
         np.maximum.at(best, text, _all(net, features(h[one], s[one], e[one], low), ids, count))
-        out[i:j] = np.where(np.isfinite(best), best, net.p["bias"][0])
-    return _sigmoid(net.scale * out + net.shift)
+        out[i:j] = best
+    return np.where(np.isfinite(out), _sigmoid(net.scale * np.where(np.isfinite(out), out, 0) + net.shift), net.empty)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -340,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """`docs` (doc_id, text) -> doc_id, held_out, score, predicted, one row for each input row.
-    Null and empty texts get the score of the network's bias; a null doc_id counts as not held out;
+    Texts without words get the share of positive labels as their score; a null doc_id counts as not held out;
     other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

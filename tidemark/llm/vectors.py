@@ -253,7 +253,7 @@ def recall(vectors: DataFrame, cosine: float = COSINE, every: int = 20) -> float
 
     parts = max(1, -(-points.count() // 5000))
     blocks = points.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)))
-    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     true = (asked.groupBy("label", "size", "part").cogroup(blocks.groupBy("label", "size", "part")).applyInPandas(run, "n long")
             .agg(F.sum("n")).first()[0] or 0)
     return found / true if true else 1.0
