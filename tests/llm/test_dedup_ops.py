@@ -208,7 +208,7 @@ def test_toxicity_gradients():
 
 
 def test_toxicity_windows_cover_every_word():
-    for n in (1, 15, 16, 17, 31, 32, 33, 100):
+    for n in (1, 23, 24, 25, 31, 32, 33, 100):
         _, first, count = toxicity.windows(np.array([n]))
         assert set(range(n)) == {i for f, c in zip(first, count) for i in range(f, f + c)}
 

@@ -20,17 +20,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 24
 HIDDEN, WIDTH = 8, 16
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
-GRAMS = (3, 4, 5)
+GRAMS = (4, 5)
 #: Words and n-grams of fewer training texts than this, or than this share of them, carry no vector
 #: of their own: they would only be learnt by heart.
 LEAST, LEAST_SHARE = 4, 0.02
 #: At most so many texts of each label are collected for training.
 SAMPLE = 700
 #: Words of a training text that take part; scoring always reads whole texts.
-TRAIN_WORDS = 2000
+TRAIN_WORDS = 1000
 U = np.uint64
 f32 = np.float32
 
@@ -188,11 +188,15 @@ def _enriched(y: np.ndarray, size, number, word, gram, off) -> np.ndarray:
     for of_word, rows in ((np.diff(off), GRAM_ROWS), (np.ones(len(word), np.int64), WORD_ROWS)):
         flat = gram if rows == GRAM_ROWS else word
         lead = np.concatenate([[0], np.cumsum(of_word)])
-        cut = np.concatenate([[0], np.cumsum(of_word[w])])
-        row = flat[np.repeat(lead[w] - cut[:-1], of_word[w]) + np.arange(cut[-1])]
-        pair = np.unique(np.repeat(owner, of_word[w]) * np.int64(rows) + row)
-        text, row = pair // rows, pair % rows
-        total, hit = np.bincount(row, minlength=rows), np.bincount(row, weights=y[text], minlength=rows)
+        total, hit = np.zeros(rows), np.zeros(rows)
+        for k in range(0, len(y), 64):  # some texts at a time, for the memory
+            some = slice(*np.searchsorted(owner, [k, k + 64]))
+            v, o = w[some], owner[some]
+            cut = np.concatenate([[0], np.cumsum(of_word[v])])
+            row = flat[np.repeat(lead[v] - cut[:-1], of_word[v]) + np.arange(cut[-1])]
+            pair = np.unique(np.repeat(o, of_word[v]) * np.int64(rows) + row)
+            total += np.bincount(pair % rows, minlength=rows)
+            hit += np.bincount(pair % rows, weights=y[pair // rows], minlength=rows)
         z = (hit - share * total) / np.sqrt(share * (1 - share) * total + 1)
         z = np.concatenate([z[flat], [0]])
         top = np.maximum.reduceat(z, lead[:-1])
