@@ -42,6 +42,14 @@ def test_streaks(spark):
     assert [r["streak"] for r in d] == [1, 2, 0, 1, 2, 3]
 
 
+def test_excursions_see_the_middle_of_a_long_holding(spark):
+    first = date(1990, 1, 1)
+    bars = [("A", first + timedelta(days=i), 140.0 if i == 5000 else 100.0, 99.0 if i != 7000 else 91.0) for i in range(10_000)]
+    t = spark.createDataFrame([("A", "s", 1, 1.0, datetime(1990, 1, 1), datetime(1990, 1, 1) + timedelta(days=9_999), 100.0, 0.0, 0.0, 1.0)], TRADE)
+    r = T.excursions(t, spark.createDataFrame(bars, "symbol string, day date, high double, low double")).first()
+    assert (r["mfe"], r["mae"]) == (40.0, -9.0)
+
+
 def test_excursions_equal_a_scan(spark):
     import random
     rnd = random.Random(0)
@@ -54,7 +62,7 @@ def test_excursions_equal_a_scan(spark):
                      datetime(2024, 1, 1) + timedelta(days=a + rnd.randrange(1, 40)), 97.0 + a / 1000, 0.0, 0.0, 5.0))
     t = spark.createDataFrame(rows, TRADE)
     got = {(r["entry_ts"], r["exit_ts"], r["side"]): (r["mfe"], r["mae"]) for r in T.excursions(
-        t, spark.createDataFrame(bars, "symbol string, day date, high double, low double"), max_level=4 + 2).collect()}
+        t, spark.createDataFrame(bars, "symbol string, day date, high double, low double")).collect()}
     for r in rows:
         held = [(h, l) for _, d, h, l in bars if r[4].date() <= d <= r[5].date()]
         hi, lo = max(h for h, _ in held), min(l for _, l in held)

@@ -51,3 +51,12 @@ def test_scans_read_only_what_is_used(spark, sf):
 def test_no_product_joins(spark, sf, name):
     p = plan(E.queries()[name](spark, sf))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_contract_bars_hold_every_deal(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import q_futures
+
+    want = spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.sum("l_quantity")).first()[0]
+    assert q_futures.contract_bars(spark, sf).agg(F.sum("volume")).first()[0] == want

@@ -26,9 +26,9 @@ def min_stop_distance() -> Column:
 
 
 def normalize_price(price) -> Column:
-    """Round to the symbol's own number of digits."""
+    """Round to the symbol's own number of digits, halves to the even neighbour."""
     scale = F.pow(F.lit(10.0), F.col("digits"))
-    return F.round(_c(price) * scale, 0) / scale
+    return F.bround(_c(price) * scale, 0) / scale
 
 
 def round_volume(volume) -> Column:

@@ -28,8 +28,8 @@ class Rules:
 
 
 def hashed_index(seed: Column, n: Column) -> Column:
-    """A reproducible draw from 0..n-1."""
-    return F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("long") % n
+    """A reproducible draw from 0..n-1, out of 60 bits."""
+    return F.conv(F.substring(F.md5(seed), 1, 15), 16, 10).cast("long") % n
 
 
 def with_period(returns: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -177,9 +177,3 @@ def monte_carlo(returns: DataFrame, keys: list[str], paths: int, penalty: float
         F.count(F.lit(1)).alias("paths"), F.median("final").alias("median_return"), F.percentile("final", 0.05).alias("p05_return"),
         F.percentile("dd", 0.95).alias("p95_drawdown"), F.median("dd").alias("median_drawdown"), F.max("dd").alias("worst_drawdown"),
         F.avg(F.when(F.col("final") < 0, 1.0).otherwise(0.0)).alias("prob_loss"))
-
-
-def number_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """0-based position and count for rows without a calendar bound."""
-    c = chunks.running_row_number(chunks.ordered_chunks(df, keys, order), keys, order, "_p", "n")
-    return c.withColumn("t", F.col("_p") - 1).drop("_p", chunks.CHUNK)

@@ -253,18 +253,21 @@ def range_extremes(bars: DataFrame, max_level: int, key: str = "symbol") -> Data
             .select(key, "day", "x.level", "x.hi", "x.lo"))
 
 
-def excursions(trades: DataFrame, bars: DataFrame, value_per_unit: Column | float = 1.0, max_level: int = 12,
-               key: str = "symbol") -> DataFrame:
+def excursions(trades: DataFrame, bars: DataFrame, value_per_unit: Column | float = 1.0, key: str = "symbol") -> DataFrame:
     """Worst and best excursion in R while a trade was held, from daily bars.
 
-    Two equality lookups per trade instead of a join of every trade with every held bar."""
+    Two equality lookups per trade instead of a join of every trade with every held bar; the spans
+    reach as far as the longest holding of the trades, or the longest history of bars, asks."""
+    held = trades.agg(F.max(F.datediff("exit_ts", "entry_ts"))).first()[0] or 0
+    known = bars.groupBy(key).agg(F.datediff(F.max("day"), F.min("day")).alias("n")).agg(F.max("n")).first()[0] or 0
+    max_level = max(0, (min(held, known) + 1).bit_length() - 1)
     ext = range_extremes(bars, max_level, key)
     edge = bars.groupBy(key).agg(F.min("day").alias("_min"), F.max("day").alias("_max"))
     t = trades.join(edge, key, "left")
     a = F.greatest(F.to_date("entry_ts"), F.col("_min"))
     b = F.least(F.to_date("exit_ts"), F.col("_max"))
     n = F.datediff(b, a) + 1
-    level = F.least(F.floor(F.log2(F.when(n > 0, n).cast("double"))), F.lit(max_level)).cast("int")
+    level = F.floor(F.log2(F.when(n > 0, n).cast("double"))).cast("int")
     t = t.withColumn("_a", a).withColumn("_level", level)
     t = t.withColumn("_b", F.date_add(b, 1 - F.pow(F.lit(2), F.col("_level")).cast("int")))
     for side, p in (("_a", "_x"), ("_b", "_y")):

@@ -245,14 +245,13 @@ def _(spark, sf):
 
 
 cte("decisions", """
-SELECT min(day) AS decision_day FROM brand_days WHERE month(day) IN (1, 7) GROUP BY date_trunc('month', day)
+SELECT min(day) AS decision_day FROM brand_days GROUP BY date_trunc('month', day)
 """, ("brand_days",), materialized=True)
 
 
 def decisions(days):
-    """First traded day of January and July."""
-    d = days.select("day").filter(F.month("day").isin(1, 7))
-    return d.groupBy(F.trunc("day", "MM").alias("m")).agg(F.min("day").alias("decision_day")).select("decision_day")
+    """First traded day of every month."""
+    return days.groupBy(F.trunc("day", "MM").alias("m")).agg(F.min("day").alias("decision_day")).select("decision_day")
 
 
 cte("recent", """
@@ -283,7 +282,7 @@ SELECT d.decision_day, s.symbol || '-' || d.decision_day AS leg, s.symbol, CASE
 def legs(spark, sf, days):
     """Every market that trades in a decision month is wanted then, some already held."""
     code, month = F.col("swap_mode"), F.trunc("decision_day", "MM").alias("m")
-    active = days.filter(F.month("day").isin(1, 7)).select("symbol", F.trunc("day", "MM").alias("m")).distinct()
+    active = days.select("symbol", F.trunc("day", "MM").alias("m")).distinct()
     grid = active.join(decisions(days).select("decision_day", month), "m").join(V.specs(spark, sf), "symbol")
     return grid.select("decision_day", F.concat("symbol", F.lit("-"), F.col("decision_day").cast("string")).alias("leg"), "symbol",
                        F.when(code % 3 == 0, -1).otherwise(1).alias("side"), (code + 40.0).alias("stop_distance"),

@@ -1,5 +1,7 @@
 """Contract calendars, continuous series and roll costs."""
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import futures as FU
@@ -8,7 +10,9 @@ from tidemark.plans.registry import cte, query, rounded
 from tidemark.session import materialize
 from tidemark.sources import views as V
 
-START, END = "1995-06-01", "2002-12-31"
+LO, HI, FAR = "(SELECT lo FROM span)", "(SELECT hi FROM span)", "(SELECT far FROM span)"
+#: Days beyond the last deal for which windows are kept, so that deals in the following contract find it.
+AHEAD = 200
 UNIVERSE = ["CL", "ES", "GC", "ZN", "ZC", "6E", "HE", "BZ"]
 
 _lines = [line.split() for line in FU.ROOT_LINES.strip().splitlines()]
@@ -16,10 +20,14 @@ cte("roots", "SELECT * FROM (VALUES " + ", ".join(
     f"('{r}', {m}::DOUBLE, {t}::DOUBLE, [{mo}], '{ru}', {rd}, {c}::DOUBLE, '{s}', {'NULL' if n == '-' else repr(n)}, {i})"
     for i, (r, m, t, mo, ru, rd, c, s, n) in enumerate(_lines))
     + ") v(root, multiplier, tick_size, months, rule, roll_days, commission, sector, notice, ord)")
-cte("cal", """
-SELECT d, bd, CAST(sum(bd) OVER (ORDER BY d) AS BIGINT) AS rk FROM (SELECT CAST(x AS DATE) AS d, CASE WHEN isodow(x) < 6 THEN 1 ELSE 0 END AS bd
- FROM (SELECT unnest(generate_series(TIMESTAMP '1993-01-01', TIMESTAMP '2006-01-01', INTERVAL 1 DAY)) AS x))
+cte("span", f"""
+SELECT least((SELECT CAST(min(l_shipdate) AS DATE) FROM lineitem), (SELECT CAST(min(o_orderdate) AS DATE) FROM orders)) AS lo,
+ CAST(max(l_shipdate) AS DATE) AS hi, CAST(max(l_shipdate) AS DATE) + {AHEAD} AS far FROM lineitem
 """, materialized=True)
+cte("cal", f"""
+SELECT d, bd, CAST(sum(bd) OVER (ORDER BY d) AS BIGINT) AS rk FROM (SELECT CAST(x AS DATE) AS d, CASE WHEN isodow(x) < 6 THEN 1 ELSE 0 END AS bd
+ FROM (SELECT unnest(generate_series(CAST({LO} AS TIMESTAMP) - INTERVAL 3 YEAR, CAST({FAR} AS TIMESTAMP) + INTERVAL 4 YEAR, INTERVAL 1 DAY)) AS x))
+""", ("span",), materialized=True)
 cte("bdays", "SELECT d AS bday, rk FROM cal WHERE bd = 1", ("cal",), materialized=True)
 
 
@@ -38,28 +46,37 @@ SELECT root, yr AS year, mo AS month, f, rule, notice, roll_days, CASE rule WHEN
  WHEN 'feeder' THEN {_last('f', 3)} WHEN 'last_friday' THEN {_last('f', 4)} WHEN 'nikkei' THEN {_nth('f', 4, 2)} WHEN 'sofr3' THEN {_nth(_N3, 2, 3)} ELSE last_day(f) END AS base,
  CASE rule WHEN 'metals' THEN -2 WHEN 'fx' THEN -2 WHEN 'crude' THEN -3 WHEN 'natgas' THEN -2 WHEN 'treasury' THEN -7 WHEN 'lean_hogs' THEN 10 WHEN 'nikkei' THEN -1 WHEN 'sofr3' THEN -1
   WHEN 'grains' THEN CASE WHEN isodow(f + 14) >= 6 THEN 0 ELSE -1 END ELSE 0 END AS off, rule IN ('third_friday', 'feeder', 'last_friday') AS exact
-FROM (SELECT *, make_date(yr, mo, 1) AS f FROM (SELECT root, rule, notice, roll_days, unnest(months) AS mo FROM roots), (SELECT CAST(unnest(range(1994, 2004)) AS INTEGER) AS yr))
-""", ("roots",))
+FROM (SELECT *, make_date(yr, mo, 1) AS f FROM (SELECT root, rule, notice, roll_days, unnest(months) AS mo FROM roots), (SELECT CAST(unnest(range(CAST(year({LO}) AS BIGINT) - 1, CAST(year({FAR}) AS BIGINT) + 2)) AS INTEGER) AS yr))
+""", ("roots", "span"))
 cte("contracts", f"""
 SELECT root, year, month, last_trade, first_notice, least(last_trade, first_notice) AS anchor, r.bday AS roll_on,
  root || substr('FGHJKMNQUVXZ', month, 1) || CAST(year % 10 AS VARCHAR) AS contract
 FROM (SELECT c.*, CASE WHEN exact THEN base ELSE b.bday END AS last_trade, CASE WHEN notice IS NOT NULL THEN n.bday END AS first_notice FROM contracts0 c
  JOIN cal k ON k.d = c.base JOIN bdays b ON b.rk = k.rk + c.off JOIN cal kn ON kn.d = last_day({_P1}) JOIN bdays n ON n.rk = kn.rk) x
 JOIN cal a ON a.d = least(last_trade, first_notice) JOIN bdays r ON r.rk = a.rk - roll_days
-WHERE last_trade BETWEEN DATE '{START}' - 400 AND DATE '{END}' + 400
-""", ("contracts0", "cal", "bdays"), materialized=True)
+WHERE last_trade BETWEEN {LO} - 400 AND {FAR} + 400
+""", ("contracts0", "cal", "bdays", "span"), materialized=True)
 cte("windows", f"""
-SELECT *, row_number() OVER (PARTITION BY root ORDER BY year, month) AS window_no FROM (SELECT *, coalesce(prev, DATE '{START}') AS active_from FROM
- (SELECT *, lag(roll_on) OVER (PARTITION BY root ORDER BY year, month) AS prev FROM contracts) WHERE roll_on >= DATE '{START}' AND (prev IS NULL OR prev <= DATE '{END}'))
-""", ("contracts",), materialized=True)
+SELECT *, row_number() OVER (PARTITION BY root ORDER BY year, month) AS window_no FROM (SELECT *, coalesce(prev, {LO}) AS active_from FROM
+ (SELECT *, lag(roll_on) OVER (PARTITION BY root ORDER BY year, month) AS prev FROM contracts) WHERE roll_on >= {LO} AND (prev IS NULL OR prev <= {FAR}))
+""", ("contracts", "span"), materialized=True)
+
+
+def span(spark, sf):
+    """First and last day of any deal or trade, and the day up to which windows are kept."""
+    ship = V.table(spark, sf, "lineitem").agg(F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first()
+    entry = V.table(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate"))).first()[0]
+    return str(min(ship[0], entry)), str(ship[1]), str(ship[1] + timedelta(days=AHEAD))
 
 
-def calendar(spark):
-    return FU.contract_calendar(FU.roots(spark), START, END)
+def calendar(spark, sf):
+    lo, _, far = span(spark, sf)
+    return FU.contract_calendar(FU.roots(spark), lo, far)
 
 
-def windows(spark):
-    return FU.active_windows(calendar(spark), START, END)
+def windows(spark, sf):
+    lo, _, far = span(spark, sf)
+    return materialize(FU.active_windows(FU.contract_calendar(FU.roots(spark), lo, far), lo, far))
 
 
 cte("shipments", """
@@ -77,20 +94,20 @@ def shipments(spark, sf):
                      (100 + F.col("l_extendedprice") / F.col("l_quantity") / 97 + far * 0.5).alias("px"), F.col("l_quantity").alias("qty"))
 
 
-cte("contract_bars", f"""
+cte("contract_bars", """
 SELECT s.root, t.year, t.month, s.day AS ts, min(px) AS open, max(px) AS high, min(px) AS low, avg(px) AS close, sum(qty) AS volume
-FROM shipments s JOIN windows w ON w.root = s.root AND s.day >= w.active_from AND s.day < w.roll_on AND s.day <= DATE '{END}'
+FROM shipments s JOIN windows w ON w.root = s.root AND s.day >= w.active_from AND s.day < w.roll_on
 JOIN windows t ON t.root = w.root AND t.window_no = w.window_no + s.far GROUP BY ALL
 """, ("shipments", "windows"), materialized=True)
 
 
 def contract_bars(spark, sf):
     """Daily bars per contract month: deals placed by the day's front contract."""
-    w = windows(spark)
+    w = windows(spark, sf)
     # deals are first reduced to one row per family, day and leg
     d = shipments(spark, sf).groupBy("root", "day", "far").agg(
         F.min("px").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.avg("px").alias("close"), F.sum("qty").alias("volume"))
-    d = d.join(FU.front_by_day(w, END).select("root", "day", "window_no"), ["root", "day"])
+    d = d.join(FU.front_by_day(w, span(spark, sf)[1]).select("root", "day", "window_no"), ["root", "day"])
     d = d.withColumn("window_no", F.col("window_no") + F.col("far"))
     return materialize(
         d.join(w.select("root", "window_no", "year", "month"), ["root", "window_no"])
@@ -103,11 +120,11 @@ FROM contracts c LEFT JOIN (SELECT root, date_trunc('month', day) AS m, count(*)
 """, ("contracts", "shipments"))
 def _(spark, sf):
     m = shipments(spark, sf).groupBy("root", F.trunc("day", "MM").alias("m")).agg(F.count(F.lit(1)).alias("deals"))
-    c = calendar(spark).withColumn("m", F.trunc("last_trade", "MM")).join(m, ["root", "m"], "left").fillna(0, ["deals"])
+    c = calendar(spark, sf).withColumn("m", F.trunc("last_trade", "MM")).join(m, ["root", "m"], "left").fillna(0, ["deals"])
     return c.select("root", "year", "month", "contract", "last_trade", "first_notice", "roll_on", "deals")
 
 
-cte("fronts", f"SELECT s.root, s.day, w.contract, count(*) AS deals FROM shipments s JOIN windows w ON w.root = s.root AND s.day >= w.active_from AND s.day < w.roll_on AND s.day <= DATE '{END}' GROUP BY ALL", ("shipments", "windows"))
+cte("fronts", "SELECT s.root, s.day, w.contract, count(*) AS deals FROM shipments s JOIN windows w ON w.root = s.root AND s.day >= w.active_from AND s.day < w.roll_on GROUP BY ALL", ("shipments", "windows"))
 
 
 @query("front_windows", """
@@ -115,7 +132,7 @@ SELECT root, contract, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS
 """, ("fronts",))
 def _(spark, sf):
     d = shipments(spark, sf).groupBy("root", "day").agg(F.count(F.lit(1)).alias("deals"))
-    f = d.join(FU.front_by_day(windows(spark), END), ["root", "day"])
+    f = d.join(FU.front_by_day(windows(spark, sf), span(spark, sf)[1]), ["root", "day"])
     n = f.groupBy("root", "contract").agg(F.sum("deals").alias("deals"))
     return FU.front_windows(f).join(n, ["root", "contract"])
 
@@ -132,7 +149,7 @@ FROM w LEFT JOIN c ON c.root = w.root AND c.sn = w.sn AND c.k = 1 WHERE w.ny IS
 """, ("windows", "contract_bars"))
 def roll_gaps(spark, sf):
     b = contract_bars(spark, sf)
-    return rounded(FU.rolls(FU.tradeable_windows(windows(spark), b), b).drop("seq_no"))
+    return rounded(FU.rolls(FU.tradeable_windows(windows(spark, sf), b), b).drop("seq_no"))
 
 
 cte("live_windows", """
@@ -152,18 +169,20 @@ FROM live_windows w LEFT JOIN common_days c ON c.root = w.root AND c.sn = w.sn A
 @query("stitch", """
 WITH p AS (SELECT b.*, w.sn, w.contract, w.shift, (b.close - c.ncl) / b.close * (365.0 / greatest(w.nlt - w.last_trade, 1)) AS y FROM contract_bars b JOIN shifts w ON w.root = b.root AND w.year = b.year AND w.month = b.month
   LEFT JOIN common_days c ON c.root = w.root AND c.sn = w.sn AND c.ts = b.ts WHERE b.ts >= w.active_from AND (b.ts < w.roll_on OR w.ny IS NULL))
-SELECT root, CAST(ts AS TIMESTAMP) AS ts, contract, round(open + shift, 6) AS open, round(high + shift, 6) AS high, round(low + shift, 6) AS low, round(close + shift, 6) AS close, volume, round(close, 6) AS raw_close,
+SELECT root, CAST(ts AS TIMESTAMP) AS ts, contract, round(open + shift, 6) AS open, round(high + shift, 6) AS high, round(low + shift, 6) AS low, round(close + shift, 6) AS close, volume, round(close, 5) AS raw_close,
  round(last_value(y IGNORE NULLS) OVER (PARTITION BY root, sn ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS carry FROM p
 """, ("contract_bars", "shifts", "common_days"))
 def _(spark, sf):
     b = contract_bars(spark, sf)
-    return rounded(FU.stitch(FU.tradeable_windows(windows(spark), b), b))
+    return rounded(FU.stitch(FU.tradeable_windows(windows(spark, sf), b), b), raw_close=5)
 
 
-@query("annual_roll_drag", "SELECT root, round(sum(gap) / 7.5, 6) AS drag, count(*) AS rolls FROM shifts WHERE ny IS NOT NULL GROUP BY root", ("shifts",))
+@query("annual_roll_drag", "SELECT root, round(sum(gap) / ((SELECT hi - lo FROM span) / 365.25), 6) AS drag, count(*) AS rolls FROM shifts WHERE ny IS NOT NULL GROUP BY root", ("shifts", "span"))
 def _(spark, sf):
     b = contract_bars(spark, sf)
-    return rounded(FU.annual_roll_drag(FU.rolls(FU.tradeable_windows(windows(spark), b), b), 7.5))
+    lo, hi, _ = span(spark, sf)
+    years = (date.fromisoformat(hi) - date.fromisoformat(lo)).days / 365.25
+    return rounded(FU.annual_roll_drag(FU.rolls(FU.tradeable_windows(windows(spark, sf), b), b), years))
 
 
 cte("fut_trades", """
@@ -190,7 +209,7 @@ k AS (SELECT *, (SELECT count(*) FROM windows w WHERE w.root = r.symbol AND w.ro
 SELECT symbol, sector, count(*) AS trades, CAST(sum(n) AS BIGINT) AS rolls_crossed, round(sum(n * (2 * commission * volume + 2 * tv * volume) * 2), 2) AS unpaid_roll_cost, round(sum(costs), 2) AS charged_costs, round(sum(net_pnl), 2) AS net_pnl FROM k GROUP BY ALL
 """, ("fut_trades", "roots", "windows"))
 def _(spark, sf):
-    log = windows(spark).select("root", "roll_on")
+    log = windows(spark, sf).select("root", "roll_on")
     return rounded(FU.roll_bill(fut_trades(spark, sf), log, FU.roots(spark)), 2)
 
 
@@ -203,7 +222,7 @@ SELECT symbol, count(*) AS n, CAST(sum(n) AS BIGINT) AS rolls, round(avg(px + ba
 """, ("fut_trades", "roots", "shifts", "common_days"))
 def _(spark, sf):
     b = contract_bars(spark, sf)
-    log = FU.rolls(FU.tradeable_windows(windows(spark), b), b)
+    log = FU.rolls(FU.tradeable_windows(windows(spark, sf), b), b)
     pos = fut_trades(spark, sf).select("symbol", F.col("px").alias("entry_price"), (F.col("px") * 0.9).alias("stop_loss"), "volume",
                                        F.col("entry_ts").alias("opened_at"), F.col("exit_ts").alias("as_of"))
     d = FU.rebase_positions(pos, log, FU.roots(spark))
@@ -213,12 +232,12 @@ def _(spark, sf):
 
 
 @query("missing_contracts", f"""
-SELECT root, year, month FROM contracts c WHERE root IN ('CL', 'ES', 'GC', 'ZN', 'ZC', '6E', 'HE', 'BZ') AND last_trade BETWEEN DATE '{START}' AND DATE '{END}' + 400
+SELECT root, year, month FROM contracts c WHERE root IN ('CL', 'ES', 'GC', 'ZN', 'ZC', '6E', 'HE', 'BZ') AND last_trade BETWEEN {LO} AND {HI} + 400
  AND NOT EXISTS (SELECT 1 FROM contract_bars b WHERE b.root = c.root AND b.year = c.year AND b.month = c.month)
-""", ("contracts", "contract_bars"))
+""", ("contracts", "contract_bars", "span"))
 def _(spark, sf):
-    cal = calendar(spark).filter(F.col("root").isin(*UNIVERSE))
-    return FU.missing_contracts(cal, contract_bars(spark, sf), START, END)
+    cal = calendar(spark, sf).filter(F.col("root").isin(*UNIVERSE))
+    return FU.missing_contracts(cal, contract_bars(spark, sf), *span(spark, sf)[:2])
 
 
 @query("calendar_vs_exchange", """
@@ -228,7 +247,7 @@ FROM contracts c JOIN x USING (root, year, month) JOIN cal a ON a.d = c.last_tra
 """, ("contracts", "contract_bars", "cal"))
 def _(spark, sf):
     d = contract_bars(spark, sf).groupBy("root", "year", "month").agg(F.to_date(F.max("ts")).alias("expiration"))
-    return rounded(FU.calendar_vs_exchange(calendar(spark), d))
+    return rounded(FU.calendar_vs_exchange(calendar(spark, sf), d))
 
 
 @query("parse_contract_symbols", """
@@ -245,7 +264,7 @@ def _(spark, sf):
     sym = (F.when(ck % 7 == 0, F.concat(F.lit("CL"), letter, d, F.lit("-CLZ9"))).when(ck % 5 == 0, F.concat(F.lit("CL"), letter, F.lit("0"), d))
            .otherwise(F.concat(F.lit("CL"), letter, d)))
     raw = V.table(spark, sf, "orders").select(sym.alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("ts"), ok.alias("seq"))
-    return FU.parse_contract_symbols(raw, "CL", calendar(spark)).select("year", "month", "ts", "seq")
+    return FU.parse_contract_symbols(raw, "CL", calendar(spark, sf)).select("year", "month", "ts", "seq")
 
 
 @query("micro_to_parent", """

@@ -344,7 +344,7 @@ def _(spark, sf):
 
 cte("boot_paths", """
 SELECT p.path, b.b * 20 + o.o + 1 AS day, r.ret FROM range(200) p(path), range(5) b(b), range(20) o(o), (SELECT max(n) AS n FROM book_returns) m, book_returns r
-WHERE r.t = ('0x' || substr(md5('all:' || p.path || ':' || b.b), 1, 8))::BIGINT % (m.n - 20) + o.o AND b.b * 20 + o.o + 1 <= 90
+WHERE r.t = ('0x' || substr(md5('all:' || p.path || ':' || b.b), 1, 15))::BIGINT % (m.n - 20) + o.o AND b.b * 20 + o.o + 1 <= 90
 """, ("book_returns",), materialized=True)
 cte("boot_walk", _walk_sql("boot_paths", 60), ("boot_paths",))
 cte("boot_outcome", _OUTCOME.format(t="boot_walk"), ("boot_walk",), materialized=True)
@@ -390,7 +390,7 @@ def _(spark, sf):
 
 
 cte("mc_draw", """
-SELECT d.path, d.step, r.ret FROM (SELECT p.path, s.t AS step, ('0x' || substr(md5('all:' || p.path || ':' || s.t), 1, 8))::BIGINT % s.n AS pick
+SELECT d.path, d.step, r.ret FROM (SELECT p.path, s.t AS step, ('0x' || substr(md5('all:' || p.path || ':' || s.t), 1, 15))::BIGINT % s.n AS pick
  FROM range(50) p(path), book_returns s) d JOIN book_returns r ON r.t = d.pick
 """, ("book_returns",))
 

@@ -198,6 +198,3 @@ def write_trades(trades: DataFrame, path: str) -> None:
 def write_equity(equity: DataFrame, path: str) -> None:
     equity.write.mode("overwrite").partitionBy("book_id").parquet(path)
 
-
-def unreadable(df: DataFrame) -> Column:
-    return F.col("_corrupt_record").isNotNull()
