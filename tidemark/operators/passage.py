@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import chunks
 
 
 @dataclass(frozen=True)

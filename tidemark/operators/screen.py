@@ -204,7 +204,8 @@ def nonoverlap(obs: DataFrame, keys: list[str], horizon: str = "horizon", idx: s
 
     Indices are cut into blocks. For each block the next allowed index is worked out for every
     state it can be entered in (there are at most `horizon`); those tables are chained over the
-    key's blocks, and then each block is thinned on its own. Rows travel inside their block."""
+    key's blocks, and then each block is thinned on its own. Rows travel inside their block; a key's
+    tables hold `horizon` numbers for every 256 rows."""
     base, h = F.col("_blk") * BLOCK, F.col(horizon)
     rest = [c for c in obs.columns if c not in keys and c != horizon]
     row = F.struct(F.col(idx).cast("long").alias("_i"), *rest)
@@ -212,14 +213,17 @@ def nonoverlap(obs: DataFrame, keys: list[str], horizon: str = "horizon", idx: s
               .agg(F.array_sort(F.collect_list(row)).alias("_rows")))
     leave = F.transform(F.sequence(F.lit(0).cast("long"), h.cast("long") - 1), lambda s: F.aggregate(
         F.col("_rows"), base + s, lambda nxt, r: F.when(r["_i"] >= nxt, r["_i"] + h).otherwise(nxt)))
-    blocks = blocks.withColumn("_t", F.struct(base.alias("base"), leave.alias("out")))
-    w = Window.partitionBy(*keys, horizon).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_prev", F.collect_list("_t").over(w))
-    start = F.aggregate(
-        F.col("_prev"), F.lit(0).cast("long"),
-        lambda nxt, e: F.when(nxt - e["base"] >= F.size(e["out"]), nxt).otherwise(
-            F.element_at(e["out"], (F.greatest(nxt - e["base"], F.lit(0)) + 1).cast("int"))))
-    blocks = blocks.withColumn("_start", start)
+    # a key's tables meet once; one pass over them gives the state in which each block is entered
+    keyed = [*keys, horizon]
+    step = lambda nxt, e: F.when(nxt - e["base"] >= F.size(e["out"]), nxt).otherwise(
+        F.element_at(e["out"], (F.greatest(nxt - e["base"], F.lit(0)) + 1).cast("int")))
+    tables = (blocks.select(*keyed, F.struct("_blk", base.alias("base"), leave.alias("out")).alias("_t"))
+              .groupBy(*keyed).agg(F.array_sort(F.collect_list("_t")).alias("_t")))
+    entered = F.aggregate(
+        F.col("_t"), F.struct(F.lit(0).cast("long").alias("nxt"), F.array().cast("array<bigint>").alias("at")),
+        lambda a, e: F.struct(step(a["nxt"], e).alias("nxt"), F.array_append(a["at"], a["nxt"]).alias("at")), lambda a: a["at"])
+    starts = tables.select(*keyed, F.explode(F.arrays_zip(F.col("_t._blk").alias("_blk"), entered.alias("_start"))).alias("x"))
+    blocks = blocks.join(starts.select(*keyed, "x._blk", "x._start"), [*keyed, "_blk"])
     kept = F.aggregate(
         F.col("_rows"), F.struct(F.col("_start").alias("nxt"), F.array().cast("array<bigint>").alias("ids")),
         lambda a, r: F.when(r["_i"] >= a["nxt"], F.struct((r["_i"] + h).cast("long").alias("nxt"),
