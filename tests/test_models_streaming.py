@@ -37,6 +37,14 @@ def test_meta_model_learns_and_refuses(spark):
         M.fit_meta(folds.withColumn("label", F.lit(1)), ["x"])
 
 
+def test_meta_model_finds_no_skill_in_noise(spark):
+    rnd = random.Random(3)
+    rows = [(i, i + 2, rnd.random(), rnd.randrange(2)) for i in range(900)]
+    folds = FO.purged_kfold(spark.createDataFrame(rows, "t0 long, t1 long, x double, label int"), [], ["t0"], 3, 0.01).cache()
+    r = M.evaluate(M.out_of_fold(folds, M.fit_meta(folds, ["x"], max_iter=5))).first()
+    assert r["brier"] >= r["brier_base"] and abs(r["auc"] - 0.5) < 0.06
+
+
 def test_stream_bars_drop_late_prints_and_keep_open_bars_back(spark, tmp_path):
     t0 = datetime(2026, 1, 5)
     schema = "symbol string, ts timestamp, seq long, price double, size double, side int"

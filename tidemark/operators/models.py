@@ -90,10 +90,11 @@ def fit_meta(folds: DataFrame, columns: list[str], label: str = "label", weight:
              min_samples: int = 150, max_iter: int = 180, seed: int = 7) -> MetaModel:
     """Boosted trees with isotonic calibration, on purged folds only.
 
-    folds: rows with columns fold and role, as made by the purged splitters; each fold trains on
-    its train rows and calibrates on its test rows."""
-    if "role" not in folds.columns or "fold" not in folds.columns:
-        raise ValueError("calibration needs purged folds with columns fold and role")
+    folds: rows with columns fold, role, t0 and t1, as made by the purged splitters. The test rows
+    of a fold see neither step: its trees are fitted on the earlier three quarters of its train
+    rows, the calibration on those that start later; what lies across the cut is left out."""
+    if not {"fold", "role", "t0", "t1"} <= set(folds.columns):
+        raise ValueError("calibration needs purged folds with columns fold, role, t0 and t1")
     d = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="skip").transform(folds)
     d = d.withColumn("_y", F.col(label).cast("double")).withColumn("_w", F.col(weight) if weight else F.lit(1.0))
     seen = d.filter(F.col("role") == "test").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_y").alias("k")).first()
@@ -103,10 +104,11 @@ def fit_meta(folds: DataFrame, columns: list[str], label: str = "label", weight:
         raise ValueError("labels are all one class")
     fitted = []
     for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():  # a handful of folds
-        part = d.filter(F.col("fold") == fold).select("role", "_x", "_y", "_w")
+        part = d.filter((F.col("fold") == fold) & (F.col("role") == "train")).select("t0", "t1", "_x", "_y", "_w")
+        cut = part.agg(F.percentile("t0", 0.75)).first()[0]
         tree = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxDepth=3, stepSize=0.05, maxIter=max_iter,
-                             minInstancesPerNode=30, seed=seed).fit(part.filter(F.col("role") == "train"))
-        held = _raw_score(tree, part.filter(F.col("role") == "test"), "_s")
+                             minInstancesPerNode=30, seed=seed).fit(part.filter(F.col("t1") < cut))
+        held = _raw_score(tree, part.filter(F.col("t0") >= cut), "_s")
         iso = IsotonicRegression(featuresCol="_s", labelCol="_y", weightCol="_w").fit(held)
         fitted.append((tree, iso))
     return MetaModel(columns, fitted)
