@@ -40,10 +40,13 @@ NUM, DEN = 75, 100
 COMMON = 16
 #: Buckets of the lower bound.
 BUCKETS = 128
+#: Numbers of 64 buckets each whose parities bound a difference within Spark.
+ODD = 8
 #: Expected cost of a signature of one shingle, against 1 for a longer one: its list is longer.
 SINGLE = 4.0
 #: The parities of the bucket counts differ in no more places than the sets in shingles.
-PARITIES = f"bit_count(p_a ^ p_b) + bit_count(q_a ^ q_b) <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})"
+PARITIES = (" + ".join(f"bit_count(a_{k} ^ b_{k})" for k in range(ODD))
+            + f" <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})")
 #: Bytes of text whose signatures are made together.
 BATCH = 4 << 20
 U = np.uint64
@@ -171,9 +174,16 @@ def _sets(text: pa.Array):
         yield i, j, np.concatenate([f[0] for f in found]), np.concatenate([[0]] + [f[1][1:] + x for f, x in zip(found, lead)])
 
 
+def parities(e: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n sets whether the buckets hold an odd number of its shingles, as ODD numbers."""
+    width = 64 * ODD
+    counts = np.bincount(owner * width + (tokens.mix(e ^ U(0x5BF03635)) % U(width)).astype(np.int64), minlength=n * width)
+    return np.packbits((counts.reshape(n, width) & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), set (digest), sketch (bucket counts) and parities of the counts (two
-    times 64 bits) of each document."""
+    """doc_id, n (set size), set (digest), sketch (bucket counts) and parities of finer
+    buckets of each document."""
     def run(batches):
         for b in batches:
             for i, j, e, off in _sets(b.column(1)):
@@ -182,13 +192,13 @@ def describe(docs: DataFrame) -> DataFrame:
                 own = np.repeat(np.arange(n), size)
                 counts = np.bincount(own * BUCKETS + (tokens.mix(e) % U(BUCKETS)).astype(np.int64), minlength=n * BUCKETS)
                 blob = np.minimum(counts, 255).astype(np.uint8).reshape(n, BUCKETS)
-                odd = np.packbits((counts.reshape(n, BUCKETS) & 1).astype(np.uint8), axis=1).view(np.int64)
+                odd = parities(e, own, n)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, n).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(digest(e, off)),
-                     pa.array([r.tobytes() for r in blob], pa.binary()), *(pa.array(odd[:, k].copy()) for k in (0, 1))],
-                    ["doc_id", "n", "set", "sketch", "odd_0", "odd_1"])
+                     pa.array([r.tobytes() for r in blob], pa.binary()), pa.array(odd.tolist(), pa.list_(pa.int64()))],
+                    ["doc_id", "n", "set", "sketch", "odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set long, sketch binary, odd_0 long, odd_1 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set long, sketch binary, odd array<long>")
 
 
 LISTS = "shard int, sets binary, sigs binary, flags binary, owners binary, spare binary"
@@ -322,9 +332,13 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents whose sets link, from the texts of both."""
     pairs = stored(pairs)
-    used = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = matching(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), used, "doc_id")
-    both = (pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ask = stored(pairs.select(F.col("b").alias("doc_id"), "a"))
+    heads = stored(pairs.select(F.col("a").alias("doc_id")).distinct())
+    # few pairs are broadcast, and then each text is shuffled once
+    right = matching(texts, ask, "doc_id", "inner").select("a", F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = matching(texts, heads, "doc_id").toDF("a", "text_a")
+    both = right.join(left, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         for batch in batches:
@@ -369,11 +383,11 @@ def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFra
             .select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct())
     tied = stored(verified(_possible(star, classes), docs))
     cluster = components(edges.union(tied))
-    part = (members.join(classes.select("set", "rep", "n", "odd_0", "odd_1"), "set").join(cluster, F.col("rep") == F.col("node"), "left")
-            .select("g", "set", F.coalesce("component", "rep").alias("cluster"), "n", "odd_0", "odd_1"))
+    part = (members.join(classes.select("set", "rep", "n", *(F.col("odd")[k].alias(f"odd_{k}") for k in range(ODD))), "set").join(cluster, F.col("rep") == F.col("node"), "left")
+            .select("g", "set", F.coalesce("component", "rep").alias("cluster"), "n", *(f"odd_{k}" for k in range(ODD))))
     mixed = part.groupBy("g").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("g")
     part = stored(part.join(mixed, "g", "left_semi"))
-    across = (part.toDF("g", "a", "c_a", "n_a", "p_a", "q_a").join(part.toDF("g", "b", "c_b", "n_b", "p_b", "q_b"), "g")
+    across = (part.toDF("g", "a", "c_a", "n_a", *(f"a_{k}" for k in range(ODD))).join(part.toDF("g", "b", "c_b", "n_b", *(f"b_{k}" for k in range(ODD))), "g")
               .where(f"c_a < c_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {PARITIES}")
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return tied.union(verified(_possible(across, classes), docs))
@@ -383,7 +397,7 @@ def links(docs: DataFrame, described: DataFrame, shards: int) -> DataFrame:
     """Links (u, v) between the documents that stand for the distinct sets."""
     classes = stored(described.where("n > 0 and doc_id is not null").groupBy("set").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
-        F.first("odd_0").alias("odd_0"), F.first("odd_1").alias("odd_1")))
+        F.first("odd").alias("odd")))
     found = stored(_groups(_listing(docs, signatures, shards), False))
     edges = stored(_rare(found, classes, docs))
     crowded = stored(_crowded(found).join(classes.select("set", "rep"), "set").select(F.col("rep").alias("doc_id"), "set"))

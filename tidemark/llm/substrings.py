@@ -34,7 +34,6 @@ ROWS = 2
 RUN_WORDS = 40
 #: Rounds of leaders in a crowded band before its remaining members are all compared.
 ROUNDS = 3
-BUCKETS = jaccard.BUCKETS
 BATCH = 8 << 20
 U = np.uint64
 
@@ -187,13 +186,11 @@ def _shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     size = np.diff(off)[hit]
                     own = np.repeat(np.arange(len(hit)), size)
                     flat = np.concatenate([e[off[k]: off[k + 1]] for k in hit])
-                    counts = np.bincount(own * BUCKETS + (tokens.mix(flat) % U(BUCKETS)).astype(np.int64), minlength=len(hit) * BUCKETS)
-                    odd = np.packbits((counts.reshape(len(hit), BUCKETS) & 1).astype(np.uint8), axis=1).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c[hit]), pa.array([e[off[k]: off[k + 1]].tobytes() for k in hit], pa.binary()), pa.array(size.astype(np.int32)),
-                         pa.array(odd[:, 0].copy()), pa.array(odd[:, 1].copy())], ["class", "shingles", "n", "odd_0", "odd_1"])
+                         pa.array(jaccard.parities(flat, own, len(hit)).tolist(), pa.list_(pa.int64()))], ["class", "shingles", "n", "odd"])
 
-    return some.mapInArrow(run, "class long, shingles binary, n int, odd_0 long, odd_1 long").dropDuplicates(["class"])
+    return some.mapInArrow(run, "class long, shingles binary, n int, odd array<long>").dropDuplicates(["class"])
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -236,8 +233,10 @@ def _near(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
             tied = stored(_verified(met.select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), shingles))
             crowd = stored(met.join(tied, (met.lead == tied.u) & (met["class"] == tied.v), "left_anti").select("g", "class"))
         else:
-            rest = stored(crowd.join(shingles.select("class", "n", "odd_0", "odd_1"), "class").select("g", "class", "n", "odd_0", "odd_1"))
-            met = (rest.toDF("g", "a", "n_a", "p_a", "q_a").join(rest.toDF("g", "b", "n_b", "p_b", "q_b"), "g")
+            odds = range(jaccard.ODD)
+            rest = stored(crowd.join(shingles.select("class", "n", *(F.col("odd")[k].alias(f"odd_{k}") for k in odds)), "class")
+                          .select("g", "class", "n", *(f"odd_{k}" for k in odds)))
+            met = (rest.toDF("g", "a", "n_a", *(f"a_{k}" for k in odds)).join(rest.toDF("g", "b", "n_b", *(f"b_{k}" for k in odds)), "g")
                    .where(f"a < b and {jaccard.PARITIES}").select("a", "b").distinct())
             tied = _verified(met, shingles)
         edges = stored(edges.union(tied))
