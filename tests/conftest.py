@@ -9,8 +9,10 @@ from tidemark.session import build  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build("tests", "local[4]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "4g",
+def spark(tmp_path_factory):
+    s = build("tests", "local[4]", 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+                                         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+                                         "spark.ui.enabled": "false", "spark.driver.memory": "4g",
                                          "spark.ui.showConsoleProgress": "false", "spark.sql.adaptive.enabled": "true"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
