@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,27 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score(d, toxicity.fit(d, lab.where("false"))).where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(monkeypatch):
+    rnd = random.Random(6)
+    vocab = ["".join(rnd.choice(["an", "er", "th", "on", "in", "el"]) for _ in range(rnd.randint(1, 4))) for _ in range(500)]
+    texts, labels, seen = [], [], []
+    for i in range(120):
+        w, bad = [rnd.choice(vocab) for _ in range(1300)], i % 2
+        if bad:  # behind word 1000 only
+            w[1150:1154] = [rnd.choice(["blorf", "zukk"]) + rnd.choice(["a", "en", "ix"]) for _ in range(4)]
+        texts.append(" ".join(w))
+        labels.append(bad)
+    real = toxicity._calibrate
+    monkeypatch.setattr(toxicity, "_calibrate", lambda x, y, w: seen.append(x) or real(x, y, w))
+    net = toxicity.train(texts, labels)
+    p = toxicity.score_batch(net, pa.array(texts))
+    assert np.mean((p >= 0.5) == np.array(labels)) >= 0.95
+    # the calibration saw the maxima that scoring takes
+    assert toxicity._sigmoid(net.scale * seen[0] + net.shift) == pytest.approx(p[4::5])
+    _, first, _ = toxicity.windows(np.array([1300]))
+    assert set(np.diff(first)) == {16}
+
+
 def test_pipeline_by_stage(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "substring_dedup", "mixing", "bpe"]

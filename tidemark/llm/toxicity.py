@@ -20,17 +20,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 8, 16
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 GRAMS = (4, 5)
 #: Words and n-grams of fewer training texts than this, or than this share of them, carry no vector
 #: of their own: they would only be learnt by heart.
 LEAST, LEAST_SHARE = 4, 0.02
-#: At most so many texts of each label are collected for training.
+#: At most so many texts of each label are collected for training, each of them whole.
 SAMPLE = 700
-#: Words of a training text that take part; scoring always reads whole texts.
-TRAIN_WORDS = 1000
 U = np.uint64
 f32 = np.float32
 
@@ -221,7 +219,6 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
     if not len(y) or y.min() == y.max():
         net.p["bias"][:] = -10
         return net
-    texts = [" ".join((t or "").split(" ")[:TRAIN_WORDS]) for t in texts]
     kept = [t for t, a in zip(texts, apart) if not a]
     goal = y[~apart]
     number, size, (word, gram, off) = _rows_of(kept)
@@ -271,16 +268,23 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
     share = y[check].mean()
     weight = np.where(y[check] > 0, (share if prior is None else prior) / share, (1 - (share if prior is None else prior)) / (1 - share))
     net.empty = float(share if prior is None else prior)
-    net.scale, net.shift = _calibrate(_worst(net, [t for t, a in zip(texts, check) if a]), y[check], weight)
+    net.scale, net.shift = _calibrate(
+        np.where(np.isfinite(best := _worst(net, pa.array([t for t, a in zip(texts, check) if a], pa.string()))), best, net.p["bias"][0]), y[check], weight)
     return net
 
 
-def _worst(net: Network, texts: list[str]) -> np.ndarray:
-    number, size, feats = _rows_of(texts)
-    text, ids, count = _layout(number, size)
-    best = np.full(len(size), -np.inf)
-    np.maximum.at(best, text, _all(net, feats, ids, count))
-    return np.where(np.isfinite(best), best, net.p["bias"][0])
+def _worst(net: Network, texts: pa.Array) -> np.ndarray:
+    """Logits of the worst windows of whole texts, some texts at a time; -inf for texts without words."""
+    raw, off = tokens.parts(texts)
+    out = np.empty(len(texts))
+    for i, j in tokens.slices(off):
+        h, row, s, e, low = tokens.words(raw[off[i]: off[j]], off[i: j + 1] - off[i])
+        _, one, number = np.unique(h, return_index=True, return_inverse=True)
+        text, ids, count = _layout(number, np.bincount(row, minlength=j - i))
+        best = np.full(j - i, -np.inf)
+        np.maximum.at(best, text, _all(net, features(h[one], s[one], e[one], low), ids, count))
+        out[i:j] = best
+    return out
 
 
 def _all(net: Network, feats, ids: np.ndarray, count: np.ndarray, block: int = 4096) -> np.ndarray:
@@ -312,15 +316,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def score_batch(net: Network, texts: pa.Array) -> np.ndarray:
     """Scores of whole texts, 0 to 1."""
-    raw, off = tokens.parts(texts)
-    out = np.empty(len(texts))
-    for i, j in tokens.slices(off):
-        h, row, s, e, low = tokens.words(raw[off[i]: off[j]], off[i: j + 1] - off[i])
-        _, one, number = np.unique(h, return_index=True, return_inverse=True)
-        text, ids, count = _layout(number, np.bincount(row, minlength=j - i))
-        best = np.full(j - i, -np.inf)
-        np.maximum.at(best, text, _all(net, features(h[one], s[one], e[one], low), ids, count))
-        out[i:j] = best
+    out = _worst(net, texts)
     return np.where(np.isfinite(out), _sigmoid(net.scale * np.where(np.isfinite(out), out, 0) + net.shift), net.empty)
 
 
