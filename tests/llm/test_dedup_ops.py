@@ -125,6 +125,34 @@ def test_substring_dedup(spark):
     assert set(cuts) == {2, 4, 6, 8, 10, 102} and all(0 in s for s in cuts.values())
 
 
+def test_crowded_bands_keep_tied_members(spark):
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(25):  # families that drift one word a step
+        w = [rnd.choice(vocab) for _ in range(110)]
+        texts += [" ".join(w[k: k + 60]) for k in range(50)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near, _ = substrings._near(d, 4)
+    got = {r["class"]: r.cluster for r in near.collect()}
+    sets = {}
+    for _, _, e, off, c in substrings._paragraphs(pa.array(texts)):
+        who, sig = substrings._minhash(e, off)
+        sets = {int(c[i]): e[off[i]: off[i + 1]] for i in range(len(c))}
+        held = collections.defaultdict(list)
+        for i, g in zip(who, sig):
+            held[int(g)].append(int(c[i]))
+    s = Sets(sets)
+    for m in held.values():
+        for i, a in enumerate(m):
+            for b in m[i + 1:]:
+                if jaccard._links(sets[a], sets[b]):
+                    s.join(a, b)
+    assert max(map(len, held.values())) > jaccard.COMMON
+    size = collections.Counter(s.find(c) for c in sets)
+    assert got == {c: s.find(c) for c in sets if size[s.find(c)] > 1}
+
+
 def test_bands_reach_the_recall():
     b = substrings.bands()
     assert 1 - (1 - 0.75**substrings.ROWS) ** b >= substrings.RECALL > 1 - (1 - 0.75**substrings.ROWS) ** (b - 1)

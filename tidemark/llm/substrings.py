@@ -32,7 +32,7 @@ RECALL = 0.96
 ROWS = 2
 #: Least words of a run of repeats that is removed.
 RUN_WORDS = 40
-#: Rounds of leaders in a crowded band before its remaining members are all compared.
+#: Rounds of leaders in a crowded band before its members of different clusters are compared.
 ROUNDS = 3
 BATCH = 8 << 20
 U = np.uint64
@@ -224,22 +224,27 @@ def _near(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     first = stored(where.groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("p")).select("class", "p.*"))
     shingles = stored(_shingles(docs, first))
     edges = stored(_verified(pairs, shingles))
-    for k in range(ROUNDS + 1):
-        if crowd.isEmpty():
-            break
-        if k < ROUNDS:
-            lead = crowd.groupBy("g").agg(F.min("class").alias("lead"))
-            met = stored(crowd.join(lead, "g").where("class <> lead"))
-            tied = stored(_verified(met.select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), shingles))
-            crowd = stored(met.join(tied, (met.lead == tied.u) & (met["class"] == tied.v), "left_anti").select("g", "class"))
-        else:
-            odds = range(jaccard.ODD)
-            rest = stored(crowd.join(shingles.select("class", "n", *(F.col("odd")[k].alias(f"odd_{k}") for k in odds)), "class")
-                          .select("g", "class", "n", *(f"odd_{k}" for k in odds)))
-            met = (rest.toDF("g", "a", "n_a", *(f"a_{k}" for k in odds)).join(rest.toDF("g", "b", "n_b", *(f"b_{k}" for k in odds)), "g")
-                   .where(f"a < b and {jaccard.PARITIES}").select("a", "b").distinct())
-            tied = _verified(met, shingles)
+    if crowd.isEmpty():
+        return components(edges).toDF("class", "cluster"), first
+    open_ = crowd
+    for _ in range(ROUNDS):
+        lead = open_.groupBy("g").agg(F.min("class").alias("lead"))
+        met = stored(open_.join(lead, "g").where("class <> lead"))
+        tied = stored(_verified(met.select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), shingles))
+        open_ = stored(met.join(tied, (met.lead == tied.u) & (met["class"] == tied.v), "left_anti").select("g", "class"))
         edges = stored(edges.union(tied))
+        if open_.isEmpty():
+            break
+    # tied members stay: one may be the only link of another that no leader matches
+    label = components(edges).toDF("class", "cluster")
+    part = stored(crowd.join(label, "class", "left").select("g", "class", F.coalesce("cluster", "class").alias("cluster")))
+    mixed = part.groupBy("g").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("g")
+    odds = range(jaccard.ODD)
+    rest = stored(part.join(mixed, "g", "left_semi").join(shingles.select("class", "n", *(F.col("odd")[k].alias(f"odd_{k}") for k in odds)), "class")
+                  .select("g", "class", "cluster", "n", *(f"odd_{k}" for k in odds)))
+    met = (rest.toDF("g", "a", "c_a", "n_a", *(f"a_{k}" for k in odds)).join(rest.toDF("g", "b", "c_b", "n_b", *(f"b_{k}" for k in odds)), "g")
+           .where(f"c_a < c_b and {jaccard.PARITIES}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = stored(edges.union(_verified(met, shingles)))
     return components(edges).toDF("class", "cluster"), first
 
 
