@@ -213,6 +213,22 @@ def test_mixing(spark):
     assert mixing.mix(d.where("false"), goal).count() == 0
 
 
+def test_even_targets_flatten_the_tail(spark):
+    # 40 named-size sources, a tail of 60 % in 200 more and null ones
+    rows = [(i, "w " * 20, f"big{i % 40:02}", "en") for i in range(1600)] + [(2000 + i, "w " * 10, f"t{i % 200}" if i % 10 else None, "en") for i in range(4800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.even_targets(d)["source"]
+    total = 1600 * 20 + 4800 * 10
+    named = 30 * 40 * 20
+    assert len(got) == 31
+    assert got[mixing.OTHER] / got["big00"] == pytest.approx(((total - named) / (40 * 20)) ** 0.75)
+    # the share of the tail falls by flattening, but most of it stays
+    keep = mixing.mix(d, mixing.even_targets(d)).where("_source = '(other)'").agg(F.avg("_probability")).first()[0]
+    assert 0.2 < keep < 1
+    assert mixing.even_targets(d.where("false"))["source"] == {mixing.OTHER: 1.0}
+    assert mixing.OTHER not in mixing.even_targets(d.where("source = 'big00'"))["source"]
+
+
 def test_toxicity_gradients():
     net = toxicity.Network(1)
     net.p["gram"][:] = np.random.default_rng(0).normal(0, 0.1, net.p["gram"].shape)

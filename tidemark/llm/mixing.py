@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import stored
+
 OTHER = "(other)"
 DIMENSIONS = ("source", "lang", "topic")
 #: Most categories of a margin, so that cells fit the driver.
@@ -129,15 +131,18 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], budget: float | N
 
 def even_targets(docs: DataFrame, top: int = 30, power: float = 0.75) -> dict[str, dict[str, float]]:
     """Targets that flatten the mix: each margin's share goes as its tokens' share to the `power`,
-    for the `top` categories of the most tokens and `OTHER`."""
+    for the `top` categories of the most tokens and `OTHER`, which has the tokens of all others and of
+    nulls."""
     out = {}
     d = docs.select("source", "lang", topic(F.col("text")).alias("topic"), tokens(F.col("text")).alias("n"))
-    cells = d.groupBy("source", "lang", "topic").agg(F.sum("n").alias("n"))
+    cells = stored(d.groupBy("source", "lang", "topic").agg(F.sum("n").alias("n")))
+    total = cells.agg(F.sum("n")).first()[0] or 0
     for name in DIMENSIONS:
         rows = cells.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), name).limit(top).collect()
-        total = sum(r.n for r in rows) or 1
         out[name] = {r[name]: (r.n / total) ** power for r in rows if r.n}
-        out[name][OTHER] = min(out[name].values(), default=1.0)
+        rest = total - sum(r.n for r in rows)
+        if rest or not out[name]:
+            out[name][OTHER] = (rest / total) ** power if rest else 1.0
         size = sum(out[name].values())
         out[name] = {k: v / size for k, v in out[name].items()}
     return out
