@@ -83,6 +83,23 @@ def test_jaccard_join(spark, families):
     assert jaccard.join(d.where("false")).count() == 0
 
 
+def test_jaccard_charges_signatures_of_earlier_seeds(spark):
+    again = getattr(jaccard, "DEALT_AGAIN", 0)
+
+    def make(e, off):  # one signature is common; the longest set ends at a later seed, with a rare one
+        n, y = len(off) - 1, int(np.argmax(np.diff(off)))
+        units = np.where(np.arange(n) == y, again, 1).astype(np.uint8)
+        spare = np.zeros((n, 2), np.int64)
+        return (np.append(np.arange(n), y), np.append(np.full(n, 1 << 40, np.uint64), np.uint64(77)), np.zeros(n + 1, np.uint8), np.append(units, 2).astype(np.uint8)), spare
+
+    rows = [(i, f"a b c d e{i}" + (" f g" if i == 7 else "")) for i in range(20)]
+    found = jaccard._groups(jaccard._listing(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), make, 4), False)
+    assert jaccard._crowded(found).count() == 20
+    # a loose segment loses a difference with a one-deletion signature
+    (_, _, _, units), _ = jaccard.signatures(np.arange(60, dtype=np.uint64), np.array([0, 60]))
+    assert units.min() >= 1
+
+
 def test_allocation_answers_the_largest_difference():
     for lo in (1, 2, 4, 7, 30, 200, 3000):
         m, loose = jaccard.allocation(lo, lo * 4 // 3)

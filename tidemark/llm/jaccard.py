@@ -9,7 +9,8 @@ cost. Empty segments are not listed; a set that has too few full ones is dealt a
 seed until it has enough, and a pair is found under the smaller of its sets' last seeds.
 
 A signature held by more than `COMMON` distinct sets would pair them all. It is left out, which is
-exact for every set that has enough other signatures. The other sets are joined again by single
+exact for every set that has enough other signatures at its last seed and lost none at an earlier
+one that sets end at. The other sets are joined again by single
 shingles (the finest partition), and sets that consist of common shingles even among those are
 tied to a few leaders of their groups, then compared across the clusters that result.
 
@@ -38,6 +39,10 @@ WIDTH = 5
 NUM, DEN = 75, 100
 #: Distinct sets under one signature above which it is left to the later rounds.
 COMMON = 16
+#: Units of a signature of a set that is dealt again: a set that ends at this seed may be met here only.
+DEALT_AGAIN = 3
+#: Units charged to such a set where the signature is common.
+ALL = 1 << 21
 #: Buckets of the lower bound.
 BUCKETS = 128
 #: Numbers of 64 buckets each whose parities bound a difference within Spark.
@@ -108,13 +113,14 @@ def _segments(e: np.ndarray, owner: np.ndarray, m: np.ndarray, q: np.ndarray, sa
         k = np.repeat(np.arange(len(start)), size)[part]
         sig = np.concatenate([sig, tokens.mix((total[k] - value[part]) ^ tag[k])])
         who = np.concatenate([who, o[k]])
-    listed = np.concatenate([units, np.zeros(len(sig) - len(units), np.int64)])
+    # a segment whose one-deletion signature is common answers a difference less
+    listed = np.concatenate([units, np.ones(len(sig) - len(units), np.int64)])
     return who, sig, listed, np.bincount(o, weights=units, minlength=n).astype(np.int64)
 
 
 def signatures(e: np.ndarray, off: np.ndarray):
     """All signatures of some sets: set, signature, slot (0: with larger sets, 1: with smaller ones),
-    units; and for each set and slot the units to spare."""
+    units (DEALT_AGAIN before the set's last seed); and for each set and slot the units to spare."""
     size = np.diff(off)
     n = len(size)
     bands = np.array(lows(int(size.max()) if n else 1))
@@ -137,7 +143,7 @@ def signatures(e: np.ndarray, off: np.ndarray):
             salt = tokens.mix(band.astype(U) * U(0xA0761D6478BD642F) + U(seed * 7919 + 13))
             who, sig, units, have = _segments(flat, own, m, q, salt)
             ends = have >= need
-            out.append((at[who], sig, np.full(len(sig), slot, np.uint8), np.where(ends[who], units, 0).astype(np.uint8)))
+            out.append((at[who], sig, np.full(len(sig), slot, np.uint8), np.where(ends[who], units, DEALT_AGAIN).astype(np.uint8)))
             spare[at[ends], slot] = (have - need)[ends]
             at, band, need, m, q, seed = at[~ends], band[~ends], need[~ends], m[~ends], q[~ends], seed + 1
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, U, np.uint8, np.uint8)], spare
@@ -258,8 +264,12 @@ def _groups(lists: DataFrame, crowds: bool) -> DataFrame:
         parts = [pd.DataFrame({"kind": _PAIRS, "g": sig[start[rare]].view(np.int64),
                                "members": [c[a: a + k].tolist() for a, k in zip(start[rare], size[rare])], "slot": 0, "units": 0})]
         if common.any():
-            lost = pd.DataFrame({"c": c[common], "slot": flag[common] >> 4, "units": flag[common] & 15}).groupby(["c", "slot"], as_index=False).units.sum()
+            units = (flag & 15).astype(np.int64)
+            ending = np.repeat(np.logical_or.reduceat(units != DEALT_AGAIN, start), size)
+            units = np.where(units == DEALT_AGAIN, np.where(ending, ALL, 0), units)
+            lost = pd.DataFrame({"c": c[common], "slot": flag[common] >> 4, "units": units[common]}).groupby(["c", "slot"], as_index=False).units.sum()
             lost = lost[lost.units > 0]
+            lost["units"] = lost.units.clip(upper=ALL)
             parts.append(pd.DataFrame({"kind": _LOST, "g": 0, "members": [[x] for x in lost.c.tolist()], "slot": lost.slot, "units": lost.units}))
             if crowds:
                 blocks = [(int(np.int64(sig[a].view(np.int64))), c[i: min(i + 4096, a + k)].tolist())
