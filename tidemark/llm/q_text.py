@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, counts, fingerprints, jaccard, lm, mixing, substrings, toxicity, urls, vectors
+from tidemark.llm import (bpe, counts, fingerprints, interactions, jaccard, lm, mixing, neighbours, substrings, toxicity, urls, variants,
+                          vectors)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +101,41 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_lm_score")
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_filter_interactions", r"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+f AS (SELECT row, doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+             + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+             + 16 * coalesce(doc_id > first, false)::INT AS fails FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+e AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM e a, e b, e c, e d, e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, (1 << (ascii(filter_order[step]) - 65)) AS own,
+             list_sum([1 << (ascii(filter_order[i]) - 65) FOR i IN range(1, 6) IF i < step]) AS found FROM o, range(1, 6) r(step)),
+p AS (SELECT *, coalesce(found, 0)::INT AS behind FROM s),
+k AS (SELECT part, filter_order, step, own, sum(CASE WHEN fails & (behind | own) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN fails & own > 0 AND fails & behind = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN fails & own > 0 AND fails & behind > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN fails & own > 0 AND fails & behind = 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN fails & own > 0 AND fails & behind = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, p GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM k
+""")
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.words(table(spark, sf_dir, "documents")))
+
+
+@query("op13_nearest_neighbours")
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors_ = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors_, vectors_.where("vec_id % 50 = 0"))
