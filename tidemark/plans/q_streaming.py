@@ -10,9 +10,10 @@ from tidemark.plans.registry import cte, query, rounded
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import views as V
 from tidemark.sources.bars import read_bars
-from tidemark.streaming import jobs, state
+from tidemark.streaming import jobs, ordered
 
 LATE = "2 hours"
+DAY = 86_400_000
 
 
 def raw_events(spark, sf):
@@ -31,13 +32,12 @@ def prints(spark, sf):
 cte("stream_bars", """
 SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close,
  sum(size) AS volume, count(*) AS prints, sum(CASE WHEN CAST(size AS BIGINT) % 2 = 0 THEN size ELSE -size END) AS delta FROM prints GROUP BY 1, 2
-HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM prints) - INTERVAL '2 hours'
 """, ("prints",))
 
 
 @query("stream_delta_bars", "SELECT * FROM stream_bars", ("stream_bars",))
 def _(spark, sf):
-    return jobs.drain(jobs.delta_bars(prints(spark, sf), "1 hour", LATE))
+    return jobs.complete(jobs.delta_windows(prints(spark, sf), "1 hour", LATE))
 
 
 @query("stream_once", "SELECT symbol, count(*) AS n FROM prints GROUP BY symbol", ("prints",))
@@ -50,11 +50,11 @@ def _(spark, sf):
 
 @query("stream_upsert_bars", "SELECT symbol, ts, open, high, low, close, volume FROM stream_bars", ("stream_bars",))
 def _(spark, sf):
-    """Closed bars merged into the bar table, twice."""
+    """Closed bars merged into the bar table as they close, the open ones at the end; twice."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/bars-{uuid.uuid4().hex}"
     for _i in range(2):
-        jobs.drain(jobs.delta_bars(prints(spark, sf), "1 hour", LATE), batch=jobs.upsert_into(spark, path, "H1", allow_nonpositive=True))
+        jobs.complete(jobs.delta_windows(prints(spark, sf), "1 hour", LATE), batch=jobs.upsert_into(spark, path, "H1", allow_nonpositive=True))
     return read_bars(spark, path, timeframe="H1").drop("timeframe", "year")
 
 
@@ -63,18 +63,30 @@ SELECT symbol, silent_from, silent_to, round(epoch(silent_to - silent_from), 4)
 WHERE epoch(silent_to - silent_from) > 5400
 """, ("prints",))
 def _(spark, sf):
-    ticks = prints(spark, sf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return rounded(jobs.drain(state.feed_staleness(ticks, 5400)), 4)
+    d = jobs.complete(ordered.feed_silence(prints(spark, sf), 5400, 3600, LATE, width=DAY))
+    return rounded(d.filter("status = 'returned'").select("symbol", "silent_from", F.col("noted_at").alias("silent_to"), "seconds"), 4)
+
+
+@query("stream_feed_silence", """
+WITH g AS (SELECT symbol, ts, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS following FROM prints),
+seen AS (SELECT (floor(epoch(max(ts)) * 1000) - 7200000)::BIGINT AS mark FROM prints),
+a AS (SELECT symbol, ts, following, ts + INTERVAL '5400 seconds' + n * INTERVAL '3600 seconds' AS noted_at FROM g, range(24 * 40) r(n))
+SELECT symbol, 'silent' AS status, ts AS silent_from, noted_at, round(epoch(noted_at - ts), 4) AS seconds FROM a, seen
+WHERE CASE WHEN following IS NULL THEN (epoch_ms(noted_at) // 3600000 + 1) * 3600000 <= mark ELSE noted_at < following END
+UNION ALL SELECT symbol, 'returned', ts, following, round(epoch(following - ts), 4) FROM g WHERE epoch(following - ts) > 5400
+""", ("prints",))
+def _(spark, sf):
+    """Every alert of a silent feed, also of one that never speaks again."""
+    return rounded(jobs.complete(ordered.feed_silence(prints(spark, sf), 5400, 3600, LATE, forget_seconds=60 * 86_400)), 4)
 
 
 @query("stream_heartbeat_sessions", """
 WITH b AS (SELECT runner, ts, feed_age_s, coalesce(epoch(ts - lag(ts) OVER (PARTITION BY runner ORDER BY ts)) >= 3600, true) AS fresh FROM journal WHERE event = 'heartbeat'),
 i AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY runner ORDER BY ts) AS island FROM b)
 SELECT runner, min(ts) AS first_beat, max(ts) AS last_beat, count(*) AS beats, max(feed_age_s) AS feed_age_max FROM i GROUP BY runner, island
-HAVING max(ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM journal WHERE event = 'heartbeat') - INTERVAL '2 hours'
 """, ("journal",))
 def _(spark, sf):
-    return jobs.drain(jobs.heartbeat_sessions(journal(spark, sf), "1 hour", LATE))
+    return jobs.complete(jobs.heartbeat_sessions(journal(spark, sf), "1 hour", LATE))
 
 
 def journal(spark, sf):
@@ -87,10 +99,10 @@ def journal(spark, sf):
 
 @query("stream_event_counts", """
 WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts) - o * INTERVAL '6 hours' AS from_ts, event FROM journal, range(4) r(o))
-SELECT from_ts, from_ts + INTERVAL '24 hours' AS to_ts, event, count(*) AS n FROM w GROUP BY ALL HAVING from_ts + INTERVAL '24 hours' <= (SELECT max(ts) FROM journal) - INTERVAL '2 hours'
+SELECT from_ts, from_ts + INTERVAL '24 hours' AS to_ts, event, count(*) AS n FROM w GROUP BY ALL
 """, ("journal",))
 def _(spark, sf):
-    return jobs.drain(jobs.event_counts(journal(spark, sf), "24 hours", "6 hours", LATE))
+    return jobs.complete(jobs.event_counts(journal(spark, sf), "24 hours", "6 hours", LATE))
 
 
 @query("stream_spread_guard", """
@@ -108,13 +120,12 @@ def _(spark, sf):
 @query("stream_quote_profile", """
 SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, count(*) AS samples, round(avg(spread), 6) AS mean_spread, round(max(spread), 6) AS max_spread, round(avg(spread / 0.01), 4) AS mean_points
 FROM (SELECT p.symbol, p.ts, p.price * 1.0005 + p.size / 1000 - p.price AS spread, p.size FROM prints p) WHERE size * 2 <= 120 GROUP BY 1, 2
-HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM prints WHERE size * 2 <= 120) - INTERVAL '2 hours'
 """, ("prints",))
 def _(spark, sf):
     q = prints(spark, sf).select(
         "symbol", "ts", (F.col("price") * 1.0005 + F.col("size") / 1000 - F.col("price")).alias("spread"), F.lit(0.01).alias("point"),
         F.timestamp_micros(F.unix_micros("ts") + (F.col("size") * 2).cast("long") * 1_000_000).alias("ingest_ts"))
-    return rounded(jobs.drain(jobs.quote_profile(q, 120, LATE)), mean_points=4)
+    return rounded(jobs.complete(jobs.quote_profile(q, 120, LATE)), mean_points=4)
 
 
 @query("stream_session_book", """
@@ -126,7 +137,7 @@ SELECT account, seq, round(equity, 6) AS equity, round(first_value(equity) OVER
 def _(spark, sf):
     pnl = (F.col("price") - 45) * F.col("size")
     s = prints(spark, sf).select(F.col("symbol").alias("account"), "ts", "seq", (100000 + pnl).alias("equity"), pnl.alias("pnl"))
-    return rounded(jobs.drain(state.session_book(s, 100_000.0)))
+    return rounded(jobs.complete(ordered.session_book(s, 100_000.0, LATE, width=DAY)))
 
 
 @query("stream_allocator_feed", """
@@ -141,4 +152,4 @@ def _(spark, sf):
     b = B.ohlcv(V.prints(spark, sf), "1 hour").select("symbol", "ts", "close", F.lit(5.0).alias("value_per_unit"))
     b.write.parquet(path)
     live = spark.readStream.schema(b.schema).parquet(path)
-    return rounded(jobs.drain(state.allocator_feed(live, 126)))
+    return rounded(jobs.complete(ordered.allocator_feed(live, 126, LATE, width=DAY)))

@@ -1,5 +1,6 @@
-"""Streaming forms of the bar, journal and quote operators. Every function takes and returns a
-streaming DataFrame (a batch one works too); `drain` runs a stream over what is available."""
+"""Streaming forms of the bar, journal and quote operators. Functions return a streaming DataFrame
+(a batch one works too), or a job with its `frame` and the way to close it; `drain` runs a stream
+over what is available, `complete` also closes what is still open at the end."""
 
 from __future__ import annotations
 
@@ -10,40 +11,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import ensure_checkpoint_dir
+from tidemark.streaming.ordered import Ordered
+from tidemark.streaming.windows import Windowed
 
 
-def source(spark: SparkSession, folder: str, file_name: str, schema: T.StructType) -> DataFrame:
-    """Files of one name in a folder, as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_name).parquet(folder)
+#: Files that one trigger reads, so that a backlog becomes many bounded batches.
+FILES_PER_TRIGGER = 64
 
 
-def drain(stream: DataFrame, mode: str = "append", batch=None) -> DataFrame | None:
-    """Run the stream over all available input into Parquet, and read the result back.
+def source(spark: SparkSession, folder: str, file_name: str, schema: T.StructType, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Files of one name in a folder, as a stream."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", file_name).option("maxFilesPerTrigger", files_per_trigger)
+            .parquet(folder))
 
-    State and output live in the shared checkpoint folder. With `batch`, each micro-batch is
-    handed to it instead and nothing is returned."""
+
+def _run(stream: DataFrame, mode: str, batch=None) -> tuple[str, DataFrame | None]:
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if batch is not None:
         w.foreachBatch(batch).start().awaitTermination()
-        return None
+        return f"{base}/state", None
     w.format("parquet").option("path", f"{base}/out").start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return f"{base}/state", spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def delta_bars(prints: DataFrame, freq: str, lateness: str) -> DataFrame:
-    """Tumbling bars with signed volume, emitted once the bar can no longer change.
+def drain(stream: DataFrame, mode: str = "append", batch=None) -> DataFrame | None:
+    """Run the stream over all available input into Parquet, and read the result back.
+
+    State and output live in the shared checkpoint folder. With `batch`, each micro-batch is
+    handed to it instead and nothing is returned."""
+    return _run(stream, mode, batch)[1]
+
+
+def complete(job: Windowed | Ordered, batch=None) -> DataFrame | None:
+    """Drain a job and add what its state still holds at the end: open windows, or rows that wait for
+    the watermark. Together they are the result of a batch over the whole input. With `batch`, the
+    closing rows are handed to it as one more micro-batch."""
+    state, done = _run(job.grouped, "append", None if batch is None else lambda rows, i: batch(job.finish(rows), i))
+    rest = job.closing(job.grouped.sparkSession, state)
+    if batch is not None:
+        batch(rest, -1)
+        return None
+    return job.finish(done).unionByName(rest)
+
+
+def delta_windows(prints: DataFrame, freq: str, lateness: str) -> Windowed:
+    """Tumbling bars with signed volume.
 
     The running delta needs an order over bars and is left to the reader of the bars."""
     at = F.struct("ts", "seq")
     signed = F.when(F.col("side") > 0, F.col("size")).when(F.col("side") < 0, -F.col("size")).otherwise(0.0)
-    g = prints.withWatermark("ts", lateness).groupBy(F.window("ts", freq).alias("w"), "symbol").agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", at).alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("prints"),
-        F.sum(signed).alias("delta"))
-    return g.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "prints", "delta")
+    parts = {"open": ("first", F.col("price"), at), "high": ("max", F.col("price")), "low": ("min", F.col("price")), "close": ("last", F.col("price"), at),
+             "volume": ("sum", F.col("size")), "prints": ("count", F.lit(1)), "delta": ("sum", signed)}
+    return Windowed(prints, F.window("ts", freq), ["symbol"], lateness, parts,
+                    lambda g: g.select("symbol", F.col("w.start").alias("ts"), *parts))
+
+
+def delta_bars(prints: DataFrame, freq: str, lateness: str) -> DataFrame:
+    """Bars with signed volume, emitted once the bar can no longer change."""
+    return delta_windows(prints, freq, lateness).frame
 
 
 def once(stream: DataFrame, keys: list[str], lateness: str, ts: str = "ts") -> DataFrame:
@@ -60,19 +88,18 @@ def upsert_into(spark: SparkSession, path: str, timeframe: str, allow_nonpositiv
     return write
 
 
-def heartbeat_sessions(journal: DataFrame, gap: str, lateness: str, keys=("runner",)) -> DataFrame:
+def heartbeat_sessions(journal: DataFrame, gap: str, lateness: str, keys=("runner",)) -> Windowed:
     """Uptime islands: heartbeats no further apart than the gap."""
-    beats = journal.filter(F.col("event") == "heartbeat").withWatermark("ts", lateness)
-    g = beats.groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(
-        F.count(F.lit(1)).alias("beats"), F.max("ts").alias("last_beat"), F.max("feed_age_s").alias("feed_age_max"))
-    return g.select(*keys, F.col("w.start").alias("first_beat"), "last_beat", "beats", "feed_age_max")
+    beats = journal.filter(F.col("event") == "heartbeat")
+    parts = {"beats": ("count", F.lit(1)), "last_beat": ("max", F.col("ts")), "feed_age_max": ("max", F.col("feed_age_s"))}
+    return Windowed(beats, F.session_window("ts", gap), list(keys), lateness, parts,
+                    lambda g: g.select(*keys, F.col("w.start").alias("first_beat"), "last_beat", "beats", "feed_age_max"))
 
 
-def event_counts(journal: DataFrame, window: str, slide: str, lateness: str) -> DataFrame:
+def event_counts(journal: DataFrame, window: str, slide: str, lateness: str) -> Windowed:
     """Events by kind in a sliding window."""
-    g = (journal.withWatermark("ts", lateness).groupBy(F.window("ts", window, slide).alias("w"), "event")
-         .agg(F.count(F.lit(1)).alias("n")))
-    return g.select(F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "event", "n")
+    return Windowed(journal, F.window("ts", window, slide), ["event"], lateness, {"n": ("count", F.lit(1))},
+                    lambda g: g.select(F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "event", "n"))
 
 
 def spread_guard(quotes: DataFrame, medians: DataFrame, max_multiple: float = 2.0) -> DataFrame:
@@ -81,10 +108,13 @@ def spread_guard(quotes: DataFrame, medians: DataFrame, max_multiple: float = 2.
     return d.filter(F.col("multiple") > max_multiple)
 
 
-def quote_profile(quotes: DataFrame, max_age_seconds: int, lateness: str, freq: str = "1 hour") -> DataFrame:
+def quote_profile(quotes: DataFrame, max_age_seconds: int, lateness: str, freq: str = "1 hour") -> Windowed:
     """Hourly spread profile of fresh quotes only."""
     fresh = quotes.filter(F.unix_timestamp("ingest_ts") - F.unix_timestamp("ts") <= max_age_seconds)
-    g = fresh.withWatermark("ts", lateness).groupBy(F.window("ts", freq).alias("w"), "symbol").agg(
-        F.count(F.lit(1)).alias("samples"), F.avg("spread").alias("mean_spread"), F.max("spread").alias("max_spread"),
-        F.avg(F.col("spread") / F.col("point")).alias("mean_points"))
-    return g.select("symbol", F.col("w.start").alias("ts"), "samples", "mean_spread", "max_spread", "mean_points")
+    points = F.col("spread") / F.col("point")
+    known = lambda c: ("sum", c.isNotNull().cast("long"))
+    parts = {"samples": ("count", F.lit(1)), "max_spread": ("max", F.col("spread")), "_spread": ("sum", F.col("spread")), "_points": ("sum", points),
+             "_spreads": known(F.col("spread")), "_pointed": known(points)}
+    return Windowed(fresh, F.window("ts", freq), ["symbol"], lateness, parts, lambda g: g.select(
+        "symbol", F.col("w.start").alias("ts"), "samples", F.try_divide("_spread", "_spreads").alias("mean_spread"), "max_spread",
+        F.try_divide("_points", "_pointed").alias("mean_points")))
