@@ -103,6 +103,46 @@ def test_barriers(spark):
     assert _label(spark, c, [10] * 6, [10] * 6, stop=0.0) == []
 
 
+@pytest.mark.parametrize("max_bars", [1, 7, 8, 20, 1000])
+def test_barriers_against_bar_by_bar(spark, max_bars):
+    rnd = random.Random(max_bars)
+    bars, px = [], 100.0
+    for i in range(1500):
+        o, px = px, max(px + rnd.gauss(0, 1), 20)
+        bars.append(("A", i, o, max(o, px) + rnd.random(), min(o, px) - rnd.random(), px))
+    bars += [("B", 0, 5.0, 5.0, 5.0, 5.0)]
+    ev = [("A", rnd.randrange(-1, 1500), rnd.choice([1, -1]), rnd.choice([0.5, 3.0, 15.0, 80.0])) for _ in range(400)] + [("B", 0, 1, 1.0), ("B", -1, 1, 1.0)]
+    ev = list(dict.fromkeys(ev))
+    want = {}
+    for s, i, side, stop in ev:
+        path = [b for b in bars if b[0] == s and i + 1 <= b[1] <= i + 1 + max_bars]
+        if not path or path[0][1] != i + 1:
+            continue
+        entry = path[0][2]
+        lo, hi = entry - stop * side, entry + 2 * stop * side
+        for _, t, _, high, low, close in path:
+            if (low <= lo) if side > 0 else (high >= lo):
+                want[s, i, side, stop] = (t, "stop", lo)
+                break
+            if (high >= hi) if side > 0 else (low <= hi):
+                want[s, i, side, stop] = (t, "target", hi)
+                break
+        else:
+            want[s, i, side, stop] = (t, "time", close)
+    b = spark.createDataFrame(bars, "symbol string, idx int, open double, high double, low double, close double")
+    e = spark.createDataFrame(ev, "symbol string, i int, side int, stop_distance double")
+    d = LB.triple_barrier(e, b, 2.0, max_bars)
+    got = {(r["symbol"], r["i"], r["side"], r["stop_distance"]): (r["t1"], r["touched"], r["exit"]) for r in d.collect()}
+    assert got == want
+    assert {"stop", "target", "time"} <= {v[1] for v in want.values()} or max_bars == 1000
+
+
+def test_barriers_do_not_widen_bars_with_the_holding_time(spark):
+    b = spark.createDataFrame([("A", i, 1.0, 1.0, 1.0, 1.0) for i in range(3000)], "symbol string, idx int, open double, high double, low double, close double")
+    p = LB.pages(b, 1024).selectExpr("sum(size(_open)) n", "max(size(_low)) levels").first()
+    assert p["n"] <= 2 * 3000 and p["levels"] == 12
+
+
 def test_overlap_weights(spark):
     d = spark.createDataFrame([("A", 0, 9), ("A", 5, 14), ("A", 30, 39)], "symbol string, entry_i int, t1 int")
     w = {r["entry_i"]: r["weight"] for r in LB.sample_weights(d).collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,34 +13,86 @@ def index_bars(bars: DataFrame, keys=("symbol",)) -> DataFrame:
         "n_bars", F.count(F.lit(1)).over(w))
 
 
+def _levels(page: Column, field: str, better, depth: int) -> Column:
+    """Extremes of a page over runs of 1, 2, 4, ... bars: level L holds one value per 2^L bars."""
+    def halve(level: Column) -> Column:
+        pairs = F.sequence(F.lit(0), F.ceil(F.size(level) / 2).cast("int") - 1)
+        return F.transform(pairs, lambda j: better(F.get(level, 2 * j), F.get(level, 2 * j + 1)))
+
+    leaves = F.transform(page, lambda p: p[field])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.array(leaves), lambda levels, _: F.concat(levels, F.array(halve(F.element_at(levels, -1)))))
+
+
+def pages(bars: DataFrame, span: int, keys=("symbol",)) -> DataFrame:
+    """Bars in pages of 2 x span, each overlapping the next by half, so that what follows any bar for
+    `span` bars lies in the page that begins at or before it: keys, _page, open and close by offset,
+    and the low and high extremes of every aligned run. Bars are numbered from 0 without gaps (idx)."""
+    depth = span.bit_length()  # span is a power of two, a page has 2 * span bars
+    own = F.floor(F.col("idx") / span)
+    d = bars.select(*keys, F.explode(F.array(own, own - 1)).alias("_page"), F.struct("idx", "open", "high", "low", "close").alias("_bar"))
+    d = d.filter("_page >= 0").groupBy(*keys, "_page").agg(F.array_sort(F.collect_list("_bar")).alias("_bars"))
+    return d.select(*keys, "_page", F.transform("_bars", lambda p: p["open"]).alias("_open"), F.transform("_bars", lambda p: p["close"]).alias("_close"),
+                    _levels(F.col("_bars"), "low", F.least, depth).alias("_low"), _levels(F.col("_bars"), "high", F.greatest, depth).alias("_high"))
+
+
+def first_touch(start: Column, below: Column, above: Column, depth: int) -> Column:
+    """Offset of the first bar of a page at or after `start` whose low is at most `below` or whose high
+    is at least `above`; null without one. First up: the aligned runs that tile what follows `start`
+    are tried from the shortest on. Then down: the run that holds a touch is halved."""
+    def touches(level: Column, run: Column) -> Column:
+        low, high = F.get(F.get(F.col("_low"), level), run), F.get(F.get(F.col("_high"), level), run)
+        return F.coalesce(low <= below, F.lit(False)) | F.coalesce(high >= above, F.lit(False))
+
+    state = lambda pos, level, run: F.struct(pos.cast("int").alias("pos"), level.cast("int").alias("level"), run.cast("int").alias("run"))
+    none = F.lit(-1)
+
+    def up(s: Column, level: Column) -> Column:
+        run = F.call_function("shiftright", s["pos"], level)
+        odd = run.bitwiseAND(F.lit(1)) == 1
+        after = F.call_function("shiftleft", run + F.when(odd, 1).otherwise(0), level)
+        return (F.when(s["level"] >= 0, s).when(odd & touches(level, run), state(s["pos"], level, run))
+                .otherwise(state(after, none, none)))
+
+    def down(s: Column, level: Column) -> Column:
+        left = s["run"] * 2
+        return F.when(s["level"] != level, s).otherwise(
+            state(s["pos"], level - 1, F.when(touches(level - 1, left), left).otherwise(left + 1)))
+
+    begin = state(start, none, none)
+    whole = F.when((start == 0) & touches(F.lit(depth), F.lit(0)), state(start, F.lit(depth), F.lit(0))).otherwise(begin)
+    risen = F.aggregate(F.sequence(F.lit(0), F.lit(depth - 1)), whole, up)
+    return F.aggregate(F.sequence(F.lit(depth), F.lit(1)), risen, down, lambda s: F.when(s["level"] == 0, s["run"]))
+
+
 def triple_barrier(events: DataFrame, bars: DataFrame, profit_multiple: float = 2.0, max_bars: int = 20,
                    min_return: float = 0.0, keys=("symbol",), event_keys=()) -> DataFrame:
     """Entry at the next open; the stop wins inside a bar; else the close at the time limit.
 
-    events: keys, event_keys, i, side, stop_distance. bars: keys, idx, OHLC. Each bar carries the
-    bars a trade entered there may hold, as one bounded array, so an event meets its whole path in
-    one equi-join on (key, bar) and is never expanded to rows."""
+    events: keys, event_keys, i, side, stop_distance. bars: keys, idx, OHLC. An event meets its whole
+    path in one equi-join on (key, page) and descends to its first touch in steps of the logarithm of
+    the path; every bar is in two pages, however long a trade may be held."""
     keys, ids = list(keys), [*keys, *event_keys, "i", "side", "stop_distance"]
-    ahead = Window.partitionBy(*keys).orderBy("idx").rowsBetween(0, max_bars)
-    b = bars.select(*keys, (F.col("idx") - 1).alias("i"), F.col("idx").alias("entry_i"), F.col("open").alias("entry"),
-                    F.collect_list(F.struct("idx", "high", "low", "close")).over(ahead).alias("_path"))
-    e = events.filter(F.col("stop_distance") > 0).select(*ids).join(b, [*keys, "i"])
-    e = (e.withColumn("_stop", F.col("entry") - F.col("stop_distance") * F.col("side"))
-          .withColumn("_target", F.col("entry") + F.col("stop_distance") * profit_multiple * F.col("side")))
-    long = F.col("side") > 0
-
-    def stopped(p):
-        return F.when(long, p["low"] <= F.col("_stop")).otherwise(p["high"] >= F.col("_stop"))
-
-    def reached(p):
-        return F.when(long, p["high"] >= F.col("_target")).otherwise(p["low"] <= F.col("_target"))
-
-    e = e.withColumn("_hit", F.get(F.filter("_path", lambda p: stopped(p) | reached(p)), F.lit(0)))
-    e = e.withColumn("_last", F.element_at("_path", -1))
-    hit, stop_first = F.col("_hit").isNotNull(), stopped(F.col("_hit"))
-    d = e.select(*ids, "entry_i", "entry", F.coalesce(F.col("_hit.idx"), F.col("_last.idx")).alias("t1"),
-                 F.when(~hit, "time").when(stop_first, "stop").otherwise("target").alias("touched"),
-                 F.when(~hit, F.col("_last.close")).when(stop_first, F.col("_stop")).otherwise(F.col("_target")).alias("exit"))
+    span = 1 << max_bars.bit_length()  # a power of two above max_bars
+    depth = span.bit_length()
+    entry = F.col("i") + 1
+    e = (events.filter(F.col("stop_distance") > 0).select(*ids, entry.alias("entry_i"), F.floor(entry / span).alias("_page"))
+         .join(pages(bars, span, keys), [*keys, "_page"]))
+    e = e.withColumn("_at", (F.col("entry_i") - F.col("_page") * span).cast("int")).filter(F.col("_at") < F.size("_open"))
+    e = e.withColumn("entry", F.get("_open", "_at"))
+    long, risk = F.col("side") > 0, F.col("stop_distance") * F.col("side")
+    stop, target = F.col("entry") - risk, F.col("entry") + risk * profit_multiple
+    below, above = F.when(long, stop).otherwise(target), F.when(long, target).otherwise(stop)
+    e = e.select(*ids, "entry_i", "entry", "_at", "_close", stop.alias("_stop"), target.alias("_target"), "_low", "_high",
+                 F.least(F.col("_at") + max_bars, F.size("_close") - 1).alias("_last"),
+                 first_touch(F.col("_at"), below, above, depth).alias("_touch"))
+    hit = F.col("_touch").isNotNull() & (F.col("_touch") <= F.col("_last"))
+    worst = F.when(long, F.get(F.get("_low", F.lit(0)), "_touch") <= F.col("_stop")).otherwise(F.get(F.get("_high", F.lit(0)), "_touch") >= F.col("_stop"))
+    # how it ended: bound once, or the descent would be worked out anew in every column
+    end = F.transform(F.array(F.struct(hit.alias("hit"), worst.alias("stopped"), F.col("_touch").alias("touch"))), lambda s: F.struct(
+        (F.col("entry_i") + F.when(s["hit"], s["touch"]).otherwise(F.col("_last")) - F.col("_at")).alias("t1"),
+        F.when(~s["hit"], "time").when(s["stopped"], "stop").otherwise("target").alias("touched"),
+        F.when(~s["hit"], F.get("_close", "_last")).when(s["stopped"], F.col("_stop")).otherwise(F.col("_target")).alias("exit")))
+    d = e.select(*ids, "entry_i", "entry", F.inline(end))
     d = d.withColumn("ret", (F.col("exit") - F.col("entry")) * F.col("side") / F.col("stop_distance"))
     return d.withColumn("label", F.when(F.col("ret") > min_return, 1).otherwise(0))
 
