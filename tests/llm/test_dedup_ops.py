@@ -334,3 +334,10 @@ def test_pipeline_by_stage(spark, sf):
     assert three.columns == docs.columns and 0 < three.count() < two.count()
     four = corpus_pipeline.encode(spark, three, sf)
     assert four.count() == three.count() and four.columns == ["doc_id", "ids", "text"]
+
+
+def test_a_vector_is_normalised_once(spark):
+    """Neither the largest component nor the norm is worked out again for every component."""
+    rows = spark.createDataFrame([(i, [float(i), 1.0, 2.0], "a") for i in range(9)], "vec_id long, embedding array<float>, label string")
+    plan = vectors.nodes(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") == 1 and plan.count("SQRT(") == 1

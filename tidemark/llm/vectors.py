@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -33,7 +33,7 @@ THROUGH = 0.95
 
 def nodes(vectors: DataFrame) -> DataFrame:
     """Distinct usable vectors: label, size, rep (least vec_id), copies, unit vector (doubles)."""
-    good = _unit(vectors).where("u_v is not null").select(F.col("u_label").alias("label"), "vec_id", F.col("u_v").alias("v"))
+    good = _unit(vectors.where(_fit())).select(F.col("u_label").alias("label"), "vec_id", F.col("u_v").alias("v"))
     return (good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
             .select("label", F.size("v").alias("size"), "rep", "copies", "v"))
 
@@ -224,17 +224,22 @@ def dedup(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
 
 
+def _fit() -> Column:
+    """Whether a row can link: plain conditions on its columns, so that a filter on it is cheap."""
+    return F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.exists("embedding", lambda x: x != 0)
+                      & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))), F.lit(False))
+
+
 def _unit(vectors: DataFrame) -> DataFrame:
     """Every row with its label and unit vector, null where it cannot link. The largest component
-    is divided out first, so that squares neither overflow nor vanish."""
-    fit = (F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
-           & ~F.exists(F.col("embedding"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))))
+    is divided out first, so that squares neither overflow nor vanish. Largest component and norm
+    are bound by lambdas of one element: they are worked out once for a vector, not for each of
+    its components, wherever the optimiser puts the expression."""
+    once = lambda value, use: F.transform(F.array(value), use)[0]
     top = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
-    d = vectors.select("vec_id", "label", "embedding").withColumn("ok", F.coalesce(fit, F.lit(False))).withColumn("top", F.when(F.col("ok"), top))
-    d = d.withColumn("e", F.when(F.col("top") > 0, F.transform("embedding", lambda x: x.cast("double") / F.col("top"))))
-    d = d.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))
-    return d.select("vec_id", F.when(F.col("norm").isNotNull(), F.col("label").cast("string")).alias("u_label"),
-                    F.transform("e", lambda x: x / F.col("norm")).alias("u_v"))
+    scaled = once(top, lambda t: F.transform("embedding", lambda x: x.cast("double") / t))
+    unit = once(scaled, lambda e: once(F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(e, lambda x: x / norm)))
+    return vectors.select("vec_id", F.when(_fit(), F.col("label").cast("string")).alias("u_label"), F.when(_fit(), unit).alias("u_v"))
 
 
 def recall(vectors: DataFrame, cosine: float = COSINE, every: int = 20) -> float:
