@@ -22,8 +22,11 @@ from tidemark.llm.store import stored
 
 #: Vectors of a shard, and queries that meet one in one task, about.
 SHARD, ASKED = 8_000, 20_000
-#: Edges of a node, width of the beam, slack of the pruning (a factor on distances), passes.
+#: Edges of a node, width of the beam that proposes neighbours, slack of the pruning (a factor on
+#: distances), passes.
 DEGREE, BEAM, ALPHA, PASSES = 32, 64, 1.2, 2
+#: Width of a query's beam.
+WIDTH = 192
 #: Vectors searched for at a time.
 BATCH = 512
 #: Parts that the queries of one vector are spread over.
@@ -181,7 +184,9 @@ def index(rows: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     points = nodes(rows, k)
     points = stored(points)
     size = points.groupBy("dims").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    dealt = points.join(size, "dims").withColumn("shard", F.pmod("a", "shards").cast("int"))
+    # a shard is little data but long work, so shards are not gathered into few tasks by their bytes
+    tasks = size.agg(F.sum("shards")).first()[0] or 1
+    dealt = points.join(size, "dims").withColumn("shard", F.pmod("a", "shards").cast("int")).repartition(4 * tasks, "dims", "shard")
 
     def run(t: pa.Table) -> pa.Table:
         x = _unit(_rows(t["v"])).astype(np.float32)
@@ -193,7 +198,7 @@ def index(rows: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     return stored(dealt.groupBy("dims", "shard").applyInArrow(run, "dims int, shard int, ids array<long>, v array<double>, place int, next array<int>, start int"))
 
 
-def _answers(found: pa.Table, asked: pa.Table, k: int, beam: int, exact: bool) -> pa.Table:
+def _answers(found: pa.Table, asked: pa.Table, k: int, width: int, exact: bool) -> pa.Table:
     """Of one shard: for each query its k+1 best ids and their cosines."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not len(found) or not len(asked):
@@ -216,7 +221,7 @@ def _answers(found: pa.Table, asked: pa.Table, k: int, beam: int, exact: bool) -
             edge = np.partition(cos, len(x) - most, 1)[:, len(x) - most]
             who, near = np.nonzero(cos >= edge[:, None] - 1e-12)
         else:
-            near, _, _ = beam_search(x, graph, int(found["start"][0].as_py()), q.astype(np.float32), beam)
+            near, _, _ = beam_search(x, graph, int(found["start"][0].as_py()), q.astype(np.float32), width)
             who, at = np.nonzero(near >= 0)
             near = near[who, at]
         score = (q[who] * full[near]).sum(1)
@@ -231,7 +236,7 @@ def _answers(found: pa.Table, asked: pa.Table, k: int, beam: int, exact: bool) -
     return pa.table([asked["a"].to_numpy()[who], asked["b"].to_numpy()[who], vec, score], schema=out)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, beam: int = BEAM, exact: bool = False) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, width: int = WIDTH, exact: bool = False) -> DataFrame:
     """The k nearest rows of `vectors` (vec_id, embedding) to each of `queries` (vec_id, embedding):
     query_id, rank (from 1), vec_id, score; nearest first, ties to the smaller vec_id.
 
@@ -252,7 +257,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHAR
     copies = built.join(parts, "dims").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     keys = ["dims", "shard", "part"]
     best = copies.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(
-        lambda found, asked: _answers(found, asked, k, beam, exact), "a long, b long, vec_id long, score double")
+        lambda found, asked: _answers(found, asked, k, width, exact), "a long, b long, vec_id long, score double")
     best = _least(best.groupBy("a", "b", "vec_id").agg(F.max("score").alias("score")), ["a", "b"], [F.desc("score"), "vec_id"], k + 1)
     # a vector that many queries share: its answers in every part, its queries over all parts
     spread = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -263,10 +268,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHAR
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def recall(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, beam: int = BEAM) -> float:
+def recall(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, width: int = WIDTH) -> float:
     """Share of the true nearest ones, found by comparing with all vectors in blocks, that the search
     finds. One that is as near as the last true one counts as found."""
-    got = search(vectors, queries, k, shard, beam)
+    got = search(vectors, queries, k, shard, width)
     true = search(vectors, queries, k, shard, exact=True)
     last = true.groupBy("query_id").agg(F.min("score").alias("last"), F.count("*").alias("all"))
     hit = got.join(last, "query_id").where(F.col("score") >= F.col("last") - 1e-12).groupBy("query_id").agg(F.count("*").alias("hits"))
