@@ -93,3 +93,42 @@ def test_time_order_is_cut_at_the_clock_and_bursts_by_range(spark, monkeypatch):
             assert c.select("_chunk").distinct().count() == n_chunks
         got = {r["seq"]: r["m"] for r in chunks.running_max(c, ["k"], ["ts", "seq"], "v", "m").collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("kind", ["sum", "max", "last"])
+def test_prefix_tree(spark, keys, kind):
+    """Chunk numbers far apart, negative ones and ones that share a run at every level."""
+    rnd = random.Random(7)
+    rows = [(f"k{i % 3}" if keys else "k", at, rnd.choice([None, 1, 5, -3, 8]))
+            for i, at in enumerate({rnd.choice([-(1 << 50), 0, 4090, 1 << 24, (1 << 36) + 4000]) + rnd.randrange(9000) for _ in range(900)})]
+    rows = list({(k, at): (k, at, v) for k, at, v in rows}.values())
+    got = {(r["k"], r["at"]): r["before"] for r in chunks._exclusive(spark.createDataFrame(rows, "k string, at long, v long"), keys, "at", "v", kind, "before").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        seen = []
+        for _, at, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            want[k, at] = ({"sum": sum, "max": max, "last": lambda x: x[-1]}[kind](seen)) if seen else None
+            seen += [v] if v is not None else []
+    assert got == want
+
+
+def test_positions_without_keys_need_no_window_over_all_rows(spark, monkeypatch):
+    """Forced cells of one second: as many chunk summaries as there are seconds with rows."""
+    from datetime import datetime, timedelta
+
+    from tidemark.operators import folds
+
+    monkeypatch.setattr(chunks, "CELL_SECONDS", (1,))
+    t0 = datetime(2026, 1, 1)
+    rows = [(t0 + timedelta(seconds=37 * i % 9001), i) for i in range(2000)]
+    obs = spark.createDataFrame(rows, "ts timestamp, id long").withColumn("t0", F.unix_timestamp("ts")).withColumn("t1", F.col("t0") + 40)
+    pos = folds.positions(obs, [], ["ts", "id"])
+    assert [(r["id"], r["pos"], r["n_obs"]) for r in pos.orderBy("pos").collect()] == [(i, n + 1, 2000) for n, (_, i) in enumerate(sorted(rows))]
+    f = folds.purged_kfold(obs, [], ["ts", "id"], 4, 0.0).filter("role = 'test'").groupBy("fold").count().collect()
+    assert {r["fold"]: r["count"] for r in f} == dict.fromkeys(range(4), 500)
+    assert folds.combinatorial(obs, [], ["ts", "id"], 4, 2).filter("role = 'test'").count() == 6 * 1000
+    # the only window without a partition stands over runs of runs of chunks
+    plan = pos._jdf.queryExecution().optimizedPlan().toString()
+    loose = [line for line in plan.splitlines() if "Window [" in line and line.rstrip().endswith("ASC NULLS FIRST]") and "], [" not in line]
+    assert all("_chunk__" in line for line in loose)

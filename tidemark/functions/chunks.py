@@ -76,20 +76,49 @@ def _local(keys, order):
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
 
-def _earlier(keys):
-    w = Window.partitionBy(*keys).orderBy(CHUNK) if keys else Window.orderBy(CHUNK)
-    return w.rowsBetween(Window.unboundedPreceding, -1)
+#: Chunks are summed in runs of 2^12, those in runs of as many again: a prefix tree of three levels.
+RUN_BITS, LEVELS = 12, 2
+
+
+def _combine(kind: str, before: Column, after: Column) -> Column:
+    if kind == "sum":
+        return F.when(before.isNull(), after).when(after.isNull(), before).otherwise(before + after)
+    return F.greatest(before, after) if kind == "max" else F.coalesce(after, before)
+
+
+def _exclusive(rows: DataFrame, keys, at: str, value: str, kind: str, out: str, levels: int = LEVELS) -> DataFrame:
+    """rows (keys, at, value; one per key and `at`) with `out`: the sum, maximum or last known value
+    of the key's earlier rows, null if there are none. Runs of rows are combined first and their own
+    prefix is found in the same way, so that no window spans all rows, also where there are no keys:
+    the topmost one has a row per 2^24 chunks."""
+    one = {"sum": F.sum, "max": F.max, "last": lambda v: F.last(v, True)}[kind]
+    if not levels:
+        w = (Window.partitionBy(*keys).orderBy(at) if keys else Window.orderBy(at)).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(out, one(F.col(value)).over(w))
+    run = f"{at}_"
+    rows = rows.withColumn(run, F.shiftright(at, RUN_BITS))
+    total = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(at))) if kind == "last" else one(F.col(value))
+    runs = rows.groupBy(*keys, run).agg(total.alias("_run"))
+    runs = _exclusive(runs, keys, run, "_run", kind, f"{out}_", levels - 1).drop("_run")
+    w = Window.partitionBy(*keys, run).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    return (rows.withColumn("_own", one(F.col(value)).over(w)).join(runs, [*keys, run])
+            .withColumn(out, _combine(kind, F.col(f"{out}_"), F.col("_own"))).drop("_own", f"{out}_", run))
 
 
 def _with_carry(chunked, summary, keys):
     return chunked.join(summary, [*keys, CHUNK], "left")
 
 
+def _carried(summary: DataFrame, keys, value: str, kind: str) -> DataFrame:
+    """Stored summary (keys, chunk, value) -> keys, chunk, _carry."""
+    return _exclusive(materialize(summary), keys, CHUNK, value, kind, "_carry").drop(value)
+
+
 def running_lag(chunked: DataFrame, keys, order, value: str, out: str) -> DataFrame:
     """Previous row's value of the same key."""
     ends = chunked.groupBy(*keys, CHUNK).agg(
         F.max_by(F.struct(value), F.struct(*order)).alias("_end"))
-    carry = ends.select(*keys, CHUNK, F.last("_end").over(_earlier(keys)).getField(value).alias("_carry"))
+    carry = _carried(ends, keys, "_end", "last").withColumn("_carry", F.col("_carry").getField(value))
     w = _local(keys, order)
     return (_with_carry(chunked, carry, keys)
             .withColumn(out, F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(F.lag(value).over(w)))
@@ -101,9 +130,8 @@ def running_last(chunked: DataFrame, keys, order, value: Column | str, out: str)
     v = F.col(value) if isinstance(value, str) else value
     ends = (chunked.groupBy(*keys, CHUNK)
             .agg(F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias("_end")))
-    carry = ends.select(*keys, CHUNK, F.last("_end", True).over(_earlier(keys)).alias("_carry"))
     w = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return (_with_carry(chunked, carry, keys)
+    return (_with_carry(chunked, _carried(ends, keys, "_end", "last"), keys)
             .withColumn(out, F.coalesce(F.last(v, True).over(w), F.col("_carry")))
             .drop("_carry"))
 
@@ -111,9 +139,8 @@ def running_last(chunked: DataFrame, keys, order, value: Column | str, out: str)
 def running_sum(chunked: DataFrame, keys, order, value: Column | str, out: str) -> DataFrame:
     v = F.col(value) if isinstance(value, str) else value
     sums = chunked.groupBy(*keys, CHUNK).agg(F.sum(v).alias("_sum"))
-    carry = sums.select(*keys, CHUNK, F.sum("_sum").over(_earlier(keys)).alias("_carry"))
     w = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return (_with_carry(chunked, carry, keys)
+    return (_with_carry(chunked, _carried(sums, keys, "_sum", "sum"), keys)
             .withColumn(out, F.sum(v).over(w) + F.coalesce(F.col("_carry"), F.lit(0)))
             .drop("_carry"))
 
@@ -121,22 +148,22 @@ def running_sum(chunked: DataFrame, keys, order, value: Column | str, out: str)
 def running_max(chunked: DataFrame, keys, order, value: Column | str, out: str) -> DataFrame:
     v = F.col(value) if isinstance(value, str) else value
     tops = chunked.groupBy(*keys, CHUNK).agg(F.max(v).alias("_max"))
-    carry = tops.select(*keys, CHUNK, F.max("_max").over(_earlier(keys)).alias("_carry"))
     w = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return (_with_carry(chunked, carry, keys)
+    return (_with_carry(chunked, _carried(tops, keys, "_max", "max"), keys)
             .withColumn(out, F.greatest(F.max(v).over(w), F.col("_carry"))).drop("_carry"))
 
 
 def running_row_number(chunked: DataFrame, keys, order, out: str, total: str | None = None) -> DataFrame:
     """1-based position within the key, and optionally the key's row count."""
-    counts = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    cols = [F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_carry")]
-    if total:
-        cols.append(F.sum("_n").over(Window.partitionBy(*keys)).alias(total))
-    carry = counts.select(*keys, CHUNK, *cols)
-    return (_with_carry(chunked, carry, keys)
-            .withColumn(out, F.row_number().over(_local(keys, order)) + F.col("_carry"))
-            .drop("_carry"))
+    counts = materialize(chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n")))
+    carry = _exclusive(counts, keys, CHUNK, "_n", "sum", "_carry").drop("_n")
+    d = (_with_carry(chunked, carry, keys)
+         .withColumn(out, F.row_number().over(_local(keys, order)) + F.coalesce(F.col("_carry"), F.lit(0)))
+         .drop("_carry"))
+    if not total:
+        return d
+    all_rows = counts.groupBy(*keys).agg(F.sum("_n").alias(total))
+    return d.join(all_rows, list(keys)) if keys else d.withColumn(total, all_rows.scalar())
 
 
 def array_split_id(position: Column, total: Column, k: int) -> Column:

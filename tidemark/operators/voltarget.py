@@ -26,7 +26,8 @@ def recent_changes(cash: DataFrame, decisions: DataFrame, window: int) -> DataFr
 
 
 def market_stats(recent: DataFrame) -> DataFrame:
-    """Mean and deviation per decision and market; a day without a change counts as zero."""
+    """Mean and deviation per decision and market; a day without a change counts as zero once the
+    market has a change in the window. A market without any has no estimate, hence no row."""
     g = recent.filter(F.col("cash").isNotNull()).groupBy("decision_day", "n_days", "symbol").agg(
         F.count(F.lit(1)).alias("history"), F.sum("cash").alias("_s1"), F.sum(F.col("cash") * F.col("cash")).alias("_s2"))
     mean = F.col("_s1") / F.col("n_days")

@@ -290,7 +290,7 @@ def legs(spark, sf, days):
 
 
 @query("vol_target", """
-WITH m AS (SELECT decision_day, symbol, stddev_samp(x) AS sigma, count(*) FILTER (seen) AS history FROM filled GROUP BY ALL),
+WITH m AS (SELECT decision_day, symbol, CASE WHEN bool_or(seen) THEN stddev_samp(x) END AS sigma, count(*) FILTER (seen) AS history FROM filled GROUP BY ALL),
 l AS (SELECT g.*, m.sigma, coalesce(m.history, 0) >= 63 AS ready FROM legs g LEFT JOIN m USING (decision_day, symbol)),
 r0 AS (SELECT a.decision_day, a.symbol AS s1, b.symbol AS s2, corr(a.x, b.x) AS rr FROM filled a JOIN filled b ON b.decision_day = a.decision_day AND b.day = a.day GROUP BY ALL),
 r AS (SELECT decision_day, s1, s2, CASE WHEN s1 = s2 THEN 1.0 ELSE 0.5 * coalesce(rr, 0) END AS rho FROM r0),
