@@ -162,32 +162,23 @@ def sleeve_changes(equity: DataFrame, period: Column, key: str) -> DataFrame:
     return last.withColumn("chg", F.col("_e") - F.lag("_e").over(w)).drop("_e")
 
 
-def pairwise_correlation(changes: DataFrame, names: list[str], key: str, value: str = "chg") -> DataFrame:
-    """Pearson correlation of every pair of the declared names, on periods where both moved.
-
-    One row per period holds the names side by side; the pairs are aggregates of that row, so
-    no pair of observations is ever materialised."""
-    wide = changes.groupBy("period").pivot(key, names).agg(F.first(value))
-    cols = [F.col(f"`{n}`") for n in names]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    both = lambda i, j: cols[i].isNotNull() & cols[j].isNotNull()
-    idx = {n: i for i, n in enumerate(names)}
-    row = wide.agg(*[F.corr(F.when(both(idx[a], idx[b]), cols[idx[a]]), F.when(both(idx[a], idx[b]), cols[idx[b]])).alias(f"c{k}")
-                     for k, (a, b) in enumerate(pairs)])
-    out = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("rho"))
-                              for k, (a, b) in enumerate(pairs)]))
-    return row.select(out.alias("p")).select("p.*")
+def pairwise_correlation(changes: DataFrame, key: str, value: str = "chg") -> DataFrame:
+    """Pearson correlation of every pair of sleeves that is found, on periods where both moved."""
+    from tidemark.operators import gram
+    d = changes.select(F.unix_date(F.to_date("period")).cast("long").alias("period"), F.col(key).alias("member"), F.col(value).cast("double").alias("value"))
+    return gram.pair_moments(gram.centred(d)).select("a", "b", gram.correlation().alias("rho"))
 
 
 def flag_correlated(corr: DataFrame, threshold: float = 0.6) -> DataFrame:
     return corr.filter(F.col("rho") >= threshold).orderBy(F.desc("rho"), "a", "b")
 
 
-def diversification_ratio(corr: DataFrame, n: int) -> DataFrame:
-    """sqrt(n / (1 + (n-1) rho)) with the measured mean correlation."""
-    floor = -1.0 / (n - 1) + 1e-9 if n > 1 else 0.0
-    rho = F.greatest(F.avg("rho"), F.lit(floor))
-    return corr.agg(F.avg("rho").alias("mean_rho"), F.sqrt(F.lit(float(n)) / (1 + (n - 1) * rho)).alias("ratio"))
+def diversification_ratio(corr: DataFrame) -> DataFrame:
+    """sqrt(n / (1 + (n-1) rho)) with the measured mean correlation of n members, those of the pairs."""
+    n = corr.select(F.explode(F.array("a", "b")).alias("m")).agg(F.count_distinct("m").cast("double").alias("n")).scalar()
+    d = corr.agg(F.avg("rho").alias("mean_rho")).withColumn("_n", n)
+    rho = F.greatest(F.col("mean_rho"), F.try_divide(F.lit(-1.0), F.col("_n") - 1) + 1e-9)
+    return d.select("mean_rho", F.when(F.col("mean_rho").isNotNull(), F.sqrt(F.try_divide("_n", 1 + (F.col("_n") - 1) * rho))).alias("ratio"))
 
 
 def r_histogram(trades: DataFrame, keys: list[str], bins: int = 12) -> DataFrame:

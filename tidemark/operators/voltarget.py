@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 
 def recent_changes(cash: DataFrame, decisions: DataFrame, window: int) -> DataFrame:
     """Cash changes of the last `window` calendar rows up to each decision day.
@@ -103,25 +105,21 @@ def allocate(legs: DataFrame, cash: DataFrame, target: float = 0.12, window: int
             .select("decision_day", "leg", "symbol", "side", "sigma", "c", "contracts", "risk_fraction", "note"))
 
 
-def shrunk_correlation(recent: DataFrame, names: list[str], shrink: float = 0.5) -> DataFrame:
-    """The shrunk correlation of every pair of the declared markets per decision day; days a
-    market did not trade count as no change. One row per day holds the markets side by side."""
-    traded = recent.filter(F.col("cash").isNotNull())
-    wide = traded.groupBy("decision_day", "day").pivot("symbol", names).agg(F.sum("cash"))
-    wide = wide.fillna(0.0, names)
-    x = [F.col(f"`{name}`") for name in names]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    n = F.count(F.lit(1)).alias("_n")
-    g = wide.groupBy("decision_day").agg(n, F.array(*[F.sum(c) for c in x]).alias("_s"), F.array(*[F.sum(c * c) for c in x]).alias("_q"),
-                                         F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("_p"))
-    d = g.select("decision_day", "_n", "_s", "_q", F.posexplode("_p").alias("_k", "_xy"))
-    at = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    d = d.withColumn("_e", F.get(at, F.col("_k")))
+def shrunk_correlation(recent: DataFrame, shrink: float = 0.5) -> DataFrame:
+    """The shrunk correlation of every pair of markets that is found, per decision day; days a market
+    did not trade count as no change, and a market that never moved correlates with none."""
+    from tidemark.operators import gram
+    d = recent.select("decision_day", F.unix_date("day").cast("long").alias("period"), F.col("symbol").alias("member"), F.col("cash").cast("double").alias("value"))
+    d = materialize(d)
+    traded = d.filter("value is not null")
+    n = traded.groupBy("decision_day").agg(F.count_distinct("period").alias("_n"))
+    own = traded.groupBy("decision_day", "member").agg(F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_q"))
+    side = lambda k: own.select("decision_day", F.col("member").alias(k), F.col("_s").alias(f"_s{k}"), F.col("_q").alias(f"_q{k}"))
+    p = gram.pair_moments(d, ("decision_day",), every_pair=True).join(n, "decision_day").join(side("a"), ["decision_day", "a"], "left").join(side("b"), ["decision_day", "b"], "left")
 
     def spread(k):
-        return F.get("_q", k) - F.get("_s", k) * F.get("_s", k) / F.col("_n")
+        return F.greatest(F.col(f"_q{k}") - F.col(f"_s{k}") * F.col(f"_s{k}") / F.col("_n"), F.lit(0.0))
 
-    i, j = F.col("_e.i"), F.col("_e.j")
-    cov = F.col("_xy") - F.get("_s", i) * F.get("_s", j) / F.col("_n")
-    rho = F.try_divide(cov, F.sqrt(F.greatest(spread(i), F.lit(0.0)) * F.greatest(spread(j), F.lit(0.0))))
-    return d.select("decision_day", "_e.a", "_e.b", ((1 - shrink) * F.coalesce(rho, F.lit(0.0))).alias("rho"))
+    cov = F.col("sxy") - F.col("_sa") * F.col("_sb") / F.col("_n")
+    rho = F.try_divide(cov, F.sqrt(spread("a") * spread("b")))
+    return p.select("decision_day", "a", "b", ((1 - shrink) * F.coalesce(rho, F.lit(0.0))).alias("rho"))

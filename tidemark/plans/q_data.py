@@ -261,16 +261,15 @@ SELECT k.decision_day, c.day, count(*) OVER (PARTITION BY k.decision_day) AS n_d
 cte("filled", """
 SELECT r.decision_day, r.day, s.symbol, coalesce(c.cash, 0) AS x, c.cash IS NOT NULL AS seen FROM recent r CROSS JOIN (SELECT DISTINCT symbol FROM cash) s LEFT JOIN cash c ON c.day = r.day AND c.symbol = s.symbol
 """, ("recent", "cash"), materialized=True)
-NAMES = [f"Brand#{i}" for i in range(1, 26)]
 
 
 @query("shrunk_correlation", """
-SELECT CAST(a.decision_day AS VARCHAR) AS decision_day, a.symbol AS a, b.symbol AS b, round(0.5 * coalesce(corr(a.x, b.x), 0), 6) + 0.0 AS rho FROM filled a JOIN filled b ON b.decision_day = a.decision_day AND b.day = a.day AND CAST(substr(b.symbol, 7) AS INTEGER) > CAST(substr(a.symbol, 7) AS INTEGER)
+SELECT CAST(a.decision_day AS VARCHAR) AS decision_day, a.symbol AS a, b.symbol AS b, round(0.5 * coalesce(corr(a.x, b.x), 0), 6) + 0.0 AS rho FROM filled a JOIN filled b ON b.decision_day = a.decision_day AND b.day = a.day AND b.symbol > a.symbol
 WHERE EXISTS (SELECT 1 FROM cash c WHERE c.day = a.day AND c.cash IS NOT NULL) GROUP BY ALL
 """, ("filled", "cash"))
 def _(spark, sf):
     days = materialize(brand_days(spark, sf))
-    return rounded(VT.shrunk_correlation(VT.recent_changes(cash(spark, sf, days), decisions(days), 126), NAMES))
+    return rounded(VT.shrunk_correlation(VT.recent_changes(cash(spark, sf, days), decisions(days), 126)))
 
 
 cte("legs", """

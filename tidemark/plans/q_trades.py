@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import costs as C
 from tidemark.operators import trades as T
 from tidemark.plans.registry import cte, query, rounded
+from tidemark.session import materialize
 from tidemark.sources import views as V
 
 START = 1e9
@@ -114,7 +115,6 @@ def _(spark, sf):
     return rounded(T.concentration(m, F.substring("symbol", -1, 1).isin("1", "2")), net_pnl=2)
 
 
-SLEEVES = ["A", "N", "R"]
 cte("weekly", """
 SELECT sleeve, period, e - lag(e) OVER (PARTITION BY sleeve ORDER BY period) AS chg
 FROM (SELECT sleeve, date_trunc('week', ts) AS period, arg_max(equity, ts) AS e FROM equity GROUP BY ALL)
@@ -127,7 +127,7 @@ WHERE a.chg IS NOT NULL AND b.chg IS NOT NULL GROUP BY ALL
 
 def sleeve_rho(spark, sf):
     eq = T.daily_equity(T.derived(V.trades(spark, sf)), ["sleeve"], START)
-    return T.pairwise_correlation(T.sleeve_changes(eq, F.date_trunc("week", "ts"), "sleeve"), SLEEVES, "sleeve")
+    return T.pairwise_correlation(T.sleeve_changes(eq, F.date_trunc("week", "ts"), "sleeve"), "sleeve")
 
 
 @query("pairwise_corr", "SELECT a, b, round(rho, 6) AS rho FROM rho", ("rho",))
@@ -141,10 +141,11 @@ def _(spark, sf):
 
 
 @query("diversification", """
-SELECT round(avg(rho), 6) AS mean_rho, round(sqrt(3 / (1 + 2 * greatest(avg(rho), -0.5 + 1e-9))), 6) AS ratio FROM rho
+SELECT round(m, 6) AS mean_rho, round(sqrt(n / (1 + (n - 1) * greatest(m, -1.0 / (n - 1) + 1e-9))), 6) AS ratio
+FROM (SELECT avg(rho) AS m, (SELECT count(DISTINCT s)::DOUBLE FROM (SELECT a AS s FROM rho UNION SELECT b FROM rho)) AS n FROM rho)
 """, ("rho",))
 def _(spark, sf):
-    return rounded(T.diversification_ratio(sleeve_rho(spark, sf), 3))
+    return rounded(T.diversification_ratio(materialize(sleeve_rho(spark, sf))))
 
 
 @query("r_histogram", """
