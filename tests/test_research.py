@@ -12,6 +12,7 @@ from tidemark.operators import labels as LB
 from tidemark.operators import overfit as O
 from tidemark.operators import passage as PA
 from tidemark.operators import portfolio as P
+from tidemark.operators import resample as RS
 from tidemark.operators import screen as S
 from tidemark.operators import signals as R
 
@@ -285,3 +286,49 @@ def test_value_book_is_neutral(spark):
 def test_walk_is_deterministic(spark):
     a, b = (col(walk_bars(spark, 5), "close") for _ in range(2))
     assert a == b
+
+
+@pytest.mark.parametrize("trailing, daily, consistency", [(True, 1_000, 0.5), (False, None, None), (True, None, 0.3)])
+def test_resampled_walk_equals_day_by_day(spark, trailing, daily, consistency):
+    """Block summaries lose no event: against a plain loop over the same draws."""
+    import hashlib
+
+    rnd = random.Random(12)
+    rets = [rnd.gauss(0.001, 0.012) for _ in range(90)] + [-1.5]
+    rules = PA.Rules(50_000, 3_000, 2_000, trailing, daily, consistency, 2, 47)
+    d = PA.with_period(spark.createDataFrame([("b", i, r) for i, r in enumerate(rets)], "book string, d int, ret double"), ["book"], ["d"])
+    levels = [2.0, 1.0, 0.25, 0.05]
+    paths = [sum((rets[s: s + 20] for s in (int(hashlib.md5(f"b:{p}:{b}".encode()).hexdigest()[:15], 16) % 71 for b in range(3))), [])[:47] for p in range(60)]
+
+    def outcome(path, k):
+        equity = high = 50_000.0
+        best = 0.0
+        for day, r in enumerate(path, 1):
+            before, equity = equity, equity * max(1 + k * r, 0)
+            if daily is not None and before - equity >= daily:
+                return "daily_limit", day
+            if equity <= (high - 2_000 if trailing else 48_000):
+                return "max_loss", day
+            high, best, profit = max(high, equity), max(best, equity - before), equity - 50_000
+            if profit >= 3_000 and day >= 2 and (consistency is None or best <= consistency * profit):
+                return "pass", day
+        return "timeout", 47
+
+    got = {(r["k"], r["path"]): (r["outcome"], r["days"]) for r in RS.walk(d, ["book"], rules, levels, 60).collect()}
+    want = {(k, p): outcome(path, k) for k in levels for p, path in enumerate(paths)}
+    assert got == want and len({o for o, _ in want.values()}) >= 3
+
+    alive = pays = 0
+    for path in paths:
+        equity = high = 50_000.0
+        died, wins = None, 0
+        for day, r in enumerate(path, 1):
+            before, equity = equity, equity * max(1 + r, 0)
+            if died is None and equity <= ((50_000 if high >= 52_000 else high - 2_000) if trailing else 48_000):
+                died = day
+            wins += equity - before >= 150
+            high = max(high, equity)
+        alive += died is None
+        pays += died is None and wins >= 5
+    r = RS.survival(d, ["book"], rules, [1.0], 60, 47).first()
+    assert (r["paths"], r["p_alive"], r["p_payable"]) == (60, pytest.approx(alive / 60), pytest.approx(pays / 60))

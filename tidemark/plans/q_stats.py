@@ -1,5 +1,6 @@
 """Labels, folds, overfitting statistics, bootstraps and first passage."""
 
+from dataclasses import replace
 from itertools import combinations
 from statistics import NormalDist
 
@@ -9,6 +10,7 @@ from tidemark.operators import folds as FO
 from tidemark.operators import labels as LB
 from tidemark.operators import overfit as O
 from tidemark.operators import passage as PA
+from tidemark.operators import resample as RS
 from tidemark.operators import signals as R
 from tidemark.operators import trades as T
 from tidemark.plans.q_screen import trend_rule
@@ -342,22 +344,29 @@ def _(spark, sf):
     return rounded(PA.tally(start_walk(spark, sf), ["book"]).drop("book"))
 
 
-cte("boot_paths", """
-SELECT p.path, b.b * 20 + o.o + 1 AS day, r.ret FROM range(200) p(path), range(5) b(b), range(20) o(o), (SELECT max(n) AS n FROM book_returns) m, book_returns r
-WHERE r.t = ('0x' || substr(md5('all:' || p.path || ':' || b.b), 1, 15))::BIGINT % (m.n - 20) + o.o AND b.b * 20 + o.o + 1 <= 90
+#: The size of a full study: paths, risk levels, days of an evaluation, days of a year.
+PATHS, LEVELS, DAYS, YEAR = 10_000, [1.0, 0.5, 0.25, 0.1, 0.05, 0.025, 0.01], 400, 252
+FULL = replace(RULES, max_days=DAYS)
+_LEVELS = ", ".join(f"({k}::DOUBLE)" for k in LEVELS)
+cte("boot_paths", f"""
+SELECT p.path, b.b * 20 + o.o + 1 AS day, r.ret FROM (SELECT p AS path, b, ('0x' || substr(md5('all:' || p || ':' || b), 1, 15))::BIGINT % ((SELECT max(n) FROM book_returns) - 20) AS start
+ FROM range({PATHS}) p(p), range({-(-DAYS // 20)}) b(b)) p, (SELECT p AS b FROM range({-(-DAYS // 20)}) r(p)) b, range(20) o(o), book_returns r WHERE b.b = p.b AND r.t = p.start + o.o
 """, ("book_returns",), materialized=True)
-cte("boot_walk", _walk_sql("boot_paths", 60), ("boot_paths",))
-cte("boot_outcome", _OUTCOME.format(t="boot_walk"), ("boot_walk",), materialized=True)
+cte("boot_outcome", f"""
+WITH e AS (SELECT k, path, day, 50000 * exp(sum(ln(1 + k * ret)) OVER (PARTITION BY k, path ORDER BY day)) AS eq FROM boot_paths, (VALUES {_LEVELS}) r(k)),
+s AS (SELECT *, coalesce(lag(eq) OVER w, 50000) AS sod, greatest(coalesce(max(eq) OVER (PARTITION BY k, path ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 50000), 50000) AS high FROM e WINDOW w AS (PARTITION BY k, path ORDER BY day)),
+t AS (SELECT *, greatest(max(eq - sod) OVER (PARTITION BY k, path ORDER BY day), 0) AS best FROM s)
+{_OUTCOME.format(t="t")}
+""", ("boot_paths",), materialized=True)
 
 
-def boot(spark, sf, length):
-    return PA.block_paths(book_returns(spark, sf), ["book"], 200, length)
+def boot(spark, sf):
+    return RS.walk(book_returns(spark, sf), ["book"], FULL, LEVELS, PATHS)
 
 
 @query("block_bootstrap", _TALLY.format(k="k,", t="boot_outcome"), ("boot_outcome",))
 def _(spark, sf):
-    w = PA.walk(boot(spark, sf, 90).filter(F.col("day") <= RULES.max_days), ["book"], RULES, RISKS)
-    return rounded(PA.tally(w, ["book"]).drop("book"))
+    return rounded(PA.tally(boot(spark, sf), ["book"]).drop("book"))
 
 
 @query("risk_sweep", """
@@ -365,19 +374,17 @@ WITH t AS (SELECT k, avg((outcome = 'pass')::INT) AS p_pass, avg((outcome = 'max
 SELECT k, round(p_pass, 6) AS p_pass, round(p_max_loss, 6) AS p_max_loss, round(p_daily, 6) AS p_daily, round(p_timeout, 6) AS p_timeout FROM t ORDER BY p_pass DESC, k DESC LIMIT 1
 """, ("boot_outcome",))
 def _(spark, sf):
-    w = PA.walk(boot(spark, sf, 90).filter(F.col("day") <= RULES.max_days), ["book"], RULES, RISKS)
-    return rounded(PA.best_risk(PA.tally(w, ["book"]), ["book"]).drop("book"))
+    return rounded(PA.best_risk(PA.tally(boot(spark, sf), ["book"]), ["book"]).drop("book"))
 
 
-cte("surv_walk", _walk_sql("boot_paths", 90), ("boot_paths",))
-
-
-@query("survival", """
-WITH p AS (SELECT k, path, min(day) FILTER (eq <= CASE WHEN high >= 51000 THEN 50000 ELSE high - 1000 END) AS died, count(*) FILTER (eq - sod >= 150) AS wins FROM surv_walk GROUP BY k, path)
+@query("survival", f"""
+WITH e AS (SELECT k, path, day, 50000 * exp(sum(ln(1 + k * ret)) OVER (PARTITION BY k, path ORDER BY day)) AS eq FROM boot_paths, (VALUES {_LEVELS}) r(k) WHERE day <= {YEAR}),
+s AS (SELECT *, coalesce(lag(eq) OVER w, 50000) AS sod, greatest(coalesce(max(eq) OVER (PARTITION BY k, path ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 50000), 50000) AS high FROM e WINDOW w AS (PARTITION BY k, path ORDER BY day)),
+p AS (SELECT k, path, min(day) FILTER (eq <= CASE WHEN high >= 51000 THEN 50000 ELSE high - 1000 END) AS died, count(*) FILTER (eq - sod >= 150) AS wins FROM s GROUP BY k, path)
 SELECT k, count(*) AS paths, round(avg((died IS NULL)::INT), 6) AS p_alive, round(avg((died IS NULL AND wins >= 5)::INT), 6) AS p_payable, median(died) AS median_days_alive FROM p GROUP BY k
-""", ("surv_walk",))
+""", ("boot_paths",))
 def _(spark, sf):
-    return rounded(PA.survival(boot(spark, sf, 90), ["book"], RULES, RISKS, 90).drop("book"))
+    return rounded(RS.survival(book_returns(spark, sf), ["book"], FULL, LEVELS, PATHS, YEAR).drop("book"))
 
 
 @query("risk_profile", """
