@@ -182,11 +182,17 @@ def test_variants_of_one_crowded_block(spark):
 
 
 def test_one_edit_of_random_pairs():
+    """A block's own words have one length; visitors the same one or one letter less."""
     rnd = random.Random(1)
-    words = list({"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 7))) for _ in range(150)})
-    u, v = variants.near_pairs(words, [])
-    got = {frozenset((words[i], words[j])) for i, j in zip(u, v)}
-    assert got == {frozenset(p) for p in itertools.combinations(words, 2) if one_edit(*p)}
+    for size in range(1, 8):
+        some = lambda k: list({"".join(rnd.choice("ab") for _ in range(k)) for _ in range(60)})
+        own = some(size)
+        guests = [w for w in some(size) if w not in own] + some(size - 1)
+        every = own + [w for w in guests if w]
+        u, v = variants.near_pairs(own, every[len(own):])
+        got = [frozenset((every[i], every[j])) for i, j in zip(u, v)]
+        want = {frozenset((a, b)) for a in own for b in every if a != b and one_edit(a, b)}
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_words_of_documents(spark):
@@ -269,7 +275,7 @@ def test_graph_reaches_all_and_recalls(spark):
         seen |= set(front)
     assert len(seen) == len(x) and ((graph >= 0).sum(1) <= graph.shape[1]).all()
     assert all(len(set(g[g >= 0])) == (g >= 0).sum() and i not in g for i, g in enumerate(graph))
-    ids, far, _ = neighbours.beam_search(x, graph, start, x[:200])
+    ids, far, *_ = neighbours.beam_search(x, graph, start, x[:200])
     true = np.sort(2 - 2 * x[:200] @ x.T, 1)[:, 4]
     assert (far[:, :5] <= true[:, None] + 1e-5).mean() > 0.97
 

@@ -230,20 +230,43 @@ def test_mixing(spark):
     assert mixing.mix(d.where("false"), goal).count() == 0
 
 
+def test_measures_decide_as_the_texts_do(spark):
+    import re
+
+    rnd = random.Random(3)
+    texts = [None, "", " \t\x0b", "a\x1cb c", "É\u00a0x y", "12 3", "LOUD! $", "l\n" * 30, "x " * 30_000]
+    texts += ["".join(rnd.choice("ab AB1!\n\t") for _ in range(rnd.randrange(300))) for _ in range(60)]
+    rows = [(i % 50 if i % 9 else None, t, rnd.choice(["a", "b", None]), "en", 5) for i, t in enumerate(texts * 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, draw int")
+    found = mixing.measures(d)
+
+    def shape(t):
+        t = t or ""
+        n = max(len(t), 1)
+        return ("data" if len(re.findall("[0-9]", t)) / n > 0.05 else "shout" if len(re.findall("[A-Z!$#%&*]", t)) / n > 0.1
+                else "list" if n / (t.count("\n") + 1) < 100 else "prose")
+
+    want = sorted((str(i), len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), shape(t)) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.tokens, r.topic) for r in found.collect()) == want
+    goal = mixing.even_targets(found)
+    pick = lambda df: sorted((str(r.doc_id), r._source, r._topic, r._tokens, r._weight, r._probability, r._kept) for r in df.collect())
+    assert pick(mixing.decide(found, goal, 0.5)) == pick(mixing.mix(d, goal, 0.5, found=found)) == pick(mixing.mix(d, goal, 0.5))
+
+
 def test_even_targets_flatten_the_tail(spark):
     # 40 named-size sources, a tail of 60 % in 200 more and null ones
     rows = [(i, "w " * 20, f"big{i % 40:02}", "en") for i in range(1600)] + [(2000 + i, "w " * 10, f"t{i % 200}" if i % 10 else None, "en") for i in range(4800)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    got = mixing.even_targets(d)["source"]
+    got = mixing.even_targets(mixing.measures(d), top=30)["source"]
     total = 1600 * 20 + 4800 * 10
     named = 30 * 40 * 20
     assert len(got) == 31
     assert got[mixing.OTHER] / got["big00"] == pytest.approx(((total - named) / (40 * 20)) ** 0.75)
     # the share of the tail falls by flattening, but most of it stays
-    keep = mixing.mix(d, mixing.even_targets(d)).where("_source = '(other)'").agg(F.avg("_probability")).first()[0]
+    keep = mixing.mix(d, mixing.even_targets(mixing.measures(d), top=30)).where("_source = '(other)'").agg(F.avg("_probability")).first()[0]
     assert 0.2 < keep < 1
-    assert mixing.even_targets(d.where("false"))["source"] == {mixing.OTHER: 1.0}
-    assert mixing.OTHER not in mixing.even_targets(d.where("source = 'big00'"))["source"]
+    assert mixing.even_targets(mixing.measures(d.where("false")))["source"] == {mixing.OTHER: 1.0}
+    assert mixing.OTHER not in mixing.even_targets(mixing.measures(d.where("source = 'big00'")))["source"]
 
 
 def test_toxicity_gradients():

@@ -24,8 +24,13 @@ CATEGORIES = 1000
 
 def tokens(text: Column) -> Column:
     """Words of a text by blanks; 0 for null and blank texts."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    blanks = "\t\n\x0b\x0c\r"
+    words = F.split(F.translate(F.coalesce(text, F.lit("")), blanks, " " * len(blanks)), " ")
+    return F.size(F.filter(words, lambda w: w != "")).cast("long")
+
+
+def _count(text: Column, characters: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
 def topic(text: Column) -> Column:
@@ -33,20 +38,31 @@ def topic(text: Column) -> Column:
     capitals or signs) or `prose`."""
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
-    lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
-    digits = F.length(F.regexp_replace(t, r"[^0-9]+", ""))
-    loud = F.length(F.regexp_replace(t, r"[^A-Z!$#%&*]+", ""))
+    lines = _count(t, "\n") + 1
+    digits, loud = _count(t, "0123456789"), _count(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ!$#%&*")
     return (F.when(digits / n > 0.05, "data").when(loud / n > 0.1, "shout").when(n / lines < 100, "list").otherwise("prose"))
 
 
-def with_cells(docs: DataFrame, targets: dict[str, dict[str, float]], topic_of: Column | None = None) -> DataFrame:
+def measures(docs: DataFrame, seed: int = 1, topic_of: Column | None = None) -> DataFrame:
+    """One pass over the texts, stored without them: doc_id, source, lang, topic, tokens and the draw
+    of every row. Targets, cells and decisions are made from this table."""
+    text = F.col("text")
+    return stored(docs.select("doc_id", "source", "lang", (topic(text) if topic_of is None else topic_of).alias("topic"), tokens(text).alias("tokens"),
+                              draw(F.col("doc_id"), text, seed).alias("draw")))
+
+
+def with_cells(docs: DataFrame, targets: dict[str, dict[str, float]], topic_of: Column | None = None, tokens_of: Column | None = None) -> DataFrame:
     """`docs` with `_source`, `_lang`, `_topic` (categories) and `_tokens`."""
     value = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text")) if topic_of is None else topic_of}
     out = docs
     for d in DIMENSIONS:
         named = [c for c in targets[d] if c != OTHER]
         out = out.withColumn(f"_{d}", F.when(value[d].isin(named), value[d]).otherwise(F.lit(OTHER)))
-    return out.withColumn("_tokens", tokens(F.col("text")))
+    return out.withColumn("_tokens", tokens(F.col("text")) if tokens_of is None else tokens_of)
+
+
+def _of_measures(found: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+    return with_cells(found, targets, F.col("topic"), F.col("tokens"))
 
 
 def rake(cells: dict[tuple, float], targets: dict[str, dict[str, float]], rounds: int = 200, tolerance: float = 1e-9) -> dict[tuple, float]:
@@ -106,36 +122,50 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
 
 
+def chances(found: DataFrame, targets: dict[str, dict[str, float]], budget: float | None = None) -> DataFrame:
+    """Of stored measures: `_source`, `_lang`, `_topic`, `_weight`, `_probability` of every cell that
+    has rows, as many as the product of the target categories at most."""
+    if any(len(targets[d]) > CATEGORIES for d in DIMENSIONS):
+        raise ValueError(f"a margin has more than {CATEGORIES} categories")
+    names = [f"_{x}" for x in DIMENSIONS]
+    cells = {tuple(r)[:3]: float(r.n) for r in _of_measures(found, targets).groupBy(*names).agg(F.sum("_tokens").alias("n")).collect()}
+    factors = rake(cells, targets)
+    chance = probabilities(cells, factors, budget)
+    rows = [(*k, factors.get(k, 1.0), chance.get(k, 1.0)) for k in cells]
+    return found.sparkSession.createDataFrame(rows, "_source string, _lang string, _topic string, _weight double, _probability double")
+
+
+def decide(found: DataFrame, targets: dict[str, dict[str, float]], budget: float | None = None) -> DataFrame:
+    """Stored measures with their cell, weight, probability and decision: what `mix` adds, without texts."""
+    names = [f"_{x}" for x in DIMENSIONS]
+    d = _of_measures(found, targets)
+    return (d.join(F.broadcast(chances(found, targets, budget)), names).select(*d.columns, "_weight", "_probability")
+            .withColumn("_kept", F.col("draw") < F.col("_probability")))
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]], budget: float | None = None, seed: int = 1,
-        topic_of: Column | None = None) -> DataFrame:
+        topic_of: Column | None = None, found: DataFrame | None = None) -> DataFrame:
     """`docs` (with doc_id, text, source, lang) and `_source`, `_lang`, `_topic`, `_tokens`,
-    `_weight` (factor of the cell), `_probability` and `_kept`; one row for each input row.
+    `_weight` (factor of the cell), `_probability` and `_kept`; one row for each input row. `found` are
+    the measures of `docs`, if they are stored already.
 
     Null or unnamed sources, languages and topics belong to `OTHER`. Documents without tokens do
     not change the mix: their probability is that of their cell, or 1 where the cell has no tokens
     at all. An empty table stays empty.
     """
-    if any(len(targets[d]) > CATEGORIES for d in DIMENSIONS):
-        raise ValueError(f"a margin has more than {CATEGORIES} categories")
+    found = measures(docs, seed, topic_of) if found is None else found
+    table = chances(found, targets, budget)
     d = with_cells(docs, targets, topic_of)
-    names = [f"_{x}" for x in DIMENSIONS]
-    # bounded by the product of the target categories
-    cells = {tuple(r)[:3]: float(r.n) for r in d.groupBy(*names).agg(F.sum("_tokens").alias("n")).collect()}
-    factors = rake(cells, targets)
-    chance = probabilities(cells, factors, budget)
-    rows = [(*k, factors.get(k, 1.0), chance.get(k, 1.0)) for k in cells]
-    table = docs.sparkSession.createDataFrame(rows, "_source string, _lang string, _topic string, _weight double, _probability double")
-    return (d.join(F.broadcast(table), names).select(*d.columns, "_weight", "_probability")
+    return (d.join(F.broadcast(table), [f"_{x}" for x in DIMENSIONS]).select(*d.columns, "_weight", "_probability")
             .withColumn("_kept", draw(F.col("doc_id"), F.col("text"), seed) < F.col("_probability")))
 
 
-def even_targets(docs: DataFrame, top: int = 30, power: float = 0.75) -> dict[str, dict[str, float]]:
-    """Targets that flatten the mix: each margin's share goes as its tokens' share to the `power`,
-    for the `top` categories of the most tokens and `OTHER`, which has the tokens of all others and of
-    nulls."""
+def even_targets(found: DataFrame, top: int = CATEGORIES - 1, power: float = 0.75) -> dict[str, dict[str, float]]:
+    """Targets that flatten the mix, from stored measures: each margin's share goes as its tokens' share
+    to the `power`, for the `top` categories of the most tokens and `OTHER`, which has the tokens of all
+    others and of nulls."""
     out = {}
-    d = docs.select("source", "lang", topic(F.col("text")).alias("topic"), tokens(F.col("text")).alias("n"))
-    cells = stored(d.groupBy("source", "lang", "topic").agg(F.sum("n").alias("n")))
+    cells = stored(found.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("n")))
     total = cells.agg(F.sum("n")).first()[0] or 0
     for name in DIMENSIONS:
         rows = cells.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), name).limit(top).collect()
@@ -146,4 +176,3 @@ def even_targets(docs: DataFrame, top: int = 30, power: float = 0.75) -> dict[st
         size = sum(out[name].values())
         out[name] = {k: v / size for k, v in out[name].items()}
     return out
-

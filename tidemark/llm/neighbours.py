@@ -26,30 +26,35 @@ SHARD, ASKED = 8_000, 20_000
 #: distances), passes.
 DEGREE, BEAM, ALPHA, PASSES = 32, 64, 1.2, 2
 #: Width of a query's beam.
-WIDTH = 192
+WIDTH = 128
 #: Vectors searched for at a time.
 BATCH = 512
 #: Parts that the queries of one vector are spread over.
 SALTS = 16
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each row of q: places and squared distances of the nearest rows of x that a search finds,
-    nearest first (-1 and infinity behind the last), and which rows it has seen. All queries take
-    their steps together; a query ends when its whole beam is expanded."""
-    m, row = len(q), np.arange(len(q))[:, None]
+    nearest first (-1 and infinity behind the last), then places and squared distances of all rows
+    that it has expanded on its way. All queries take their steps together; a query ends when its
+    whole beam is expanded."""
+    m = len(q)
     ids, far = np.full((m, beam), -1, np.int64), np.full((m, beam), np.inf, np.float32)
     open_, seen = np.zeros((m, beam), bool), np.zeros((m, len(x)), bool)
     ids[:, 0], far[:, 0], open_[:, 0], seen[:, start] = start, 2 - 2 * q @ x[start], True, True
-    live = np.arange(m)
+    live, way, cost = np.arange(m), [], []
     while len(live):
         best = np.where(open_[live], far[live], np.inf).argmin(1)
         open_[live, best] = False
+        way.append(np.full(m, -1, np.int64))
+        cost.append(np.full(m, np.inf, np.float32))
+        way[-1][live], cost[-1][live] = ids[live, best], far[live, best]
         new = graph[ids[live, best]]
         fresh = (new >= 0) & ~seen[live[:, None], new]
         some = fresh.any(1)
         at, new, fresh = live[some], new[some], fresh[some]
-        seen[at[:, None], np.where(fresh, new, new[:, :1])] |= fresh
+        r, c = np.nonzero(fresh)
+        seen[at[r], new[r, c]] = True
         d = 2 - 2 * np.matmul(x[new], q[at][:, :, None])[:, :, 0]
         d[~fresh] = np.inf
         i, f = np.concatenate([ids[at], np.where(fresh, new, -1)], 1), np.concatenate([far[at], d], 1)
@@ -57,11 +62,12 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, bea
         top = np.argsort(f, 1, kind="stable")[:, :beam]
         ids[at], far[at], open_[at] = (np.take_along_axis(a, top, 1) for a in (i, f, o))
         live = live[open_[live].any(1)]
-    return ids, far, seen
+    return ids, far, np.stack(way, 1), np.stack(cost, 1)
 
 
 def prune(x: np.ndarray, near: np.ndarray, far: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Per row of candidates (places, -1 for none, and their squared distances): the edges kept."""
+    """Per row of candidates (places, -1 for none, and their squared distances; repeats are dropped by
+    the rule itself, being no distance from each other): the edges kept."""
     order = np.argsort(far, 1, kind="stable")
     near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
     v = x[near]
@@ -73,8 +79,7 @@ def prune(x: np.ndarray, near: np.ndarray, far: np.ndarray, degree: int, alpha:
             break
         p, some = alive.argmax(1), alive.any(1)
         out[some, k] = near[some, p[some]]
-        alive &= alpha * alpha * apart[row, p] > far
-        alive[row, p] = False
+        alive &= (alpha * alpha * apart[row, p] > far) & (near != near[row, p][:, None])
     return out
 
 
@@ -113,11 +118,10 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
     for k in range(passes):
         slack = alpha if k == passes - 1 else 1.0
         for part in np.array_split(rng.permutation(n), max(1, -(-n // BATCH))):
-            ids, far, seen = beam_search(x, graph, start, x[part], beam)
+            # what lies far off on the way is proposed too: such edges lead from cluster to cluster
+            _, _, way, cost = beam_search(x, graph, start, x[part], beam)
             more = graph[part]
-            d = 2 - 2 * np.matmul(x[more], x[part][:, :, None])[:, :, 0]
-            more = np.where((more < 0) | seen[np.arange(len(part))[:, None], more], -1, more)
-            near, d = np.concatenate([ids, more], 1), np.concatenate([far, d], 1)
+            near, d = np.concatenate([way, more], 1), np.concatenate([cost, 2 - 2 * np.matmul(x[more], x[part][:, :, None])[:, :, 0]], 1)
             d[(near < 0) | (near == part[:, None])] = np.inf
             kept = prune(x, near, d, degree, slack)
             graph[part] = kept
@@ -163,7 +167,9 @@ def _least(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
 
 def nodes(rows: DataFrame, k: int) -> DataFrame:
     """Distinct vectors: a, b, dims, v and their k smallest vec_ids."""
-    few = _least(rows.select("a", "b", "dims", "v", "vec_id"), ["a", "b"], ["vec_id"], k)
+    # the rank of an id, not of a row: rows that repeat an id take no place of another
+    w = Window.partitionBy("a", "b").orderBy("vec_id")
+    few = rows.select("a", "b", "dims", "v", "vec_id").withColumn("_k", F.dense_rank().over(w)).where(F.col("_k") <= k)
     return few.groupBy("a", "b").agg(F.first("dims").alias("dims"), F.first("v").alias("v"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
 
@@ -221,7 +227,7 @@ def _answers(found: pa.Table, asked: pa.Table, k: int, width: int, exact: bool)
             edge = np.partition(cos, len(x) - most, 1)[:, len(x) - most]
             who, near = np.nonzero(cos >= edge[:, None] - 1e-12)
         else:
-            near, _, _ = beam_search(x, graph, int(found["start"][0].as_py()), q.astype(np.float32), width)
+            near, *_ = beam_search(x, graph, int(found["start"][0].as_py()), q.astype(np.float32), width)
             who, at = np.nonzero(near >= 0)
             near = near[who, at]
         score = (q[who] * full[near]).sum(1)

@@ -92,8 +92,8 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_mixing")
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, mixing.even_targets(docs))
+    found = mixing.measures(table(spark, sf_dir, "documents"))
+    mixed = mixing.decide(found, mixing.even_targets(found))
     return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
                         F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
 
