@@ -38,7 +38,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled to flatter source, language and topic margins, at half of the tokens."""
-    mixed = mixing.mix(docs, mixing.even_targets(docs), BUDGET)
+    found = mixing.measures(docs)
+    mixed = mixing.mix(docs, mixing.even_targets(found), BUDGET, found=found)
     return mixed.where("_kept").select(*docs.columns)
 
 
