@@ -110,3 +110,68 @@ def test_trade_and_equity_sinks(spark, tmp_path):
     SF.write_trades(close_bars(spark, [1, 2]), str(tmp_path / "t"))
     SF.write_equity(close_bars(spark, [1, 2]).select(F.lit("b").alias("book_id"), "ts", F.col("close").alias("equity")), str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2 and spark.read.parquet(str(tmp_path / "e")).columns == ["ts", "equity", "book_id"]
+
+
+def rows_of(spark, path):
+    return sorted(tuple(r) for r in SB.read_bars(spark, path).select("symbol", "ts", "close").collect())
+
+
+def test_a_job_that_dies_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    """Killed while files are written, or after that and before the manifest is swapped."""
+    path = str(tmp_path / "bars")
+    b = close_bars(spark, [1.0 + i for i in range(30)])
+    SB.upsert_bars(spark, path, b, "D1")
+    old = rows_of(spark, path)
+    change = b.withColumn("close", F.lit(1.5)).withColumn("open", F.lit(1.5)).withColumn("low", F.lit(1.0)).withColumn("high", F.lit(99.0))
+
+    from tidemark.sources import snapshots as SN
+    real = SN.merge
+    dies = F.udf(lambda x: 1 / 0, "double")
+    monkeypatch.setattr(SN, "merge", lambda *a: real(*a).withColumn("close", F.when(F.col("ts") > "2024-01-20", dies("close")).otherwise(F.col("close"))))
+    with pytest.raises(Exception, match="division by zero"):
+        SB.upsert_bars(spark, path, change, "D1")
+    assert rows_of(spark, path) == old
+    monkeypatch.setattr(SN, "merge", real)
+
+    def killed(*a):
+        raise KeyboardInterrupt
+
+    swap = SN.swap
+    monkeypatch.setattr(SN, "swap", killed)
+    with pytest.raises(KeyboardInterrupt):
+        SB.upsert_bars(spark, path, change, "D1")
+    assert rows_of(spark, path) == old and SN.versions(spark, path) == [1]
+    monkeypatch.setattr(SN, "swap", swap)
+
+    assert SB.upsert_bars(spark, path, change.limit(5), "D1") == 0
+    new = rows_of(spark, path)
+    assert new != old and len(new) == 30 and SN.versions(spark, path) == [1, 2]
+    assert SN.read(spark, path, SB.schemas.BARS, 1).count() == 30
+    writes = len(list((tmp_path / "bars").glob("write=*")))
+    gone = SN.vacuum(spark, path)
+    assert len(list((tmp_path / "bars").glob("write=*"))) < writes and len(gone) >= 3
+    assert rows_of(spark, path) == new and SN.versions(spark, path) == [2]
+    with pytest.raises(DataError):
+        SN.read(spark, path, SB.schemas.BARS, 1)
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from tidemark.sources import snapshots as SN
+
+    path = str(tmp_path / "t")
+    SN.swap(spark, path, {}, 1)
+    with pytest.raises(DataError, match="another job"):
+        SN.swap(spark, path, {"a=1": "x"}, 1)
+    assert SN.manifest(spark, path) == {}
+
+
+def test_an_upsert_reads_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        seen.add(1)
+        return x
+
+    b = close_bars(spark, [1.0 + i for i in range(20)]).withColumn("volume", F.udf(touch, "double")("volume"))
+    SB.upsert_bars(spark, str(tmp_path / "b"), b, "D1")
+    assert seen.value == 20

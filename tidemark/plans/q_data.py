@@ -23,6 +23,7 @@ from tidemark.plans.shared_sql import ewm_cte, norm_cdf_sql
 from tidemark.session import ensure_checkpoint_dir, materialize
 from tidemark.sources import bars as SB
 from tidemark.sources import files as SF
+from tidemark.sources import snapshots as SN
 from tidemark.sources import views as V
 
 # ---------------------------------------------------------------- positioning
@@ -155,7 +156,7 @@ def _(spark, sf):
     b = V.bars(spark, sf).select("symbol", "ts", "close")
     fixed = b.filter(F.hour("ts") < 6).withColumn("close", F.col("close") * 2)
     later = b.filter(F.hour("ts") == 3).withColumn("ts", F.col("ts") + F.expr("INTERVAL 60 DAYS"))
-    return SB.merge(b, fixed.unionByName(later), ["symbol", "ts"])
+    return SN.merge(b, fixed.unionByName(later), ["symbol", "ts"])
 
 
 @query("store_roundtrip", """
@@ -171,6 +172,38 @@ def _(spark, sf):
     return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+@query("resume_points", """
+SELECT symbol, max(ts) AS last_ts FROM bars_h4 GROUP BY symbol
+""", ("bars_h4",))
+def _(spark, sf):
+    """Where a download of each symbol goes on, asked of the bar table."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    bars = materialize(V.bars(spark, sf, "4 hours"))
+    SB.upsert_bars(spark, path, bars.filter("ts < '2024-01-12'"), "H4", allow_nonpositive=True)
+    SB.upsert_bars(spark, path, bars.filter("ts >= '2024-01-08'"), "H4", allow_nonpositive=True)
+    return SB.last_timestamps(spark, path, "H4")
+
+
+@query("cot_store", """
+SELECT CASE WHEN market < 'J' THEN 'A-I' ELSE 'J-Z' END AS code, CAST(as_of AS VARCHAR) AS as_of, count(*) AS reports, round(sum(CASE WHEN market < 'J' AND month(as_of) = 6 THEN 2 ELSE 1 END * oi), 2) AS oi
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market < 'J', as_of ORDER BY market) AS k FROM cot) WHERE k = 1) GROUP BY ALL
+""", ("cot",))
+def _(spark, sf):
+    """Reports of two groups of markets merged by date; a corrected copy of the Junes of one wins."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cot-{uuid.uuid4().hex}"
+    code = F.when(F.col("market") < "J", "A-I").otherwise("J-Z")
+    first = cot(spark, sf).withColumn("code", code).groupBy("code", "as_of").agg(F.min_by(F.struct("market", *SF.COT_NUMBERS), "market").alias("r"))
+    d = materialize(first.select("code", "as_of", "r.*"))
+    for c in ("A-I", "J-Z"):
+        SF.upsert_cot(spark, path, c, d.filter(F.col("code") == c))
+    june = d.filter((F.col("code") == "A-I") & (F.month("as_of") == 6)).withColumn("oi", 2 * F.col("oi"))
+    SF.upsert_cot(spark, path, "A-I", june)
+    return rounded(SF.read_cot(spark, path).groupBy("code", F.col("as_of").cast("string").alias("as_of")).agg(
+        F.count(F.lit(1)).alias("reports"), F.sum("oi").alias("oi")), 2)
+
+
 @query("ingest_prints", """
 SELECT contract, count(*) AS prints, count(*) FILTER (k >= 80) AS dropped, round(count(*) FILTER (k >= 80) / count(*), 6) AS dropped_share FROM
 (SELECT event_type AS contract, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY contract

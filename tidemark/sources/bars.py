@@ -1,4 +1,4 @@
-"""The bar table: Parquet partitioned by timeframe and year, merged by key."""
+"""The bar table: Parquet partitioned by timeframe and year, merged by key, swapped whole."""
 
 from __future__ import annotations
 
@@ -10,23 +10,18 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators.asof import TIMEFRAMES
 from tidemark.operators.quality import DataError, require_valid
+from tidemark.session import materialize
+from tidemark.sources import snapshots
 
 KEY = ["symbol", "ts"]
 VALUES = ["open", "high", "low", "close", "volume"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_bars(spark: SparkSession, path: str, symbol: str | None = None, timeframe: str | None = None,
               start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Bars in [start, end]. The year predicate that follows from the range prunes partitions;
     the exact range and the symbol are pushed to the scan."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schemas.BARS)
-    d = spark.read.schema(schemas.BARS).parquet(path)
+    d = snapshots.read(spark, path, schemas.BARS, where=(lambda part: part.startswith(f"timeframe={timeframe}/")) if timeframe else None)
     if timeframe:
         d = d.filter(F.col("timeframe") == timeframe)
     if start is not None:
@@ -36,43 +31,36 @@ def read_bars(spark: SparkSession, path: str, symbol: str | None = None, timefra
     return d.filter(F.col("symbol") == symbol) if symbol else d
 
 
-def keep_last(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
-    """One row per key: that of the highest priority. Partially aggregated, so no key is sorted."""
-    rest = [c for c in df.columns if c not in keys and c != priority]
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(priority)).alias("_v"))
-    return g.select(*keys, *[F.col("_v").getField(c).alias(c) for c in rest])
-
-
-def merge(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Union by key; the incoming row wins on a conflict."""
-    cols = existing.columns
-    return keep_last(existing.withColumn("_p", F.lit(0)).unionByName(incoming.select(*cols).withColumn("_p", F.lit(1))),
-                     keys, "_p").select(*cols)
-
-
 def upsert_bars(spark: SparkSession, path: str, incoming: DataFrame, timeframe: str,
                 allow_nonpositive: bool = False) -> int:
-    """Merge bars into the table and return how many are new. Only the years touched are rewritten.
+    """Merge bars into the table and return how many are new. Only the years touched are rewritten,
+    and the change appears at once: a job that dies on the way leaves the old table as it was.
 
     Prices at or below zero are refused unless allowed: futures and differences can print there."""
     if timeframe not in TIMEFRAMES:
         raise DataError(f"unknown timeframe {timeframe!r}")
-    require_valid(incoming, allow_nonpositive=allow_nonpositive)
-    new = (incoming.select("symbol", "ts", *VALUES).withColumn("timeframe", F.lit(timeframe))
-           .withColumn("year", F.year("ts")))
+    new = materialize(incoming.select("symbol", "ts", *VALUES).withColumn("timeframe", F.lit(timeframe)).withColumn("year", F.year("ts")))
+    require_valid(new, allow_nonpositive=allow_nonpositive)
     years = [r[0] for r in new.select("year").distinct().collect()]  # calendar years: a handful
-    old = read_bars(spark, path, timeframe=timeframe).filter(F.col("year").isin(*years)) if years else None
-    if old is None:
+    if not years:
         return 0
-    added = new.select(*KEY).join(old.select(*KEY), KEY, "left_anti").count()
-    (merge(old, new, KEY).repartition("timeframe", "year", F.pmod(F.xxhash64("symbol"), F.lit(64)))
-     .sortWithinPartitions("timeframe", "year", "symbol", "ts").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "year").parquet(path))
-    return added
+    touched = lambda: read_bars(spark, path, timeframe=timeframe).filter(F.col("year").isin(*years))
+    old = touched()
+    before = old.count()
+    rows = (snapshots.merge(old, new, KEY).repartition("timeframe", "year", F.pmod(F.xxhash64("symbol"), F.lit(64)))
+            .sortWithinPartitions("timeframe", "year", "symbol", "ts"))
+    snapshots.replace(spark, path, rows, ["timeframe", "year"])
+    return touched().count() - before
+
+
+def last_timestamps(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
+    """symbol, last_ts: where each symbol's history ends, over all symbols of the table at once."""
+    return read_bars(spark, path, timeframe=timeframe).groupBy("symbol").agg(F.max("ts").alias("last_ts"))
 
 
 def last_timestamp(spark: SparkSession, path: str, symbol: str, timeframe: str) -> datetime | None:
-    """Newest stored bar, read from the latest year that has the symbol."""
+    """Where the stored history of one symbol ends. The years are asked first, so that bars of one
+    year only are read."""
     d = read_bars(spark, path, symbol, timeframe)
     top = d.agg(F.max("year")).first()[0]
     return None if top is None else d.filter(F.col("year") == top).agg(F.max("ts")).first()[0]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.operators.quality import DataError, merge_sunday_stubs, validate_counts
-from tidemark.sources.bars import keep_last
+from tidemark.sources import snapshots
 
 # Columns of the legacy positioning report and the names used here.
 COT_COLUMNS = {
@@ -44,20 +44,20 @@ def clean_cot(d: DataFrame) -> DataFrame:
             .filter(F.col("as_of").isNotNull()))
 
 
+COT_TABLE = T.StructType([T.StructField("market", T.StringType()), T.StructField("as_of", T.DateType()),
+                          *[T.StructField(c, T.DoubleType()) for c in COT_NUMBERS], T.StructField("code", T.StringType())])
+
+
 def upsert_cot(spark: SparkSession, path: str, code: str, rows: DataFrame) -> None:
-    """Merge reports of one market by date, the newer copy winning. The market is a partition."""
-    from tidemark.sources.bars import _exists
-    new = rows.withColumn("code", F.lit(code)).withColumn("_p", F.lit(1))
-    if _exists(spark, path):
-        old = spark.read.schema(new.drop("_p").schema).parquet(path).filter(F.col("code") == code)
-        new = old.withColumn("_p", F.lit(0)).unionByName(new)
-    (keep_last(new, ["code", "as_of"], "_p").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("code").parquet(path))
+    """Merge reports of one market by date, the newer copy winning. The market is a partition, and the
+    change appears at once."""
+    new = rows.withColumn("code", F.lit(code)).select(*COT_TABLE.names)
+    old = snapshots.read(spark, path, COT_TABLE, where=lambda part: part == f"code={code}")
+    snapshots.replace(spark, path, snapshots.merge(old, new, ["code", "as_of"]), ["code"])
 
 
 def read_cot(spark: SparkSession, path: str, code: str | None = None) -> DataFrame:
-    d = spark.read.parquet(path)
-    return d.filter(F.col("code") == code) if code else d
+    return snapshots.read(spark, path, COT_TABLE, where=None if code is None else lambda part: part == f"code={code}")
 
 
 def classify_prints(raw: DataFrame, aggressor: str = "aggressor") -> DataFrame:
