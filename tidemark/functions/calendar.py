@@ -47,33 +47,29 @@ def last_weekday(last: Column, weekday: Column) -> Column:
 # (nth: the n-th weekday; last: the last weekday; day: day n; end: the last day) and moves by
 # business days. "back" says a base on a weekend first falls back to Friday without counting.
 # rule, months from the contract month, base, weekday (Monday = 0), n, business days, back
-RULE_LINES = """
-third_friday 0 nth 4 3 0 yes
-gold 0 end 0 0 -2 yes
-metals 0 end 0 0 -2 yes
-fx 0 nth 2 3 -2 yes
-crude -1 day 0 25 -3 yes
-natgas -1 end 0 0 -2 yes
-refined -1 end 0 0 0 yes
-treasury 0 end 0 0 -7 yes
-last_busday 0 end 0 0 0 yes
-grains 0 day 0 15 -1 no
-lean_hogs 0 day 0 0 10 yes
-feeder 0 last 3 0 0 yes
-brent -2 end 0 0 0 yes
-nikkei 0 nth 4 2 -1 yes
-sofr3 3 nth 2 3 -1 yes
-last_friday 0 last 4 0 0 yes
-"""
+RULES = [
+    ("third_friday", 0, "nth", 4, 3, 0, "yes"),
+    ("gold", 0, "end", 0, 0, -2, "yes"),
+    ("metals", 0, "end", 0, 0, -2, "yes"),
+    ("fx", 0, "nth", 2, 3, -2, "yes"),
+    ("crude", -1, "day", 0, 25, -3, "yes"),
+    ("natgas", -1, "end", 0, 0, -2, "yes"),
+    ("refined", -1, "end", 0, 0, 0, "yes"),
+    ("treasury", 0, "end", 0, 0, -7, "yes"),
+    ("last_busday", 0, "end", 0, 0, 0, "yes"),
+    ("grains", 0, "day", 0, 15, -1, "no"),
+    ("lean_hogs", 0, "day", 0, 0, 10, "yes"),
+    ("feeder", 0, "last", 3, 0, 0, "yes"),
+    ("brent", -2, "end", 0, 0, 0, "yes"),
+    ("nikkei", 0, "nth", 4, 2, -1, "yes"),
+    ("sofr3", 3, "nth", 2, 3, -1, "yes"),
+    ("last_friday", 0, "last", 4, 0, 0, "yes"),
+]
 RULE_SCHEMA = "expiry_rule string, _months int, _base string, _weekday int, _n int, _move int, _back string"
 
 
 def rules(spark) -> DataFrame:
-    rows = []
-    for line in RULE_LINES.strip().splitlines():
-        name, months, base, wd, n, move, back = line.split()
-        rows.append((name, int(months), base, int(wd), int(n), int(move), back))
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return spark.createDataFrame(RULES, RULE_SCHEMA)
 
 
 def with_expiry(contracts: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def size_positions(df: DataFrame, max_volume: str | None = None) -> DataFrame:
 
 
 def minimum_viable_equity(risk_fraction: float) -> Column:
-    """Smallest equity that can trade one minimum lot at this risk and stop."""
+    """What an account must hold before the least volume, stopped out, costs no more than the fraction."""
     return F.col("volume_min") * F.col("stop_distance") * value_per_unit() / risk_fraction
 
 

@@ -8,68 +8,69 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar as K
 from tidemark.functions.scalars import MONTH_CODES, contract_code
 
+EVERY_MONTH = list(range(1, 13))
 # Contract families. root, multiplier, tick, months, expiry rule, roll days before
-# the anchor, commission per side, sector, first-notice rule ("-" for none).
-ROOT_LINES = """
-ES 50 0.25 3,6,9,12 third_friday 5 2.5 us_indices -
-NQ 20 0.25 3,6,9,12 third_friday 5 2.5 us_indices -
-YM 5 1 3,6,9,12 third_friday 5 2.5 us_indices -
-RTY 50 0.1 3,6,9,12 third_friday 5 2.5 us_indices -
-ZT 2000 0.00390625 3,6,9,12 last_busday 3 1.5 rates prior_month_end
-ZF 1000 0.0078125 3,6,9,12 last_busday 3 1.5 rates prior_month_end
-ZN 1000 0.015625 3,6,9,12 treasury 3 1.5 rates prior_month_end
-ZB 1000 0.03125 3,6,9,12 treasury 3 1.5 rates prior_month_end
-UB 1000 0.03125 3,6,9,12 treasury 3 1.5 rates prior_month_end
-6E 125000 0.00005 3,6,9,12 fx 5 2.5 usd_majors -
-6J 12500000 0.0000005 3,6,9,12 fx 5 2.5 usd_majors -
-6B 62500 0.0001 3,6,9,12 fx 5 2.5 usd_majors -
-6A 100000 0.00005 3,6,9,12 fx 5 2.5 usd_majors -
-6C 100000 0.00005 3,6,9,12 fx 5 2.5 usd_majors -
-6S 125000 0.0001 3,6,9,12 fx 5 2.5 usd_majors -
-6N 100000 0.00005 3,6,9,12 fx 5 2.5 usd_majors -
-GC 100 0.1 2,4,6,8,10,12 metals 5 2.5 metals prior_month_end
-SI 5000 0.005 3,5,7,9,12 metals 5 2.5 metals prior_month_end
-HG 25000 0.0005 3,5,7,9,12 metals 5 2.5 metals prior_month_end
-PL 50 0.1 1,4,7,10 metals 5 2.5 metals prior_month_end
-CL 1000 0.01 1,2,3,4,5,6,7,8,9,10,11,12 crude 5 2.5 energy -
-NG 10000 0.001 1,2,3,4,5,6,7,8,9,10,11,12 natgas 5 2.5 energy -
-RB 42000 0.0001 1,2,3,4,5,6,7,8,9,10,11,12 refined 5 2.5 energy -
-HO 42000 0.0001 1,2,3,4,5,6,7,8,9,10,11,12 refined 5 2.5 energy -
-ZC 50 0.25 3,5,7,9,12 grains 5 2.5 grains prior_month_end
-ZS 50 0.25 1,3,5,7,8,9,11 grains 5 2.5 grains prior_month_end
-ZW 50 0.25 3,5,7,9,12 grains 5 2.5 grains prior_month_end
-KE 50 0.25 3,5,7,9,12 grains 5 2.5 grains prior_month_end
-ZM 100 0.1 1,3,5,7,8,9,10,12 grains 5 2.5 grains prior_month_end
-ZL 600 0.01 1,3,5,7,8,9,10,12 grains 5 2.5 grains prior_month_end
-LE 400 0.025 2,4,6,8,10,12 last_busday 5 2.5 meats prior_month_end
-HE 400 0.025 2,4,5,6,7,8,10,12 lean_hogs 5 2.5 meats -
-GF 500 0.025 1,3,4,5,8,9,10,11 feeder 5 2.5 meats -
-BZ 1000 0.01 1,2,3,4,5,6,7,8,9,10,11,12 brent 5 2.5 energy -
-PA 100 0.5 3,6,9,12 metals 5 2.5 metals prior_month_end
-6M 500000 0.00001 3,6,9,12 fx 5 2.5 em_fx -
-6Z 500000 0.000025 3,6,9,12 fx 5 2.5 em_fx -
-6L 100000 0.00005 1,2,3,4,5,6,7,8,9,10,11,12 refined 5 2.5 em_fx -
-NKD 5 5 3,6,9,12 nikkei 5 2.5 asia_indices -
-EMD 100 0.1 3,6,9,12 third_friday 5 2.5 us_indices -
-ZO 50 0.25 3,5,7,9,12 grains 5 2.5 grains prior_month_end
-ZR 2000 0.005 1,3,5,7,9,11 grains 5 2.5 grains prior_month_end
-SR3 2500 0.0025 3,6,9,12 sofr3 5 1.5 rates -
-ZQ 4167 0.0025 1,2,3,4,5,6,7,8,9,10,11,12 last_busday 5 1.5 rates -
-TN 1000 0.015625 3,6,9,12 treasury 3 1.5 rates prior_month_end
-BTC 5 5 1,2,3,4,5,6,7,8,9,10,11,12 last_friday 5 2.5 crypto -
-MES 5 0.25 3,6,9,12 third_friday 5 0.85 us_indices -
-MNQ 2 0.25 3,6,9,12 third_friday 5 0.85 us_indices -
-MYM 0.5 1 3,6,9,12 third_friday 5 0.85 us_indices -
-M2K 5 0.1 3,6,9,12 third_friday 5 0.85 us_indices -
-MGC 10 0.1 2,4,6,8,10,12 metals 7 1 metals prior_month_end
-SIL 1000 0.005 3,5,7,9,12 metals 7 1 metals prior_month_end
-MHG 2500 0.0005 3,5,7,9,12 metals 7 1 metals prior_month_end
-M6E 12500 0.0001 3,6,9,12 fx 5 0.85 usd_majors -
-M6A 10000 0.0001 3,6,9,12 fx 5 0.85 usd_majors -
-M6B 6250 0.0001 3,6,9,12 fx 5 0.85 usd_majors -
-MCL 100 0.01 1,2,3,4,5,6,7,8,9,10,11,12 crude 5 1 energy -
-MBT 0.1 5 1,2,3,4,5,6,7,8,9,10,11,12 last_friday 5 1 crypto -
-"""
+# the anchor, commission per side, sector, first-notice rule.
+ROOTS = [
+    ("ES", 50, 0.25, [3, 6, 9, 12], "third_friday", 5, 2.5, "us_indices", None),
+    ("NQ", 20, 0.25, [3, 6, 9, 12], "third_friday", 5, 2.5, "us_indices", None),
+    ("YM", 5, 1, [3, 6, 9, 12], "third_friday", 5, 2.5, "us_indices", None),
+    ("RTY", 50, 0.1, [3, 6, 9, 12], "third_friday", 5, 2.5, "us_indices", None),
+    ("ZT", 2000, 0.00390625, [3, 6, 9, 12], "last_busday", 3, 1.5, "rates", "prior_month_end"),
+    ("ZF", 1000, 0.0078125, [3, 6, 9, 12], "last_busday", 3, 1.5, "rates", "prior_month_end"),
+    ("ZN", 1000, 0.015625, [3, 6, 9, 12], "treasury", 3, 1.5, "rates", "prior_month_end"),
+    ("ZB", 1000, 0.03125, [3, 6, 9, 12], "treasury", 3, 1.5, "rates", "prior_month_end"),
+    ("UB", 1000, 0.03125, [3, 6, 9, 12], "treasury", 3, 1.5, "rates", "prior_month_end"),
+    ("6E", 125000, 0.00005, [3, 6, 9, 12], "fx", 5, 2.5, "usd_majors", None),
+    ("6J", 12500000, 0.0000005, [3, 6, 9, 12], "fx", 5, 2.5, "usd_majors", None),
+    ("6B", 62500, 0.0001, [3, 6, 9, 12], "fx", 5, 2.5, "usd_majors", None),
+    ("6A", 100000, 0.00005, [3, 6, 9, 12], "fx", 5, 2.5, "usd_majors", None),
+    ("6C", 100000, 0.00005, [3, 6, 9, 12], "fx", 5, 2.5, "usd_majors", None),
+    ("6S", 125000, 0.0001, [3, 6, 9, 12], "fx", 5, 2.5, "usd_majors", None),
+    ("6N", 100000, 0.00005, [3, 6, 9, 12], "fx", 5, 2.5, "usd_majors", None),
+    ("GC", 100, 0.1, [2, 4, 6, 8, 10, 12], "metals", 5, 2.5, "metals", "prior_month_end"),
+    ("SI", 5000, 0.005, [3, 5, 7, 9, 12], "metals", 5, 2.5, "metals", "prior_month_end"),
+    ("HG", 25000, 0.0005, [3, 5, 7, 9, 12], "metals", 5, 2.5, "metals", "prior_month_end"),
+    ("PL", 50, 0.1, [1, 4, 7, 10], "metals", 5, 2.5, "metals", "prior_month_end"),
+    ("CL", 1000, 0.01, EVERY_MONTH, "crude", 5, 2.5, "energy", None),
+    ("NG", 10000, 0.001, EVERY_MONTH, "natgas", 5, 2.5, "energy", None),
+    ("RB", 42000, 0.0001, EVERY_MONTH, "refined", 5, 2.5, "energy", None),
+    ("HO", 42000, 0.0001, EVERY_MONTH, "refined", 5, 2.5, "energy", None),
+    ("ZC", 50, 0.25, [3, 5, 7, 9, 12], "grains", 5, 2.5, "grains", "prior_month_end"),
+    ("ZS", 50, 0.25, [1, 3, 5, 7, 8, 9, 11], "grains", 5, 2.5, "grains", "prior_month_end"),
+    ("ZW", 50, 0.25, [3, 5, 7, 9, 12], "grains", 5, 2.5, "grains", "prior_month_end"),
+    ("KE", 50, 0.25, [3, 5, 7, 9, 12], "grains", 5, 2.5, "grains", "prior_month_end"),
+    ("ZM", 100, 0.1, [1, 3, 5, 7, 8, 9, 10, 12], "grains", 5, 2.5, "grains", "prior_month_end"),
+    ("ZL", 600, 0.01, [1, 3, 5, 7, 8, 9, 10, 12], "grains", 5, 2.5, "grains", "prior_month_end"),
+    ("LE", 400, 0.025, [2, 4, 6, 8, 10, 12], "last_busday", 5, 2.5, "meats", "prior_month_end"),
+    ("HE", 400, 0.025, [2, 4, 5, 6, 7, 8, 10, 12], "lean_hogs", 5, 2.5, "meats", None),
+    ("GF", 500, 0.025, [1, 3, 4, 5, 8, 9, 10, 11], "feeder", 5, 2.5, "meats", None),
+    ("BZ", 1000, 0.01, EVERY_MONTH, "brent", 5, 2.5, "energy", None),
+    ("PA", 100, 0.5, [3, 6, 9, 12], "metals", 5, 2.5, "metals", "prior_month_end"),
+    ("6M", 500000, 0.00001, [3, 6, 9, 12], "fx", 5, 2.5, "em_fx", None),
+    ("6Z", 500000, 0.000025, [3, 6, 9, 12], "fx", 5, 2.5, "em_fx", None),
+    ("6L", 100000, 0.00005, EVERY_MONTH, "refined", 5, 2.5, "em_fx", None),
+    ("NKD", 5, 5, [3, 6, 9, 12], "nikkei", 5, 2.5, "asia_indices", None),
+    ("EMD", 100, 0.1, [3, 6, 9, 12], "third_friday", 5, 2.5, "us_indices", None),
+    ("ZO", 50, 0.25, [3, 5, 7, 9, 12], "grains", 5, 2.5, "grains", "prior_month_end"),
+    ("ZR", 2000, 0.005, [1, 3, 5, 7, 9, 11], "grains", 5, 2.5, "grains", "prior_month_end"),
+    ("SR3", 2500, 0.0025, [3, 6, 9, 12], "sofr3", 5, 1.5, "rates", None),
+    ("ZQ", 4167, 0.0025, EVERY_MONTH, "last_busday", 5, 1.5, "rates", None),
+    ("TN", 1000, 0.015625, [3, 6, 9, 12], "treasury", 3, 1.5, "rates", "prior_month_end"),
+    ("BTC", 5, 5, EVERY_MONTH, "last_friday", 5, 2.5, "crypto", None),
+    ("MES", 5, 0.25, [3, 6, 9, 12], "third_friday", 5, 0.85, "us_indices", None),
+    ("MNQ", 2, 0.25, [3, 6, 9, 12], "third_friday", 5, 0.85, "us_indices", None),
+    ("MYM", 0.5, 1, [3, 6, 9, 12], "third_friday", 5, 0.85, "us_indices", None),
+    ("M2K", 5, 0.1, [3, 6, 9, 12], "third_friday", 5, 0.85, "us_indices", None),
+    ("MGC", 10, 0.1, [2, 4, 6, 8, 10, 12], "metals", 7, 1, "metals", "prior_month_end"),
+    ("SIL", 1000, 0.005, [3, 5, 7, 9, 12], "metals", 7, 1, "metals", "prior_month_end"),
+    ("MHG", 2500, 0.0005, [3, 5, 7, 9, 12], "metals", 7, 1, "metals", "prior_month_end"),
+    ("M6E", 12500, 0.0001, [3, 6, 9, 12], "fx", 5, 0.85, "usd_majors", None),
+    ("M6A", 10000, 0.0001, [3, 6, 9, 12], "fx", 5, 0.85, "usd_majors", None),
+    ("M6B", 6250, 0.0001, [3, 6, 9, 12], "fx", 5, 0.85, "usd_majors", None),
+    ("MCL", 100, 0.01, EVERY_MONTH, "crude", 5, 1, "energy", None),
+    ("MBT", 0.1, 5, EVERY_MONTH, "last_friday", 5, 1, "crypto", None),
+]
 
 # Micro contract and the full-size root whose history it shares.
 MICRO_PARENT = {"MES": "ES", "MNQ": "NQ", "MYM": "YM", "M2K": "RTY", "MGC": "GC", "SIL": "SI", "MHG": "HG",
@@ -81,11 +82,8 @@ ROOT_SCHEMA = ("root string, multiplier double, tick_size double, months array<i
 
 def roots(spark: SparkSession) -> DataFrame:
     """The contract-family dimension: a fixed, short table."""
-    rows = []
-    for line in ROOT_LINES.strip().splitlines():
-        r, mult, tick, months, rule, roll, comm, sector, notice = line.split()
-        rows.append((r, float(mult), float(tick), [int(m) for m in months.split(",")], rule, int(roll), float(comm),
-                     sector, None if notice == "-" else notice, MICRO_PARENT.get(r, r)))
+    rows = [(root, float(multiplier), float(tick), months, rule, roll, float(commission), sector, notice, MICRO_PARENT.get(root, root))
+            for root, multiplier, tick, months, rule, roll, commission, sector, notice in ROOTS]
     return spark.createDataFrame(rows, ROOT_SCHEMA)
 
 

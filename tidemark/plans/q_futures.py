@@ -15,10 +15,9 @@ LO, HI, FAR = "(SELECT lo FROM span)", "(SELECT hi FROM span)", "(SELECT far FRO
 AHEAD = 200
 UNIVERSE = ["CL", "ES", "GC", "ZN", "ZC", "6E", "HE", "BZ"]
 
-_lines = [line.split() for line in FU.ROOT_LINES.strip().splitlines()]
 cte("roots", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{r}', {m}::DOUBLE, {t}::DOUBLE, [{mo}], '{ru}', {rd}, {c}::DOUBLE, '{s}', {'NULL' if n == '-' else repr(n)}, {i})"
-    for i, (r, m, t, mo, ru, rd, c, s, n) in enumerate(_lines))
+    f"('{r}', {m}::DOUBLE, {t}::DOUBLE, {mo}, '{ru}', {rd}, {c}::DOUBLE, '{s}', {'NULL' if n is None else repr(n)}, {i})"
+    for i, (r, m, t, mo, ru, rd, c, s, n) in enumerate(FU.ROOTS))
     + ") v(root, multiplier, tick_size, months, rule, roll_days, commission, sector, notice, ord)")
 cte("span", f"""
 SELECT least((SELECT CAST(min(l_shipdate) AS DATE) FROM lineitem), (SELECT CAST(min(o_orderdate) AS DATE) FROM orders)) AS lo,
