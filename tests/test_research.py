@@ -332,3 +332,11 @@ def test_resampled_walk_equals_day_by_day(spark, trailing, daily, consistency):
         pays += died is None and wins >= 5
     r = RS.survival(d, ["book"], rules, [1.0], 60, 47).first()
     assert (r["paths"], r["p_alive"], r["p_payable"]) == (60, pytest.approx(alive / 60), pytest.approx(pays / 60))
+
+
+def test_a_sixth_configuration_is_aligned_too(spark):
+    rnd = random.Random(8)
+    rows = [(f"c{c}", d, rnd.gauss(0, 1)) for c in range(6) for d in range(40) if not (c == 5 and d % 4 == 0)] + [("c5", 0, None)]
+    a = O.aligned(spark.createDataFrame(rows, "config string, t int, ret double"), "config", "t", "ret")
+    assert {r["count"] for r in a.groupBy("t").count().collect()} == {6} and a.select("t").distinct().count() == 30
+    assert O.pbo_splits(a, 4).count() == 6

@@ -64,10 +64,12 @@ def min_track_record(moments: DataFrame, benchmark: float = 0.0, confidence: flo
     return moments.withColumn("min_track_record", F.when((F.col("n") < 3) | (edge <= 0), F.lit(float("inf"))).otherwise(need))
 
 
-def aligned(returns: DataFrame, config: str, t: str, ret: str, n_configs: int) -> DataFrame:
-    """Only the periods on which every configuration has a value."""
-    full = returns.filter(F.col(ret).isNotNull()).groupBy(t).agg(F.count_distinct(config).alias("_n"))
-    return returns.join(full.filter(F.col("_n") == n_configs).select(t), t, "left_semi")
+def aligned(returns: DataFrame, config: str, t: str, ret: str) -> DataFrame:
+    """Only the periods on which every configuration that is found has a value."""
+    known = returns.filter(F.col(ret).isNotNull())
+    every = known.agg(F.count_distinct(config).alias("_all")).scalar()
+    full = known.groupBy(t).agg(F.count_distinct(config).alias("_n"))
+    return known.join(full.filter(F.col("_n") == every).select(t), t, "left_semi")
 
 
 def pbo_splits(returns: DataFrame, partitions: int = 8, config: str = "config", t: str = "t", ret: str = "ret") -> DataFrame:

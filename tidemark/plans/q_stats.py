@@ -187,13 +187,13 @@ def _(spark, sf):
 
 
 cte("aligned", """
-SELECT strategy, day, ret FROM day_returns WHERE day IN (SELECT day FROM day_returns GROUP BY day HAVING count(*) = 5)
+SELECT strategy, day, ret FROM day_returns WHERE day IN (SELECT day FROM day_returns GROUP BY day HAVING count(*) = (SELECT count(DISTINCT strategy) FROM day_returns))
 """, ("day_returns",), materialized=True)
 
 
 @query("variant_matrix", "SELECT strategy, CAST(day AS VARCHAR) AS day, round(ret, 12) AS ret FROM aligned", ("aligned",))
 def _(spark, sf):
-    return rounded(O.aligned(day_returns(spark, sf), "strategy", "day", "ret", 5).select("strategy", "day", "ret"), 12)
+    return rounded(O.aligned(day_returns(spark, sf), "strategy", "day", "ret").select("strategy", "day", "ret"), 12)
 
 
 _COMBOS = list(combinations(range(8), 4))
@@ -203,13 +203,13 @@ m AS (SELECT strategy, blk, ret FROM aligned JOIN b USING (day)), c AS (SELECT *
     + ", ".join(f"({i}, [{', '.join(map(str, c))}])" for i, c in enumerate(_COMBOS)) + """) v(split, blocks)),
 s AS (SELECT split, strategy, avg(ret) FILTER (list_contains(blocks, blk)) / stddev_samp(ret) FILTER (list_contains(blocks, blk)) AS i,
    avg(ret) FILTER (NOT list_contains(blocks, blk)) / stddev_samp(ret) FILTER (NOT list_contains(blocks, blk)) AS o FROM m, c GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY i DESC, strategy) AS best, row_number() OVER (PARTITION BY split ORDER BY o, strategy) / 6.0 AS rk FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY i DESC, strategy) AS best, row_number() OVER (PARTITION BY split ORDER BY o, strategy) / (count(*) OVER (PARTITION BY split) + 1.0) AS rk FROM s)
 SELECT split, strategy AS winner, i AS is_sr, o AS winner_oos_sr, rk AS oos_rank, ln(rk / (1 - rk)) AS logit FROM r WHERE best = 1
 """, ("aligned",), materialized=True)
 
 
 def splits(spark, sf):
-    return O.pbo_splits(O.aligned(day_returns(spark, sf), "strategy", "day", "ret", 5), 8, "strategy", "day", "ret")
+    return O.pbo_splits(O.aligned(day_returns(spark, sf), "strategy", "day", "ret"), 8, "strategy", "day", "ret")
 
 
 @query("pbo_splits", """
