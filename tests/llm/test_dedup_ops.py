@@ -273,7 +273,8 @@ def test_toxicity_gradients():
     net = toxicity.Network(1)
     net.p["gram"][:] = np.random.default_rng(0).normal(0, 0.1, net.p["gram"].shape)
     number, size, feats = toxicity._rows_of(["a bad idiot here", "the scum of all the earth " * 9])
-    _, ids, count = toxicity._layout(number, size)
+    win = toxicity._Windows(number, size)
+    ids, count = win.ids(slice(None)), win.count
     y = np.array([1, 0, 1, 0, 0][: len(ids)], np.float32)
 
     def loss():

@@ -162,39 +162,65 @@ class Network:
 
 
 def _rows_of(texts: list[str | None]):
-    """Words of texts: (numbers of distinct words, words by text, features of the distinct words)."""
+    """Words of texts: (numbers of distinct words, words by text, features of the distinct words).
+    The bytes are hashed some texts at a time, and a word met before adds only its number."""
     raw, off = tokens.parts(pa.array([t or "" for t in texts], pa.string()))
-    h, row, s, e, low = tokens.words(raw, off)
-    _, one, number = np.unique(h, return_index=True, return_inverse=True)
-    return number, np.bincount(row, minlength=len(texts)), features(h[one], s[one], e[one], low)
-
-
-def _layout(number: np.ndarray, size: np.ndarray):
-    text, first, count = windows(size)
-    begin = np.cumsum(size) - size
-    at = (begin[text] + first)[:, None] + np.arange(WINDOW)[None, :]
-    ids = np.where(np.arange(WINDOW)[None, :] < count[:, None], number[np.minimum(at, max(len(number) - 1, 0))], 0)
-    return text, ids, count
+    size = np.zeros(len(texts), np.int64)
+    hashes, numbers, feats, base = [], [], [], 0
+    for i, j in tokens.slices(off):
+        h, row, s, e, low = tokens.words(raw[off[i]: off[j]], off[i: j + 1] - off[i])
+        size[i:j] = np.bincount(row, minlength=j - i)
+        distinct, one, number = np.unique(h, return_index=True, return_inverse=True)
+        hashes.append(distinct)
+        numbers.append((number + base).astype(np.int32))
+        feats.append(features(distinct, s[one], e[one], low))
+        base += len(distinct)
+    if not hashes:
+        return np.zeros(0, np.int32), size, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
+    _, one, again = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    lead = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, _, o in feats]))])
+    cut = np.concatenate([[0], np.cumsum(lead[one + 1] - lead[one])])
+    gram = np.concatenate([g for _, g, _ in feats])[np.repeat(lead[one] - cut[:-1], np.diff(cut)) + np.arange(cut[-1])]
+    word = np.concatenate([w for w, _, _ in feats])[one]
+    return again.astype(np.int32)[np.concatenate(numbers)], size, (word, gram, cut)
+
+
+class _Windows:
+    """The windows of some texts. Only their places are held; the word numbers of the windows at
+    hand are laid out when they are read."""
+
+    def __init__(self, number: np.ndarray, size: np.ndarray):
+        text, first, count = windows(size)
+        self.number, self.text, self.count = number, text.astype(np.int32), count.astype(np.int32)
+        self.begin = (np.cumsum(size) - size)[text] + first
+
+    def __len__(self):
+        return len(self.text)
+
+    def ids(self, rows) -> np.ndarray:
+        step = np.arange(WINDOW)[None, :]
+        at = np.minimum(self.begin[rows][:, None] + step, max(len(self.number) - 1, 0))
+        return np.where(step < self.count[rows][:, None], self.number[at], 0)
+
+    def blocks(self, size: int = 4096) -> Iterator[slice]:
+        return (slice(k, min(k + size, len(self))) for k in range(0, len(self), size))
 
 
 def _enriched(y: np.ndarray, size, number, word, gram, off) -> np.ndarray:
     """How much oftener each distinct word, or its likeliest n-gram, is in positive texts: a z-score."""
-    key = np.unique(np.repeat(np.arange(len(size)), size) * np.int64(len(word)) + number)
-    owner, w = key // len(word), key % len(word)
+    begin = np.concatenate([[0], np.cumsum(size)])
     share = y.mean()
     best = np.zeros(len(word))
     for of_word, rows in ((np.diff(off), GRAM_ROWS), (np.ones(len(word), np.int64), WORD_ROWS)):
         flat = gram if rows == GRAM_ROWS else word
         lead = np.concatenate([[0], np.cumsum(of_word)])
         total, hit = np.zeros(rows), np.zeros(rows)
-        for k in range(0, len(y), 64):  # some texts at a time, for the memory
-            some = slice(*np.searchsorted(owner, [k, k + 64]))
-            v, o = w[some], owner[some]
+        for k in range(len(y)):  # a text at a time, for the memory
+            v = np.unique(number[begin[k]: begin[k + 1]])
             cut = np.concatenate([[0], np.cumsum(of_word[v])])
-            row = flat[np.repeat(lead[v] - cut[:-1], of_word[v]) + np.arange(cut[-1])]
-            pair = np.unique(np.repeat(o, of_word[v]) * np.int64(rows) + row)
-            total += np.bincount(pair % rows, minlength=rows)
-            hit += np.bincount(pair % rows, weights=y[pair // rows], minlength=rows)
+            row = np.unique(flat[np.repeat(lead[v] - cut[:-1], of_word[v]) + np.arange(cut[-1])])
+            total[row] += 1
+            hit[row] += y[k]
         z = (hit - share * total) / np.sqrt(share * (1 - share) * total + 1)
         z = np.concatenate([z[flat], [0]])
         top = np.maximum.reduceat(z, lead[:-1])
@@ -222,24 +248,28 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
     kept = [t for t, a in zip(texts, apart) if not a]
     goal = y[~apart]
     number, size, (word, gram, off) = _rows_of(kept)
-    text, ids, count = _layout(number, size)
-    seen = np.unique(np.repeat(np.arange(len(size)), size) * np.int64(len(word)) + number) % len(word)
-    held = np.bincount(seen, minlength=len(word))
+    win = _Windows(number, size)
+    text, count = win.text, win.count
+    begin = np.concatenate([[0], np.cumsum(size)])
+    held = np.zeros(len(word), np.int64)
+    for i, j in zip(begin[:-1], begin[1:]):
+        held[np.unique(number[i:j])] += 1
     least = max(LEAST, LEAST_SHARE * len(goal))
     often = {"word": np.bincount(word, held, WORD_ROWS) >= least,
              "gram": np.bincount(gram, np.repeat(held, np.diff(off)), GRAM_ROWS) >= least}
-    z = np.where(np.arange(WINDOW)[None, :] < count[:, None], _enriched(goal, size, number, word, gram, off)[ids], 0).max(1)
+    rich = _enriched(goal, size, number, word, gram, off)
+    z = np.concatenate([np.where(np.arange(WINDOW)[None, :] < count[b][:, None], rich[win.ids(b)], 0).max(1) for b in win.blocks()])
     top = np.zeros(len(goal))
     np.maximum.at(top, text, z)
     target = ((goal[text] > 0) & (z >= 0.6 * top[text])).astype(f32)
     rng = np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
-    step, epochs = 0, max(3, -(-steps * 256 // max(1, len(ids))))
+    step, epochs = 0, max(3, -(-steps * 256 // max(1, len(win))))
     for epoch in range(epochs):
         order = rng.permutation(np.flatnonzero((target > 0) | (goal[text] == 0)))
         for k in range(0, len(order), 256):
             w = order[k: k + 256]
-            used, local = np.unique(ids[w], return_inverse=True)
+            used, local = np.unique(win.ids(w), return_inverse=True)
             cut = np.concatenate([[0], np.cumsum(off[used + 1] - off[used])])
             flat = gram[np.repeat(off[used] - cut[:-1], np.diff(cut)) + np.arange(cut[-1])]
             batch = (word[used], flat, cut, local.reshape(len(w), WINDOW), count[w])
@@ -260,7 +290,7 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
                 # the small constant keeps rows that hardly matter near zero
                 net.p[name][rows] -= 0.05 * total / (np.sqrt(second[name][rows]) + 1e-3)
         if epoch < epochs - 1 and epoch % max(1, epochs // 3) == 0:
-            logit = _all(net, (word, gram, off), ids, count)
+            logit = _all(net, (word, gram, off), win)
             best = np.full(len(goal), -np.inf)
             np.maximum.at(best, text, logit)
             target = ((goal[text] > 0) & ((logit > 0) | (logit >= best[text]))).astype(f32)
@@ -280,16 +310,20 @@ def _worst(net: Network, texts: pa.Array) -> np.ndarray:
     for i, j in tokens.slices(off):
         h, row, s, e, low = tokens.words(raw[off[i]: off[j]], off[i: j + 1] - off[i])
         _, one, number = np.unique(h, return_index=True, return_inverse=True)
-        text, ids, count = _layout(number, np.bincount(row, minlength=j - i))
+        win = _Windows(number, np.bincount(row, minlength=j - i))
         best = np.full(j - i, -np.inf)
-        np.maximum.at(best, text, _all(net, features(h[one], s[one], e[one], low), ids, count))
+        np.maximum.at(best, win.text, _all(net, features(h[one], s[one], e[one], low), win))
         out[i:j] = best
     return out
 
 
-def _all(net: Network, feats, ids: np.ndarray, count: np.ndarray, block: int = 4096) -> np.ndarray:
-    x = net.vectors(*feats)
-    out = [net.read(x, ids[k: k + block], count[k: k + block]) for k in range(0, len(ids), block)]
+def _all(net: Network, feats, win: _Windows) -> np.ndarray:
+    word, gram, off = feats
+    x = np.zeros((len(word), WIDTH), f32)
+    for k in range(0, len(word), 16384):
+        cut = off[k: k + 16385]
+        x[k: k + 16384] = net.vectors(word[k: k + 16384], gram[cut[0]: cut[-1]], cut - cut[0])
+    out = [net.read(x, win.ids(b), win.count[b]) for b in win.blocks()]
     return np.concatenate(out) if out else np.zeros(0, f32)
 
 
