@@ -49,6 +49,10 @@ BUCKETS = 128
 ODD = 8
 #: Expected cost of a signature of one shingle, against 1 for a longer one: its list is longer.
 SINGLE = 4.0
+#: Turns in which crowded groups are tied to leaders before their clusters are compared.
+TURNS = 1
+#: Tasks among which the members of one group and size band are dealt.
+SALTS = 8
 #: The parities of the bucket counts differ in no more places than the sets in shingles.
 PARITIES = (" + ".join(f"bit_count(a_{k} ^ b_{k})" for k in range(ODD))
             + f" <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})")
@@ -378,8 +382,8 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
 def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
     """Links between sets made of common shingles. A set is listed under its least common shingles
     only, a quarter of all and one more, less the rare ones that are settled: a linked set shares
-    one of them. The groups are tied to up to four leaders each; then members of different
-    clusters within a group are compared."""
+    one of them. In each of `TURNS` turns the members of a group that are not in its leader's cluster
+    are compared with that leader; then members of clusters that are still apart are compared."""
     listed = stored(found.where(F.col("kind") == _CROWD).select("g", F.explode("members").alias("set")).join(sets, "set", "left_semi"))
     common = listed.groupBy("set").agg(F.count("*").alias("common"))
     room = (common.join(classes.select("set", "n"), "set")
@@ -387,20 +391,33 @@ def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFra
     held = listed.groupBy("g").agg(F.count("*").alias("held"))
     least = W.partitionBy("set").orderBy("held", "g")
     members = stored(listed.join(held, "g").withColumn("k", F.row_number().over(least)).join(room, "set").where("k <= room").select("g", "set"))
-    rank = F.xxhash64("set", F.pmod("g", F.lit(4)))
-    lead = members.groupBy("g").agg(F.min_by("set", rank).alias("lead"))
-    star = (members.join(lead, "g").where("set <> lead")
-            .select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct())
-    tied = stored(verified(_possible(star, classes), docs))
-    cluster = components(edges.union(tied))
-    part = (members.join(classes.select("set", "rep", "n", *(F.col("odd")[k].alias(f"odd_{k}") for k in range(ODD))), "set").join(cluster, F.col("rep") == F.col("node"), "left")
-            .select("g", "set", F.coalesce("component", "rep").alias("cluster"), "n", *(f"odd_{k}" for k in range(ODD))))
-    mixed = part.groupBy("g").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("g")
-    part = stored(part.join(mixed, "g", "left_semi"))
-    across = (part.toDF("g", "a", "c_a", "n_a", *(f"a_{k}" for k in range(ODD))).join(part.toDF("g", "b", "c_b", "n_b", *(f"b_{k}" for k in range(ODD))), "g")
+    known = classes.select("set", "rep", "n", *(F.col("odd")[k].alias(f"odd_{k}") for k in range(ODD)))
+    members = stored(members.join(known, "set"))
+    for turn in range(TURNS + 1):
+        cluster = components(edges)
+        part = stored(members.join(cluster, F.col("rep") == F.col("node"), "left").drop("node")
+                      .withColumn("component", F.coalesce("component", "rep")))
+        mixed = part.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
+        part = part.join(mixed, "g", "left_semi")
+        if turn == TURNS:
+            break
+        # every turn asks other leaders; up to four orders in a turn, so that groups do not all ask the same set
+        rank = F.xxhash64("set", F.pmod("g", F.lit(4)), F.lit(turn))
+        lead = part.groupBy("g").agg(F.min_by(F.struct(F.col("set").alias("lead"), F.col("component").alias("of")), rank).alias("l")).select("g", "l.*")
+        star = (part.join(lead, "g").where("component <> of")
+                .select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct())
+        edges = stored(edges.union(verified(_possible(star, classes), docs)))
+    # linked sets are at most one size band apart; a group is dealt to SALTS tasks for each band
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM) + 1e-9).cast("int")
+    one = part.withColumn("band", band).withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int"))
+    two = (part.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    side = lambda d, x: d.select("g", "band", "salt", F.col("set").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"),
+                                 *(F.col(f"odd_{k}").alias(f"{x}_{k}") for k in range(ODD)))
+    across = (side(one, "a").join(side(two, "b"), ["g", "band", "salt"])
               .where(f"c_a < c_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {PARITIES}")
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return tied.union(verified(_possible(across, classes), docs))
+    return edges.union(verified(_possible(across, classes), docs))
 
 
 def links(docs: DataFrame, described: DataFrame, shards: int) -> DataFrame:
@@ -419,7 +436,7 @@ def links(docs: DataFrame, described: DataFrame, shards: int) -> DataFrame:
     left = stored(_crowded(again))
     if left.isEmpty():
         return edges
-    return edges.union(_crowds(again, left, classes, docs, edges))
+    return _crowds(again, left, classes, docs, edges)
 
 
 def join(docs: DataFrame, shards: int | None = None) -> DataFrame:
