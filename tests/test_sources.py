@@ -175,3 +175,45 @@ def test_an_upsert_reads_its_input_once(spark, tmp_path):
     b = close_bars(spark, [1.0 + i for i in range(20)]).withColumn("volume", F.udf(touch, "double")("volume"))
     SB.upsert_bars(spark, str(tmp_path / "b"), b, "D1")
     assert seen.value == 20
+
+
+def test_streamed_journal_sets_cut_lines_aside(spark, tmp_path):
+    from tidemark.streaming import jobs
+    folder = tmp_path / "journal"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text('{"ts":"2024-01-01T01:00:00Z","event":"heartbeat","equity":1.5}\n\n{"ts":"2024-01-01T02:00')
+    (folder / "b.jsonl").write_text('{"ts":"2024-01-01T03:00:00Z","event":"fill"}\n{"equity":2.0}\n   \n[1, 2]\n')
+    for files in (1, 8):
+        good, bad = SF.split_records(jobs.drain(jobs.journal_source(spark, str(folder), files)))
+        assert {(r.event, r.equity) for r in good.collect()} == {("heartbeat", 1.5), ("fill", None)}
+        assert {r.line for r in bad.collect()} == {'{"ts":"2024-01-01T02:00', '{"equity":2.0}', "[1, 2]"}
+    assert SF.read_journal(spark, str(folder)).count() == 2
+    assert SF.read_journal(spark, str(folder), limit=1).first().event == "fill"
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    (empty / "a.jsonl").write_text("")
+    assert SF.read_journal(spark, str(empty)).count() == 0
+
+
+def test_quantiles_of_many_columns_share_their_pass(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import quantiles as Q
+    d = spark.range(3000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, F.sin("id") * F.exp(F.col("id") % 11)).alias("x"),
+                                 F.when(F.col("id") % 3 != 2, (F.col("id") * 37 % 101).cast("double")).alias("y")).cache()
+    wanted = {"x50": ("x", 0.5), "x95": (F.col("x"), 0.95), "y10": ("y", 0.1), "high": (F.when(F.col("y") > 50, F.col("y")), 0.5)}
+    pdf = d.toPandas()
+    for keys, groups in ((["k"], dict(list(pdf.groupby("k")))), ([], {None: pdf})):
+        got = {r["k"] if keys else None: r for r in Q.exact_quantiles(d, keys, wanted).collect()}
+        assert set(got) == set(groups)
+        for key, g in groups.items():
+            high = g.y.where(g.y > 50)
+            for out, (col, q) in {"x50": (g.x, 0.5), "x95": (g.x, 0.95), "y10": (g.y, 0.1), "high": (high, 0.5)}.items():
+                if col.notna().any():
+                    assert np.isclose(got[key][out], col.quantile(q))
+                else:
+                    assert got[key][out] is None
+    exchanges = lambda q: q._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(Q.exact_quantiles(d, ["k"], wanted)) <= exchanges(Q.exact_quantile(d, ["k"], "x", 0.5, "x50")) + 1
+    assert Q.exact_quantiles(d.where("false"), [], wanted).collect()[0]["x50"] is None

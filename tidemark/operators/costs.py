@@ -109,13 +109,12 @@ def calibrate(fills: DataFrame, quotes: DataFrame, baseline: DataFrame, min_fill
     key = ["symbol"]
     fn = fills.groupBy("symbol").agg(F.count(F.lit(1)).alias("fills"), F.count("slippage").alias("_slips"))
     qn = quotes.groupBy("symbol").agg(F.count("spread").alias("quotes"))
-    fs = quantiles.exact_median(fills, key, F.col("spread"), "_fs")
-    ss = quantiles.exact_median(fills, key, F.abs("slippage"), "_ss")
-    qs = quantiles.exact_median(quotes, key, F.col("spread"), "_qs")
+    seen = (fills.select("symbol", F.col("spread").alias("_f"), F.abs("slippage").alias("_s"), F.lit(None).cast("double").alias("_q"))
+            .unionByName(quotes.select("symbol", F.lit(None).cast("double").alias("_f"), F.lit(None).cast("double").alias("_s"),
+                                       F.col("spread").alias("_q"))))
+    medians = quantiles.exact_quantiles(seen, key, {"_fs": ("_f", 0.5), "_ss": ("_s", 0.5), "_qs": ("_q", 0.5)})
     b = baseline.select("symbol", F.col("spread").alias("_bs"), F.col("slippage").alias("_bl"))
-    d = fn.join(qn, key, "full_outer").join(b, key, "full_outer")
-    for x in (fs, ss, qs):
-        d = d.join(x, key, "left")
+    d = fn.join(qn, key, "full_outer").join(b, key, "full_outer").join(medians, key, "left")
     d = d.fillna(0, ["fills", "quotes", "_slips"])
     use_quotes = F.col("quotes") >= min_quotes
     spread = F.when(use_quotes, F.col("_qs")).otherwise(F.col("_fs"))

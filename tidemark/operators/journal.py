@@ -65,11 +65,12 @@ def digest(journal: DataFrame, keys=()) -> DataFrame:
         n(dec).alias("decisions"), n(dec & F.col("approved")).alias("approved"),
         n(fill).alias("fill_attempts"), n(filled).alias("filled"))
     # exact medians are located through buckets, so a long window never gathers in one task
-    age = quantiles.exact_median(journal.filter(beat), keys, "feed_age_s", "feed_age_median")
-    slip = quantiles.exact_median(journal.filter(filled), keys, F.abs("slippage"), "slippage_median")
+    medians = {"feed_age_median": (F.when(beat, F.col("feed_age_s")), 0.5), "slippage_median": (F.when(filled, F.abs("slippage")), 0.5)}
+    at = quantiles.exact_quantiles(journal, keys, medians)
     if keys:
-        return g.join(age, keys, "left").join(slip, keys, "left")
-    return g.withColumn("feed_age_median", age.scalar()).withColumn("slippage_median", slip.scalar())
+        return g.join(at, keys, "left")
+    both = at.select(F.struct(*medians).alias("_m")).scalar()
+    return g.withColumn("_m", both).select("*", "_m.*").drop("_m")
 
 
 def approved_by(journal: DataFrame, n: int = 8) -> DataFrame:

@@ -21,7 +21,7 @@ def _magnitude(v: Column) -> Column:
     return F.when(v == 0, 0).otherwise(F.signum(v).cast("long") * g).cast("long")
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: Column | str, q: float, out: str,
+def exact_quantile(df: DataFrame, keys: list[str], value: Column | str, q: float | Column, out: str,
                    times: str | None = None) -> DataFrame:
     """Linearly interpolated quantile per key, one row per key that has a value. `times` names a
     column that says how often each row counts."""
@@ -61,5 +61,17 @@ def exact_quantile(df: DataFrame, keys: list[str], value: Column | str, q: float
             .select(*keys, (F.col("_a") + at * (F.col("_b") - F.col("_a"))).alias(out)))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column | str, float]]) -> DataFrame:
+    """Quantiles of several columns, `wanted` being out -> (value, q), in the exchanges of one:
+    the number of a quantile is one more key, and its q travels with it. One row per key that has any of the values (without keys always one row); a quantile
+    without values is null. A value that is null where a row does not count serves as a filter."""
+    each = [F.struct(F.lit(i).alias("of"), F.lit(float(q)).alias("q"), (F.col(v) if isinstance(v, str) else v).cast("double").alias("v"))
+            for i, (v, q) in enumerate(wanted.values())]
+    rows = (df.select(*keys, F.explode(F.array(*each)).alias("_e"))
+            .select(*keys, F.col("_e.of").alias("_of"), F.col("_e.q").alias("_q"), F.col("_e.v").alias("_x")))
+    found = exact_quantile(rows, [*keys, "_of", "_q"], "_x", F.col("_q"), "_at")
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_of") == i, F.col("_at"))).alias(out) for i, out in enumerate(wanted)])
+
+
 def exact_median(df: DataFrame, keys: list[str], value: Column | str, out: str) -> DataFrame:
     return exact_quantile(df, keys, value, 0.5, out)

@@ -8,6 +8,7 @@ from tidemark.operators import bars as B
 from tidemark.plans import q_ops
 from tidemark.plans.registry import cte, query, rounded
 from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources import files as SF
 from tidemark.sources import views as V
 from tidemark.sources.bars import read_bars
 from tidemark.streaming import jobs, ordered
@@ -105,6 +106,44 @@ def _(spark, sf):
     return jobs.complete(jobs.event_counts(journal(spark, sf), "24 hours", "6 hours", LATE))
 
 
+def journal_folder(spark, sf):
+    """The journal as JSON-line files of which every eleventh line is cut short."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/journal-{uuid.uuid4().hex}"
+    whole = q_ops.journal(spark, sf)
+    lines = SF.journal_lines(whole.filter(F.col("seq") % 11 != 0))
+    cut = SF.journal_lines(whole.filter(F.col("seq") % 11 == 0))
+    cut = cut.select(F.expr("substring(value, 1, length(value) div 2)").alias("value"))
+    lines.union(cut).write.text(path)
+    return path
+
+
+@query("journal_files", """
+SELECT event, count(*) AS n, round(sum(equity), 4) AS equity, max(ts) AS last_ts, count(*) FILTER (status = 'filled') AS filled FROM journal WHERE seq % 11 <> 0 GROUP BY event
+UNION ALL SELECT '(unreadable)', count(*), NULL, NULL, 0 FROM journal WHERE seq % 11 = 0
+""", ("journal",))
+def _(spark, sf):
+    """A journal read from its files: what the readable lines say, and how many cannot be read."""
+    good, bad = SF.split_records(SF.journal_records(spark.read.text(journal_folder(spark, sf))))
+    d = good.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.sum("equity").alias("equity"), F.max("ts").alias("last_ts"),
+                                  F.sum(F.when(F.col("status") == "filled", 1).otherwise(0)).alias("filled"))
+    cut = bad.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("(unreadable)").alias("event"), "n", F.lit(None).cast("double").alias("equity"),
+        F.lit(None).cast("timestamp").alias("last_ts"), F.lit(0).cast("long").alias("filled"))
+    return rounded(d.unionByName(cut), 4)
+
+
+@query("journal_file_tail", """
+WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts) - o * INTERVAL '6 hours' AS from_ts, event FROM journal, range(4) r(o) WHERE seq % 11 <> 0)
+SELECT from_ts, from_ts + INTERVAL '24 hours' AS to_ts, event, count(*) AS n FROM w GROUP BY ALL
+""", ("journal",))
+def _(spark, sf):
+    """Counts by kind over the tail of a streamed journal folder, some files a trigger. The files of
+    a folder come in no order of time, so the watermark waits for as long as one journal lasts."""
+    good = SF.split_records(jobs.journal_source(spark, journal_folder(spark, sf), 4))[0]
+    return jobs.complete(jobs.event_counts(good, "24 hours", "6 hours", "366 days"))
+
+
 @query("stream_spread_guard", """
 WITH m AS (SELECT symbol, median(spread) AS median_spread FROM quotes GROUP BY symbol)
 SELECT symbol, ts, round(spread, 6) AS spread, round(spread / median_spread, 6) AS multiple FROM quotes JOIN m USING (symbol) WHERE spread / median_spread > 1.8

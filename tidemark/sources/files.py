@@ -80,24 +80,44 @@ def write_prints(prints: DataFrame, path: str) -> None:
      .sortWithinPartitions("contract", "ts", "seq").write.mode("append").partitionBy("contract", "day").parquet(path))
 
 
+def journal_lines(events: DataFrame) -> DataFrame:
+    """Records as JSON lines (column `value`); NaN becomes null, and nulls are left out."""
+    cols = [F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            for f in events.schema.fields]
+    return events.select(F.to_json(F.struct(*cols), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
+
+
+def journal_records(lines: DataFrame) -> DataFrame:
+    """JSON lines (`value`), of a table or a stream, as records. Blank lines drop. A line that is
+    no whole record, or names no event, is kept in `_corrupt_record`, which is null elsewhere."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    r = (lines.filter(F.trim("value") != "").select("value", F.from_json("value", schemas.JOURNAL, options).alias("r"))
+         .select("value", "r.*"))
+    bad = F.col("_corrupt_record").isNotNull() | F.col("event").isNull()
+    return r.withColumn("_corrupt_record", F.when(bad, F.col("value"))).drop("value")
+
+
+def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readable records, and the lines set aside."""
+    bad = F.col("_corrupt_record").isNotNull()
+    return records.filter(~bad).drop("_corrupt_record"), records.filter(bad).select(F.col("_corrupt_record").alias("line"))
+
+
 def _readable(d: DataFrame) -> DataFrame:
     return d.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 def read_journal(spark: SparkSession, path: str, event: str | None = None, limit: int | None = None) -> DataFrame:
     """JSON lines; blank and truncated lines are skipped. With `limit`, the newest records."""
-    d = _readable(spark.read.schema(schemas.JOURNAL).option("mode", "PERMISSIVE").json(path))
-    d = d.filter(F.col("event").isNotNull())
+    d = split_records(journal_records(spark.read.text(path)))[0]
     if event:
         d = d.filter(F.col("event") == event)
     return d.orderBy(F.desc("ts")).limit(limit) if limit else d
 
 
 def write_journal(events: DataFrame, path: str) -> None:
-    """Append records as JSON lines; NaN is written as null, and nulls are left out."""
-    cols = [F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-            for f in events.schema.fields]
-    events.select(*cols).write.mode("append").json(path)
+    """Append records as JSON lines."""
+    journal_lines(events).write.mode("append").text(path)
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources.files import journal_records
 from tidemark.streaming.ordered import Ordered
 from tidemark.streaming.windows import Windowed
 
@@ -25,6 +26,11 @@ def source(spark: SparkSession, folder: str, file_name: str, schema: T.StructTyp
             .parquet(folder))
 
 
+def journal_source(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """JSON-line files of a folder as a stream of records; lines that cannot be read are in `_corrupt_record`."""
+    return journal_records(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
+
+
 def _run(stream: DataFrame, mode: str, batch=None) -> tuple[str, DataFrame | None]:
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
