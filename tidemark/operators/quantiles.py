@@ -62,8 +62,8 @@ def exact_quantile(df: DataFrame, keys: list[str], value: Column | str, q: float
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column | str, float]]) -> DataFrame:
-    """Quantiles of several columns, `wanted` being out -> (value, q), in the exchanges of one:
-    the number of a quantile is one more key, and its q travels with it. One row per key that has any of the values (without keys always one row); a quantile
+    """Quantiles of several columns, `wanted` being out -> (value, q), in shared exchanges: the
+    number of a quantile is one more key, and its q travels with it. One row per key that has any of the values (without keys always one row); a quantile
     without values is null. A value that is null where a row does not count serves as a filter."""
     each = [F.struct(F.lit(i).alias("of"), F.lit(float(q)).alias("q"), (F.col(v) if isinstance(v, str) else v).cast("double").alias("v"))
             for i, (v, q) in enumerate(wanted.values())]

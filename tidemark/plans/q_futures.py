@@ -1,5 +1,6 @@
 """Contract calendars, continuous series and roll costs."""
 
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import futures as FU
 from tidemark.operators import trades as T
 from tidemark.plans.registry import cte, query, rounded
-from tidemark.session import materialize
+from tidemark.session import ensure_checkpoint_dir, materialize
+from tidemark.sources import files as SF
 from tidemark.sources import views as V
 
 LO, HI, FAR = "(SELECT lo FROM span)", "(SELECT hi FROM span)", "(SELECT far FROM span)"
@@ -113,6 +115,22 @@ def contract_bars(spark, sf):
         .select("root", "year", "month", F.col("day").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume"))
 
 
+@query("contract_files", """
+WITH d AS (SELECT *, isodow(ts) = 7 AND coalesce(date_diff('day', ts, lead(ts) OVER (PARTITION BY root, year, month ORDER BY ts)) = 1, false) AS stub FROM contract_bars)
+SELECT CASE WHEN (year * 12 + month) % 9 = 0 THEN 'refused' ELSE 'accepted' END AS status, root, year, month, CAST(CAST(min(ts) FILTER (NOT stub) AS DATE) AS VARCHAR) AS first_day,
+ CAST(CAST(max(ts) FILTER (NOT stub) AS DATE) AS VARCHAR) AS last_day, round(sum(volume), 4) AS volume FROM d GROUP BY ALL
+""", ("contract_bars",))
+def _(spark, sf):
+    """Contract months written in one pass and read back by status; every ninth has crossed prices."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/contracts-{uuid.uuid4().hex}"
+    crossed = (F.col("year") * 12 + F.col("month")) % 9 == 0
+    SF.write_contracts(contract_bars(spark, sf).withColumn("high", F.when(crossed, F.col("low") - 1000).otherwise(F.col("high"))), path)
+    both = [SF.read_contracts(spark, path, s).withColumn("status", F.lit(s)) for s in (SF.ACCEPTED, SF.REFUSED)]
+    return rounded(both[0].unionByName(both[1]).groupBy("status", "root", "year", "month").agg(
+        F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"), F.sum("volume").alias("volume")), 4)
+
+
 @query("contract_calendar", """
 SELECT c.root, year, month, contract, CAST(last_trade AS VARCHAR) AS last_trade, CAST(first_notice AS VARCHAR) AS first_notice, CAST(roll_on AS VARCHAR) AS roll_on, coalesce(d.deals, 0) AS deals
 FROM contracts c LEFT JOIN (SELECT root, date_trunc('month', day) AS m, count(*) AS deals FROM shipments GROUP BY ALL) d ON d.root = c.root AND d.m = date_trunc('month', c.last_trade)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.operators.quality import DataError, merge_sunday_stubs, validate_counts
+from tidemark.session import materialize
 from tidemark.sources import snapshots
 
 # Columns of the legacy positioning report and the names used here.
@@ -181,22 +182,34 @@ def month_windows(spans: DataFrame) -> DataFrame:
             .withColumn("to_day", F.least(F.last_day("_m"), "end")).drop("_m"))
 
 
-def write_contracts(bars: DataFrame, path: str, quarantine: str) -> None:
-    """Daily contract bars, Sundays folded; contract months that fail validation are set aside.
+ACCEPTED, REFUSED = "accepted", "refused"
+CONTRACT_TABLE = T.StructType([
+    T.StructField("ts", T.TimestampType()), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")],
+    T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType()),
+    T.StructField("status", T.StringType()), T.StructField("root", T.StringType())])
+
+
+def write_contracts(bars: DataFrame, path: str) -> None:
+    """Daily contract bars, Sundays folded, in one write: contract months that fail validation are
+    set aside under a status of their own. The table is replaced as a whole.
 
     Prices at or below zero are allowed: futures have printed there."""
     keys = ["root", "year", "month"]
-    d = merge_sunday_stubs(bars, keys)
-    bad = validate_counts(d, keys)
+    d = materialize(merge_sunday_stubs(bars, keys))  # read by the checks and by the write
     fails = reduce(lambda a, c: a + F.col(c), ["high_below_low", "outside_range", "duplicate_ts"], F.col("null_ohlc")) > 0
-    refused = bad.filter(fails).select(*keys)
-    d.join(refused, keys, "left_anti").write.mode("overwrite").partitionBy("root", "year", "month").parquet(path)
-    d.join(refused, keys, "left_semi").write.mode("overwrite").partitionBy("root").parquet(quarantine)
+    status = validate_counts(d, keys).select(*keys, F.when(fails, REFUSED).otherwise(ACCEPTED).alias("status"))
+    snapshots.replace(bars.sparkSession, path, d.join(status, keys).select(*CONTRACT_TABLE.names), ["status", "root"], whole=True)
+
+
+def read_contracts(spark: SparkSession, path: str, status: str = ACCEPTED) -> DataFrame:
+    """Bars of the accepted contract months, or of those set aside."""
+    d = snapshots.read(spark, path, CONTRACT_TABLE, where=lambda part: part.split("/")[0] == f"status={status}")
+    return d.drop("status")
 
 
 def read_expiries(spark: SparkSession, path: str, root: str, parents: dict[str, str] | None = None) -> DataFrame:
     """A root's contract bars; a micro without its own reads its parent's."""
-    d = spark.read.parquet(path)
+    d = read_contracts(spark, path)
     own = d.filter(F.col("root") == root)
     if parents and root in parents and own.isEmpty():
         return d.filter(F.col("root") == parents[root])
@@ -204,11 +217,13 @@ def read_expiries(spark: SparkSession, path: str, root: str, parents: dict[str,
 
 
 def read_expiry_files(spark: SparkSession, path: str) -> DataFrame:
-    """One Parquet file per contract month, its year and month taken from the file name."""
-    stem = F.col("_metadata.file_name")
+    """One Parquet file per contract month: year and month are in the file's name, and the root, where
+    the rows do not state it, is the name of its folder."""
     d = spark.read.parquet(path)
-    return (d.select("*", F.regexp_extract(stem, r"(\d{4})(\d{2})", 1).cast("int").alias("year"),
-                     F.regexp_extract(stem, r"(\d{4})(\d{2})", 2).cast("int").alias("month")))
+    at = r"([^/]+)/[^/]*?(\d{4})(\d{2})[^/]*$"
+    part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), at, i)
+    root = [] if "root" in d.columns else [part(1).alias("root")]
+    return d.select("*", *root, part(2).cast("int").alias("year"), part(3).cast("int").alias("month"))
 
 
 def write_trades(trades: DataFrame, path: str) -> None:

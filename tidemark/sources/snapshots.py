@@ -72,11 +72,11 @@ def swap(spark: SparkSession, path: str, parts: dict[str, str], version: int) ->
         raise DataError(f"version {version} of the table was written by another job")
 
 
-def replace(spark: SparkSession, path: str, rows: DataFrame, partitions: list[str]) -> dict[str, str]:
-    """Make `rows` the whole content of every partition that they hold rows of; others stay. Returns
-    the new manifest."""
+def replace(spark: SparkSession, path: str, rows: DataFrame, partitions: list[str], whole: bool = False) -> dict[str, str]:
+    """Make `rows` the whole content of every partition that they hold rows of; others stay, or go
+    where `rows` are the `whole` table. Returns the new manifest."""
     before = versions(spark, path)
-    parts = manifest(spark, path)
+    parts = {} if whole else manifest(spark, path)
     write = uuid.uuid4().hex
     rows.write.partitionBy(*partitions).parquet(f"{path}/{WRITE}={write}")
     parts |= dict.fromkeys(_leaves(spark, f"{path}/{WRITE}={write}", len(partitions)), write)
