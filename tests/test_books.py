@@ -37,6 +37,23 @@ def test_attribution_reconciles_and_keeps_zero_rows(spark):
     assert r["idle"]["trades"] == 0 and r["idle"]["net_pnl"] == 0.0
 
 
+def test_consecutive_losses_order_the_trades_once(spark):
+    n = 600
+    rows = spark.range(n).select(
+        (F.col("id") % 2).alias("sleeve"), F.timestamp_seconds(F.col("id") * 40_000).alias("exit_ts"), F.timestamp_seconds(F.lit(0)).alias("entry_ts"),
+        F.when(F.xxhash64("id") % 5 == 0, 1.0).when(F.col("id") == 590, None).otherwise(-1.0).alias("gross_pnl"), F.lit(0.0).alias("costs"), F.lit(1.0).alias("risk_cash"), "id")
+    out = T.consecutive_losses(rows, ["sleeve"], ["exit_ts", "id"])
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: (r.streak, r.last_loss_ts) for r in out.collect()}
+    streak, last = {0: 0, 1: 0}, {0: None, 1: None}
+    for r in rows.orderBy("id").collect():
+        won = r.gross_pnl is not None and r.gross_pnl >= 0
+        streak[r.sleeve] = 0 if won else streak[r.sleeve] + 1
+        last[r.sleeve] = r.exit_ts if r.gross_pnl is not None and r.gross_pnl < 0 else last[r.sleeve]
+        assert got[r.id] == (streak[r.sleeve], last[r.sleeve])
+    assert len(got) == n
+
+
 def test_streaks(spark):
     d = T.consecutive_losses(trades(spark, [-1.0, -1.0, 2.0, -1.0, -1.0, -1.0]), ["sleeve"]).orderBy("exit_ts").collect()
     assert [r["streak"] for r in d] == [1, 2, 0, 1, 2, 3]

@@ -105,6 +105,11 @@ def _exclusive(rows: DataFrame, keys, at: str, value: str, kind: str, out: str,
             .withColumn(out, _combine(kind, F.col(f"{out}_"), F.col("_own"))).drop("_own", f"{out}_", run))
 
 
+def exclusive(summary: DataFrame, keys, value: str, kind: str, out: str) -> DataFrame:
+    """A stored chunk summary with the sum, maximum or last known value of the earlier chunks."""
+    return _exclusive(summary, keys, CHUNK, value, kind, out)
+
+
 def _with_carry(chunked, summary, keys):
     return chunked.join(summary, [*keys, CHUNK], "left")
 

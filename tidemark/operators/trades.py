@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import chunks
 from tidemark.operators import quantiles
+from tidemark.session import materialize, saved
 
 TRADING_DAYS = 252
 
@@ -201,13 +202,26 @@ ORDER = ["exit_ts", "entry_ts", "symbol", "sleeve", "side", "volume", "gross_pnl
 
 def consecutive_losses(trades: DataFrame, keys: list[str], order: list[str] = ORDER) -> DataFrame:
     """Losing streak after each close, and when its latest loss was."""
-    t = derived(trades)
-    c = chunks.ordered_chunks(t, keys, order)
-    c = chunks.running_row_number(c, keys, order, "_n")
-    c = chunks.running_last(c, keys, order, F.when(F.col("net_pnl") >= 0, F.col("_n")), "_win")
-    c = chunks.running_last(c, keys, order, F.when(F.col("net_pnl") < 0, F.col("exit_ts")), "last_loss_ts")
-    return (c.withColumn("streak", (F.col("_n") - F.coalesce("_win", F.lit(0))).cast("long"))
-            .drop("_n", "_win", chunks.CHUNK))
+    # the trades are worked out once and ordered once; the rest comes from one row per chunk
+    t = saved(trades)
+    c, _ = chunks.cut(t, keys, order)
+    w = Window.partitionBy(*keys, chunks.CHUNK).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    net = F.col("gross_pnl") - F.col("costs")
+    c = c.withColumn("_n", F.row_number().over(w).cast("long"))
+    c = saved(c.withColumn("_win", F.max(F.when(net >= 0, F.col("_n"))).over(run))
+              .withColumn("_loss", F.last(F.when(net < 0, F.col("exit_ts")), True).over(run)))
+    ends = materialize(c.groupBy(*keys, chunks.CHUNK).agg(
+        F.max("_n").alias("_rows"), F.max("_win").alias("_won"), F.max_by("_loss", "_n").alias("_lost")))
+    s = chunks.exclusive(ends, keys, "_rows", "sum", "_rows_before").withColumn("_won", F.col("_won") + F.coalesce("_rows_before", F.lit(0)))
+    s = chunks.exclusive(materialize(s), keys, "_won", "last", "_won_before")
+    s = chunks.exclusive(materialize(s), keys, "_lost", "last", "_lost_before")
+    c = chunks.attach(c, s.drop("_rows", "_won", "_lost"), keys)
+    start = F.coalesce("_rows_before", F.lit(0))
+    win = F.coalesce(F.col("_win") + start, F.col("_won_before"), F.lit(0))
+    return (derived(c).withColumn("last_loss_ts", F.coalesce("_loss", "_lost_before"))
+            .withColumn("streak", (F.col("_n") + start - win).cast("long"))
+            .drop("_n", "_win", "_loss", "_rows_before", "_won_before", "_lost_before", chunks.CHUNK))
 
 
 def session_book(snapshots: DataFrame, keys: list[str], order: list[str], start: float) -> DataFrame:

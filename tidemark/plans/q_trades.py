@@ -164,7 +164,7 @@ SELECT strategy, exit_ts, symbol, round(net_pnl, 5) AS net_pnl,
   max(CASE WHEN net_pnl < 0 THEN exit_ts END) OVER (PARTITION BY strategy ORDER BY n) AS last_loss_ts FROM o
 """, ("trades",))
 def _(spark, sf):
-    d = T.consecutive_losses(V.trades(spark, sf), ["strategy"])
+    d = T.consecutive_losses(V.trades(spark, sf).drop("entry_price"), ["strategy"])
     return rounded(d.select("strategy", "exit_ts", "symbol", "net_pnl", "streak", "last_loss_ts"), 5)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings every job relies on. Timestamps are instants in UTC.
@@ -59,3 +61,11 @@ def materialize(df: DataFrame) -> DataFrame:
     times neither recompute it nor depend on the executors that made it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write a table of many rows that is read several times, compressed, to the shared folder and
+    read it back; only the columns that a reader needs are read."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
