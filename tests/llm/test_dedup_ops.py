@@ -142,6 +142,42 @@ def test_substring_dedup(spark):
     assert set(cuts) == {2, 4, 6, 8, 10, 102} and all(0 in s for s in cuts.values())
 
 
+def test_jaccard_profiles_keep_links_and_drop_long_unlike_sets():
+    rng = np.random.default_rng(5)
+    fresh = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    profile = lambda *sets: jaccard.profiles(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    near = 0
+    for n in [1, 2, 3, 7, 31, 32, 33, 250, 257, 2000, 4100]:
+        for share in (0.7, 0.75, 0.8, 0.86, 0.95, 1.0):
+            x = fresh(n)
+            y = np.union1d(x[: max(1, round(n * share))], fresh(int(n * (1 - share))))
+            if jaccard._links(x, y):
+                near += 1
+                assert jaccard.may_link(*profile(x, y)) and jaccard.may_link(*profile(y, x))
+    assert near > 30
+    # few bucket counts tell long sets of other texts apart in about half of the cases
+    assert not any(jaccard.may_link(*profile(fresh(n), fresh(n))) for n in (300, 2000, 5000, 30000))
+    assert profile(np.zeros(0, np.uint64), np.repeat(np.uint64(7), 300))[1] == b"" and jaccard.may_link(b"", profile(fresh(9))[0])
+
+
+def test_jaccard_crowds_meet_each_pair(spark, monkeypatch):
+    rnd = random.Random(12)
+    parts = [[f"p{k}x{i}" for i in range(12 + 9 * k)] for k in range(9)]
+    texts = [" ".join(w for k in sorted(rnd.sample(range(9), 5)) for w in parts[k]) for _ in range(160)]
+    sets = dict(enumerate(map(shingles, texts)))
+    s = Sets(sets)
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                s.join(a, b)
+    crowds, carried = jaccard._crowds, []
+    monkeypatch.setattr(jaccard, "_crowds", lambda *a: carried.append(1) or crowds(*a))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.join(d, 4).collect()}
+    assert carried and got == {i: s.find(i) for i in sets}
+    assert 3 < len(set(got.values())) < 150
+
+
 def test_crowded_bands_keep_tied_members(spark):
     rnd = random.Random(8)
     vocab = [f"w{i}" for i in range(3000)]

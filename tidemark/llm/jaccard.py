@@ -14,8 +14,8 @@ one that sets end at. The other sets are joined again by single
 shingles (the finest partition), and sets that consist of common shingles even among those are
 tied to a few leaders of their groups, then compared across the clusters that result.
 
-Every candidate passes a lower bound of its difference from bucket counts, and then the exact
-comparison of the shingles of both texts.
+Every candidate passes a lower bound of its difference from few bucket counts, then one from as
+many buckets as its sets are large, and then the exact comparison of the shingles of both texts.
 """
 
 from __future__ import annotations
@@ -56,8 +56,12 @@ SALTS = 8
 #: The parities of the bucket counts differ in no more places than the sets in shingles.
 PARITIES = (" + ".join(f"bit_count(a_{k} ^ b_{k})" for k in range(ODD))
             + f" <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})")
+#: Shared groups just before a group of a set by which a pair is known to have been met there.
+EARLIER = 8
 #: Bytes of text whose signatures are made together.
-BATCH = 4 << 20
+BATCH = 2 << 20
+#: Bytes of texts that a task hands to Python at once.
+ARROW = 8 << 20
 U = np.uint64
 
 
@@ -191,9 +195,33 @@ def parities(e: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits((counts.reshape(n, width) & 1).astype(np.uint8), axis=1).view(np.int64)
 
 
+def profiles(e: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Of each set the counts of at least twice as many buckets as it has shingles (a power of two),
+    compressed; nothing where a count exceeds a byte."""
+    size = np.diff(off)
+    width = 1 << np.ceil(np.log2(np.maximum(2 * size, 64))).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(width)])
+    own = np.repeat(np.arange(len(size)), size)
+    bucket = (tokens.mix(e ^ U(0x2545F491)) & (width[own] - 1).astype(U)).astype(np.int64)
+    counts = np.bincount(at[own] + bucket, minlength=at[-1])
+    over = set(np.repeat(np.arange(len(size)), width)[counts > 255].tolist())
+    small = counts.astype(np.uint8)
+    return [b"" if i in over else zlib.compress(small[at[i]: at[i + 1]].tobytes(), 1) for i in range(len(size))]
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """Whether the profiles of two sets allow a link: a set's shingles move no more counts than they are."""
+    if not x or not y:
+        return True
+    x, y = (np.frombuffer(zlib.decompress(p), np.uint8).astype(np.int32) for p in (x, y))
+    width = min(len(x), len(y))
+    apart = np.abs(x.reshape(-1, width).sum(0) - y.reshape(-1, width).sum(0)).sum()
+    return bool(apart <= furthest(int(x.sum() + y.sum())))
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), set (digest), sketch (bucket counts) and parities of finer
-    buckets of each document."""
+    """doc_id, n (set size), set (digest), sketch (bucket counts), parities of finer
+    buckets and profile of each document."""
     def run(batches):
         for b in batches:
             for i, j, e, off in _sets(b.column(1)):
@@ -205,10 +233,11 @@ def describe(docs: DataFrame) -> DataFrame:
                 odd = parities(e, own, n)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, n).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(digest(e, off)),
-                     pa.array([r.tobytes() for r in blob], pa.binary()), pa.array(odd.tolist(), pa.list_(pa.int64()))],
-                    ["doc_id", "n", "set", "sketch", "odd"])
+                     pa.array([r.tobytes() for r in blob], pa.binary()), pa.array(odd.tolist(), pa.list_(pa.int64())),
+                     pa.array(profiles(e, off), pa.binary())],
+                    ["doc_id", "n", "set", "sketch", "odd", "profile"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set long, sketch binary, odd array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set long, sketch binary, odd array<long>, profile binary")
 
 
 LISTS = "shard int, sets binary, sigs binary, flags binary, owners binary, spare binary"
@@ -296,13 +325,13 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind") == _PAIRS).select(F.explode(each).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _rare(found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _rare(found: DataFrame, classes: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
     """Links between the sets under rare signatures. Each set is first compared with the least of
     all its groups' members; then sets of one group that are not yet in one cluster."""
     groups = found.where(F.col("kind") == _PAIRS).select("g", "members")
     each = groups.select("g", F.array_min("members").alias("lead"), F.explode("members").alias("set"))
     first = each.where("lead <> set").groupBy("set").agg(F.min("lead").alias("lead"))
-    tied = stored(verified(_possible(first.select(F.col("lead").alias("a"), F.col("set").alias("b")), classes), docs))
+    tied = verified(_possible(first.select(F.col("lead").alias("a"), F.col("set").alias("b")), classes), docs, described)
     label = components(tied).join(classes.select("set", "rep"), F.col("node") == F.col("rep")).select("set", "component")
     open_ = (each.join(label, "set", "left").groupBy("g")
              .agg(F.collect_list(F.struct(F.coalesce("component", "set").alias("cluster"), "set")).alias("m"))
@@ -312,7 +341,7 @@ def _rare(found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         F.filter(F.slice(m, i + 2, COMMON), lambda y: y["cluster"] != x["cluster"]),
         lambda y: F.struct(F.least(x["set"], y["set"]).alias("a"), F.greatest(x["set"], y["set"]).alias("b")))))
     rest = open_.select(F.explode(across).alias("p")).select("p.a", "p.b").distinct()
-    return tied.union(verified(_possible(rest, classes), docs))
+    return tied.union(verified(_possible(rest, classes), docs, described))
 
 
 def _crowded(found: DataFrame) -> DataFrame:
@@ -343,9 +372,25 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """Stored pairs (a, b) of documents -> those whose profiles allow a link."""
+    known = described.select("doc_id", "profile")
+    ask = stored(pairs.select(F.col("b").alias("doc_id"), "a"))
+    heads = stored(pairs.select(F.col("a").alias("doc_id")).distinct())
+    right = matching(known, ask, "doc_id", "inner").select("a", F.col("doc_id").alias("b"), F.col("profile").alias("profile_b"))
+    both = right.join(matching(known, heads, "doc_id").toDF("a", "profile_a"), "a").select("a", "b", "profile_a", "profile_b")
+
+    def run(batches):
+        for b in batches:
+            ok = pa.array([may_link(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents whose sets link, from the texts of both."""
-    pairs = stored(pairs)
+    pairs = stored(_close(stored(pairs), described))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ask = stored(pairs.select(F.col("b").alias("doc_id"), "a"))
     heads = stored(pairs.select(F.col("a").alias("doc_id")).distinct())
@@ -363,7 +408,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok = np.array([_links(x, y) for x, y in zip(_each(left), _each(right))], bool)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return stored(both.mapInArrow(run, "u long, v long"), ARROW)
 
 
 def _each(found):
@@ -379,18 +424,22 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * common >= NUM * (len(x) + len(y) - common)
 
 
-def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
+def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFrame, edges: DataFrame,
+            described: DataFrame) -> DataFrame:
     """Links between sets made of common shingles. A set is listed under its least common shingles
     only, a quarter of all and one more, less the rare ones that are settled: a linked set shares
     one of them. In each of `TURNS` turns the members of a group that are not in its leader's cluster
-    are compared with that leader; then members of clusters that are still apart are compared."""
+    are compared with that leader; then members of clusters that are still apart are compared. There
+    a row carries its set's groups just before, and a pair that was met in one of them is passed over."""
     listed = stored(found.where(F.col("kind") == _CROWD).select("g", F.explode("members").alias("set")).join(sets, "set", "left_semi"))
     common = listed.groupBy("set").agg(F.count("*").alias("common"))
     room = (common.join(classes.select("set", "n"), "set")
             .select("set", (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - (F.col("n") - F.col("common"))).alias("room")))
     held = listed.groupBy("g").agg(F.count("*").alias("held"))
     least = W.partitionBy("set").orderBy("held", "g")
-    members = stored(listed.join(held, "g").withColumn("k", F.row_number().over(least)).join(room, "set").where("k <= room").select("g", "set"))
+    before = F.collect_list("g").over(least.rowsBetween(-EARLIER, -1)).alias("before")
+    members = stored(listed.join(held, "g").select("g", "set", F.row_number().over(least).alias("k"), before)
+                     .join(room, "set").where("k <= room").select("g", "set", "before"))
     known = classes.select("set", "rep", "n", *(F.col("odd")[k].alias(f"odd_{k}") for k in range(ODD)))
     members = stored(members.join(known, "set"))
     for turn in range(TURNS + 1):
@@ -406,18 +455,20 @@ def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFra
         lead = part.groupBy("g").agg(F.min_by(F.struct(F.col("set").alias("lead"), F.col("component").alias("of")), rank).alias("l")).select("g", "l.*")
         star = (part.join(lead, "g").where("component <> of")
                 .select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct())
-        edges = stored(edges.union(verified(_possible(star, classes), docs)))
+        edges = stored(edges.union(verified(_possible(star, classes), docs, described)))
     # linked sets are at most one size band apart; a group is dealt to SALTS tasks for each band
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM) + 1e-9).cast("int")
     one = part.withColumn("band", band).withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int"))
     two = (part.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     side = lambda d, x: d.select("g", "band", "salt", F.col("set").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"),
+                                 F.col("before").alias(f"before_{x}"),
                                  *(F.col(f"odd_{k}").alias(f"{x}_{k}") for k in range(ODD)))
     across = (side(one, "a").join(side(two, "b"), ["g", "band", "salt"])
-              .where(f"c_a < c_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {PARITIES}")
+              .where(f"c_a < c_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {PARITIES} "
+                     "and not arrays_overlap(before_a, before_b)")
               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return edges.union(verified(_possible(across, classes), docs))
+    return edges.union(verified(_possible(across, classes), docs, described))
 
 
 def links(docs: DataFrame, described: DataFrame, shards: int) -> DataFrame:
@@ -425,18 +476,18 @@ def links(docs: DataFrame, described: DataFrame, shards: int) -> DataFrame:
     classes = stored(described.where("n > 0 and doc_id is not null").groupBy("set").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
         F.first("odd").alias("odd")))
-    found = stored(_groups(_listing(docs, signatures, shards), False))
-    edges = stored(_rare(found, classes, docs))
+    found = stored(_groups(_listing(docs, signatures, shards), False), ARROW)
+    edges = stored(_rare(found, classes, docs, described))
     crowded = stored(_crowded(found).join(classes.select("set", "rep"), "set").select(F.col("rep").alias("doc_id"), "set"))
     if crowded.isEmpty():
         return edges
     few = matching(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), crowded.select("doc_id"), "doc_id")
-    again = stored(_groups(_listing(few, single_shingles, shards), True))
-    edges = stored(edges.union(_rare(again, classes, docs)))
+    again = stored(_groups(_listing(few, single_shingles, shards), True), ARROW)
+    edges = stored(edges.union(_rare(again, classes, docs, described)))
     left = stored(_crowded(again))
     if left.isEmpty():
         return edges
-    return _crowds(again, left, classes, docs, edges)
+    return _crowds(again, left, classes, docs, edges, described)
 
 
 def join(docs: DataFrame, shards: int | None = None) -> DataFrame:
@@ -451,7 +502,7 @@ def join(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", "text")
-    described = stored(describe(d))
+    described = stored(describe(d), ARROW)
     total = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # a shard holds about a million signatures
     shards = shards or max(64, int(total * 0.8 // 1_000_000))

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_dir
+from tidemark.session import saved
 
 #: Rows of a side that a join may broadcast; a larger side is shuffled.
 BROADCAST_ROWS = 100_000
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Write a table that is read several times, compressed, and read it back: what reads it does
-    not depend on the executors that made it."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    not depend on the executors that made it. Rows go to Python in batches of at most `batch` bytes."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key, None)
+    if batch:
+        conf.set(key, str(batch))
+    try:
+        return saved(df)
+    finally:
+        if batch:
+            conf.set(key, before) if before else conf.unset(key)
 
 
 def matching(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
