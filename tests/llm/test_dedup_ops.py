@@ -45,6 +45,37 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_few_edges_need_no_exchange(spark, monkeypatch):
+    rnd = random.Random(4)
+    edges = spark.createDataFrame([(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)], "u long, v long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = components.components(edges)
+        read = spark.range(9).select("id", (F.col("id") + 1).alias("v")).toDF("u", "v").coalesce(1)
+        for step in (components._large, components._small):
+            assert "hashpartitioning" not in step(read)._jdf.queryExecution().executedPlan().toString()
+        few = sorted(map(tuple, got.distinct().collect()))
+        monkeypatch.setattr(components, "FEW", 0)
+        assert few == sorted(map(tuple, components.components(edges).distinct().collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("whole, copies", [(jaccard.WHOLE, 1), (4, 3 * jaccard.SALTS)])
+def test_crowded_groups_are_copied_only_when_large(spark, monkeypatch, whole, copies):
+    monkeypatch.setattr(jaccard, "WHOLE", whole)
+    rows = [(g, 100 * g + i, 40 + i, 9) for g in range(5) for i in range(9)]
+    one, two = jaccard._dealt(spark.createDataFrame(rows, "g long, set long, n long, held long"))
+    assert two.count() == copies * len(rows)
+    met = one.toDF("g", "a", *"xy", "band", "salt").join(two.toDF("g", "b", *"zw", "band", "salt"), ["g", "band", "salt"])
+    pairs = collections.Counter(map(tuple, met.select("g", "a", "b").collect()))
+    assert max(pairs.values()) == 1
+    assert {(g, a, b) for g, a, n, _ in rows for h, b, m, _ in rows if g == h and 75 * max(n, m) <= 100 * min(n, m)} <= set(pairs)
+
+
 @pytest.fixture(scope="module")
 def families():
     rnd = random.Random(5)

@@ -51,7 +51,9 @@ ODD = 8
 SINGLE = 4.0
 #: Turns in which crowded groups are tied to leaders before their clusters are compared.
 TURNS = 1
-#: Tasks among which the members of one group and size band are dealt.
+#: Members up to which a crowded group is compared in one place.
+WHOLE = 512
+#: Tasks among which the members of one size band of a larger group are dealt.
 SALTS = 8
 #: The parities of the bucket counts differ in no more places than the sets in shingles.
 PARITIES = (" + ".join(f"bit_count(a_{k} ^ b_{k})" for k in range(ODD))
@@ -424,6 +426,20 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * common >= NUM * (len(x) + len(y) - common)
 
 
+def _dealt(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparisons within groups: g, set, n, held (members of the group) with the
+    band and salt under which they meet. Linked sets are at most one size band apart; a group of more
+    than WHOLE members is dealt to SALTS tasks for each band, others are compared as they are."""
+    large = F.col("held") > WHOLE
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM) + 1e-9).cast("int")
+    salt = F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")
+    none, salts = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    one = part.withColumn("band", F.when(large, band).otherwise(0)).withColumn("salt", F.when(large, salt).otherwise(0))
+    two = (part.withColumn("band", F.explode(F.when(large, F.array(band - 1, band, band + 1)).otherwise(none)))
+           .withColumn("salt", F.explode(F.when(large, salts).otherwise(none))))
+    return one, two
+
+
 def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFrame, edges: DataFrame,
             described: DataFrame) -> DataFrame:
     """Links between sets made of common shingles. A set is listed under its least common shingles
@@ -446,8 +462,9 @@ def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFra
         cluster = components(edges)
         part = stored(members.join(cluster, F.col("rep") == F.col("node"), "left").drop("node")
                       .withColumn("component", F.coalesce("component", "rep")))
-        mixed = part.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
-        part = part.join(mixed, "g", "left_semi")
+        mixed = (part.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held"))
+                 .where("lo < hi").select("g", "held"))
+        part = part.join(mixed, "g")
         if turn == TURNS:
             break
         # every turn asks other leaders; up to four orders in a turn, so that groups do not all ask the same set
@@ -456,11 +473,7 @@ def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFra
         star = (part.join(lead, "g").where("component <> of")
                 .select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct())
         edges = stored(edges.union(verified(_possible(star, classes), docs, described)))
-    # linked sets are at most one size band apart; a group is dealt to SALTS tasks for each band
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM) + 1e-9).cast("int")
-    one = part.withColumn("band", band).withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int"))
-    two = (part.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    one, two = _dealt(part)
     side = lambda d, x: d.select("g", "band", "salt", F.col("set").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"),
                                  F.col("before").alias(f"before_{x}"),
                                  *(F.col(f"odd_{k}").alias(f"{x}_{k}") for k in range(ODD)))
