@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import components, jaccard, mixing, substrings, toxicity, vectors
+from tidemark.llm import components, jaccard, mixing, store, substrings, toxicity, vectors
 
 
 class Sets:
@@ -64,6 +64,20 @@ def test_components_of_few_edges_need_no_exchange(spark, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_stored_hands_out_texts_in_small_batches(spark):
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefgh "), 1200).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.get_total_buffer_size()], pa.int64())], ["rows", "size"])
+
+    keys = store.BATCHES
+    before = {k: spark.conf.get(k, None) for k in keys}
+    got = store.stored(docs.mapInArrow(sizes, "rows long, size long")).collect()
+    assert sum(r.rows for r in got) == 3000 and max(r.size for r in got) <= 12 << 20
+    assert {k: spark.conf.get(k, None) for k in keys} == before
+
+
 @pytest.mark.parametrize("whole, copies", [(jaccard.WHOLE, 1), (4, 3 * jaccard.SALTS)])
 def test_crowded_groups_are_copied_only_when_large(spark, monkeypatch, whole, copies):
     monkeypatch.setattr(jaccard, "WHOLE", whole)

@@ -62,8 +62,6 @@ PARITIES = (" + ".join(f"bit_count(a_{k} ^ b_{k})" for k in range(ODD))
 EARLIER = 8
 #: Bytes of text whose signatures are made together.
 BATCH = 2 << 20
-#: Bytes of texts that a task hands to Python at once.
-ARROW = 8 << 20
 U = np.uint64
 
 
@@ -410,7 +408,7 @@ def verified(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFra
                 ok = np.array([_links(x, y) for x, y in zip(_each(left), _each(right))], bool)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["u", "v"])
 
-    return stored(both.mapInArrow(run, "u long, v long"), ARROW)
+    return stored(both.mapInArrow(run, "u long, v long"))
 
 
 def _each(found):
@@ -489,13 +487,13 @@ def links(docs: DataFrame, described: DataFrame, shards: int) -> DataFrame:
     classes = stored(described.where("n > 0 and doc_id is not null").groupBy("set").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
         F.first("odd").alias("odd")))
-    found = stored(_groups(_listing(docs, signatures, shards), False), ARROW)
+    found = stored(_groups(_listing(docs, signatures, shards), False))
     edges = stored(_rare(found, classes, docs, described))
     crowded = stored(_crowded(found).join(classes.select("set", "rep"), "set").select(F.col("rep").alias("doc_id"), "set"))
     if crowded.isEmpty():
         return edges
     few = matching(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), crowded.select("doc_id"), "doc_id")
-    again = stored(_groups(_listing(few, single_shingles, shards), True), ARROW)
+    again = stored(_groups(_listing(few, single_shingles, shards), True))
     edges = stored(edges.union(_rare(again, classes, docs, described)))
     left = stored(_crowded(again))
     if left.isEmpty():
@@ -515,7 +513,7 @@ def join(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", "text")
-    described = stored(describe(d), ARROW)
+    described = stored(describe(d))
     total = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # a shard holds about a million signatures
     shards = shards or max(64, int(total * 0.8 // 1_000_000))
