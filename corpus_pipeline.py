@@ -21,7 +21,7 @@ VOCABULARY = "word_bpe_49k.json"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labels beside the input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.clean(docs, toxicity.fit(docs, labels))
+    return stored(toxicity.clean(docs, toxicity.fit(docs, labels)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
