@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, counts, fingerprints, lm, merging, tokens, urls
+from tidemark.llm import bpe, counts, fingerprints, lm, merging, store, tokens, urls
 
 TEXTS = ["", None, " ", "a", "The the  THE\n\nend.", "x\x85y\xa0z w", "ΑΣ ΣΑΣ İstanbul ﬁ ½", "<|endoftext|>a<|startoftext|> it'll B's",
          "é" * 300 + "abc" * 200, "▁▁ x <s> </s>", "same text here", "same text here", "one two three four five six seven " * 40,
@@ -150,6 +150,18 @@ def test_lm_scores(docs, spark, sf):
     assert lm.score(empty(docs)).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_the_size_of_arrow_batches(spark, sf, monkeypatch):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: r for r in lm.score(d).collect()}
+    # tables are stored in other batches than the last step reads
+    monkeypatch.setitem(store.BATCHES, "spark.sql.execution.arrow.maxBytesPerBatch", "20000")
+    got = {r.doc_id: r for r in lm.score(d).collect()}
+    assert len(got) == len(want)
+    for i, w in want.items():
+        assert got[i][:5] == w[:5]
+        assert math.isclose(got[i].base_score, w.base_score, rel_tol=1e-9) and math.isclose(got[i].score, w.score, rel_tol=1e-9)
+
+
 def test_levels_round_trip(tmp_path):
     rng = np.random.default_rng(3)
     for k, (n, top) in enumerate([(0, 1), (1, 5), (1000, 900), (70_000, 1 << 45), (140_000, 1 << 62), (300, 1 << 63)]):

@@ -1,7 +1,8 @@
 """LM scoring: a bigram trie with Elias-Fano levels, built and queried in shards.
 
-Words are known by 64-bit hashes. Batches of texts deal their word pairs to shards by the first word
-of the pair (the context). A shard adds up the training counts of all batches and writes a trie:
+Words are known by 64-bit hashes. The texts are read once and stored as batches of hashes, so that
+every later step sees the same batches. They deal their word pairs to shards by the first word of the
+pair (the context). A shard adds up the training counts of all batches and writes a trie:
 contexts in order, monotone pointers to their successors, successors in order within their context,
 and one byte of quantised log probability each. The levels are memory-mapped files of the task,
 removed with it. Every pair of the batches is then looked up: its context by search, the pair by a
@@ -166,6 +167,38 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U(32)) * U(shards) >> U(32)).astype(np.int64)
 
 
+def _tokenised(docs: DataFrame) -> DataFrame:
+    """The texts as batches, one row each: ids, held out and tokens of the documents, the distinct words
+    by falling count, and the word at each place. To be stored: where batches are cut follows the
+    session's settings, which are others while a table is stored."""
+    kind = docs.schema["doc_id"].dataType
+
+    def run(records):
+        for name, ids, held, h, row in _batches(records):
+            w, at, n = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            place = np.empty(len(w), np.uint32)
+            place[order] = np.arange(len(w), dtype=np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([np.packbits(held).tobytes()], pa.binary()),
+                 pa.array([_pack(np.bincount(row, minlength=len(held)))], pa.binary()), pa.array([w[order].tobytes()], pa.binary()),
+                 pa.array([_pack(place[at])], pa.binary())], ["batch", "ids", "held", "size", "words", "places"])
+
+    return docs.mapInArrow(run, f"batch string, ids array<{kind.simpleString()}>, held binary, size binary, words binary, places binary")
+
+
+def _tokens(records: Iterator[pa.RecordBatch]):
+    """(name, held out, tokens, row of each token) of stored batches: batch, held, size, words, places."""
+    for b in records:
+        for k in range(b.num_rows):
+            name, held, size, w, places = (c[k].as_py() for c in b.columns)
+            n = _unpack(size, np.int64)
+            yield (name, np.unpackbits(np.frombuffer(held, np.uint8))[: len(n)].astype(bool),
+                   np.frombuffer(w, U)[_unpack(places, np.uint32)], np.repeat(np.arange(len(n)), n))
+
+
+#: Columns of the stored batches that `_tokens` reads.
+HASHES = ["batch", "held", "size", "words", "places"]
 LISTS = "shard int, batch string, a binary, b binary, n binary, docs binary, held binary"
 
 
@@ -193,10 +226,10 @@ def _listed(name: str, held: np.ndarray, a: np.ndarray, b: np.ndarray | None, ro
                                       ["shard", "batch", "a", "b", "n", "docs", "held"])
 
 
-def _words(docs: DataFrame, shards: int, pairs: bool) -> DataFrame:
+def _words(batches: DataFrame, shards: int, pairs: bool) -> DataFrame:
     """Words, or pairs of a word and the next, of every batch."""
     def run(records):
-        for name, _, held, h, row in _batches(records):
+        for name, held, h, row in _tokens(records):
             if pairs:
                 before = np.concatenate([[BEGIN], h[:-1]])
                 before[np.concatenate([[True], row[1:] != row[:-1]])] = BEGIN
@@ -204,13 +237,13 @@ def _words(docs: DataFrame, shards: int, pairs: bool) -> DataFrame:
             else:
                 yield _listed(name, held, h, None, row, shards)
 
-    return docs.mapInArrow(run, LISTS)
+    return batches.select(*HASHES).mapInArrow(run, LISTS)
 
 
-def _counts(docs: DataFrame, shards: int) -> DataFrame:
+def _counts(batches: DataFrame, shards: int) -> DataFrame:
     """Training counts of words, added up by shard: shard, words, counts, distinct, total."""
     def send(records):
-        for _, _, held, h, row in _batches(records):
+        for _, held, h, row in _tokens(records):
             w, n = np.unique(h[~held[row]], return_counts=True)
             cuts = np.searchsorted(_shard(w, shards), np.arange(shards + 1))
             full = [k for k in range(shards) if cuts[k + 1] > cuts[k]]
@@ -226,7 +259,7 @@ def _counts(docs: DataFrame, shards: int) -> DataFrame:
         n = np.bincount(at, n, len(w)).astype(np.int64)
         return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "words": [w.tobytes()], "counts": [_pack(n)], "kinds": [len(w)], "total": [int(n.sum())]})
 
-    return (docs.mapInArrow(send, "shard int, words binary, counts binary").groupBy("shard")
+    return (batches.select(*HASHES).mapInArrow(send, "shard int, words binary, counts binary").groupBy("shard")
             .applyInPandas(add, "shard int, words binary, counts binary, kinds long, total long"))
 
 
@@ -299,19 +332,6 @@ def _word_scores(asked: DataFrame, counts: DataFrame, kinds: int, total: int) ->
             .applyInPandas(run, "batch string, shard int, score binary, known binary, base binary"))
 
 
-def _heads(docs: DataFrame) -> DataFrame:
-    """Documents of every batch: ids, held out and tokens."""
-    kind = docs.schema["doc_id"].dataType
-
-    def run(records):
-        for name, ids, held, _, row in _batches(records):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([np.packbits(held).tobytes()], pa.binary()),
-                 pa.array([_pack(np.bincount(row, minlength=len(held)))], pa.binary())], ["batch", "ids", "held", "size"])
-
-    return docs.mapInArrow(run, f"batch string, ids array<{kind.simpleString()}>, held binary, size binary")
-
-
 def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """`docs` (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score;
     one row for each input row.
@@ -319,16 +339,17 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     Null and empty texts have the end token alone. A null doc_id is learnt from. Without training
     rows every word is unknown and only the base probabilities of an empty vocabulary remain. Rows
     that repeat are scored and counted each; other columns are ignored; an empty table gives no
-    rows. The texts are read four times and must be the same each time.
+    rows. The texts are read once.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = shards or max(64, int(size // (8 << 20)))
-    counts = stored(_counts(d, shards))
+    batches = stored(_tokenised(d))
+    counts = stored(_counts(batches, shards))
     kinds, total = counts.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    pair = stored(_pair_scores(_words(d, shards, True), shards))
-    single = _words(d, shards, False).select("shard", "batch", "a", "n", "docs", F.lit(False).alias("open"))
+    pair = stored(_pair_scores(_words(batches, shards, True), shards))
+    single = _words(batches, shards, False).select("shard", "batch", "a", "n", "docs", F.lit(False).alias("open"))
     more = pair.where("shard >= 0").select("shard", "batch", F.col("words").alias("a"), F.lit(b"").alias("n"), "docs", F.lit(True).alias("open"))
     answers = _word_scores(single.union(more), counts, kinds, total)
     sums = pair.where("shard < 0").select("batch", "score", "known", "base").union(answers.select("batch", "score", "known", "base"))
@@ -347,5 +368,5 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
                              "n_tokens": size_, "n_known": whole["known"].astype(np.int64), "train_tokens": total,
                              "base_score": whole["base"], "score": whole["score"]})
 
-    return (_heads(d).groupBy("batch").cogroup(sums.groupBy("batch"))
+    return (batches.select("batch", "ids", "held", "size").groupBy("batch").cogroup(sums.groupBy("batch"))
             .applyInPandas(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
