@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,27 @@ def test_bpe(docs):
     assert bpe.digests(empty(docs), path).count() == 0
 
 
+def test_bpe_results_leave_python_some_documents_at_a_time(monkeypatch):
+    v = bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    numbers, at = {}, []
+    texts = ["one two three", "", "two " * 50, None, "four", "one three four"]
+    for t in texts:
+        at.append([numbers.setdefault(w, len(numbers)) for w in bpe.Splitter([])(t or "")])
+    ids, off = v.encode([w.encode() for w in numbers])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64())])) as w:
+        w.write_batch(pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64())], ["doc_id"]))
+    left = pa.table({"batch": ["0-0"], "doc_ids": [sink.getvalue().to_pybytes()], "sizes": [bpe._pack(np.array([len(a) for a in at], np.uint32))],
+                     "places": [bpe._pack(np.array(sum(at, []), np.uint32))], "n_words": [len(numbers)]})
+    right = pa.table({"batch": ["0-0"], "places": [bpe._pack(np.arange(len(numbers), dtype=np.uint32))],
+                      "sizes": [bpe._pack(np.diff(off).astype(np.uint32))], "ids": [bpe._pack(ids.astype(np.uint32))]})
+    monkeypatch.setattr(bpe, "PART", 8)
+    parts = list(bpe._joined(left, right))
+    assert len(parts) > 1 and all(len(d) == 1 or len(x) <= 8 for d, x, _ in parts)
+    got = {d.as_py(): x[a:b].tolist() for ds, x, end in parts for d, a, b in zip(ds, end[:-1], end[1:])}
+    assert got == {i: sum((ids[off[k]: off[k + 1]].tolist() for k in a), []) for i, a in enumerate(at)}
+
+
 def words(t):
     return [w for w in re.split(rb"[\x20\x09-\x0d]+", (t or "").encode().lower()) if w] + [b"<end>"]
 

@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -29,6 +28,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Bytes of text in a batch.
 BATCH = 16 << 20
+#: Ids of a batch that are decoded and handed to Spark at a time (a longer document by itself).
+PART = 1 << 18
 
 
 def _byte_symbols() -> list[str]:
@@ -117,8 +118,8 @@ def _batches(records: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Record
 
 def _split(b: pa.RecordBatch, splitter: Splitter) -> tuple[list[np.ndarray], _Numbers]:
     numbers, at = _Numbers(), []
-    for t in b.column(1).fill_null("").to_pylist():
-        w = splitter(t)
+    for t in b.column(1):
+        w = splitter(t.as_py() or "")
         at.append(np.fromiter(map(numbers.__getitem__, w), np.uint32, len(w)))
     return at, numbers
 
@@ -191,26 +192,30 @@ def _ragged(values: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return values[np.repeat(off[at] - (end - size), size) + np.arange(end[-1])], end
 
 
-def _joined(position: pd.DataFrame, answers: pd.DataFrame) -> Iterator[tuple]:
-    """(doc_id, ids) of a batch, from its positions and the answers of all shards."""
-    p = position.iloc[0]
-    size = np.zeros(p.n_words, np.int64)
-    for a in answers.itertuples():
-        size[_unpack(a.places, np.uint32)] = _unpack(a.sizes, np.uint32)
+def _joined(position: pa.Table, answers: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Of a batch, from its positions and the answers of all shards: some documents at a time, with
+    their ids in one array and where each document's end."""
+    p = position.slice(0, 1).to_pylist()[0]
+    said = [[c.as_py() for c in answers[name]] for name in ("places", "sizes", "ids")]
+    size = np.zeros(p["n_words"], np.int64)
+    for places, sizes, _ in zip(*said):
+        size[_unpack(places, np.uint32)] = _unpack(sizes, np.uint32)
     if (size == 0).any():
-        raise RuntimeError(f"words of batch {p.batch} were not answered: the input changed between two reads")
+        raise RuntimeError(f"words of batch {p['batch']} were not answered: the input changed between two reads")
     off = np.concatenate([[0], np.cumsum(size)])
     ids = np.empty(off[-1], np.uint32)
-    for a in answers.itertuples():
-        at = _unpack(a.places, np.uint32).astype(np.int64)
-        got = _unpack(a.ids, np.uint32)
+    for places, _, got in zip(*said):
+        at = _unpack(places, np.uint32).astype(np.int64)
         lead = np.concatenate([[0], np.cumsum(size[at])])
-        ids[np.repeat(off[at] - lead[:-1], size[at]) + np.arange(lead[-1])] = got
-    doc_ids = pa.ipc.open_stream(p.doc_ids).read_all().column(0).to_pylist()
-    places, begin = _unpack(p.places, np.uint32), 0
-    for d, n in zip(doc_ids, _unpack(p.sizes, np.uint32).tolist()):
-        yield d, _ragged(ids, off, places[begin: begin + n].astype(np.int64))[0]
-        begin += n
+        ids[np.repeat(off[at] - lead[:-1], size[at]) + np.arange(lead[-1])] = _unpack(got, np.uint32)
+    doc_ids = pa.ipc.open_stream(p["doc_ids"]).read_all().column(0)
+    places, n_words = _unpack(p["places"], np.uint32), _unpack(p["sizes"], np.uint32).astype(np.int64)
+    word_end = np.concatenate([[0], np.cumsum(n_words)])
+    # by ids before each document, not words: a word may be long
+    before = np.concatenate([[0], np.cumsum(size[places])])[word_end]
+    for i, j in tokens.slices(before, PART):
+        part, end = _ragged(ids, off, places[word_end[i]: word_end[j]].astype(np.int64))
+        yield doc_ids.slice(i, j - i).combine_chunks(), part, before[i: j + 1] - before[i]
 
 
 def decode(ids: np.ndarray, pieces: np.ndarray) -> str:
@@ -218,45 +223,50 @@ def decode(ids: np.ndarray, pieces: np.ndarray) -> str:
     return " ".join(pieces[ids].tolist())
 
 
+def _piece_array(v: Vocabulary) -> np.ndarray:
+    pieces = np.empty(max(v.piece) + 1, object)
+    for i, p in v.piece.items():
+        pieces[i] = p
+    return pieces
+
+
 def _answered(docs: DataFrame, path: str, shards: int | None, finish, schema: str) -> DataFrame:
+    """`finish` makes the columns behind doc_id from ids, where each document's end, and the pieces.
+    They leave Python as Arrow batches of few documents: a batch of 16 MB of text as lists and
+    strings would take some hundred MB of its worker and of the executor beside it."""
     spark = docs.sparkSession
     v = Vocabulary(path)
-    vocabulary = spark.sparkContext.broadcast(v)
+    vocabulary, pieces = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(_piece_array(v))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     shards = shards or 2 * parts
     words = distinct_words(docs, list(v.added), shards).repartition(parts, "shard")
     answers = encode_words(words, vocabulary)
-    return (positions(docs, list(v.added)).groupBy("batch").cogroup(answers.groupBy("batch"))
-            .applyInPandas(lambda left, right: finish(_joined(left, right), vocabulary.value), schema))
+    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([d, *finish(ids, end, pieces.value)], names)
+                                      for d, ids, end in _joined(left, right)])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return positions(docs, list(v.added)).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, f"doc_id {kind}, {schema}")
 
 
 def encode(docs: DataFrame, path: str, shards: int | None = None) -> DataFrame:
     """`docs` (doc_id, text) -> doc_id, ids (array<int>), text (decoded). One row for each input
     row; null and empty texts have no ids and an empty decoded text; a null doc_id stays null;
     other columns are ignored. The texts are read twice and must be the same both times."""
-    def finish(rows, v):
-        pieces = _piece_array(v)
-        out = [(d, ids.astype(np.int32).tolist(), decode(ids, pieces)) for d, ids in rows]
-        return pd.DataFrame(out, columns=["doc_id", "ids", "text"])
+    def finish(ids, end, pieces):
+        texts = [decode(ids[a:b], pieces) for a, b in zip(end[:-1], end[1:])]
+        return pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(texts, pa.string())
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _answered(docs, path, shards, finish, f"doc_id {kind}, ids array<int>, text string")
-
-
-def _piece_array(v: Vocabulary) -> np.ndarray:
-    pieces = np.empty(max(v.piece) + 1, object)
-    for i, p in v.piece.items():
-        pieces[i] = p
-    return pieces
+    return _answered(docs, path, shards, finish, "ids array<int>, text string")
 
 
 def digests(docs: DataFrame, path: str, shards: int | None = None) -> DataFrame:
     """As `encode`, with n_tokens, ids_sha256 and decoded_sha256 in place of ids and text."""
-    def finish(rows, v):
-        pieces = _piece_array(v)
-        out = [(d, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
-                hashlib.sha256(decode(ids, pieces).encode()).hexdigest()) for d, ids in rows]
-        return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def finish(ids, end, pieces):
+        each = [ids[a:b] for a, b in zip(end[:-1], end[1:])]
+        return (pa.array(np.diff(end)), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string()),
+                pa.array([hashlib.sha256(decode(x, pieces).encode()).hexdigest() for x in each], pa.string()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _answered(docs, path, shards, finish, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _answered(docs, path, shards, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
