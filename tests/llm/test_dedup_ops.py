@@ -90,6 +90,36 @@ def test_crowded_groups_are_copied_only_when_large(spark, monkeypatch, whole, co
     assert {(g, a, b) for g, a, n, _ in rows for h, b, m, _ in rows if g == h and 75 * max(n, m) <= 100 * min(n, m)} <= set(pairs)
 
 
+def test_large_crowds_meet_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "WHOLE", 4)
+    monkeypatch.setattr(jaccard, "LEFT", 5)
+    monkeypatch.setattr(jaccard, "RIGHT", 7)
+    rnd = random.Random(4)
+    rows = []
+    for g in (1, 2, -3):
+        held = 60 if g != 2 else 4
+        for i in range(held):
+            odd = [rnd.getrandbits(64) - (1 << 63) if rnd.random() < 0.1 else 7 * (i % 2) - 3 for _ in range(jaccard.ODD)]
+            rows.append((g, 1000 * g + i, rnd.randrange(12), rnd.randint(30, 70), held, rnd.sample(range(-20, 20), rnd.randint(0, 3)), *odd))
+    names = ["g", "set", "component", "n", "held", "before", *(f"odd_{k}" for k in range(jaccard.ODD))]
+    part = spark.createDataFrame(rows, ", ".join(f"{c} {'array<long>' if c == 'before' else 'long'}" for c in names))
+    packs = jaccard._packs(part).collect()
+    assert sum(len(r.rows) for r in packs) == 120 * 8 * len(jaccard._MEMBER)
+    one, two = jaccard._dealt(jaccard._packs(part).select("g", "set", "n", "held"))
+    # packs are copied, not members
+    assert two.count() == 24 * len(packs) < 12 * 120
+    got = collections.Counter((r.a, r.b) for r in jaccard._packed_pairs(part).collect())
+    want = set()
+    for k, x in enumerate(rows):
+        for y in rows[:k]:
+            n, m = x[3], y[3]
+            apart = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(x[6:], y[6:]))
+            if (x[0] == y[0] != 2 and x[2] != y[2] and 100 * min(n, m) >= 75 * max(n, m) and apart <= jaccard.furthest(n + m)
+                    and not (set(x[5]) & set(y[5]) - {0})):
+                want.add((min(x[1], y[1]), max(x[1], y[1])))
+    assert want and got == collections.Counter(want)
+
+
 @pytest.fixture(scope="module")
 def families():
     rnd = random.Random(5)
@@ -223,6 +253,14 @@ def test_jaccard_crowds_meet_each_pair(spark, monkeypatch):
     assert 3 < len(set(got.values())) < 150
 
 
+def test_jaccard_crowds_of_packs_meet_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "WHOLE", 6)
+    packs, used = jaccard._packs, []
+    monkeypatch.setattr(jaccard, "_packs", lambda part: used.append(part.where("held > 6").count()) or packs(part))
+    test_jaccard_crowds_meet_each_pair(spark, monkeypatch)
+    assert used[0]
+
+
 def test_crowded_bands_keep_tied_members(spark):
     rnd = random.Random(8)
     vocab = [f"w{i}" for i in range(3000)]

@@ -53,8 +53,10 @@ SINGLE = 4.0
 TURNS = 1
 #: Members up to which a crowded group is compared in one place.
 WHOLE = 512
-#: Tasks among which the members of one size band of a larger group are dealt.
+#: Tasks among which the packs of one size band of a larger group are dealt.
 SALTS = 8
+#: Members of two packs that are compared at a time.
+LEFT, RIGHT = 128, 4096
 #: The parities of the bucket counts differ in no more places than the sets in shingles.
 PARITIES = (" + ".join(f"bit_count(a_{k} ^ b_{k})" for k in range(ODD))
             + f" <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})")
@@ -424,12 +426,17 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * common >= NUM * (len(x) + len(y) - common)
 
 
+def _band():
+    return F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM) + 1e-9).cast("int")
+
+
 def _dealt(part: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides of the comparisons within groups: g, set, n, held (members of the group) with the
-    band and salt under which they meet. Linked sets are at most one size band apart; a group of more
-    than WHOLE members is dealt to SALTS tasks for each band, others are compared as they are."""
+    band and salt under which they meet. Linked sets are at most one size band apart; those of a
+    group of more than WHOLE members are dealt to SALTS tasks for each band, others are compared as they
+    are. The rows may stand for packs of members, which are fewer."""
     large = F.col("held") > WHOLE
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM) + 1e-9).cast("int")
+    band = _band()
     salt = F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")
     none, salts = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(SALTS - 1))
     one = part.withColumn("band", F.when(large, band).otherwise(0)).withColumn("salt", F.when(large, salt).otherwise(0))
@@ -438,6 +445,74 @@ def _dealt(part: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one, two
 
 
+#: What a packed member is made of.
+_MEMBER = ["set", "component", "n", *(f"odd_{k}" for k in range(ODD)), *(f"before_{k}" for k in range(EARLIER))]
+
+
+def _packs(part: DataFrame) -> DataFrame:
+    """Members of groups of more than WHOLE, packed: g, set and n (the least of the pack, for its name
+    and band), held, rows. A pack is of one size band; there are the more packs and the larger ones the
+    more members a group has, so that the copies of a member grow with the root of the group only."""
+    m = (part.where(F.col("held") > WHOLE).withColumn("band", _band())
+         .withColumn("deal", F.pmod(F.xxhash64("set"), F.ceil(F.sqrt(F.col("held") / WHOLE)).cast("long"))))
+    before = [F.coalesce(F.get("before", F.lit(k)), F.lit(0)).cast("long").alias(f"before_{k}") for k in range(EARLIER)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf[_MEMBER].to_numpy(np.int64)
+        return pd.DataFrame({"g": [pdf.g.iloc[0]], "set": [pdf["set"].min()], "n": [pdf.n.min()], "held": [pdf.held.iloc[0]], "rows": [rows.tobytes()]})
+
+    return (m.select("g", "band", "deal", "held", *_MEMBER[: 3 + ODD], *before).groupBy("g", "band", "deal")
+            .applyInPandas(run, "g long, set long, n long, held long, rows binary"))
+
+
+def _apart(x: np.ndarray, y: np.ndarray, same: bool):
+    """Pairs of sets of two packs (or within one) that are in two clusters, may link by their sizes and
+    parities, and were not met in an earlier group; some at a time."""
+    y = y[np.argsort(y[:, 2], kind="stable")]
+    for k in range(0, len(x), LEFT):
+        p = x[k: k + LEFT]
+        i = np.searchsorted(y[:, 2], -(-NUM * p[:, 2].min() // DEN))
+        j = np.searchsorted(y[:, 2], p[:, 2].max() * DEN // NUM, "right")
+        for at in range(i, j, RIGHT):
+            q = y[at: min(at + RIGHT, j)]
+            n, m = p[:, None, 2], q[None, :, 2]
+            ok = (p[:, None, 1] != q[None, :, 1]) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m))
+            if same:
+                ok &= p[:, None, 0] < q[None, :, 0]
+            odd = np.zeros(ok.shape, np.int64)
+            for c in range(3, 3 + ODD):
+                odd += np.bitwise_count(p[:, None, c].view(U) ^ q[None, :, c].view(U))
+            ok &= odd <= n + m - 2 * -(-NUM * (n + m) // (NUM + DEN))
+            u, v = np.nonzero(ok)
+            met, late = np.zeros(len(u), bool), q[v, 3 + ODD:]
+            for c in range(3 + ODD, 3 + ODD + EARLIER):
+                own = p[u, c]
+                met |= (own != 0) & (own[:, None] == late).any(1)
+            a, b = p[u[~met], 0], q[v[~met], 0]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _packed_pairs(part: DataFrame) -> DataFrame:
+    """Pairs (a < b) of sets in groups of more than WHOLE members. The names of packs are dealt and
+    meet; only pairs of packs that meet are given their members."""
+    packs = stored(_packs(part))
+    one, two = _dealt(packs.select("g", "set", "n", "held"))
+    met = (one.select("g", "band", "salt", F.col("set").alias("x")).join(two.select("g", "band", "salt", F.col("set").alias("y")), ["g", "band", "salt"])
+           .where("x <= y").select("g", "x", "y"))
+    both = (met.join(packs.select("g", F.col("set").alias("x"), F.col("rows").alias("rows_x")), ["g", "x"])
+            .join(packs.select("g", F.col("set").alias("y"), F.col("rows").alias("rows_y")), ["g", "y"]))
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                x, y, left, right = (c[k].as_py() for c in b.columns)
+                left, right = (np.frombuffer(r, np.int64).reshape(-1, len(_MEMBER)) for r in (left, right))
+                for lo, hi in _apart(left, right, x == y):
+                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+
+    return both.select("x", "y", "rows_x", "rows_y").mapInArrow(run, "a long, b long")
+
+
 def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFrame, edges: DataFrame,
             described: DataFrame) -> DataFrame:
     """Links between sets made of common shingles. A set is listed under its least common shingles
@@ -471,14 +546,15 @@ def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFra
         star = (part.join(lead, "g").where("component <> of")
                 .select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct())
         edges = stored(edges.union(verified(_possible(star, classes), docs, described)))
-    one, two = _dealt(part)
-    side = lambda d, x: d.select("g", "band", "salt", F.col("set").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"),
-                                 F.col("before").alias(f"before_{x}"),
-                                 *(F.col(f"odd_{k}").alias(f"{x}_{k}") for k in range(ODD)))
-    across = (side(one, "a").join(side(two, "b"), ["g", "band", "salt"])
-              .where(f"c_a < c_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {PARITIES} "
-                     "and not arrays_overlap(before_a, before_b)")
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    part = stored(part)
+    side = lambda x: part.where(F.col("held") <= WHOLE).select(
+        "g", F.col("set").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("before").alias(f"before_{x}"),
+        *(F.col(f"odd_{k}").alias(f"{x}_{k}") for k in range(ODD)))
+    whole = (side("a").join(side("b"), "g")
+             .where(f"c_a < c_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {PARITIES} "
+                    "and not arrays_overlap(before_a, before_b)")
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    across = whole.union(_packed_pairs(part)).distinct()
     return edges.union(verified(_possible(across, classes), docs, described))
 
 
