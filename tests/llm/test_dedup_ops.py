@@ -2,6 +2,8 @@
 
 import collections
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -78,6 +80,37 @@ def test_stored_hands_out_texts_in_small_batches(spark):
     assert {k: spark.conf.get(k, None) for k in keys} == before
 
 
+WAITING = """
+import random, re
+import pyarrow as pa
+from tidemark.llm import jaccard, substrings, toxicity
+
+class Docs:
+    columns, schema = ["doc_id", "text"], None
+    sparkSession = property(lambda self: self)
+    sparkContext = property(lambda self: self)
+    broadcast = lambda self, x: type("Shared", (), {"value": x})
+    select = lambda self, *names: self
+    mapInArrow = lambda self, run, schema: run
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+r = random.Random(1)
+texts = [" ".join(f"w{r.randrange(10**5)}" for _ in range(2000)) + "." for _ in range(300)]
+before = held()
+for run in (substrings._banded(Docs(), 64), jaccard._listing(Docs(), jaccard.signatures, 64), toxicity.clean(Docs(), toxicity.Network())):
+    for _ in run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})])):
+        pass
+    print(held() - before)
+"""
+
+
+def test_workers_wait_without_the_memory_of_their_last_task():
+    said = subprocess.run([sys.executable, "-c", WAITING], capture_output=True, text=True, check=True).stdout.split()
+    assert max(map(float, said)) < 30
+
+
 @pytest.mark.parametrize("whole, copies", [(jaccard.WHOLE, 1), (4, 3 * jaccard.SALTS)])
 def test_crowded_groups_are_copied_only_when_large(spark, monkeypatch, whole, copies):
     monkeypatch.setattr(jaccard, "WHOLE", whole)

@@ -139,7 +139,7 @@ def positions(docs: DataFrame, added: list[str]) -> DataFrame:
                 "batch": [name], "doc_ids": [sink.getvalue().to_pybytes()], "sizes": [_pack(np.array([len(a) for a in at], np.uint32))],
                 "places": [_pack(flat)], "n_words": pa.array([len(numbers)], pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, POSITIONS)
+    return docs.select("doc_id", "text").mapInArrow(tokens.lean(run), POSITIONS)
 
 
 def distinct_words(docs: DataFrame, added: list[str], shards: int) -> DataFrame:
@@ -159,7 +159,7 @@ def distinct_words(docs: DataFrame, added: list[str], shards: int) -> DataFrame:
                 pa.array([zlib.compress(b"\n".join([raw[i] for i in p]), 1) for p in parts], pa.binary())],
                 ["batch", "shard", "places", "words"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, WORDS)
+    return docs.select("doc_id", "text").mapInArrow(tokens.lean(run), WORDS)
 
 
 def encode_words(words: DataFrame, vocabulary) -> DataFrame:
@@ -180,7 +180,7 @@ def encode_words(words: DataFrame, vocabulary) -> DataFrame:
                     "batch": [name], "places": [places], "sizes": [_pack(np.array([len(x) // 4 for x in ids], np.uint32))],
                     "ids": [zlib.compress(b"".join(ids), 1)]})
 
-    return words.mapInArrow(run, "batch string, places binary, sizes binary, ids binary")
+    return words.mapInArrow(tokens.lean(run), "batch string, places binary, sizes binary, ids binary")
 
 
 def _ragged(values: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,8 +244,10 @@ def _answered(docs: DataFrame, path: str, shards: int | None, finish, schema: st
     names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([d, *finish(ids, end, pieces.value)], names)
-                                      for d, ids, end in _joined(left, right)])
+        out = pa.Table.from_batches([pa.RecordBatch.from_arrays([d, *finish(ids, end, pieces.value)], names)
+                                     for d, ids, end in _joined(left, right)])
+        tokens.give_back()
+        return out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return positions(docs, list(v.added)).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, f"doc_id {kind}, {schema}")

@@ -239,7 +239,7 @@ def describe(docs: DataFrame) -> DataFrame:
                      pa.array(profiles(e, off), pa.binary())],
                     ["doc_id", "n", "set", "sketch", "odd", "profile"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set long, sketch binary, odd array<long>, profile binary")
+    return docs.select("doc_id", "text").mapInArrow(tokens.lean(run), "doc_id long, n long, set long, sketch binary, odd array<long>, profile binary")
 
 
 LISTS = "shard int, sets binary, sigs binary, flags binary, owners binary, spare binary"
@@ -273,7 +273,7 @@ def _listing(docs: DataFrame, make, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)],
                                                  ["shard", "sets", "sigs", "flags", "owners", "spare"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, LISTS)
+    return docs.select("doc_id", "text").mapInArrow(tokens.lean(run), LISTS)
 
 
 FOUND = "kind int, g long, members array<long>, slot int, units int"
@@ -317,7 +317,7 @@ def _groups(lists: DataFrame, crowds: bool) -> DataFrame:
             parts.append(pd.DataFrame({"kind": _SPARE, "g": 0, "members": [[x] for x in ids.tolist()], "slot": slot, "units": spare[one, slot]}))
         return pd.concat(parts, ignore_index=True).astype({"members": object})
 
-    return lists.groupBy("shard").applyInPandas(run, FOUND)
+    return lists.groupBy("shard").applyInPandas(tokens.lean_group(run), FOUND)
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
     return (p.select("rep_a", "rep_b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("total"))
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(tokens.lean(run), "a long, b long"))
 
 
 def _close(pairs: DataFrame, described: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def _close(pairs: DataFrame, described: DataFrame) -> DataFrame:
             ok = pa.array([may_link(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tokens.lean(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
@@ -410,7 +410,7 @@ def verified(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFra
                 ok = np.array([_links(x, y) for x, y in zip(_each(left), _each(right))], bool)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["u", "v"])
 
-    return stored(both.mapInArrow(run, "u long, v long"))
+    return stored(both.mapInArrow(tokens.lean(run), "u long, v long"))
 
 
 def _each(found):
@@ -462,7 +462,7 @@ def _packs(part: DataFrame) -> DataFrame:
         return pd.DataFrame({"g": [pdf.g.iloc[0]], "set": [pdf["set"].min()], "n": [pdf.n.min()], "held": [pdf.held.iloc[0]], "rows": [rows.tobytes()]})
 
     return (m.select("g", "band", "deal", "held", *_MEMBER[: 3 + ODD], *before).groupBy("g", "band", "deal")
-            .applyInPandas(run, "g long, set long, n long, held long, rows binary"))
+            .applyInPandas(tokens.lean_group(run), "g long, set long, n long, held long, rows binary"))
 
 
 def _apart(x: np.ndarray, y: np.ndarray, same: bool):
@@ -510,7 +510,7 @@ def _packed_pairs(part: DataFrame) -> DataFrame:
                 for lo, hi in _apart(left, right, x == y):
                     yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
 
-    return both.select("x", "y", "rows_x", "rows_y").mapInArrow(run, "a long, b long")
+    return both.select("x", "y", "rows_x", "rows_y").mapInArrow(tokens.lean(run), "a long, b long")
 
 
 def _crowds(found: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFrame, edges: DataFrame,

@@ -128,7 +128,7 @@ def _occurrences(docs: DataFrame, shards: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["shard", "blob"])
 
-    return docs.mapInArrow(run, "shard int, blob binary")
+    return docs.mapInArrow(tokens.lean(run), "shard int, blob binary")
 
 
 PLACES = "class long, doc_id long, number int, first int, last int, words int, home_doc long, home_number int, is_home boolean"
@@ -147,7 +147,7 @@ def _repeated(occurrences: DataFrame) -> DataFrame:
         return pd.DataFrame({"class": x[0], "doc_id": x[1], "number": x[2], "first": x[3], "last": x[4], "words": x[5],
                              "home_doc": hd, "home_number": hn, "is_home": start})
 
-    return occurrences.groupBy("shard").applyInPandas(run, PLACES)
+    return occurrences.groupBy("shard").applyInPandas(tokens.lean_group(run), PLACES)
 
 
 def _banded(docs: DataFrame, shards: int) -> DataFrame:
@@ -168,7 +168,7 @@ def _banded(docs: DataFrame, shards: int) -> DataFrame:
                         [pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[i] for x in rows], pa.binary()) for i in (1, 2, 3)), none, none],
                         ["shard", "sets", "sigs", "flags", "owners", "spare"])
 
-    return docs.mapInArrow(run, jaccard.LISTS)
+    return docs.mapInArrow(tokens.lean(run), jaccard.LISTS)
 
 
 def _shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
                         [pa.array(c[hit]), pa.array([e[off[k]: off[k + 1]].tobytes() for k in hit], pa.binary()), pa.array(size.astype(np.int32)),
                          pa.array(jaccard.parities(flat, own, len(hit)).tolist(), pa.list_(pa.int64()))], ["class", "shingles", "n", "odd"])
 
-    return some.mapInArrow(run, "class long, shingles binary, n int, odd array<long>").dropDuplicates(["class"])
+    return some.mapInArrow(tokens.lean(run), "class long, shingles binary, n int, odd array<long>").dropDuplicates(["class"])
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
                            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(tokens.lean(run), "u long, v long")
 
 
 def _near(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
@@ -220,7 +220,7 @@ def _near(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
             for r, number, _, _, _, _, _, c in _gathered(b.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(ids[r]), pa.array(number.astype(np.int32))], ["class", "doc_id", "number"])
 
-    where = matching(docs.mapInArrow(locate, "class long, doc_id long, number int"), used, "class", "left_semi")
+    where = matching(docs.mapInArrow(tokens.lean(locate), "class long, doc_id long, number int"), used, "class", "left_semi")
     first = stored(where.groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("p")).select("class", "p.*"))
     shingles = stored(_shingles(docs, first))
     edges = stored(_verified(pairs, shingles))
@@ -286,7 +286,7 @@ def _spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                          pa.array([want[j][int(number[k])] for j, k in zip(i, hit)], pa.int64())],
                         ["doc_id", "number", "first", "last", "words", "source"])
 
-    return some.mapInArrow(run, "doc_id long, number int, first int, last int, words int, source long")
+    return some.mapInArrow(tokens.lean(run), "doc_id long, number int, first int, last int, words int, source long")
 
 
 def removals(docs: DataFrame, run_words: int = RUN_WORDS, shards: int | None = None) -> DataFrame:

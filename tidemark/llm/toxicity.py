@@ -29,6 +29,8 @@ GRAMS = (4, 5)
 LEAST, LEAST_SHARE = 4, 0.02
 #: At most so many texts of each label are collected for training, each of them whole.
 SAMPLE = 700
+#: Bytes of text scored at a time: the n-grams of a word are hashed once for each.
+SLICE = 1 << 19
 U = np.uint64
 f32 = np.float32
 
@@ -167,7 +169,7 @@ def _rows_of(texts: list[str | None]):
     raw, off = tokens.parts(pa.array([t or "" for t in texts], pa.string()))
     size = np.zeros(len(texts), np.int64)
     hashes, numbers, feats, base = [], [], [], 0
-    for i, j in tokens.slices(off):
+    for i, j in tokens.slices(off, SLICE):
         h, row, s, e, low = tokens.words(raw[off[i]: off[j]], off[i: j + 1] - off[i])
         size[i:j] = np.bincount(row, minlength=j - i)
         distinct, one, number = np.unique(h, return_index=True, return_inverse=True)
@@ -307,7 +309,7 @@ def _worst(net: Network, texts: pa.Array) -> np.ndarray:
     """Logits of the worst windows of whole texts, some texts at a time; -inf for texts without words."""
     raw, off = tokens.parts(texts)
     out = np.empty(len(texts))
-    for i, j in tokens.slices(off):
+    for i, j in tokens.slices(off, SLICE):
         h, row, s, e, low = tokens.words(raw[off[i]: off[j]], off[i: j + 1] - off[i])
         _, one, number = np.unique(h, return_index=True, return_inverse=True)
         win = _Windows(number, np.bincount(row, minlength=j - i))
@@ -387,7 +389,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-            .mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int"))
+            .mapInArrow(tokens.lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int"))
 
 
 def clean(docs: DataFrame, net: Network) -> DataFrame:
@@ -399,4 +401,4 @@ def clean(docs: DataFrame, net: Network) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(score_batch(shared.value, b.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tokens.lean(run), docs.schema)
